@@ -7,9 +7,11 @@ from .decontamination import ORACLE_SQL as SQL8
 from .decontamination import op8
 from .line_dedup import ORACLE_SQL as SQL1
 from .line_dedup import op1
+from .toxicity import op7
 
 QUERIES = {
     "op1_line_dedup": lambda spark, d: op1(table(spark, d, "documents")),
+    "op7_toxicity": lambda spark, d: op7(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_benchmark_decontamination": lambda spark, d: op8(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 ORACLE = {"op1_line_dedup": SQL1, "op8_benchmark_decontamination": SQL8}
