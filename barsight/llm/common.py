@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A word is a run of ASCII digits, ASCII lower-case letters and anything beyond ASCII.
 WORD_CHARS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -34,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of df and one field more (StructType.add would change the one df keeps)."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for cut lineage; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -5,13 +5,19 @@ from __future__ import annotations
 from .common import table
 from .decontamination import ORACLE_SQL as SQL8
 from .decontamination import op8
+from .jaccard_join import op9
 from .line_dedup import ORACLE_SQL as SQL1
 from .line_dedup import op1
+from .sentencepiece import op2
 from .toxicity import op7
+from .url_filter import op4
 
 QUERIES = {
     "op1_line_dedup": lambda spark, d: op1(table(spark, d, "documents")),
+    "op2_sentencepiece": lambda spark, d: op2(table(spark, d, "documents")),
+    "op4_url_filter": lambda spark, d: op4(table(spark, d, "pages")),
     "op7_toxicity": lambda spark, d: op7(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_benchmark_decontamination": lambda spark, d: op8(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op9_jaccard_join": lambda spark, d: op9(table(spark, d, "documents")),
 }
 ORACLE = {"op1_line_dedup": SQL1, "op8_benchmark_decontamination": SQL8}
