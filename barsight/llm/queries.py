@@ -5,6 +5,8 @@ from __future__ import annotations
 from .common import table
 from .decontamination import ORACLE_SQL as SQL8
 from .decontamination import op8
+from .embedding_dedup import ORACLE_SQL as SQL10
+from .embedding_dedup import op10
 from .jaccard_join import op9
 from .line_dedup import ORACLE_SQL as SQL1
 from .line_dedup import op1
@@ -18,6 +20,7 @@ QUERIES = {
     "op4_url_filter": lambda spark, d: op4(table(spark, d, "pages")),
     "op7_toxicity": lambda spark, d: op7(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_benchmark_decontamination": lambda spark, d: op8(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op10_embedding_dedup": lambda spark, d: op10(table(spark, d, "embeddings")),
     "op9_jaccard_join": lambda spark, d: op9(table(spark, d, "documents")),
 }
-ORACLE = {"op1_line_dedup": SQL1, "op8_benchmark_decontamination": SQL8}
+ORACLE = {"op10_embedding_dedup": SQL10, "op1_line_dedup": SQL1, "op8_benchmark_decontamination": SQL8}
