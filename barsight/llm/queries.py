@@ -8,15 +8,21 @@ from .decontamination import op8
 from .embedding_dedup import ORACLE_SQL as SQL10
 from .embedding_dedup import op10
 from .jaccard_join import op9
+from .license_scan import op6
 from .line_dedup import ORACLE_SQL as SQL1
 from .line_dedup import op1
 from .sentencepiece import op2
+from .substring_dedup import op5
 from .toxicity import op7
 from .url_filter import op4
+from .warc import op3
 
 QUERIES = {
     "op1_line_dedup": lambda spark, d: op1(table(spark, d, "documents")),
     "op2_sentencepiece": lambda spark, d: op2(table(spark, d, "documents")),
+    "op3_warc": lambda spark, d: op3(table(spark, d, "pages")),
+    "op5_substring_dedup": lambda spark, d: op5(table(spark, d, "documents")),
+    "op6_license_scan": lambda spark, d: op6(table(spark, d, "documents")),
     "op4_url_filter": lambda spark, d: op4(table(spark, d, "pages")),
     "op7_toxicity": lambda spark, d: op7(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_benchmark_decontamination": lambda spark, d: op8(table(spark, d, "documents"), table(spark, d, "benchmark")),
