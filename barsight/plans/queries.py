@@ -24,13 +24,13 @@ ORACLE: dict[str, str] = {}
 # --- SQL blocks behind the panel prefix ---
 REC = """,
 v AS (SELECT symbol, t, close, row_number() OVER (PARTITION BY symbol ORDER BY t) AS k FROM b WHERE close IS NOT NULL),
-rc(symbol, k, t, c, e12, e26, s9, g, l) AS (
-  SELECT symbol, k, t, CAST(close AS DOUBLE), CAST(close AS DOUBLE), CAST(close AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM v WHERE k = 1
+rc(symbol, k, t, c, e12, e26, s9, g, l, g5, l5) AS (
+  SELECT symbol, k, t, CAST(close AS DOUBLE), CAST(close AS DOUBLE), CAST(close AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM v WHERE k = 1
   UNION ALL
-  SELECT symbol, k, t, c, e12, e26, CASE WHEN k < 26 THEN NULL WHEN k = 26 THEN e12 - e26 ELSE s9 + (2.0::DOUBLE / 10) * ((e12 - e26) - s9) END, CASE WHEN k = 2 THEN up ELSE g + (up - g) / 14 END, CASE WHEN k = 2 THEN dn ELSE l + (dn - l) / 14 END
-  FROM (SELECT v.symbol, v.k, v.t, CAST(v.close AS DOUBLE) AS c, e12 + (2.0::DOUBLE / 13) * (v.close - e12) AS e12, e26 + (2.0::DOUBLE / 27) * (v.close - e26) AS e26, s9, g, l, greatest(v.close - c, 0.0::DOUBLE) AS up, greatest(c - v.close, 0.0::DOUBLE) AS dn
+  SELECT symbol, k, t, c, e12, e26, CASE WHEN k < 26 THEN NULL WHEN k = 26 THEN e12 - e26 ELSE s9 + (2.0::DOUBLE / 10) * ((e12 - e26) - s9) END, CASE WHEN k = 2 THEN up ELSE g + (up - g) / 14 END, CASE WHEN k = 2 THEN dn ELSE l + (dn - l) / 14 END, CASE WHEN k = 2 THEN up ELSE g5 + (up - g5) / 5 END, CASE WHEN k = 2 THEN dn ELSE l5 + (dn - l5) / 5 END
+  FROM (SELECT v.symbol, v.k, v.t, CAST(v.close AS DOUBLE) AS c, e12 + (2.0::DOUBLE / 13) * (v.close - e12) AS e12, e26 + (2.0::DOUBLE / 27) * (v.close - e26) AS e26, s9, g, l, g5, l5, greatest(v.close - c, 0.0::DOUBLE) AS up, greatest(c - v.close, 0.0::DOUBLE) AS dn
         FROM rc JOIN v ON v.symbol = rc.symbol AND v.k = rc.k + 1)),
-re AS MATERIALIZED (SELECT symbol, t, CASE WHEN k >= 12 THEN e12 END AS ema12, CASE WHEN k >= 26 THEN e26 END AS ema26, CASE WHEN k >= 15 THEN CASE WHEN l = 0 THEN 100.0::DOUBLE ELSE 100 - 100 / (1 + g / l) END END AS rsi14, CASE WHEN k >= 34 THEN (e12 - e26 - s9) / c * 100 END AS macd FROM rc)"""
+re AS MATERIALIZED (SELECT symbol, t, CASE WHEN k >= 12 THEN e12 END AS ema12, CASE WHEN k >= 26 THEN e26 END AS ema26, CASE WHEN k >= 15 THEN CASE WHEN l = 0 THEN 100.0::DOUBLE ELSE 100 - 100 / (1 + g / l) END END AS rsi14, CASE WHEN k >= 6 THEN CASE WHEN l5 = 0 THEN 100.0::DOUBLE ELSE 100 - 100 / (1 + g5 / l5) END END AS rsi5, CASE WHEN k >= 34 THEN (e12 - e26 - s9) / c * 100 END AS macd FROM rc)"""
 
 
 def _sma(n: int, x: str = "close", by: str = "PARTITION BY symbol ") -> str:
@@ -56,7 +56,7 @@ def _vol(n: int, r: str = "r", by: str = "PARTITION BY symbol ") -> str:
 
 
 IND = f"""{REC},
-i1 AS (SELECT b.*, ema12, ema26, rsi14, macd, {_lag(1)} AS r, {_sma(20)} AS sma20, {_sma(50)} AS sma50, {_sma(200)} AS sma200, {_high(20)} AS hi20, {_high(55)} AS hi55, {_high(252)} AS hi252, {_low(252)} AS lo252, {_lag(126)} AS mom126 FROM b LEFT JOIN re USING (symbol, t)),
+i1 AS (SELECT b.*, ema12, ema26, rsi14, rsi5, macd, {_lag(1)} AS r, {_sma(20)} AS sma20, {_sma(50)} AS sma50, {_sma(200)} AS sma200, {_high(20)} AS hi20, {_high(55)} AS hi55, {_high(252)} AS hi252, {_low(252)} AS lo252, {_lag(126)} AS mom126 FROM b LEFT JOIN re USING (symbol, t)),
 i AS MATERIALIZED (SELECT *, {_vol(20)} AS vol20, {_vol(63)} AS vol63 FROM i1),
 ixf AS MATERIALIZED (SELECT *, {_sma(50, 'idx', '')} AS idx_sma50, {_sma(200, 'idx', '')} AS idx_sma200 FROM ix)"""
 CHECK = """,
@@ -290,14 +290,14 @@ def align_grid(spark, d):
     return P.bars(spark, d).select("symbol", "t", "date", "price")
 
 
-ODD = "odd AS (SELECT date, close AS v FROM b WHERE symbol = 'FRANCE' AND t % 3 <> 0 AND t > 40), cu AS (SELECT DISTINCT date FROM (SELECT date FROM b WHERE symbol = 'CHINA' AND price IS NOT NULL UNION ALL SELECT date FROM odd WHERE v IS NOT NULL))"
+ODD = "odd AS (SELECT date, close AS v FROM b WHERE symbol = 'NATION_7' AND t % 3 <> 0 AND t > 40), cu AS (SELECT DISTINCT date FROM (SELECT date FROM b WHERE symbol = 'NATION_3' AND price IS NOT NULL UNION ALL SELECT date FROM odd WHERE v IS NOT NULL))"
 
 
 def _odd(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """An index known on some days only, and the union of its days with one symbol's."""
     rows = P.bars(spark, d)
-    odd = rows.where("symbol = 'FRANCE' and t % 3 <> 0 and t > 40 and close is not null").select("date", F.col("close").alias("v"))
-    return odd, rows.where("symbol = 'CHINA' and price is not null").select("date").union(odd.select("date")).distinct()
+    odd = rows.where("symbol = 'NATION_7' and t % 3 <> 0 and t > 40 and close is not null").select("date", F.col("close").alias("v"))
+    return odd, rows.where("symbol = 'NATION_3' and price is not null").select("date").union(odd.select("date")).distinct()
 
 
 @query("calendar_union", "SELECT date, v FROM cu LEFT JOIN odd USING (date)", "," + ODD)
