@@ -21,18 +21,19 @@ occur in Spark strings; extra columns of any name are kept by encode().
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import with_field
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO_PARTS = 800_000
+MEMO_PARTS, MEMO_PAIRS = 500_000, 250_000
 INF = float("inf")
 
 
@@ -66,8 +67,6 @@ class Transducer:
     """A model file compiled to arcs. Field numbers are those of the public sentencepiece_model.proto."""
 
     def __init__(self, data: bytes, kind: str | None = None):
-        import struct
-
         self.ids: dict[str, int] = {}
         self.pieces: list[str] = []
         self.scores: list[float] = []
@@ -106,8 +105,9 @@ class Transducer:
         splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if splits else "(?s).+").findall
         self.unknown_weight = 10.0 - min((self.scores[k] for k in self.ids.values()), default=0.0)
-        self._agree: dict[tuple[int, int], bool] = {}
-        self._memo: dict[str, tuple[int, ...]] = {}
+        self.outputs = [bytes([self.byte_of[k]]) if k in self.byte_of else b"" if k in self.control else p.replace(MARK, " ").encode() for k, p in enumerate(self.pieces)]
+        self._agree: dict[tuple[str, str], bool] = {}
+        self._memo: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -132,7 +132,7 @@ class Transducer:
         key = (a, b)
         found = self._agree.get(key)
         if found is None:
-            if len(self._agree) > 1_000_000:
+            if len(self._agree) >= MEMO_PAIRS:
                 self._agree.clear()
             found = self._agree[key] = self.merged(a + b) == [a, b]
         return found
@@ -190,33 +190,29 @@ class Transducer:
             i -= len(back[i])
         return out[::-1]
 
-    def path(self, part: str) -> tuple[int, ...]:
-        found = self._memo.get(part)
-        if found is None:
+    def path(self, part: str) -> bytes:
+        """Ids of one part as 32-bit numbers."""
+        found = struct.pack(f"<{len(ids)}i", *ids) if (ids := [k for piece in self.shortest(part) for k in self.labels(piece)]) else b""
+        if len(part) <= 48:
             if len(self._memo) >= MEMO_PARTS:
                 self._memo.clear()
-            found = tuple(k for piece in self.shortest(part) for k in self.labels(piece))
-            if len(part) <= 64:
-                self._memo[part] = found
+            self._memo[part] = found
         return found
 
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit numbers."""
+        get, path = self._memo.get, self.path
+        return b"".join([get(part) or path(part) for part in self.parts(self.normalise(text))])
+
     def encode(self, text: str | None) -> list[int] | None:
-        if text is None:
-            return None
-        path = self.path
-        return [k for part in self.parts(self.normalise(text)) for k in path(part)]
+        return None if text is None else np.frombuffer(self.packed(text), "<i4").tolist()
 
-    def decode(self, ids: list[int] | None) -> str | None:
+    def decode(self, ids) -> str | None:
         """Reads the transducer backwards: pieces and bytes to text, the mark to a space, without the dummy prefix. Bytes
         that are no UTF-8 become U+FFFD; control pieces vanish."""
         if ids is None:
             return None
-        pieces, byte_of = self.pieces, self.byte_of
-        if any(k in byte_of or k in self.control for k in ids):
-            text = b"".join(bytes([byte_of[k]]) if k in byte_of else b"" if k in self.control else pieces[k].encode() for k in ids).decode("utf-8", "replace")
-        else:
-            text = "".join([pieces[k] for k in ids])
-        text = text.replace(MARK, " ")
+        text = b"".join(map(self.outputs.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -226,31 +222,58 @@ def transducer(path: str, kind: str | None = None) -> Transducer:
         return Transducer(f.read(), kind)
 
 
-def _with(df: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:
-    place = df.columns.index(source)
+def _ids(part: list[str | None], t: Transducer) -> pa.ListArray:
+    packed = [None if x is None else t.packed(x) for x in part]
+    offsets = np.concatenate(([0], np.cumsum([len(x or b"") // 4 for x in packed]))).astype(np.int32)
+    missing = pa.array([x is None for x in packed], pa.bool_()) if None in part else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(x or b"" for x in packed), "<i4")), mask=missing)
+
+
+def _texts(ids: pa.ListArray, t: Transducer) -> pa.Array:
+    flat, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+    return pa.array([t.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets, offsets[1:], ids.is_valid().to_pylist())], pa.string())
+
+
+def _mapped(df: DataFrame, added: list[tuple[str, str]], make) -> DataFrame:
+    """df with columns more, by make(columns of some rows); ids of long texts go on in small batches."""
+    schema = df.schema
+    for name, kind in added:
+        schema = T.StructType([*schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # ids of long texts in small pieces
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                value = pa.array([f(x) for x in part.column(place).to_pylist()], pa.list_(pa.int32()) if kind == "array<int>" else pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, value], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part)], [*part.schema.names, *(name for name, _ in added)])
 
-    return df.mapInArrow(run, with_field(df, name, kind))
+    return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, kind: str | None = None) -> DataFrame:
     """df with the ids of its texts. The model file must be readable at `model` on every executor."""
-    return _with(df, text_col, ids_col, "array<int>", lambda: transducer(model, kind).encode)
+    place = df.columns.index(text_col)
+    return _mapped(df, [(ids_col, "array<int>")], lambda part: [_ids(part.column(place).to_pylist(), transducer(model, kind))])
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
-    """df with the texts that its ids stand for."""
-    return _with(df, ids_col, text_col, "string", lambda: transducer(model).decode)
+    """df with the texts that its ids stand for; ids are not null inside an array."""
+    place = df.columns.index(ids_col)
+    return _mapped(df, [(text_col, "string")], lambda part: [pa.array([transducer(model).decode(x) for x in part.column(place).to_pylist()], pa.string())])
+
+
+def encode_decode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", model: str = MODEL) -> DataFrame:
+    """df with ids and what they decode to, in one pass."""
+    place = df.columns.index(text_col)
+
+    def both(part: pa.RecordBatch) -> list[pa.Array]:
+        t = transducer(model)
+        ids = _ids(part.column(place).to_pylist(), t)
+        return [ids, _texts(ids, t)]
+
+    return _mapped(df, [(ids_col, "array<int>"), (decoded_col, "string")], both)
 
 
 def op2(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """Per document the ids, how many, the digest of what they decode to, and whether that is the text itself."""
-    out = decode(encode(documents.select("doc_id", "text"), model=model), model=model)
+    out = encode_decode(documents.select("doc_id", "text"), model=model)
     return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_ids"), "ids", F.sha2(F.coalesce("decoded", F.lit("")).cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -18,7 +18,7 @@ from barsight.llm.common import shared_dir, table
 from barsight.llm.decontamination import decontaminate
 from barsight.llm.jaccard_join import keep_one
 from barsight.llm.line_dedup import line_dedup
-from barsight.llm.sentencepiece import decode, encode
+from barsight.llm.sentencepiece import encode_decode
 from barsight.llm.toxicity import drop_toxic
 
 
@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = decode(encode(docs.select("doc_id", "lang", "source", "text")))
+    out = encode_decode(docs.select("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
