@@ -138,8 +138,9 @@ def _hits(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, list[n
     return seg.lengths, [np.flatnonzero(covered[s : s + n]) for s, n in zip(seg.starts, seg.lengths)], items
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items (array, sorted as strings), contaminated, and the columns of keep.
+def judged(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Per document: _id, n_words, n_hit, n_items, items (array, sorted as strings), contaminated, and the columns of keep as
+    _keep0, _keep1 and so on, with their names beside.
 
     A word is hit inside any occurrence of `window` consecutive words of an item, or of a shorter item's all words.
     Contaminated: at least one in `share` words is hit. A benchmark of more than `block_words` words is matched block by
@@ -174,7 +175,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = W
                 )
 
     out = source.mapInArrow(run, schema)
-    return out.select(id_col, *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(extra)], "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+    dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
+    return out.select(F.col(id_col).alias("_id"), *[F.col(f"_keep{i}") for i in range(len(extra))], "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", dirty.alias("contaminated")), extra
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """Per document: id, n_words, n_hit, n_items, items (array, sorted as strings), contaminated. Options as for judged()."""
+    found, _ = judged(documents, benchmark, id_col=id_col, **options)
+    return found.withColumnRenamed("_id", id_col)
 
 
 def proximity(documents: DataFrame, benchmark: DataFrame, *, terms: int = 5, slop: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -211,7 +219,10 @@ def op8(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return contamination(documents, benchmark, keep=tuple(documents.columns), **options).where(~F.col("contaminated")).select(*documents.columns)
+    id_col = options.get("id_col", "doc_id")
+    found, extra = judged(documents, benchmark, keep=tuple(documents.columns), **options)
+    clean = found.where(~F.col("contaminated"))
+    return clean.select(*[F.col("_id" if c == id_col else f"_keep{extra.index(c)}").alias(c) for c in documents.columns])
 
 
 ORACLE_SQL = r"""

@@ -247,10 +247,10 @@ def keep_one(documents: DataFrame, *, threshold: float = THRESHOLD, id_col: str
     """The first document of each class (least id, then text key), with its own columns. Of repeated rows one stays; rows
     without shingles all stay."""
     found = join(documents, threshold=threshold, id_col=id_col, text_col=text_col)
-    gone = found.where(~F.struct("_id", "_tk").eqNullSafe(F.col("_first"))).select("_id", "_tk").distinct()
-    docs = documents.withColumn("_text_key", text_key(F.col(text_col)))
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.col("_text_key") == F.col("_tk")), "left_anti")
-    return kept.dropDuplicates([id_col, "_text_key"]).select(*documents.columns)
+    gone = found.where(~F.struct("_id", "_tk").eqNullSafe(F.col("_first"))).select(F.col("_id").alias("_barsight_id"), F.col("_tk").alias("_barsight_tk")).distinct()
+    docs = documents.withColumn("_barsight_text_key", text_key(F.col(text_col)))
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_barsight_id"]) & (F.col("_barsight_text_key") == F.col("_barsight_tk")), "left_anti")
+    return kept.dropDuplicates([id_col, "_barsight_text_key"]).select(*documents.columns)
 
 
 def op9(documents: DataFrame) -> DataFrame:

@@ -53,13 +53,13 @@ def repeated_lines(documents: DataFrame, *, min_lines: int = MIN_LINES, min_word
 def line_dedup(documents: DataFrame, *, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, the text without later repeated runs, and three columns more: _n_lines,
     _n_removed and _n_runs (maximal deleted runs)."""
-    drop = repeated_lines(documents, min_lines=min_lines, min_words=min_words, id_col=id_col, text_col=text_col).select(F.col("_id").alias("_drop_id"), F.col("_key").alias("_drop_key"), F.col("drop").alias("_drop"))
+    drop = repeated_lines(documents, min_lines=min_lines, min_words=min_words, id_col=id_col, text_col=text_col).select(F.col("_id").alias("_barsight_id"), F.col("_key").alias("_barsight_key"), F.col("drop").alias("_barsight_drop"))
     names = documents.columns
-    d = documents.withColumn("_text_key", text_key(F.col(text_col)))
-    j = d.join(drop, d[id_col].eqNullSafe(drop["_drop_id"]) & (F.col("_text_key") == F.col("_drop_key")), "left")
+    d = documents.withColumn("_barsight_text_key", text_key(F.col(text_col)))
+    j = d.join(drop, d[id_col].eqNullSafe(drop["_barsight_id"]) & (F.col("_barsight_text_key") == F.col("_barsight_key")), "left")
     lines = F.split(F.col(text_col), "\n")
-    gone = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
-    kept = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i.cast("int"))), "\n"))
+    gone = F.coalesce(F.col("_barsight_drop"), F.array().cast("array<int>"))
+    kept = F.when(F.col("_barsight_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i.cast("int"))), "\n"))
     runs = F.size(F.filter(gone, lambda x: ~F.array_contains(gone, x - 1)))
     return j.select(*[kept.alias(c) if c == text_col else documents[c] for c in names], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("_n_lines"), F.size(gone).cast("bigint").alias("_n_removed"), runs.cast("bigint").alias("_n_runs"))
 
