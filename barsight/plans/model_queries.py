@@ -140,7 +140,7 @@ def bins(spark, d):
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
-    """Samples with features and roles, cached."""
+    """Samples with features and roles, written once."""
 
     def make() -> DataFrame:
         rows = _samples(spark, d).join(_features(spark, d).select("t", "sym_ix", L.vector()), ["t", "sym_ix"])

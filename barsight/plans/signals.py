@@ -15,7 +15,7 @@ CHECKS = ("above_smas", "sma50_over_sma200", "ema12_over_ema26", "rsi_in_band",
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel with the strategy's indicators, cached for one application and input."""
+    """The panel with the strategy's indicators, written once for one application and input."""
 
     def make() -> DataFrame:
         c = F.col("close")

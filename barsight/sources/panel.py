@@ -7,23 +7,39 @@ not depend on their order.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SMOOTH, BASE = 60, 1000.0
 _memo: dict[tuple[str, str, str], DataFrame] = {}
+_own_dir: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares for cut lineage; a temporary one only where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = _own_dir.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="barsight-")
+        _own_dir[spark.sparkContext.applicationId] = found
+    return found.rstrip("/")
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A cached table of one application and input, made once."""
+    """A table of one application and input, made once and written: later queries plan a scan instead of its whole lineage,
+    and it outlives any executor."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _memo:
-        _memo[key] = make().cache()
+        df, path = make(), f"{shared_dir(spark)}/market/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _memo[key] = spark.read.schema(df.schema).parquet(path)
     return _memo[key]
 
 
