@@ -231,8 +231,9 @@ def fit_trees(rows: DataFrame, fit: str, val: str | None, edges: list[np.ndarray
                 model, tree, level, m = sent.value
                 total = np.zeros((2, len(level), NF, BINS))
                 for b in batches:
-                    key = b.column(2).to_numpy()
-                    chosen = (((key ^ m * 0x9E3779B97F4A7C1) * 0x5851F42D4C957F2D) >> 40) & 1 == 1
+                    key = b.column(2).to_numpy().astype(np.uint64)
+                    salt = np.uint64(m * 0x9E3779B97F4A7C1 % 2**64)
+                    chosen = ((key ^ salt) * np.uint64(0x5851F42D4C957F2D) >> np.uint64(40)) % np.uint64(2) == 1
                     if not chosen.any():
                         continue
                     z = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, NF)[chosen].astype(np.int64)
