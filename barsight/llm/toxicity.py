@@ -11,8 +11,8 @@ log of the length, enter a logistic regression. It is fitted on labelled rows th
 are kept in two halves by text, each half's rows are scored with the other's, and the final scores use both.
 
 Bounds. Words are hashed to BUCKETS buckets, so the model that goes to the tasks has at most 4 counts a bucket whatever the
-corpus. All labelled learning rows are counted; CALIBRATION_ROWS of them at most, the least by a hash of the text, fit the
-regression's six weights. Labels are broadcast up to BROADCAST_LABELS rows and joined by shuffle beyond that.
+corpus. All labelled learning rows are counted; about CALIBRATION_ROWS of them, chosen by a hash of the text and each text once,
+fit the regression's weights. Labels are broadcast up to BROADCAST_LABELS rows and joined by shuffle beyond that.
 
 Cases: rows labelled differently count for each label; null labels teach nothing; null and empty texts get the score of a text
 without evidence; without both labels every score is the smoothed share of label 1; equal texts get equal scores; empty tables
@@ -34,12 +34,12 @@ from .common import cut, words_of
 
 BUCKETS, DISCOUNT, STRETCHES = 1 << 20, 1.5, (1, 10, 50)
 CALIBRATION_ROWS, BROADCAST_LABELS, THRESHOLD = 40_000, 2_000_000, 0.7
-_FLUSH_KEYS = 4_000_000
+_FLUSH_KEYS = 1_500_000
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = zlib.crc32(word)
         return h
@@ -101,8 +101,8 @@ def continuation_counts(rows: DataFrame) -> np.ndarray:
             cols = list(zip(*out)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["chunk", "half", "label", "keys"])
 
-        for batch in batches:
-            for text, half, label in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            for text, half, label in zip(*(c.to_pylist() for c in part.columns)):
                 h = _hashed(text, memo)
                 if len(h):
                     kept.setdefault((half, label), []).append(_contexts(h))
@@ -172,12 +172,14 @@ def _feature_rows(rows: DataFrame, tables: list[np.ndarray], halves: bool, other
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, used = _Hashes(), sent.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            which = [1 - h for h in batch.column(batch.schema.get_field_index("half")).to_pylist()] if halves else [0] * len(texts)
-            x = [features(used[k][(_hashed(t, memo) % np.uint64(BUCKETS)).astype(np.int64)]) for t, k in zip(texts, which)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(x, pa.list_(pa.float64()))], [*others, "x"])
-
-    picked = rows.select(*others, "text", *(["half"] if halves else []))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                which = [1 - h for h in part.column(part.schema.get_field_index("half")).to_pylist()] if halves else [0] * len(texts)
+                x = [features(used[k][(_hashed(t, memo) % np.uint64(BUCKETS)).astype(np.int64)]) for t, k in zip(texts, which)]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), pa.array(x, pa.list_(pa.float64()))], [*others, "x"])
+
+    picked = rows.select(*others, *([] if "text" in others else ["text"]), *(["half"] if halves else []))
     return picked.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others) + ", x array<double>")
 
 
@@ -186,7 +188,11 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = continuation_counts(rows)
     ratios = likelihood_ratios(counts.sum(axis=0))
     cross = [likelihood_ratios(counts[h]) for h in (0, 1)]
-    sample = cut(rows.withColumn("o", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1))).orderBy("o", "label").limit(CALIBRATION_ROWS))
+    share = CALIBRATION_ROWS / max(1, rows.count())
+    chosen = rows.withColumn("o", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)))
+    if share < 1:
+        chosen = chosen.where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = chosen.dropDuplicates(["o", "label"])
     got = _feature_rows(sample, cross, True, ["label"]).toArrow()
     y = got["label"].to_numpy().astype(np.float64)
     x = np.array(got["x"].to_pylist(), np.float64).reshape(len(y), len(STRETCHES) + 3)
@@ -200,10 +206,12 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
     rows = learning_rows(documents.where(learn) if learn is not None else documents, labels, id_col, text_col, label_col)
     ratios, weights = train(rows)
     names = [id_col, *(c for c in keep if c != id_col)]
-    base = documents.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
-    scored = _feature_rows(base, [ratios], False, [f"_c{i}" for i in range(len(names))])
+    # A kept text travels to the tasks once, under the name that the scoring reads.
+    at = {c: "text" if c == text_col else f"_c{i}" for i, c in enumerate(names)}
+    base = documents.select(*[F.col(c).alias(at[c]) for c in names], *([] if text_col in names else [F.col(text_col).alias("text")]))
+    scored = _feature_rows(base, [ratios], False, [at[c] for c in names])
     z = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights[:-1]]), lambda a, b: a * b), F.lit(float(weights[-1])), lambda s, v: s + v)
-    return scored.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], (1 / (1 + F.exp(-z))).alias("score"))
+    return scored.select(*[F.col(at[c]).alias(c) for c in names], (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def third(id_col: str = "doc_id") -> Column:
