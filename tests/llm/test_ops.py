@@ -401,6 +401,34 @@ def test_hot_cells_are_split(spark, monkeypatch):
     assert all(o["n_links"] == 59 and o["component_id"] == 0 for o in out)
 
 
+def test_no_links_of_small_groups_are_lost(spark):
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    group = unit(r.normal(size=32)) + r.normal(scale=0.002, size=(600, 32))
+    ones = unit(r.normal(size=(1200, 32)))
+    aside = r.normal(size=(1200, 32))
+    aside = unit(aside - (aside * ones).sum(axis=1, keepdims=True) * ones)
+    twins = 0.94 * ones + (1 - 0.94**2) ** 0.5 * aside
+    x = unit(np.concatenate([group, ones, twins]).astype(np.float32).astype(float))
+    near = x @ x.T >= 0.93
+    out = {o["vec_id"]: o for o in embedding_dedup.near_duplicates(vectors_of(spark, [(k, [float(v) for v in row], 1) for k, row in enumerate(x)])).collect()}
+    assert [out[k]["n_links"] for k in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    assert all(out[600 + k]["component_id"] == out[1800 + k]["component_id"] for k in range(1200))
+
+
+def test_cells_left_out_hold_no_link():
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(60, 16)), 30, axis=0) + r.normal(scale=0.1, size=(1800, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = (embedding_dedup.kmeans(x[:, :8], 24), embedding_dedup.kmeans(x[:, 8:], 24))
+    cell = embedding_dedup.cells(x, books)
+    d = embedding_dedup.distances(x, books, cell)
+    bounds, occupied = embedding_dedup.bounds_of(books, cell, np.stack([d[0], d[0], d[1], d[1]], axis=1))
+    found = [set(v.tolist()) for v in embedding_dedup.visits(x, bounds, occupied, 0.93)]
+    assert sum(map(len, found)) < len(x) * occupied.sum() / 2
+    assert all(cell[j] in found[i] for i, j in zip(*np.nonzero(x @ x.T >= 0.93)))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     out = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
