@@ -5,8 +5,10 @@ probability from its up to ORDER predecessors: Witten-Bell interpolation from or
 verdict is the difference of the two log-likelihoods divided by the URL's length in bytes, against a calibrated threshold: the
 highest whose balanced accuracy on the learning URLs is within TOLERANCE of the best, so that doubt accepts.
 
-Learning URLs are those that a rule decides, and the seed lists. All of them are counted, by Spark: tasks send sums per hashed
-context, so the model has at most (ORDER + 1) * SLOTS counts a class, whatever the input.
+Learning URLs are those that a rule decides, and the seed lists. A character with its ORDER predecessors is one number (a gram,
+exact), and its probability depends on nothing else. So Spark counts grams, whatever their number, and works out the log-ratio of
+every distinct gram of the URLs to judge by joins, an order at a time; no table of the model goes through the driver. The HOT
+most common grams are sent to the tasks that add up the URLs; the others are joined.
 
 Cases: a null URL or one without :// has an empty host and path, fits no rule and is judged by its text ('' if null); an
 empty text has ratio 0; repeated rows get equal verdicts; without learning URLs of both classes every ratio is 0 and the
@@ -22,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, with_field
+from .common import ascii_lower, cut
 
 # Fixed values of the contract: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Seeds beside the rule-decided URLs, so that hosts made of such words are rejected whatever their language path.
 REJECTED_SEEDS = tuple(f"https://{host}.example.{top}/" for host in ("casino-win", "free-bets", "cheap-pills", "ads-track") for top in ("com", "net", "org"))
 ACCEPTED_SEEDS: tuple[str, ...] = ()
-ORDER, SLOTS = 5, 1 << 18
+#: A byte is 1 to 256, the place before a URL 0. Log-ratios are summed as whole multiples of 1 / SCALE, so order does not matter.
+ORDER, BASE, SCALE, HOT = 5, 257, 1 << 32, 100_000
 #: Bins of the ratio for the calibration.
 BINS, SPAN, TOLERANCE = 4001, 8.0, 0.02
 
@@ -51,84 +54,107 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return chosen
 
 
-def _codes(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all characters of the URLs: context slots [order, i], symbol slots [order, i]; and the URLs' lengths in bytes."""
-    raw = [(u or "").encode("utf-8", "surrogatepass") for u in urls]
+def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all characters of the URLs, and the URLs' lengths in bytes."""
+    raw = [u.encode("utf-8", "surrogatepass") for u in urls]
     lengths = np.array([len(r) for r in raw], np.int64)
-    gap = b"\0" * ORDER
-    flat = np.frombuffer(gap + gap.join(raw) + gap, np.uint8).astype(np.uint64) if raw else np.zeros(0, np.uint64)
-    starts = ORDER + np.concatenate(([0], np.cumsum(lengths + ORDER)))[:-1]
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum()) if len(raw) else np.zeros(0, np.int64)
-    contexts, symbols = [], []
-    code = np.zeros(len(at), np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            code = (code * np.uint64(257) + flat[at - k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = code ^ code >> np.uint64(29)
-        contexts.append((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)).astype(np.int64))
-        symbols.append(((mixed + flat[at] + np.uint64(1)) * np.uint64(0x94D049BB133111EB) >> np.uint64(46)).astype(np.int64))
-    return np.array(contexts), np.array(symbols), lengths
+    ends = np.cumsum(lengths)
+    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64) + 1
+    place = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
+    grams, weight = flat.copy(), BASE
+    for k in range(1, ORDER + 1):
+        grams[k:] += np.where(place >= k, np.roll(flat, k), 0)[k:] * weight
+        weight *= BASE
+    return grams, lengths
+
+
+def _counts(urls: DataFrame) -> DataFrame:
+    """(gram, n0, n1, uses) from (text, n, rejected): uses in accepted and rejected URLs n times each, and in all URLs once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, lengths = _grams(batch.column(0).to_pylist())
+            n = np.repeat(batch.column(1).to_numpy(), lengths)
+            rejected = np.repeat([-1 if r is None else r for r in batch.column(2).to_pylist()], lengths)
+            found, at = np.unique(grams, return_inverse=True)
+            sums = [np.zeros(len(found), np.int64) for _ in range(3)]
+            for out, used in zip(sums, (np.where(rejected == 0, n, 0), np.where(rejected == 1, n, 0), np.ones(len(grams), np.int64))):
+                np.add.at(out, at, used)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], ["gram", "n0", "n1", "uses"])
+
+    rows = urls.select("text", "n", "rejected").mapInArrow(run, "gram bigint, n0 bigint, n1 bigint, uses bigint")
+    return cut(rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "uses"))))
+
+
+def _distinct(df: DataFrame, url: str, rejected: Column) -> DataFrame:
+    """(text, rejected, n) of the distinct URLs, null as ''."""
+    return df.select(F.coalesce(F.col(url), F.lit("")).alias("text"), rejected.cast("int").alias("rejected")).groupBy("text", "rejected").agg(F.count("*").alias("n"))
 
 
 class Model:
-    """Counts of hashed contexts and of their continuations: total[class, order, slot], seen[...], and types[...]."""
+    """(gram, n0, n1): how often the accepted and the rejected learning URLs hold each gram."""
 
-    def __init__(self) -> None:
-        shape = (2, ORDER + 1, SLOTS)
-        self.total, self.seen, self.types = (np.zeros(shape, np.float32) for _ in range(3))
+    def __init__(self, counts: DataFrame) -> None:
+        self.counts = counts.where("n0 + n1 > 0").select("gram", "n0", "n1")
 
     def log_ratios(self, urls: list[str | None]) -> np.ndarray:
         """Per URL (log-likelihood as rejected minus as accepted) / bytes."""
-        contexts, symbols, lengths = _codes(urls)
-        logs = []
-        for c in (0, 1):
-            p = np.full(contexts.shape[1], 1 / 256)
-            for k in range(ORDER + 1):
-                n, t = self.total[c, k][contexts[k]].astype(np.float64), self.types[c, k][contexts[k]]
-                p = np.where(n > 0, (self.seen[c, k][symbols[k]] + t * p) / np.maximum(n + t, 1), p)
-            logs.append(np.log(np.maximum(p, 1e-12)))
-        sums = np.concatenate(([0.0], np.cumsum(logs[1] - logs[0])))
-        ends = np.cumsum(lengths)
-        return (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)
+        df = self.counts.sparkSession.createDataFrame(list(enumerate(urls)), "i int, url string")
+        return np.array([r["_ratio"] for r in ratios(df, self).orderBy("i").collect()])
+
+    def weights(self, grams: DataFrame) -> DataFrame:
+        """(gram, weight): SCALE times the log-ratio of each gram. An order's rows meet at most BASE others of a key."""
+        lower = None
+        for k in range(ORDER + 1):
+            few = F.broadcast if k < 2 else lambda df: df
+            seen = self.counts.groupBy((F.col("gram") % BASE ** (k + 1)).alias("key")).agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
+            total = seen.groupBy(F.expr(f"key div {BASE}").alias("context")).agg(F.sum("s0").alias("t0"), F.sum("s1").alias("t1"), F.count_if(F.col("s0") > 0).alias("types0"), F.count_if(F.col("s1") > 0).alias("types1"))
+            need = grams.select((F.col("gram") % BASE ** (k + 1)).alias("key")).distinct().withColumn("context", F.expr(f"key div {BASE}")).withColumn("short", F.col("key") % BASE**k)
+            rows = need.join(few(seen), "key", "left").join(few(total), "context", "left")
+            rows = rows.withColumns({"p0": F.lit(1 / 256), "p1": F.lit(1 / 256)}) if lower is None else rows.join(few(lower), "short", "left")
+            p = [F.when(F.col(f"t{c}") > 0, (F.coalesce(f"s{c}", F.lit(0)) + F.col(f"types{c}") * F.col(f"p{c}")) / (F.col(f"t{c}") + F.col(f"types{c}"))).otherwise(F.col(f"p{c}")) for c in (0, 1)]
+            level = cut(rows.select("key", p[0].alias("p0"), p[1].alias("p1")))
+            lower = level.withColumnRenamed("key", "short")
+        log = [F.log(F.greatest(F.col(f"p{c}"), F.lit(1e-12))) for c in (0, 1)]
+        return level.select(F.col("key").alias("gram"), F.round((log[1] - log[0]) * SCALE).cast("bigint").alias("weight"))
 
 
 def train(learning: DataFrame) -> Model:
-    """A model from (url, rejected 0/1). Tasks send what their URLs add to each slot; Spark sums it."""
+    """A model from (url, rejected 0/1)."""
+    return Model(_counts(_distinct(learning, "url", F.col("rejected"))))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls, rejected = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-            contexts, symbols, lengths = _codes(urls)
-            cls = np.repeat(rejected, lengths)
-            for k in range(ORDER + 1):
-                # A pair of slots is a continuation; distinct pairs make the types of a context.
-                key = (cls << 36) | (contexts[k] << 18) | symbols[k]
-                u, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, np.int32)), pa.array(u), pa.array(n.astype(np.int64))], ["k", "pair", "n"])
-
-    pairs = learning.select("url", "rejected").mapInArrow(count, "k int, pair bigint, n bigint").groupBy("k", "pair").agg(F.sum("n").alias("n"))
-    split = pairs.select("k", F.shiftright("pair", 36).cast("int").alias("c"), F.shiftright("pair", 18).bitwiseAND(SLOTS - 1).cast("int").alias("context"), F.col("pair").bitwiseAND(SLOTS - 1).cast("int").alias("symbol"), "n")
-    # At most (ORDER + 1) * SLOTS rows a class for each of the two tables.
-    by_context = split.groupBy("k", "c", "context").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
-    by_symbol = split.groupBy("k", "c", "symbol").agg(F.sum("n").alias("n")).toArrow()
-    model = Model()
-    at = tuple(by_context[x].to_numpy() for x in ("c", "k", "context"))
-    model.total[at], model.types[at] = by_context["n"].to_numpy(), by_context["types"].to_numpy()
-    model.seen[tuple(by_symbol[x].to_numpy() for x in ("c", "k", "symbol"))] = by_symbol["n"].to_numpy()
-    return model
-
-
-def ratios(df: DataFrame, model: Model, url: str = "url") -> DataFrame:
-    """df with the column _ratio."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    place = df.columns.index(url)
+
+def ratios(df: DataFrame, model: Model, url: str = "url", counts: DataFrame | None = None) -> DataFrame:
+    """df with the column _ratio. counts: of the grams of df's URLs, if they are known."""
+    urls = cut(_distinct(df, url, F.lit(None)).select("text", "n", "rejected"))
+    counts = _counts(urls) if counts is None else counts
+    weights = cut(model.weights(counts.select("gram")).join(counts.select("gram", "uses"), "gram"))
+    # A fixed number of rows; the others stay distributed.
+    hot = weights.orderBy(F.desc("uses"), "gram").limit(HOT).select("gram", "weight").orderBy("gram").toArrow()
+    sent = df.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(), hot["weight"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per URL a row with the sum of its hot grams, and one for each other gram."""
+        known, values = sent.value
         for batch in batches:
-            found = sent.value.log_ratios(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_ratio"])
-
-    return df.mapInArrow(run, with_field(df, "_ratio", "double"))
+            grams, lengths = _grams(batch.column(1).to_pylist())
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+            is_hot = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+            sums = np.zeros(batch.num_rows, np.int64)
+            np.add.at(sums, row[is_hot], values[at[is_hot]])
+            rare = row[~is_hot]
+            ids = pa.chunked_array([batch.column(0), batch.column(0).take(pa.array(rare))]).combine_chunks()
+            gram = pa.array(np.concatenate([np.zeros(len(sums), np.int64), grams[~is_hot]]), mask=np.arange(len(sums) + len(rare)) < len(sums))
+            yield pa.RecordBatch.from_arrays([ids, gram, pa.array(np.concatenate([sums, np.zeros(len(rare), np.int64)]))], ["id", "gram", "weight"])
+
+    parts = cut(urls.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("id"), "text").mapInArrow(run, "id binary, gram bigint, weight bigint"))
+    rare = parts.where("gram is not null").select("id", "gram").join(weights.select("gram", "weight"), "gram").select("id", "weight")
+    sums = parts.where("gram is null").select("id", "weight").union(rare).groupBy("id").agg(F.sum("weight").alias("_sum"))
+    text = F.coalesce(F.col(url), F.lit(""))
+    keyed = df.withColumn("_text_id", F.unhex(F.md5(text.cast("binary"))))
+    ratio = F.col("_sum") / F.lit(float(SCALE)) / F.greatest(F.octet_length(text), F.lit(1))
+    return keyed.join(sums, keyed["_text_id"] == sums["id"]).select(*[df[c] for c in df.columns], ratio.alias("_ratio"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -151,13 +177,16 @@ def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, ac
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("decided"))
-    learning = base.where("decided is not null").select("url", (F.col("decided") == "block").cast("int").alias("rejected"))
+    base = base.withColumn("rejected", (F.col("decided") == "block").cast("int")).withColumn("seed", F.lit(False))
     seeds = [(u, 0) for u in accepted] + [(u, 1) for u in rejected]
     if seeds:
-        learning = learning.unionByName(spark.createDataFrame(seeds, "url string, rejected int"))
-    model = train(learning)
-    at = threshold(ratios(learning, model))
-    out = ratios(base, model)
+        base = base.unionByName(spark.createDataFrame(seeds, "url string, rejected int").withColumn("seed", F.lit(True)), allowMissingColumns=True)
+    base = cut(base)
+    # A URL may be both a seed and one that no rule decides.
+    counts = _counts(_distinct(base, "url", F.col("rejected")))
+    scored = cut(ratios(base, Model(counts), counts=counts))
+    at = threshold(scored.where("rejected is not null"))
+    out = scored.where("not seed")
     verdict = F.coalesce("decided", F.when(F.col("_ratio") >= at, "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.col("_ratio").alias("ratio"))
 

@@ -296,6 +296,34 @@ def test_url_model_against_dicts(spark):
         assert model.log_ratios([u])[0] == pytest.approx(expected, rel=1e-3)
 
 
+def test_url_model_of_many_contexts(spark):
+    r = random.Random(6)
+    host = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    classes = [[f"http://{host(60)}.de/" for _ in range(6000)], [f"http://{host(60)}.com/" for _ in range(6000)]]
+    model = url_filter.train(spark.createDataFrame([(u, c) for c in (0, 1) for u in classes[c]], "url string, rejected int"))
+    logs, asked = [], [classes[0][0], classes[1][0], f"http://{host(60)}.com/"]
+    for urls in classes:
+        seen, total, types = collections.Counter(), collections.Counter(), collections.Counter()
+        for x in (url_filter.ORDER * "\0" + u for u in urls):
+            for i in range(url_filter.ORDER, len(x)):
+                for k in range(url_filter.ORDER + 1):
+                    seen[x[i - k : i + 1]] += 1
+        for g, n in seen.items():
+            total[g[:-1]] += n
+            types[g[:-1]] += 1
+        logs.append([])
+        for x in (url_filter.ORDER * "\0" + u for u in asked):
+            logs[-1].append(0.0)
+            for i in range(url_filter.ORDER, len(x)):
+                p = 1 / 256
+                for k in range(url_filter.ORDER + 1):
+                    c = x[i - k : i]
+                    p = (seen[x[i - k : i + 1]] + types[c] * p) / (total[c] + types[c]) if total[c] else p
+                logs[-1][-1] += np.log(p)
+    expected = [(b - a) / len(u) for a, b, u in zip(*logs, asked)]
+    assert model.log_ratios(asked) == pytest.approx(expected, rel=1e-3, abs=1e-6)
+
+
 def test_license_scan(spark):
     files = spark.createDataFrame(
         [("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "plain words only"), ("a/d/COPYING", "Licensed under the Apache License, Version 2.0."), ("a/d/e/f.py", "nothing here"), ("a/d/own.py", "code\nLicensed under CC BY-NC 4.0.\ncode"), ("z.py", "none"), (None, None), ("q/r.py", "")],
