@@ -1,10 +1,9 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of every run of lines.
 
-Every window of `min_lines` consecutive lines selects its least line hash (the rightmost of ties) as a fingerprint, so two
-copies of a run of at least that many lines always share one. Fingerprints that occur once are dropped; the places of the
-others are joined, each is extended both ways to the runs of `min_lines` lines that selected it, and a run that already
-occurs at an earlier place is deleted there, whole maximal runs being the union of such runs. A single line of at least
-`min_words` words is a run of its own.
+The exact key of every run of `min_lines` consecutive lines is compared, and a run that already occurs at an earlier place is
+deleted there, whole maximal runs being the union of such runs. A single line of at least `min_words` words is a run of its
+own. A run of `min_lines` lines has no least length, as in the SQL: repeated pairs of blank lines go too. The least line hash
+of a run, as winnowing selects it, is only a filter before the join: two copies of a run always share it.
 
 Order of places: doc_id (null first), a hash of the text, line number. The first place of a run stays. Rows that repeat
 with equal doc_id and text are one place, so neither deletes the other.
