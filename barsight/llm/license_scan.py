@@ -2,8 +2,10 @@
 
 Every line of a text and the text as a whole are vectors of words; a word weighs its count times ln((1 + n) / (1 + df)) + 1,
 with df the number of the n lines of all texts that hold it. Words that no template holds weigh as if df were 0: they only
-lengthen a line's vector, so the table that goes to the tasks is as large as the templates, whatever the corpus. The best
-cosine over lines, whole text and templates is a file's own licence if it reaches THRESHOLD (of ties the first template).
+lengthen a line's vector, so the table that goes to the tasks is as large as the templates, whatever the corpus. Notices wrapped
+over lines are found as blocks: 2 to BLOCK_LINES consecutive lines, lines without words left out, count where they reach
+THRESHOLD. The best cosine over lines, blocks, whole text and templates is a file's own licence if it reaches THRESHOLD (of ties
+the first template).
 
 A licence file lends its licence to its directory (the best score, then the least path). A file without a licence of its own
 takes that of the nearest directory above it that has one. Directories, not files, are joined with their ancestors, one row
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, with_field, words_of
 
-THRESHOLD = 0.6
+THRESHOLD, BLOCK_LINES = 0.6, 40
 #: In the query, texts of so many words at most that have a licence are the licence files of their directory.
 NOTICE_WORDS = 200
 
@@ -43,6 +45,13 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
 
 
@@ -61,8 +70,9 @@ class Templates:
         v = self.counts * self.idf
         self.vectors = v / np.linalg.norm(v, axis=1, keepdims=True)
 
-    def best(self, lists: list[list[bytes]]) -> tuple[int, float]:
-        """(template, cosine) over the lists of words and over all of them together."""
+    def best(self, lists: list[list[bytes]], threshold: float = THRESHOLD) -> tuple[int, float]:
+        """(template, cosine) over the lists of words, their blocks and all of them together."""
+        lists = [ws for ws in lists if ws]
         get, n, size = self.terms.get, len(self.terms), len(lists)
         flat = np.fromiter((get(w, n) for ws in lists for w in ws), np.int64)
         line = np.repeat(np.arange(size), [len(ws) for ws in lists])
@@ -84,12 +94,54 @@ class Templates:
             for w in ws:
                 if w not in self.terms:
                     whole[w] = whole.get(w, 0) + 1
+        blocks = self.blocks(lists, rows, counts, line[~known], threshold)
         counts, extra = np.vstack([counts, counts.sum(axis=0)]), np.append(extra, sum(c * c for c in whole.values()))
         v = counts * self.idf
         cosine = (v @ self.vectors.T) / np.sqrt((v * v).sum(axis=1) + extra * self.rare**2)[:, None]
+        cosine = np.vstack([cosine, blocks])
         k = int(cosine.max(axis=0).argmax())
         return k, float(cosine[:, k].max())
 
+    def blocks(self, lists: list[list[bytes]], rows: np.ndarray, counts: np.ndarray, unknown: np.ndarray, threshold: float) -> np.ndarray:
+        """[block, template]: the cosines of the blocks that reach the threshold.
+
+        A block that begins or ends with a line without template words is no better than the shorter one. With the sum of its
+        lines' norms and with its other words as if all were different, a block's cosine is bounded before it is computed.
+        """
+        n, size = len(self.terms), len(lists)
+        norms, others = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+        norms[rows + 1] = np.linalg.norm(counts * self.idf, axis=1)
+        others[1:] = np.bincount(unknown, minlength=size)
+        norms, others = norms.cumsum(), others.cumsum()
+        far = rows[None, :] - rows[:, None] if len(rows) <= BLOCK_LINES else None
+        if far is not None:
+            a, b = np.nonzero((far > 0) & (far < BLOCK_LINES))
+        else:
+            a, step = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(1, BLOCK_LINES), indexing="ij"))
+            b = a + step
+            a, b = a[b < len(rows)], b[b < len(rows)]
+            near = rows[b] - rows[a] < BLOCK_LINES
+            a, b = a[near], b[near]
+        first, end = rows[a], rows[b] + 1
+        most, least = (norms[end] - norms[first]) ** 2, (others[end] - others[first]) * self.rare**2
+        able = most * (1 - threshold**2) >= threshold**2 * least * (1 - 1e-9)
+        out, sums = [np.zeros((0, len(self.names)))], np.vstack([np.zeros((1, n)), counts.cumsum(axis=0)])
+        a, b, first, end, least = a[able], b[able], first[able], end[able], least[able]
+        for at in range(0, len(a), 1024):
+            part = slice(at, at + 1024)
+            v = (sums[b[part] + 1] - sums[a[part]]) * self.idf
+            top, square = v @ self.vectors.T, (v * v).sum(axis=1)
+            for i in np.flatnonzero((top.max(axis=1) >= (threshold - 1e-9) * np.sqrt(square + least[part]))).tolist():
+                own: dict[bytes, int] = {}
+                for ws in lists[first[at + i] : end[at + i]]:
+                    for w in ws:
+                        if w not in self.terms:
+                            own[w] = own.get(w, 0) + 1
+                cosine = top[i] / np.sqrt(square[i] + sum(c * c for c in own.values()) * self.rare**2)
+                if cosine.max() >= threshold:
+                    out.append(cosine[None, :])
+        return np.vstack(out)
+
 
 def line_frequencies(files: DataFrame, text_col: str, templates: Templates) -> tuple[np.ndarray, int]:
     """In how many lines each template word occurs, and the number of lines, over all texts."""
@@ -125,7 +177,7 @@ def own_licences(files: DataFrame, *, text_col: str = "text", templates=TEMPLATE
             found = []
             for text in batch.column(place).to_pylist():
                 lists = [words_of(x) for x in (text or "").split("\n")]
-                k, score = used.best(lists)
+                k, score = used.best(lists, threshold)
                 found.append({"licence": used.names[k] if score >= threshold else None, "score": score, "words": sum(map(len, lists))})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.struct([("licence", pa.string()), ("score", pa.float64()), ("words", pa.int64())]))], [*batch.schema.names, "_own"])
 

@@ -333,6 +333,15 @@ def test_license_scan(spark):
     assert out == {"a/LICENSE": ("MIT", "own", None), "a/b/c/x.py": ("MIT", "inherited", "a"), "a/d/COPYING": ("Apache-2.0", "own", None), "a/d/e/f.py": ("Apache-2.0", "inherited", "a/d"), "a/d/own.py": ("CC-BY-NC-4.0", "own", None), "z.py": (None, None, None), None: (None, None, None), "q/r.py": (None, None, None)}
 
 
+def test_wrapped_headers_and_versions(spark):
+    head = "// This program is free software%s you can redistribute it and/or\n// modify it under the terms of the GNU %s as\n// published by the Free Software Foundation%s either version %s\n// of the License, or (at your option) any later version.\n"
+    r = random.Random(8)
+    code = lambda: "\n".join(prose(r, 9) for _ in range(60))
+    texts = [code() + "\n" + head % (";", g, ";", v) + code() for g, v in (("General Public License", "2"), ("General Public License", "3"), ("Lesser General Public License", "2.1"), ("Affero General Public License", "3"))]
+    rows = license_scan.own_licences(docs_of(spark, [*texts, code()]).select("doc_id", "text")).collect()
+    assert [x["_own"]["licence"] for x in sorted(rows, key=lambda x: x["doc_id"])] == ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", None]
+
+
 def test_license_cosine_against_dicts(spark):
     texts = ["Released under the MIT License.", "the end of the line\nunder water", "", None, "Licensed under the Apache License"]
     rows = license_scan.own_licences(docs_of(spark, texts).select("doc_id", "text")).collect()
