@@ -40,25 +40,69 @@ def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
+def fresh(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+_scratch: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for cut lineage; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares for cut lineage; one of its own only in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="barsight-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; its file system deletes it when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = f"{shared_dir(spark)}/barsight/{app}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch[app])
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return _scratch[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends here and outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/barsight/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+#: A key that holds over 1 / HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE such keys; each is dealt to SALTS.
+HOT_SHARE, SALTS = 512, 64
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, spread: list[str]) -> DataFrame:
+    """left joined with right on keys; right has unique keys, and `rows` says how many rows of left hold each.
+
+    Rows of hot keys are dealt to SALTS parts by a hash of the columns of spread, and the hot rows of right go to each part.
+    Only the hot keys, fewer than HOT_SHARE, are broadcast.
+    """
+    hot = F.col(rows) > max(total // HOT_SHARE, 1000)
+    salt, mark = fresh("_salt", left, right), fresh("_hot", left, right)
+    few = right.where(hot).select(*keys, F.lit(True).alias(mark))
+    left = left.join(F.broadcast(few), keys, "left")
+    left = left.withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop(mark)
+    right = right.withColumn(salt, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, salt]).drop(salt)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with component the smallest node that links reach; nodes without an edge to another node are absent.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) over a deduplicated edge table, each written to
@@ -66,22 +110,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     neighbour comes from a partial aggregate and goes back by a join that may split a hot key.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    def with_least(pairs: DataFrame, total: int) -> DataFrame:
+        """pairs with m, the least neighbour of u."""
+        m = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        return hot_join(pairs, m, ["u"], "degree", total, ["v"]).drop("degree")
 
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e)
     before = None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = least(large)
-        joined = large.join(m, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v"))).where("u <> v")
-        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = with_least(both, 2 * state[0]).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # A node's least neighbour is among its rows, so its own link to it comes from the row where v = m.
+        small = with_least(large, state[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
