@@ -6,17 +6,19 @@ any document. Strings are judged on the input and never cross documents.
 1. Sparse suffixes. Every string of LENGTH bytes names as its anchor the least (leftmost of ties) of its first WINDOW hashes of
    GRAM bytes. Equal strings name anchors at equal offsets, so two equal strings meet in the suffixes of their anchors, which
    share HEAD = LENGTH - WINDOW + 1 bytes at least. About one place in WINDOW / 2 is an anchor.
-2. Prefix filter. Anchors whose HEAD bytes have a unique hash are dropped. Anchors with equal surroundings, WINDOW - 1 bytes
-   before to LENGTH behind, by a 128-bit hash, are one class; if it has two members, all its strings are repeated. Only one
-   suffix of each class that shares its head with another class goes on, so copies cost one suffix however many there are.
-3. Merge sort (after Bingmann, Sanders and Schimek, 2020). Tasks sort their suffixes and exchange them as front-coded runs: the
-   common prefix with the one before, and the rest. Runs are dealt by the hash of the head, so suffixes that share it meet. The
-   receiving task merges the runs with a loser tree that keeps each loser's common prefix with the winner that beat it and
-   compares bytes only behind it; the merged order comes with its array of common prefixes.
+2. Prefix filter. Anchors whose HEAD bytes have a unique hash are dropped. Anchors whose surroundings, WINDOW - 1 bytes before to
+   LENGTH behind, have one digest are a class; if it has two members, all strings that name them are repeated. Classes are
+   partial aggregates, and hot heads and classes are salted before joins.
+3. Merge sort (after Bingmann, Sanders and Schimek, 2020). An anchor's key is its suffix and, behind it, what stands before it,
+   read backwards. Tasks compare the keys of a class byte by byte, sort the distinct ones and exchange them as front-coded runs:
+   the common prefix with the one before, and the rest. Splitters from a bounded sample of the keys deal the runs, so the
+   receivers hold one sorted order. A receiver merges its runs with a loser tree that keeps each loser's common prefix with the
+   winner that beat it and compares bytes only behind it; the merged order comes with its array of common prefixes.
 4. Neighbours in that order that share r >= HEAD bytes and agree on l bytes before share all strings that start a bytes before
-   the anchor, LENGTH - r <= a <= l. The spans go back to all members of the classes and are united per document.
+   the anchor, LENGTH - r <= a <= l. Where a splitter cuts such neighbours apart, the distinct strings on both sides are compared
+   by digests of all their bytes. The spans go back to all members of the classes and are united per document.
 
-Heads with more than GROUP classes are not gathered: their strings of LENGTH bytes are counted by digest, with partial sums.
+Digests are 128 bits of BLAKE2b; two keys of one class that differ are an error, never a silent match.
 
 Cases: null and empty texts have no bytes, spans or removals; repeated rows are copies of each other; texts shorter than LENGTH
 lose nothing; removal may cut a multi-byte character, so kept bytes need not be UTF-8 (kept_bytes is binary); an empty table
@@ -26,36 +28,37 @@ gives no rows; extra columns of any name are ignored.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key
+from .common import cut, hot_join, text_key
 
 LENGTH, WINDOW, GRAM = 400, 320, 16
-GROUP = 100_000
+#: Distinct keys that a receiver gets on average, sampled keys for each splitter, and the most receivers: a bound for what
+#: the driver samples. Beyond it receivers grow.
+RECEIVED, SAMPLED, MOST_RECEIVERS = 20_000, 8, 4096
 #: Bytes of suffixes that a task sorts at once into one run for each receiver.
 RUN_BYTES = 48_000_000
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BYTES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
 
 
 def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the bases and of their inverses modulo 2^64, up to n at least."""
+    """Powers of the base and of its inverse modulo 2^64, up to n at least."""
     if not _powers or len(_powers[0]) <= n:
         size = max(1 << 16, 1 << (n + 1).bit_length())
         _powers[:] = []
-        for base in _BASES:
-            for b in (base, pow(base, -1, 2**64)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                _powers.append(np.multiply.accumulate(p))
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            _powers.append(np.multiply.accumulate(p))
     return _powers
 
 
@@ -64,20 +67,15 @@ class Hasher:
 
     def __init__(self, data: bytes):
         self.n = len(data)
-        codes = np.frombuffer(data, np.uint8)
-        tables = _tables(self.n)
-        self.sums, self.inverse = [], []
-        for k in (0, 1):
-            s = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_BYTES[k][codes] * tables[2 * k][: self.n], out=s[1:])
-            self.sums.append(s)
-            self.inverse.append(tables[2 * k + 1])
-
-    def of(self, k: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[k][end] - self.sums[k][begin]) * self.inverse[k][begin])
+        powers, self.inverse = _tables(self.n)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * powers[: self.n], out=self.sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
     def grams(self, size: int) -> np.ndarray:
-        return _mix((self.sums[0][size:] - self.sums[0][:-size]) * self.inverse[0][: self.n - size + 1])
+        return _mix((self.sums[size:] - self.sums[:-size]) * self.inverse[: self.n - size + 1])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -117,8 +115,8 @@ def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
                         continue
                     hasher = Hasher(data)
                     p = anchors(data, hasher, length, window)
-                    begin, end = np.maximum(p - window + 1, 0), np.minimum(p + length, len(data))
-                    for c, x in zip(cols, (p.astype(np.int32), _signed(hasher.of(0, p, p + length - window + 1)), _signed(hasher.of(0, begin, end)), _signed(hasher.of(1, begin, end)))):
+                    digests = np.frombuffer(b"".join(hashlib.blake2b(data[max(0, x - window + 1) : x + length] + min(x, window - 1).to_bytes(4), digest_size=16).digest() for x in p.tolist()), np.int64).reshape(-1, 2)
+                    for c, x in zip(cols, (p.astype(np.int32), _signed(hasher.of(p, p + length - window + 1)), digests[:, 0], digests[:, 1])):
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cols[0], pa.list_(pa.int32())), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])], ["id", "tk", "p", "h", "c1", "c2"])
 
@@ -135,15 +133,15 @@ def common_prefix(a: bytes, b: bytes, begin: int = 0) -> int:
 
 
 class Run:
-    """A sorted run, front-coded: prefixes[i] bytes are those of the suffix before."""
+    """A sorted run, front-coded: prefixes[i] bytes are those of the key before. A label is (length of the suffix, h, c1, c2)."""
 
     def __init__(self, table: pa.RecordBatch):
         self.prefixes, self.rests = table.column(0).to_pylist(), table.column(1).to_pylist()
-        self.lefts, self.keys = table.column(2).to_pylist(), list(zip(*(table.column(k).to_pylist() for k in (3, 4, 5))))
+        self.labels = list(zip(*(table.column(k).to_pylist() for k in (2, 3, 4, 5))))
         self.at, self.current = 0, self.rests[0]
 
     def advance(self) -> int | None:
-        """Decodes the next suffix and returns its common prefix with the one before; None at the end."""
+        """Decodes the next key and returns its common prefix with the one before; None at the end."""
         self.at += 1
         if self.at == len(self.rests):
             return None
@@ -153,22 +151,22 @@ class Run:
 
 
 def front_code(rows: list[tuple]) -> bytes:
-    """A run from (suffix, left, h, c1, c2) in order."""
+    """A run from (key, length of the suffix, h, c1, c2) in order."""
     prefixes, rests, before = [], [], b""
     for r in rows:
         n = common_prefix(before, r[0])
         prefixes.append(n)
         rests.append(r[0][n:])
         before = r[0]
-    batch = pa.RecordBatch.from_arrays([pa.array(prefixes, pa.int32()), pa.array(rests, pa.binary()), *(pa.array([r[k] for r in rows], pa.binary() if k == 1 else pa.int64()) for k in (1, 2, 3, 4))], ["prefix", "rest", "left", "h", "c1", "c2"])
+    batch = pa.RecordBatch.from_arrays([pa.array(prefixes, pa.int32()), pa.array(rests, pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3, 4))], ["prefix", "rest", "suffix", "h", "c1", "c2"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, bytes, tuple]]:
-    """(common prefix with the one before, suffix, left, key) in sorted order.
+def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, tuple]]:
+    """(common prefix with the one before, key, label) in sorted order.
 
     The tree holds at each inner node the loser of the match there and `shared[run]`, its common prefix with the winner. Of two
     players that share different lengths with the last winner, the one that shares more is less; only at equal lengths are
@@ -209,7 +207,7 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, bytes, tuple]]:
     winner = level[0]
     while winner >= 0 and not ended[winner]:
         run = runs[winner]
-        yield shared[winner], run.current, run.lefts[run.at], run.keys[run.at]
+        yield shared[winner], run.current, run.labels[run.at]
         n = run.advance()
         if n is None:
             ended[winner] = True
@@ -222,8 +220,8 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, bytes, tuple]]:
 
 
 def offsets(group: list[tuple[int, bytes, bytes, tuple]], length: int) -> list[list[tuple[int, int]]]:
-    """Per suffix of a group (shared prefix with the one before, suffix, reversed left) the ranges of a, ends included, whose
-    strings another suffix of the group has too."""
+    """Per suffix of a group (common prefix of the keys with the one before, suffix, reversed left, label) the ranges of a, ends
+    included, whose strings another suffix of the group has too."""
     m = len(group)
     out: list[list[tuple[int, int]]] = [[] for _ in group]
     if m <= 12:
@@ -231,17 +229,17 @@ def offsets(group: list[tuple[int, bytes, bytes, tuple]], length: int) -> list[l
             r = length
             for j in range(i + 1, m):
                 r = min(r, group[j][0])
-                low = max(0, length - r)
-                if low > len(group[i][2]):
+                if length - r > len(group[i][2]):
                     break
+                low = length - min(r, len(group[i][1]), len(group[j][1]))
                 l = common_prefix(group[i][2], group[j][2])
                 if low <= l:
                     out[i].append((low, l))
                     out[j].append((low, l))
         return out
     shared = np.array([g[0] for g in group[1:]] + [0])
-    best = np.maximum(shared, np.concatenate(([0], shared[:-1])))
-    room = np.array([len(g[2]) for g in group])
+    room, reach = np.array([len(g[2]) for g in group]), np.array([len(g[1]) for g in group])
+    best = np.minimum(np.maximum(shared, np.concatenate(([0], shared[:-1]))), reach)
     for a in range(max(0, length - int(best.max())), int(room.max()) + 1):
         block = np.concatenate(([0], np.cumsum(shared[:-1] < length - a))).tolist()
         seen: dict[tuple[int, bytes], int] = {}
@@ -256,97 +254,145 @@ def offsets(group: list[tuple[int, bytes, bytes, tuple]], length: int) -> list[l
     return out
 
 
-def _sorted_spans(needed: DataFrame, length: int, window: int, receivers: int) -> DataFrame:
+def open_strings(group: list[tuple[int, bytes, bytes, tuple]], length: int, below: int, above: int) -> Iterator[tuple[bytes, int, tuple]]:
+    """(digest, a, label) of the distinct strings of a group that a receiver before or behind may hold too: `below` is the
+    common prefix of the group's first key with the splitter before it, `above` of the last key with the one behind it, 0 if
+    the group does not stand at that end."""
+    first = last = length
+    from_first, to_last = [], []
+    for g in group:
+        from_first.append(first := min(first, g[0]) if from_first else length)
+    for k in range(len(group) - 1, -1, -1):
+        to_last.append(last)
+        last = min(last, group[k][0])
+    seen = set()
+    for (_, suffix, left, label), x, y in zip(group, from_first, reversed(to_last)):
+        n = min(max(min(x, below), min(y, above)), len(suffix))
+        for a in range(length - n, len(left) + 1):
+            string = left[:a][::-1] + suffix[: length - a]
+            digest = hashlib.blake2b(string, digest_size=16).digest()
+            if (a, digest) not in seen:
+                seen.add((a, digest))
+                yield digest, a, label
+
+
+def _keys(data: bytes, wanted: list[dict], length: int, window: int) -> Iterator[tuple]:
+    """(key, length of the suffix, h, c1, c2) of wanted anchors."""
+    for w in wanted:
+        p = w["p"]
+        suffix = data[p : p + length]
+        yield suffix + data[max(0, p - window + 1) : p][::-1], len(suffix), w["h"], w["c1"], w["c2"]
+
+
+def _splitters(needed: DataFrame, length: int, window: int, classes: int, receivers: int) -> list[bytes]:
+    """At most receivers - 1 keys in order, from a sample of SAMPLED classes for each receiver."""
+    wanted = SAMPLED * receivers
+    share = max(1, round(classes / wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = {k[0] for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in _keys(text.encode() if wanted else b"", wanted, length, window)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.binary())], ["key"])
+
+    chosen = needed.select("text", F.filter("wanted", lambda w: F.pmod(w["c1"], F.lit(share)) == 0).alias("wanted"))
+    sampled = chosen.mapInArrow(run, "key binary").distinct()
+    # Twice as many as wanted would be a sample that its hash did not thin out as expected.
+    keys = sorted(sampled.limit(2 * wanted).toArrow()["key"].to_pylist())
+    return [keys[len(keys) * k // receivers] for k in range(1, receivers)] if keys else []
+
+
+def _sorted_spans(needed: DataFrame, length: int, window: int, splitters: list[bytes]) -> DataFrame:
     """(h, c1, c2, lo, hi) of classes with repeated strings, from (text, wanted): lo and hi are relative to the anchor."""
     head = length - window + 1
+    splitters = sorted(set(splitters))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
+        kept: dict[tuple, tuple] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            kept.sort()
             by: dict[int, list[tuple]] = {}
-            for r in kept:
-                by.setdefault(r[2] % receivers, []).append(r)
+            for r in sorted(kept.values()):
+                by.setdefault(bisect_right(splitters, r[0]), []).append(r)
             return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([front_code(v) for v in by.values()], pa.binary())], ["receiver", "run"])
 
         for batch in batches:
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode()
-                for w in wanted:
-                    p = w["p"]
-                    r = (data[p : p + length], data[max(0, p - window + 1) : p][::-1], w["h"], w["c1"], w["c2"])
-                    kept.append(r)
-                    size += len(r[0]) + len(r[1])
+                for r in _keys(text.encode(), wanted, length, window):
+                    before = kept.setdefault(r[2:], r)
+                    if before is r:
+                        size += len(r[0])
+                    elif before != r:
+                        raise ValueError("two different keys have one digest")
                 if size >= RUN_BYTES:
                     yield flush()
-                    kept, size = [], 0
+                    kept, size = {}, 0
         if kept:
             yield flush()
 
     def receive(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at = key[0].as_py()
         runs = [Run(pa.ipc.open_stream(x).read_next_batch()) for x in table["run"].to_pylist()]
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], [], []]
         group: list[tuple] = []
+        started = False
 
-        def done() -> None:
-            for (_, _, _, k), ranges in zip(group, offsets(group, length) if len(group) > 1 else [[]]):
-                for low, high in ranges:
-                    for c, x in zip(cols, (*k, -high, length - low)):
-                        c.append(x)
+        def put(label: tuple, lo: int | None, hi: int | None, digest: bytes | None, a: int | None) -> None:
+            for c, x in zip(cols, (*label[1:], lo, hi, digest, a)):
+                c.append(x)
 
-        for row in merge_runs(runs):
-            if group and row[0] < head:
-                done()
-                group = []
-            group.append(row)
-        done()
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["h", "c1", "c2", "lo", "hi"])
+        def done(last: bool) -> None:
+            if len({g[3][1:] for g in group}) < len(group):
+                raise ValueError("two different keys have one digest")
+            for (_, _, _, label), ranges in zip(group, offsets(group, length) if len(group) > 1 else [[]]):
+                for low, high in ranges:
+                    put(label, -high, length - low, None, None)
+            key_of = lambda g: g[1] + g[2]
+            below = common_prefix(splitters[at - 1], key_of(group[0])) if at and not started else 0
+            above = common_prefix(splitters[at], key_of(group[-1])) if last and at < len(splitters) else 0
+            if max(below, above) >= head:
+                for digest, a, label in open_strings(group, length, below, above):
+                    put(label, None, None, digest, a)
+
+        before = None
+        for shared, k, label in merge_runs(runs):
+            if k == before and label == group[-1][3]:
+                continue
+            before = k
+            if group and shared < head:
+                done(False)
+                started, group = True, []
+            group.append((shared, k[: label[0]], k[label[0] :], label))
+        done(True)
+        return pa.table([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.int64())], ["h", "c1", "c2", "lo", "hi", "digest", "a"])
 
     runs = needed.mapInArrow(send, "receiver int, run binary")
-    return runs.groupBy("receiver").applyInArrow(receive, "h bigint, c1 bigint, c2 bigint, lo bigint, hi bigint")
-
-
-def _counted_spans(needed: DataFrame, length: int, window: int) -> DataFrame:
-    """What _sorted_spans returns, by counting digests of all strings around the anchors. Digests count per offset, as two
-    anchors of a text may see the same string, but not at the same offset."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode()
-                rows = [(xxhash.xxh3_128_digest(data[w["p"] - a : w["p"] - a + length]), w["h"], w["c1"], w["c2"], a) for w in wanted for a in range(min(window, w["p"] + 1)) if w["p"] - a + length <= len(data)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["digest", "h", "c1", "c2", "a"])
-
-    rows = cut(needed.mapInArrow(digests, "digest binary, h bigint, c1 bigint, c2 bigint, a bigint"))
-    repeated = rows.groupBy("digest", "a").agg(F.count("*").alias("n")).where("n > 1").select("digest", "a")
-    return rows.join(repeated, ["digest", "a"]).select("h", "c1", "c2", (-F.col("a")).alias("lo"), (length - F.col("a")).alias("hi"))
+    found = cut(runs.groupBy("receiver").applyInArrow(receive, "h bigint, c1 bigint, c2 bigint, lo bigint, hi bigint, digest binary, a bigint"))
+    ends = found.where("digest is not null")
+    both = ends.groupBy("digest", "a").agg(F.count("*").alias("n")).where("n > 1").select("digest", "a")
+    met = ends.join(both, ["digest", "a"]).select("h", "c1", "c2", (-F.col("a")).alias("lo"), (length - F.col("a")).alias("hi"))
+    return found.where("digest is null").select("h", "c1", "c2", "lo", "hi").union(met)
 
 
-def repeated_spans(documents: DataFrame, *, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+def repeated_spans(documents: DataFrame, *, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", received: int = RECEIVED) -> DataFrame:
     """(_id, _tk, spans): per document with repeated strings an array of (lo, hi), not clipped to the text and not united."""
     docs = documents.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
     found = cut(_anchor_rows(docs, length, window))
     rows = found.select("id", "tk", F.explode(F.arrays_zip("p", "h", "c1", "c2")).alias("a")).select("id", "tk", "a.*")
-    heads = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    rows = cut(rows.join(heads, "h"))
-    classes = cut(rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "tk", "p")).alias("first")))
-    shared = classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = classes.join(shared, "h").select("h", "c1", "c2", "m", "first.*")
-    places = wanted.groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("p", "h", "c1", "c2", "m")).alias("wanted"))
+    classes = cut(rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n")))
+    heads = classes.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("m")).where("all > 1").select("h", "m")
+    classes = cut(hot_join(classes, heads, ["h"], "m", classes.count(), ["c1", "c2"]).select("h", "c1", "c2", "n"))
+    total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    anchored = cut(hot_join(rows, classes, ["h", "c1", "c2"], "n", total[1], ["id", "tk", "p"]).select("id", "tk", "p", "h", "c1", "c2"))
+    places = anchored.groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("p", "h", "c1", "c2")).alias("wanted"))
     needed = cut(docs.join(places, (docs["tk"] == places["_tk"]) & docs["id"].eqNullSafe(places["_id"])).dropDuplicates(["_id", "_tk"]).select("text", "wanted"))
-    total = needed.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("wanted", lambda w: w["m"]))), F.lit(0))).first()
-    small = needed.select("text", F.filter("wanted", lambda w: w["m"] <= group).alias("wanted"))
-    spans = _sorted_spans(small, length, window, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total[0] // 20_000))
-    if total[1] > group:
-        large = needed.select("text", F.filter("wanted", lambda w: w["m"] > group).alias("wanted"))
-        spans = spans.union(_counted_spans(large, length, window))
+    receivers = min(MOST_RECEIVERS, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total[0] // received))
+    spans = _sorted_spans(needed, length, window, _splitters(needed, length, window, total[0], receivers))
     spans = spans.union(classes.where("n > 1").select("h", "c1", "c2", F.lit(-(window - 1)).cast("bigint").alias("lo"), F.lit(length).cast("bigint").alias("hi")))
-    by_class = spans.groupBy("h", "c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))
-    covered = rows.join(by_class, ["h", "c1", "c2"]).select("id", "tk", F.transform("s", lambda s: F.struct((F.col("p") + s["lo"]).alias("lo"), (F.col("p") + s["hi"]).alias("hi"))).alias("s"))
-    return covered.groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.flatten(F.collect_list("s")).alias("spans"))
+    # All spans of an anchor hold its head, so their union is one span.
+    by_class = spans.groupBy("h", "c1", "c2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(classes, ["h", "c1", "c2"])
+    covered = hot_join(anchored, by_class, ["h", "c1", "c2"], "n", total[1], ["id", "tk", "p"])
+    return covered.groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct((F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi")).alias("hi"))).alias("spans"))
 
 
 def united(spans: list[dict], n: int) -> list[tuple[int, int]]:
@@ -360,9 +406,9 @@ def united(spans: list[dict], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def substring_dedup(documents: DataFrame, *, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+def substring_dedup(documents: DataFrame, *, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", received: int = RECEIVED) -> DataFrame:
     """Per document: id, n_bytes, removed (array of (lo, hi) byte spans), kept_bytes."""
-    spans = repeated_spans(documents, length=length, window=window, id_col=id_col, text_col=text_col, group=group)
+    spans = repeated_spans(documents, length=length, window=window, id_col=id_col, text_col=text_col, received=received)
     docs = documents.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
     joined = docs.join(spans, (docs["tk"] == spans["_tk"]) & docs["id"].eqNullSafe(spans["_id"]), "left").select("id", "text", "spans")
 
@@ -385,7 +431,7 @@ def substring_dedup(documents: DataFrame, *, length: int = LENGTH, window: int =
 def op5(documents: DataFrame) -> DataFrame:
     out = substring_dedup(documents)
     gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, r: s + r["hi"] - r["lo"])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"), (F.col("n_bytes") - gone).alias("n_kept"))
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[list[tuple[int, int]]]:

@@ -161,15 +161,31 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     assert all(x["n_links"] == 12 and x["class_id"] == 0 for x in out)
 
 
+def test_buckets_of_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    r = random.Random(12)
+    words = prose(r, 900).split()
+    texts = [" ".join(words[12 * k : 12 * k + 150]) for k in range(60)]
+    units = []
+    whole = jaccard_join._units
+    monkeypatch.setattr(jaccard_join, "_units", lambda *a: units.append(whole(*a)) or units[-1])
+    out = {x["doc_id"]: x for x in jaccard_join.op9(docs_of(spark, texts)).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for a in sets]
+    assert [out[k]["n_links"] for k in range(60)] == links and sum(links) > 100
+    assert {x["class_id"] for x in out.values()} == {0}
+    assert units[0].where("band >= 0").count() > 0
+
+
 def test_posterior_bounds():
     needs = dict(jaccard_join.least_matches(0.8))
     assert all(0 < m < n for n, m in needs.items()) and needs[240] > 240 * 0.6
 
 
-@pytest.mark.parametrize("length,window,group", [(400, 320, 100_000), (60, 40, 100_000), (60, 40, 3)])
-def test_substring_dedup(spark, corpus, length, window, group):
+@pytest.mark.parametrize("length,window,received", [(400, 320, 20_000), (60, 40, 20_000), (60, 40, 3)])
+def test_substring_dedup(spark, corpus, length, window, received):
     texts = [*corpus, "ab" * 500, "abc" * 400 + "tail"]
-    out = {x["doc_id"]: x for x in substring_dedup.substring_dedup(docs_of(spark, texts), length=length, window=window, group=group).collect()}
+    out = {x["doc_id"]: x for x in substring_dedup.substring_dedup(docs_of(spark, texts), length=length, window=window, received=received).collect()}
     for d, spans in enumerate(substring_dedup.brute_force(texts, length)):
         assert [(s["lo"], s["hi"]) for s in out[d]["removed"]] == spans
         data = (texts[d] or "").encode()
@@ -179,7 +195,7 @@ def test_substring_dedup(spark, corpus, length, window, group):
 
 def test_loser_tree():
     r = random.Random(3)
-    rows = [(bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))), b"", k, 0, 0) for k in range(200)]
+    rows = [(bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))), 0, k, 0, 0) for k in range(200)]
     runs = []
     for k in range(7):
         blob = substring_dedup.front_code(sorted(rows[k::7]))
