@@ -1,18 +1,24 @@
-"""Toxicity by two class-conditional Kneser-Ney word models and a calibrated length-normalised likelihood ratio.
+"""Toxicity by class-conditional Kneser-Ney word bigrams: the calibrated, length-normalised log-likelihood difference.
 
-Model. N_c(w) is the continuation count of word w in class c: in how many distinct contexts (the word before, the word
-after) w stands in texts of class c, so copies of a text count once. P_c(w) = max(N_c(w)/N_c - d, 0) + b * P(w): an absolute
-discount d, equal in both classes as a rate (DISCOUNT contexts of the smaller class), gives its mass to one backoff P(w) that
-both classes share, from the pooled continuation counts of both plus a half for a word never seen. A rare word therefore gets
-nearly the same probability from both classes and weighs nothing.
+Counts. Of every label all distinct (word before the last, last word, word) triples of its texts are gathered, so copies of a
+text count once. N_c(v, w) is in how many distinct places before v the pair v w stands, N_c(w) behind how many distinct words w
+stands: Kneser-Ney's continuation counts. Two halves of the texts count for themselves and are added.
 
-Score. The mean log-likelihood ratio over the whole text and over its most toxic stretch of 1, 10 and 50 words, with the
-log of the length, enter a logistic regression. It is fitted on labelled rows that the counts it sees did not come from: counts
-are kept in two halves by text, each half's rows are scored with the other's, and the final scores use both.
+Model. P_c(w | v) = max(N_c(v, w) / N_c(v) - d2(v), 0) + b(v) * P_c(w), P_c(w) = max(N_c(w) / N_c - d1, 0) + b * P(w). The absolute
+discounts are DISCOUNTS counts of the class that has fewer, as rates equal in both classes, and what they free goes to backoff
+weights that both classes share; P(w) comes from the pooled counts of both and half a count more for every word. So rare words
+and pairs get nearly the same probability from both classes and weigh nothing, and only words and pairs that pass a discount
+need a log-ratio of their own.
 
-Bounds. Words are hashed to BUCKETS buckets, so the model that goes to the tasks has at most 4 counts a bucket whatever the
-corpus. All labelled learning rows are counted; about CALIBRATION_ROWS of them, chosen by a hash of the text and each text once,
-fit the regression's weights. Labels are broadcast up to BROADCAST_LABELS rows and joined by shuffle beyond that.
+Score. The difference of the two log-likelihoods over a stretch of words, divided by its number of words, of the most toxic
+stretch. Of the lengths in STRETCHES (0: the whole text) the one that ranks labelled rows best is taken, and a logistic curve in
+that one number, never falling, makes it a probability. Both are fitted on labelled rows that the counts do not come from:
+counts are kept in two halves by text, each half's rows are scored with the other's, and the final scores use both.
+
+Bounds. All labelled learning rows are counted, whatever their number; about CALIBRATION_ROWS of them, chosen by a hash of the
+text and each text once, fit the curve. Words are 64-bit hashes, the word before counts by 32 bits and the one before that by 16.
+The MODEL_ROWS most used log-ratios are broadcast, the others are joined to the texts that hold their words. Labels are
+broadcast up to BROADCAST_LABELS rows and joined by shuffle beyond that.
 
 Cases: rows labelled differently count for each label; null labels teach nothing; null and empty texts get the score of a text
 without evidence; without both labels every score is the smoothed share of label 1; equal texts get equal scores; empty tables
@@ -21,27 +27,30 @@ give no rows; extra columns are ignored by score() unless named in keep.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut, text_key, words_of
 
-BUCKETS, DISCOUNT, STRETCHES = 1 << 20, 1.5, (1, 10, 50)
-CALIBRATION_ROWS, BROADCAST_LABELS, THRESHOLD = 40_000, 2_000_000, 0.7
-_FLUSH_KEYS = 1_500_000
+DISCOUNTS, STRETCHES = (3.0, 20.0), (1, 10, 50, 0)
+CALIBRATION_ROWS, BROADCAST_LABELS, MODEL_ROWS, THRESHOLD = 40_000, 250_000, 4_000_000, 0.7
+_FLUSH_WORDS = 1_500_000
+_BEGIN = np.uint64(7)
+_COUNTS = [f"c{half}{label}" for half in (0, 1) for label in (0, 1)]
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 300_000:
             self.clear()
-        h = self[word] = zlib.crc32(word)
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
@@ -50,19 +59,31 @@ def _hashed(text: str | None, memo: _Hashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def _contexts(h: np.ndarray) -> np.ndarray:
-    """Bucket (20 bits) and hashed neighbours (26 bits) of every word as one number."""
-    padded = np.concatenate(([np.uint64(7)], h, [np.uint64(7)]))
-    near = (padded[:-2] * np.uint64(0x9E3779B97F4A7C15) + padded[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(38)
-    return ((h % np.uint64(BUCKETS)) << np.uint64(26) | near).astype(np.int64)
+def _before(h: np.ndarray, places: int) -> np.ndarray:
+    return np.concatenate((np.full(min(places, len(h)), _BEGIN), h[:-places]))
+
+
+def pair_codes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for each pair of the word before (32 bits) and the word."""
+    x = (w ^ (v * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
 
-def _pack(keys: np.ndarray) -> bytes:
-    return zstandard.compress(np.diff(keys, prepend=0).tobytes(), 1)
 
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint64)
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.int64))
+
+def _distinct(w: np.ndarray, vu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs in order of w, then vu."""
+    order = np.lexsort((vu, w))
+    w, vu = w[order], vu[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (vu[1:] != vu[:-1])
+    return w[new], vu[new]
 
 
 def _half(text: Column) -> Column:
@@ -78,13 +99,14 @@ def learning_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col
     return docs.join(known, "_id").select("text", _half(F.col("text")).alias("half"), "label")
 
 
-def continuation_counts(rows: DataFrame) -> np.ndarray:
-    """counts[half, label, bucket] over all rows.
+def continuation_counts(rows: DataFrame) -> DataFrame:
+    """(kind, key, v, code, c00, c01, c10, c11): counts by half and label. Kind 0: N(w) of the word `key`; 1: N(v) of the word
+    before; 2: N(v, w) of the pairs that can pass the discount in both halves together.
 
-    Tasks send their distinct contexts, sorted, delta-coded and split by context, so that equal contexts meet and a frequent
-    word's contexts spread over all groups; each group returns its distinct contexts' counts per bucket.
+    Tasks send their distinct triples, sorted, packed and dealt by pair, so that equal ones meet and a frequent word's pairs
+    spread over all groups.
     """
-    chunks = max(64, rows.rdd.getNumPartitions())
+    chunks = max(64, 4 * rows.rdd.getNumPartitions())
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, kept, size = _Hashes(), {}, 0
@@ -92,125 +114,241 @@ def continuation_counts(rows: DataFrame) -> np.ndarray:
         def flush() -> pa.RecordBatch:
             out = []
             for (half, label), parts in kept.items():
-                keys = np.unique(np.concatenate(parts))
-                chunk = keys * 0x9E3779B1 >> 17 & 0x3FFFFFFF
-                chunk %= chunks
+                w, vu = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+                chunk = pair_codes(vu >> np.uint64(16), w) % np.uint64(chunks)
                 order = np.argsort(chunk, kind="stable")
                 bounds = np.searchsorted(chunk[order], np.arange(chunks + 1))
-                out += [(c, half, label, _pack(keys[order[a:b]])) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
-            cols = list(zip(*out)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["chunk", "half", "label", "keys"])
+                out += [(c, half, label, _packed(np.diff(w[order[a:b]], prepend=np.uint64(0))), _packed(vu[order[a:b]])) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+            cols = list(zip(*out)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["chunk", "half", "label", "w", "vu"])
 
         for part in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             for text, half, label in zip(*(c.to_pylist() for c in part.columns)):
                 h = _hashed(text, memo)
                 if len(h):
-                    kept.setdefault((half, label), []).append(_contexts(h))
+                    kept.setdefault((half, label), []).append((h, (_before(h, 1) >> np.uint64(32) << np.uint64(16)) | (_before(h, 2) >> np.uint64(48))))
                     size += len(h)
-                    if size >= _FLUSH_KEYS:
+                    if size >= _FLUSH_WORDS:
                         yield flush()
                         kept, size = {}, 0
         if kept:
             yield flush()
 
-    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([_unpack(x) for x in table.column("keys").to_pylist()]))
-        buckets, counts = np.unique(keys >> 26, return_counts=True)
-        n = len(buckets)
-        return pa.table({"half": pa.array([key[1].as_py()] * n, pa.int32()), "label": pa.array([key[2].as_py()] * n, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "n": pa.array(counts, pa.int64())})
-
-    packed = rows.mapInArrow(collect, "chunk int, half int, label int, keys binary")
-    found = packed.groupBy("chunk", "half", "label").applyInArrow(merge, "half int, label int, bucket int, n bigint")
-    total = found.groupBy("half", "label", "bucket").agg(F.sum("n").alias("n"))
-    # At most 4 * BUCKETS rows, whatever the input.
-    got = total.toArrow()
-    counts = np.zeros((2, 2, BUCKETS), np.float64)
-    counts[got["half"].to_numpy(), got["label"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return counts
-
-
-def likelihood_ratios(counts: np.ndarray) -> np.ndarray:
-    """log P_1(w) - log P_0(w) by bucket, from counts[label, bucket]."""
-    total = counts.sum(axis=1)
-    if not total.all():
-        return np.zeros(BUCKETS, np.float32)
-    rates = counts / total[:, None]
-    kept = np.maximum(rates - DISCOUNT / total.min(), 0)
-    shared = counts.sum(axis=0) + 0.5
-    backoff = (1 - kept.sum() / 2) * shared / shared.sum()
-    return (np.log(kept[1] + backoff) - np.log(kept[0] + backoff)).astype(np.float32)
-
-
-def features(ratios: np.ndarray) -> list[float]:
-    """Means of a text's word ratios: over all, over the most toxic stretches; and the log of the length."""
-    n = len(ratios)
+    def merge(table: pa.Table) -> pa.Table:
+        words, befores, columns = [], [], []
+        which = 2 * table["half"].to_numpy() + table["label"].to_numpy()
+        for k in range(4):
+            part = table.filter(pa.array(which == k))
+            if part.num_rows:
+                w, vu = _distinct(np.concatenate([np.cumsum(_unpacked(x)) for x in part["w"].to_pylist()]), np.concatenate([_unpacked(x) for x in part["vu"].to_pylist()]))
+                words.append(w)
+                befores.append(vu >> np.uint64(16))
+                columns.append(np.full(len(w), k))
+        w, v, column = np.concatenate(words), np.concatenate(befores), np.concatenate(columns)
+        order = np.lexsort((v, w))
+        w, v, column = w[order], v[order], column[order]
+        first = np.ones(len(w), bool)
+        first[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+        pair = np.cumsum(first) - 1
+        counts = np.bincount(pair * 4 + column, minlength=4 * (pair[-1] + 1)).reshape(-1, 4)
+        w, v = w[first], v[first]
+
+        def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, at = np.unique(keys, return_inverse=True)
+            return found, np.stack([np.bincount(at, values[:, k], len(found)).astype(np.int64) for k in range(4)], axis=1)
+
+        by_word, by_before = summed(w, counts > 0), summed(v, counts)
+        strong = (counts[:, :2] + counts[:, 2:]).max(axis=1) > DISCOUNTS[1]
+        pairs = w[strong], counts[strong]
+        kinds = [np.full(len(x[0]), k, np.int32) for k, x in enumerate((by_word, by_before, pairs))]
+        nothing = [np.zeros(len(x[0]), np.int64) for x in (by_word, by_before)]
+        columns = [np.concatenate(kinds), np.concatenate([x[0].view(np.int64) for x in (by_word, by_before, pairs)]), np.concatenate([*nothing, v[strong].view(np.int64)]), np.concatenate([by_word[0].view(np.int64), nothing[1], pair_codes(v[strong], w[strong]).view(np.int64)])]
+        sums = np.concatenate([x[1] for x in (by_word, by_before, pairs)]).astype(np.int64)
+        return pa.table([pa.array(x) for x in (*columns, *sums.T)], ["kind", "key", "v", "code", *_COUNTS])
+
+    packed = rows.mapInArrow(collect, "chunk int, half int, label int, w binary, vu binary")
+    found = packed.groupBy("chunk").applyInArrow(merge, "kind int, key bigint, v bigint, code bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return cut(found.groupBy("kind", "key", "v", "code").agg(*(F.sum(c).alias(c) for c in _COUNTS)))
+
+
+def log_ratios(counts: DataFrame, halves: tuple[int, ...]) -> DataFrame | None:
+    """(kind, code, uses, ratio) of the words and pairs whose log P_1 - log P_0 is their own, from the counts of these halves;
+    null if a label has no counts."""
+    n = [reduce(lambda a, b: a + b, (F.col(f"c{h}{y}") for h in halves)).alias(f"n{y}") for y in (0, 1)]
+    known = counts.select("kind", "key", "v", "code", *n)
+    words = known.where("kind = 0 and n0 + n1 > 0")
+    types, *total = words.agg(F.count("*"), F.sum("n0"), F.sum("n1")).first()
+    if not all(total):
+        return None
+    n0, n1 = F.col("n0"), F.col("n1")
+    kept = [F.greatest(n / t - DISCOUNTS[0] / min(total), F.lit(0.0)) for n, t in zip((n0, n1), total)]
+    freed = 1 - (words.agg(F.sum(kept[0] + kept[1])).first()[0] or 0.0) / 2
+    shared = (n0 + n1 + 0.5) / (sum(total) + 0.5 * types)
+    words = words.select("kind", "key", "code", (n0 + n1).alias("uses"), *[(k + freed * shared).alias(f"p{y}") for y, k in enumerate(kept)], (kept[0] + kept[1] > 0).alias("own"))
+    before = known.where("kind = 1").select(F.col("key").alias("v"), n0.alias("t0"), n1.alias("t1")).where("least(t0, t1) > 0")
+    rate = [F.greatest(F.col(f"n{y}") / F.col(f"t{y}") - DISCOUNTS[1] / F.least("t0", "t1"), F.lit(0.0)).alias(f"k{y}") for y in (0, 1)]
+    pairs = cut(known.where("kind = 2").join(before, "v").select("key", "v", "code", (n0 + n1).alias("uses"), *rate).where("k0 + k1 > 0"))
+    freed_by = pairs.groupBy("v").agg(F.greatest(1 - F.sum(F.col("k0") + F.col("k1")) / 2, F.lit(1e-6)).alias("b"))
+    p = [F.col(f"k{y}") + F.col("b") * F.col(f"p{y}") for y in (0, 1)]
+    pairs = pairs.join(freed_by, "v").join(words.select("key", "p0", "p1"), "key").select(F.lit(2).alias("kind"), "code", "uses", (F.log(p[1]) - F.log(p[0])).alias("ratio"))
+    return cut(words.where("own").select("kind", "code", "uses", (F.log("p1") - F.log("p0")).alias("ratio")).union(pairs))
+
+
+class Ratios:
+    """Log-ratios by code, words and pairs apart; what is not in them is 0 for a word and the word's own for a pair."""
+
+    def __init__(self, table: pa.Table) -> None:
+        kind, code, ratio = (table[c].to_numpy() for c in ("kind", "code", "ratio"))
+        self.tables = []
+        for k in (0, 2):
+            codes, values = code[kind == k].view(np.uint64), ratio[kind == k]
+            order = np.argsort(codes)
+            self.tables.append((codes[order], values[order]))
+
+    def find(self, which: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, ratio) of codes of words (0) or pairs (1)."""
+        known, values = self.tables[which]
+        if not len(known):
+            return np.zeros(len(codes), bool), np.zeros(len(codes))
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return known[at] == codes, values[at]
+
+
+def _codes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a text's words and of its pairs."""
+    return h, pair_codes(_before(h, 1) >> np.uint64(32), h)
+
+
+def statistics(h: np.ndarray, models: list[Ratios]) -> list[float]:
+    """For each of STRETCHES the greatest length-normalised log-likelihood difference of a text's stretches."""
+    n = len(h)
     if not n:
-        return [0.0] * (len(STRETCHES) + 3)
-    sums = np.concatenate(([0.0], np.cumsum(ratios, dtype=np.float64)))
-    return [sums[-1] / n, sums[-1] / n**0.5, *((sums[min(n, k) :] - sums[: n + 1 - min(n, k)]).max() / k for k in STRETCHES), np.log1p(n)]
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Newton steps on standardised columns; returns weights for the raw columns, the intercept last."""
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
+        return [0.0] * len(STRETCHES)
+    words, pairs = _codes(h)
+    ratio = np.zeros(n)
+    for which, codes in ((0, words), (1, pairs)):
+        for m in models:
+            found, values = m.find(which, codes)
+            ratio[found] = values[found]
+    sums = np.concatenate(([0.0], np.cumsum(ratio)))
+    sizes = [min(n, k) if k else n for k in STRETCHES]
+    return [float((sums[k:] - sums[: n + 1 - k]).max()) / k for k in sizes]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> tuple[float, float]:
+    """Slope, not below 0, and intercept, by Newton steps on the standardised number."""
+    mean, sd = x.mean(), x.std() + 1e-9
     z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    penalty = ridge * np.append(np.ones(z.shape[1] - 1), 0)
+    w, penalty = np.zeros(2), np.array([ridge, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z.T * (p * (1 - p) + 1e-9)) @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum())
+    slope = max(0.0, w[0] / sd)
+    return float(slope), float(w[1] - slope * mean if slope else np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+
 
+def ranking(x: np.ndarray, y: np.ndarray) -> float:
+    """Area under the ROC curve, ties half."""
+    _, place = np.unique(x, return_inverse=True)
+    pos, neg = np.bincount(place, y), np.bincount(place, 1 - y)
+    return float((pos * (neg.cumsum() - neg / 2)).sum() / (pos.sum() * neg.sum()))
 
-def _feature_rows(rows: DataFrame, tables: list[np.ndarray], halves: bool, others: list[str]) -> DataFrame:
-    """The columns of others and `x`, the features of `text`; with halves, a row of half h is scored by tables[1 - h]."""
-    sent = rows.sparkSession.sparkContext.broadcast(tables)
+
+def _split(model: DataFrame | None) -> tuple[pa.Table, DataFrame | None]:
+    """The MODEL_ROWS most used ratios, and the others if there are any."""
+    if model is None:
+        return pa.table({"kind": pa.array([], pa.int32()), "code": pa.array([], pa.int64()), "ratio": pa.array([], pa.float64())}), None
+    if model.count() <= MODEL_ROWS:
+        return model.select("kind", "code", "ratio").toArrow(), None
+    top = cut(model.orderBy(F.desc("uses"), "kind", "code").limit(MODEL_ROWS))
+    return top.select("kind", "code", "ratio").toArrow(), cut(model.join(top.select("kind", "code"), ["kind", "code"], "left_anti"))
+
+
+def _rare_ratios(rows: DataFrame, rest: DataFrame, known: Ratios) -> DataFrame:
+    """(_tk, kinds, codes, ratios): the ratios beyond the broadcast ones that each distinct text needs."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                cols: list[list] = [[], []]
+                for which, codes in enumerate(_codes(_hashed(text, memo))):
+                    codes = np.unique(codes)
+                    codes = codes[~sent.value.find(which, codes)[0]]
+                    cols[0].append(np.full(len(codes), 2 * which, np.int32))
+                    cols[1].append(codes.view(np.int64))
+                kinds, codes = (np.concatenate(c) for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(kinds), pa.int64()), pa.array(kinds), pa.array(codes)], ["_tk", "kind", "code"])
+
+    texts = rows.select(text_key(F.col("text")).alias("_tk"), "text").dropDuplicates(["_tk"])
+    met = texts.mapInArrow(run, "_tk bigint, kind int, code bigint").join(rest, ["kind", "code"])
+    return met.groupBy("_tk").agg(F.collect_list(F.struct("kind", "code", "ratio")).alias("rare"))
+
+
+def _statistic_rows(rows: DataFrame, models: list[tuple[pa.Table, DataFrame | None]], halves: bool, others: list[str]) -> DataFrame:
+    """The columns of others and `x`, the statistics of `text`; with halves, a row of half h is scored by models[1 - h]."""
+    if halves:
+        parts = [_statistic_rows(rows.where(F.col("half") == h), [models[1 - h]], False, others) for h in (0, 1)]
+        return parts[0].union(parts[1])
+    table, rest = models[0]
+    known = Ratios(table)
+    picked = rows.select(*others, *([] if "text" in others else ["text"]))
+    if rest is not None:
+        rare = cut(_rare_ratios(rows, rest, known))
+        picked = picked.withColumn("_tk", text_key(F.col("text"))).join(rare, "_tk", "left").drop("_tk")
+    sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, used = _Hashes(), sent.value
+        memo, used = _Hashes(), [sent.value]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                which = [1 - h for h in part.column(part.schema.get_field_index("half")).to_pylist()] if halves else [0] * len(texts)
-                x = [features(used[k][(_hashed(t, memo) % np.uint64(BUCKETS)).astype(np.int64)]) for t, k in zip(texts, which)]
+                if "rare" in part.schema.names:
+                    own = ([*used, Ratios(pa.Table.from_pylist(r, schema=RARE))] if r else used for r in part.column(part.schema.get_field_index("rare")).to_pylist())
+                else:
+                    own = [used] * len(texts)
+                x = [statistics(_hashed(t, memo), m) for t, m in zip(texts, own)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), pa.array(x, pa.list_(pa.float64()))], [*others, "x"])
 
-    picked = rows.select(*others, *([] if "text" in others else ["text"]), *(["half"] if halves else []))
     return picked.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others) + ", x array<double>")
 
 
-def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Word ratios and the regression's weights, from (text, half, label)."""
+RARE = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("ratio", pa.float64())])
+
+
+def train(rows: DataFrame) -> tuple[tuple[pa.Table, DataFrame | None], int, float, float]:
+    """The model of both halves, the place in STRETCHES, slope and intercept, from (text, half, label)."""
     counts = continuation_counts(rows)
-    ratios = likelihood_ratios(counts.sum(axis=0))
-    cross = [likelihood_ratios(counts[h]) for h in (0, 1)]
+    model, *cross = (_split(log_ratios(counts, halves)) for halves in ((0, 1), (0,), (1,)))
     share = CALIBRATION_ROWS / max(1, rows.count())
     chosen = rows.withColumn("o", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)))
     if share < 1:
         chosen = chosen.where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000))
     sample = chosen.dropDuplicates(["o", "label"])
-    got = _feature_rows(sample, cross, True, ["label"]).toArrow()
+    got = _statistic_rows(sample, cross, True, ["label"]).toArrow()
     y = got["label"].to_numpy().astype(np.float64)
-    x = np.array(got["x"].to_pylist(), np.float64).reshape(len(y), len(STRETCHES) + 3)
+    x = np.array(got["x"].to_pylist(), np.float64).reshape(len(y), len(STRETCHES))
     if not 0 < y.sum() < len(y):
-        return ratios, np.append(np.zeros(x.shape[1]), np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    return ratios, fit_logistic(x, y)
+        return model, 0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    k = int(np.argmax([ranking(x[:, j], y) for j in range(len(STRETCHES))]))
+    return model, k, *fit_logistic(x[:, k], y)
 
 
 def score(documents: DataFrame, labels: DataFrame, learn: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of keep, and score for every document; only documents where `learn` holds lend their labels."""
     rows = learning_rows(documents.where(learn) if learn is not None else documents, labels, id_col, text_col, label_col)
-    ratios, weights = train(rows)
+    model, k, slope, intercept = train(rows)
     names = [id_col, *(c for c in keep if c != id_col)]
     # A kept text travels to the tasks once, under the name that the scoring reads.
     at = {c: "text" if c == text_col else f"_c{i}" for i, c in enumerate(names)}
     base = documents.select(*[F.col(c).alias(at[c]) for c in names], *([] if text_col in names else [F.col(text_col).alias("text")]))
-    scored = _feature_rows(base, [ratios], False, [at[c] for c in names])
-    z = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights[:-1]]), lambda a, b: a * b), F.lit(float(weights[-1])), lambda s, v: s + v)
+    scored = _statistic_rows(base, [model], False, [at[c] for c in names])
+    z = F.lit(slope) * F.col("x")[k] + F.lit(intercept)
     return scored.select(*[F.col(at[c]).alias(c) for c in names], (1 / (1 + F.exp(-z))).alias("score"))
 
 

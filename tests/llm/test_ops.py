@@ -400,14 +400,58 @@ def test_toxicity_counts_and_held_out(spark):
     held = [d for d in range(1500) if out[d]["held_out"]]
     assert np.mean([out[d]["predicted"] == toxic[d] for d in held]) > 0.97
     assert {d for d in out} == {x["doc_id"] for x in toxicity.op7(docs.withColumn("source", F.lit("other")), labels).collect() if abs(x["score"] - out[x["doc_id"]]["score"]) < 1e-12}
-    rows = spark.createDataFrame([("a b c a b d", 0, 0), ("a b c", 1, 1), ("a b c", 1, 1)], "text string, half int, label int")
-    counts = toxicity.continuation_counts(rows)
-    bucket = zlib.crc32(b"b") % toxicity.BUCKETS
-    assert counts[0, 0, bucket] == 2 and counts[1, 1, bucket] == 1
     one = toxicity.op7(docs.limit(30), labels.where("toxic = 0")).select("score").distinct().collect()
     assert len(one) == 1 and one[0]["score"] < 0.5
 
 
+def test_kneser_ney_against_dicts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "DISCOUNTS", (0.5, 1.5))
+    r = random.Random(11)
+    texts = [(" ".join(r.choice("a b c d e f the vile".split()[: 8 if y else 7]) for _ in range(60)), k % 2, y) for y in (0, 1) for k in range(12)]
+    counts = toxicity.continuation_counts(spark.createDataFrame(texts + texts[:2], "text string, half int, label int"))
+    triples = [[set(), set()], [set(), set()]]
+    for t, half, y in texts:
+        w = ["", "", *t.split()]
+        triples[y][half] |= {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    # Each half counts for itself.
+    pair = [sum((collections.Counter(x[1:] for x in s) for s in halves), collections.Counter()) for halves in triples]
+    word = [sum((collections.Counter(w for _, w in {x[1:] for x in s}) for s in halves), collections.Counter()) for halves in triples]
+    before = [collections.Counter() for _ in pair]
+    for c, b in zip(pair, before):
+        for (v, _), n in c.items():
+            b[v] += n
+    total = [sum(c.values()) for c in word]
+    rate = lambda y, w: max(word[y][w] / total[y] - 0.5 / min(total), 0)
+    vocabulary = set(word[0]) | set(word[1])
+    freed = 1 - sum(rate(y, w) for y in (0, 1) for w in vocabulary) / 2
+    p = lambda y, w: rate(y, w) + freed * (word[0][w] + word[1][w] + 0.5) / (sum(total) + 0.5 * len(vocabulary))
+
+    def ratio(v, w):
+        least = min(before[0][v], before[1][v])
+        kept = lambda y, x: max(pair[y][v, x] / before[y][v] - 1.5 / least, 0) if least else 0.0
+        b = 1 - sum(kept(y, x) for y in (0, 1) for x in vocabulary) / 2
+        return np.log(kept(1, w) + b * p(1, w)) - np.log(kept(0, w) + b * p(0, w))
+
+    known = toxicity.Ratios(toxicity._split(toxicity.log_ratios(counts, (0, 1)))[0])
+    for t, _, _ in texts[::5]:
+        w = t.split()
+        expected = [ratio(v, x) for v, x in zip(["", *w], w)]
+        got = toxicity.statistics(toxicity._hashed(t, toxicity._Hashes()), [known])
+        assert got[toxicity.STRETCHES.index(0)] == pytest.approx(np.mean(expected)) and got[0] == pytest.approx(max(expected))
+
+
+def test_rare_ratios_are_joined(spark, monkeypatch):
+    r = random.Random(6)
+    words = [prose(r, 1) for _ in range(60)]
+    texts = [" ".join([*(r.choice(words) for _ in range(30)), "vile" if k % 4 == 0 else "fine"]) for k in range(400)]
+    docs, labels = docs_of(spark, [*texts, "", None]), spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id bigint, quality int, toxic int")
+    whole = {x["doc_id"]: x["score"] for x in toxicity.op7(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 2)
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 2)
+    few = {x["doc_id"]: x["score"] for x in toxicity.op7(docs, labels).collect()}
+    assert few == pytest.approx(whole) and whole[0] > 0.7 > whole[1]
+
+
 def vectors_of(spark, rows):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
 
