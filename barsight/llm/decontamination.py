@@ -1,12 +1,19 @@
-"""Benchmark decontamination on a document-partitioned positional inverted index.
-
-Each Spark task indexes its own documents segment by segment: postings (term -> sorted positions) of the terms that the
-test items use. A phrase is found by taking the postings of its terms from the rarest to the most frequent, shifting each by
-the term's place in the phrase and intersecting. Postings never leave the task that owns the documents, so nothing is
-shuffled and a hot source or phrase costs only its own segment. The items travel to the tasks in blocks of bounded size.
-
-Cases: null or wordless texts have no words, no hits and are not contaminated; repeated rows get equal results; an empty
-documents table gives no rows, an empty benchmark no hits; extra columns of either table are ignored.
+"""Benchmark decontamination on a distributed positional inverted index.
+
+1. Index. Tasks take their documents in segments of about SEGMENT_BYTES and write, for every token, its posting: a segment's
+   tokens in order of term and position, cut by term into buckets, one row for each segment and bucket in the shared folder.
+2. Terms. The windows of the benchmark are a table of distinct phrases; their distinct terms, a row of a bounded number for each
+   bucket, are joined to the index by bucket, which leaves the postings of benchmark terms and their counts in the corpus.
+3. Rarest first. A phrase that holds a term without postings cannot occur. The others go to the segments that hold their rarest
+   term, and there the lists, each shifted by the term's place in the phrase, are intersected from the rarest term up.
+4. Hits go back to the documents, and phrases to items, by joins; a phrase in many documents is salted.
+
+Neither side passes through the driver or is gathered whole. Terms are 64-bit hashes of words. A window is `window` consecutive
+words of an item, or all words of a shorter one. proximity() uses the same index, and windows around the rarest term.
+
+Cases: null or wordless texts have no words, no hits and are not contaminated; repeated rows get equal results; a null item id
+counts as an item but has no name; an empty documents table gives no rows, an empty benchmark no hits; extra columns of either
+table are ignored, and kept by decontaminate().
 """
 
 from __future__ import annotations
@@ -16,196 +23,255 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
-
-WINDOW = 13
-#: Words of test items that go to the tasks at once; a larger benchmark is taken in so many blocks.
-BLOCK_WORDS = 4_000_000
-#: Bytes of text that a segment indexes at once.
-SEGMENT_BYTES = 8_000_000
-
-
-class Phrases:
-    """Test phrases by term number: all phrases of one length together."""
-
-    def __init__(self, items: list[tuple], window: int):
-        self.terms: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            words = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item)
-        self.items = list(found.values())
-        by_length: dict[int, list[int]] = {}
-        keys = list(found)
-        for k, phrase in enumerate(keys):
-            by_length.setdefault(len(phrase), []).append(k)
-        self.groups = [(np.array(ks), np.array([keys[k] for k in ks])) for ks in by_length.values()]
-
-
-class Segment:
-    """Positional postings of some documents, a gap between two so that no phrase spans them."""
-
-    def __init__(self, texts: list[str | None], terms: dict[bytes, int]):
-        n = len(terms)
-        lists = [words_of(t) for t in texts]
-        self.lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.starts = np.zeros(len(lists), np.int64)
-        np.cumsum(self.lengths[:-1] + 1, out=self.starts[1:])
-        get = terms.get
-        stream = np.fromiter((t for ws in lists for t in (*(get(w, n) for w in ws), n)), np.int64, int(self.lengths.sum()) + len(lists))
-        kept = np.flatnonzero(stream != n)
-        order = np.argsort(stream[kept], kind="stable")
-        self.positions = kept[order]
-        self.bounds = np.searchsorted(stream[kept][order], np.arange(n + 1))
-        self.counts = np.diff(self.bounds)
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.bounds[term] : self.bounds[term + 1]]
-
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """First positions of the exact phrase."""
-        order = np.argsort(self.counts[terms], kind="stable")
-        at = self.postings(terms[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(at):
-                break
-            other = self.postings(terms[k])
-            want = at + k
-            near = np.searchsorted(other, want)
-            at = at[(near < len(other)) & (other[np.minimum(near, len(other) - 1)] == want)]
-        return at
+from .common import cut, fresh, hot_join, text_key, words_of
 
-    def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest term with every other term at most slop words away, in the same document."""
-        wanted = np.unique(terms)
-        order = wanted[np.argsort(self.counts[wanted], kind="stable")]
-        at = self.postings(order[0])
-        doc = self.document(at)
-        lo, hi = np.maximum(at - slop, self.starts[doc]), np.minimum(at + slop, self.starts[doc] + self.lengths[doc] - 1)
-        for term in order[1:]:
-            other = self.postings(term)
-            ok = np.searchsorted(other, lo, "left") < np.searchsorted(other, hi, "right")
-            at, lo, hi = at[ok], lo[ok], hi[ok]
-        return at
+WINDOW, SHARE = 13, 20
+#: Bytes of text that a segment indexes at once, and benchmark terms that a bucket of the index holds on average.
+SEGMENT_BYTES, BUCKET_TERMS = 8_000_000, 20_000
 
-    def document(self, positions: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, positions, "right") - 1
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def terms_of(text: str | None, memo: dict) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)).view(np.int64)
 
-def segments(batches: Iterator[pa.RecordBatch], size: int = SEGMENT_BYTES) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Rows in groups of about so many bytes of text; a longer text is a group of its own."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        begin, total = 0, 0
-        for i, t in enumerate(texts):
-            total += len(t or "")
-            if total >= size or i == len(texts) - 1:
-                yield ids[begin : i + 1], texts[begin : i + 1]
-                begin, total = i + 1, 0
-
-
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple]]:
-    """The items row by row from Spark, gathered to blocks of a bounded number of bytes; an empty block if there are none."""
-    block, size, any_block = [], 0, False
-    for row in benchmark.select(F.col(id_col), F.col(text_col)).distinct().toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1] or "") // 4 + 1
-        if size >= block_words:
-            yield block
-            block, size, any_block = [], 0, True
-    if block or not any_block:
-        yield block
-
-
-def _hits(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, list[np.ndarray], list[set]]:
-    """Per document: words, positions hit by any phrase, items with a phrase that occurs."""
-    seg = Segment(texts, phrases.terms)
-    hit = np.zeros(int(seg.lengths.sum()) + len(texts) + 1, np.int32)
-    items: list[set] = [set() for _ in texts]
-    for numbers, terms in phrases.groups:
-        for k in np.flatnonzero(seg.counts[terms].min(axis=1) > 0) if terms.size else ():
-            at = seg.phrase(terms[k])
-            if len(at):
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + terms.shape[1], -1)
-                for d in np.unique(seg.document(at)):
-                    items[d] |= phrases.items[numbers[k]]
-    covered = np.cumsum(hit) > 0
-    return seg.lengths, [np.flatnonzero(covered[s : s + n]) for s, n in zip(seg.starts, seg.lengths)], items
-
-
-def judged(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Per document: _id, n_words, n_hit, n_items, items (array, sorted as strings), contaminated, and the columns of keep as
-    _keep0, _keep1 and so on, with their names beside.
-
-    A word is hit inside any occurrence of `window` consecutive words of an item, or of a shorter item's all words.
-    Contaminated: at least one in `share` words is hit. A benchmark of more than `block_words` words is matched block by
-    block and the blocks' hits are united.
-    """
-    spark = documents.sparkSession
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    id_field = documents.schema[id_col]
-    blocks = [spark.sparkContext.broadcast(Phrases(b, window)) for b in item_blocks(benchmark, item_col, text_col, block_words)]
-    extra = [c for c in keep if c != id_col]
-    source = documents.select(id_col, text_col, *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(extra)])
-    schema = f"`{id_col}` {id_field.dataType.simpleString()}, " + "".join(f"_keep{i} {documents.schema[c].dataType.simpleString()}, " for i, c in enumerate(extra)) + "n_words bigint, n_hit bigint, items array<string>"
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def windows_of(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
+    """(item, phrase, terms): every window of every item; phrase is a digest of its terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _WordHashes()
         for batch in batches:
-            at = 0
-            for ids, texts in segments(iter([batch])):
-                hit: list[set[int]] = [set() for _ in texts]
-                items: list[set] = [set() for _ in texts]
-                lengths = None
-                for block in blocks:
-                    lengths, got, found = _hits(texts, block.value)
-                    for i in range(len(texts)):
-                        if len(got[i]):
-                            hit[i].update(got[i].tolist())
-                            items[i] |= found[i]
-                rows = [ids, *(batch.column(2 + k).slice(at, len(texts)) for k in range(len(extra)))]
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows, pa.array(lengths, pa.int64()), pa.array([len(h) for h in hit], pa.int64()), pa.array([sorted(str(x) for x in s if x is not None) for s in items], pa.list_(pa.string()))],
-                    [id_col, *(f"_keep{k}" for k in range(len(extra))), "n_words", "n_hit", "items"],
-                )
-
-    out = source.mapInArrow(run, schema)
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                h = terms_of(text, memo)
+                n = min(window, len(h))
+                parts = [h[i : i + n] for i in range(len(h) - n + 1)] if n else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in parts], pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["item", "phrase", "terms"])
+
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    return cut(items.mapInArrow(run, "item string, phrase binary, terms array<bigint>").distinct())
+
+
+def index(docs: DataFrame, buckets: int) -> DataFrame:
+    """The stored index of (id, tk, text): per segment and bucket its terms in order, their numbers of postings and the
+    positions; and per segment, with a null bucket, its documents' ids, text keys, first positions and lengths."""
+    kind = docs.schema["id"].dataType.simpleString()
+    names = ["segment", "bucket", "terms", "counts", "positions", "ids", "tks", "starts", "lengths"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, number = _WordHashes(), TaskContext.get().partitionId() << 32
+        kept: list[tuple[pa.Array, pa.Array]] = []
+        arrays: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            lengths = np.array([len(a) for a in arrays], np.int64)
+            starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+            flat = np.concatenate(arrays)
+            positions = (np.arange(len(flat)) + np.repeat(np.arange(len(arrays)), lengths)).astype(np.int32)
+            order = np.argsort(flat, kind="stable")
+            order = order[np.argsort((flat[order] % buckets).astype(np.int32), kind="stable")]
+            flat, positions = flat[order], positions[order]
+            ends = np.searchsorted(flat % buckets, np.arange(buckets + 1))
+            rows: list[list] = [[], [], [], []]
+            for b in range(buckets):
+                part = flat[ends[b] : ends[b + 1]]
+                if len(part):
+                    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                    for c, x in zip(rows, (b, _packed(part[first]), _packed(np.diff(first, append=len(part)).astype(np.int32)), _packed(positions[ends[b] : ends[b + 1]]))):
+                        c.append(x)
+            n = len(rows[0])
+            ids, tks = (pa.concat_arrays([k[i] for k in kept]) for i in (0, 1))
+            none = [None] * n
+            listed = lambda x: pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(x)], pa.int32()), x, mask=pa.array([True] * n + [False]))
+            return pa.RecordBatch.from_arrays([pa.array([number] * (n + 1), pa.int64()), pa.array([*rows[0], None], pa.int32()), *(pa.array([*c, None], pa.binary()) for c in rows[1:]), listed(ids), listed(tks), pa.array([*none, starts], pa.list_(pa.int64())), pa.array([*none, lengths], pa.list_(pa.int64()))], names)
+
+        for batch in batches:
+            begin = 0
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                arrays.append(terms_of(text, memo))
+                size += len(text or "")
+                if size >= SEGMENT_BYTES or i == batch.num_rows - 1:
+                    kept.append((batch.column(0)[begin : i + 1], batch.column(1)[begin : i + 1]))
+                    begin = i + 1
+                if size >= SEGMENT_BYTES:
+                    yield flush()
+                    number, size = number + 1, 0
+                    kept.clear()
+                    arrays.clear()
+        if arrays:
+            yield flush()
+
+    return cut(docs.mapInArrow(run, f"segment bigint, bucket int, terms binary, counts binary, positions binary, ids array<{kind}>, tks array<bigint>, starts array<bigint>, lengths array<bigint>"))
+
+
+def _of_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of index rows with `wanted` terms: the postings of these."""
+    for batch in batches:
+        for segment, terms, counts, positions, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            t, n = _unpacked(terms, np.int64), _unpacked(counts, np.int32)
+            chosen = np.isin(t, np.array(wanted, np.int64))
+            if chosen.any():
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), *(pa.array([_packed(x)], pa.binary()) for x in (t[chosen], n[chosen], _unpacked(positions, np.int32)[np.repeat(chosen, n)]))], ["segment", "terms", "counts", "positions"])
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for segment, terms, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            t = _unpacked(terms, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([segment] * len(t), pa.int64()), pa.array(t), pa.array(_unpacked(counts, np.int32).astype(np.int64))], ["segment", "term", "n"])
+
+
+class Lists:
+    """Position lists of one segment's terms."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray):
+        ends = np.cumsum(counts)
+        order = np.argsort(terms)
+        self.terms, self.counts, self.begins = terms[order], counts[order], (ends - counts)[order]
+        self.positions = positions
+
+    def places(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the terms of phrases [phrase, place] stand among the lists, and which phrases have lists for all terms."""
+        at = np.minimum(np.searchsorted(self.terms, phrases), max(0, len(self.terms) - 1))
+        return at, (self.terms[at] == phrases).all(axis=1) if len(self.terms) else np.zeros(len(phrases), bool)
+
+    def of(self, k: int) -> np.ndarray:
+        return self.positions[self.begins[k] : self.begins[k] + self.counts[k]]
+
+    def phrase(self, at: np.ndarray) -> np.ndarray:
+        """First positions of the exact phrase, from the rarest term up."""
+        order = np.argsort(self.counts[at], kind="stable")
+        found = self.of(at[order[0]]) - order[0]
+        for k in order[1:]:
+            if not len(found):
+                break
+            other, want = self.of(at[k]), found + k
+            near = np.searchsorted(other, want)
+            found = found[(near < len(other)) & (other[np.minimum(near, len(other) - 1)] == want)]
+        return found
+
+    def near(self, at: np.ndarray, slop: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Positions of the rarest term with every other term at most slop words away, in the same document."""
+        at = np.unique(at)
+        order = at[np.argsort(self.counts[at], kind="stable")]
+        found = self.of(order[0])
+        doc = np.searchsorted(starts, found, "right") - 1
+        lo, hi = np.maximum(found - slop, starts[doc]), np.minimum(found + slop, starts[doc] + lengths[doc] - 1)
+        for k in order[1:]:
+            other = self.of(k)
+            ok = np.searchsorted(other, lo, "left") < np.searchsorted(other, hi, "right")
+            found, lo, hi = found[ok], lo[ok], hi[ok]
+        return found
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, window: int, slop: int | None, id_col: str, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (segment, place, id, tk, n_words); hits (segment, place, n_hit); matches (segment, place, at, item): exact
+    phrases (at is null), or with a slop the places of the rarest terms."""
+    docs = documents.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
+    windows = windows_of(benchmark, window, item_col, text_col)
+    phrases = windows.select("phrase", "terms").dropDuplicates(["phrase"])
+    terms = cut(phrases.select(F.explode("terms").alias("term")).distinct())
+    buckets = max(16, -(-terms.count() // BUCKET_TERMS))
+    stored = index(docs, buckets)
+    by_bucket = terms.groupBy(F.pmod("term", F.lit(buckets)).cast("int").alias("bucket")).agg(F.collect_list("term").alias("wanted"))
+    lists = stored.where("bucket is not null").select("segment", "bucket", "terms", "counts", "positions").join(by_bucket, "bucket").select("segment", "terms", "counts", "positions", "wanted")
+    lists = cut(lists.mapInArrow(_of_terms, "segment bigint, terms binary, counts binary, positions binary"))
+    seen = cut(lists.select("segment", "terms", "counts").mapInArrow(_term_counts, "segment bigint, term bigint, n bigint"))
+    counts = seen.groupBy("term").agg(F.sum("n").alias("n"))
+    each = phrases.select("phrase", "terms", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term")
+    rarest = each.groupBy("phrase").agg(F.first("terms").alias("terms"), F.count("*").alias("known"), F.min(F.struct("n", "term")).alias("r")).where(F.col("known") == F.size(F.array_distinct("terms")))
+    asked = rarest.select("phrase", "terms", F.col("r.term").alias("term")).join(seen.select("segment", "term"), "term").select("segment", "phrase", "terms")
+    parts = lists.select("segment", "terms", "counts", "positions", F.lit(None).cast("array<bigint>").alias("starts"), F.lit(None).cast("array<bigint>").alias("lengths"))
+    parts = parts.union(stored.where("bucket is null").select("segment", "terms", "counts", "positions", "starts", "lengths"))
+
+    def intersect(left: pa.Table, right: pa.Table) -> pa.Table:
+        cols: list[list] = [[], [], [], [], []]
+        if left.num_rows and right.num_rows:
+            rows = left.to_pylist()
+            ends = next(r for r in rows if r["starts"] is not None)
+            starts, lengths = np.array(ends["starts"], np.int64), np.array(ends["lengths"], np.int64)
+            rows = [r for r in rows if r["starts"] is None]
+            lists = Lists(*(np.concatenate([_unpacked(r[c], kind) for r in rows] or [np.zeros(0, kind)]) for c, kind in (("terms", np.int64), ("counts", np.int32), ("positions", np.int32))))
+            segment, names, wanted = left["segment"][0].as_py(), right["phrase"].to_pylist(), right["terms"].to_pylist()
+            hit = np.zeros(int(starts[-1] + lengths[-1]) + 2, np.int32)
+            for n in {len(w) for w in wanted}:
+                which = [k for k, w in enumerate(wanted) if len(w) == n]
+                at, able = lists.places(np.array([wanted[k] for k in which], np.int64))
+                for i in np.flatnonzero(able).tolist():
+                    found = lists.phrase(at[i]) if slop is None else lists.near(at[i], slop, starts, lengths)
+                    if not len(found):
+                        continue
+                    doc = np.searchsorted(starts, found, "right") - 1
+                    if slop is None:
+                        np.add.at(hit, found, 1)
+                        np.add.at(hit, found + n, -1)
+                        places, where = np.unique(doc).tolist(), None
+                    else:
+                        places, where = doc.tolist(), found.tolist()
+                    for c, x in zip(cols, ([segment] * len(places), places, [None] * len(places), [names[which[i]]] * len(places), where or [None] * len(places))):
+                        c += x
+            covered = np.concatenate(([0], np.cumsum(np.cumsum(hit) > 0)))
+            n_hit = covered[starts + lengths] - covered[starts]
+            dirty = np.flatnonzero(n_hit)
+            for c, x in zip(cols, ([segment] * len(dirty), dirty.tolist(), n_hit[dirty].tolist(), [None] * len(dirty), [None] * len(dirty))):
+                c += x
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["segment", "place", "n_hit", "phrase", "at"])
+
+    out = cut(parts.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(intersect, "segment bigint, place bigint, n_hit bigint, phrase binary, at bigint"))
+    met = out.where("phrase is not null").select("segment", "place", "phrase", "at")
+    often = met.groupBy("phrase").agg(F.count("*").alias("n"))
+    named = windows.select("phrase", "item").join(often, "phrase")
+    matches = hot_join(met, named, ["phrase"], "n", met.count(), ["segment", "place"]).select("segment", "place", "at", "item")
+    zipped = F.arrays_zip(F.col("ids").alias("id"), F.col("tks").alias("tk"), F.col("lengths").alias("n_words"))
+    listed = stored.where("bucket is null").select("segment", F.posexplode(zipped).alias("place", "d")).select("segment", F.col("place").cast("bigint").alias("place"), F.col("d.id").alias("id"), F.col("d.tk").alias("tk"), F.col("d.n_words").alias("n_words"))
+    return listed, out.where("n_hit is not null").select("segment", "place", "n_hit"), matches
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """Per document: id, tk (its text's key), n_words, n_hit, n_items, items (array, sorted as strings), contaminated.
+
+    A word is hit inside any occurrence of a window. Contaminated: at least one in `share` words is hit.
+    """
+    docs, hits, matches = _found(documents, benchmark, window, None, id_col, text_col, item_col)
+    items = matches.distinct().groupBy("segment", "place").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item")).alias("items"))
     dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
-    return out.select(F.col(id_col).alias("_id"), *[F.col(f"_keep{i}") for i in range(len(extra))], "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", dirty.alias("contaminated")), extra
+    out = docs.join(hits.join(items, ["segment", "place"], "left"), ["segment", "place"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("bigint"))
+    return out.select("id", "tk", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), dirty.alias("contaminated"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items (array, sorted as strings), contaminated. Options as for judged()."""
-    found, _ = judged(documents, benchmark, id_col=id_col, **options)
-    return found.withColumnRenamed("_id", id_col)
+    return judged(documents, benchmark, id_col=id_col, **options).drop("tk").withColumnRenamed("id", id_col)
 
 
-def proximity(documents: DataFrame, benchmark: DataFrame, *, terms: int = 5, slop: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+def proximity(documents: DataFrame, benchmark: DataFrame, *, terms: int = 5, slop: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item_id as string, n_places): places in a document where `terms` consecutive words of an item lie, in any order,
     at most `slop` words from the rarest of them. Same cases as contamination()."""
-    spark = documents.sparkSession
-    blocks = [spark.sparkContext.broadcast(Phrases(b, terms)) for b in item_blocks(benchmark, item_col, text_col, block_words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in segments(batches):
-            places: dict[tuple[int, str], set[int]] = {}
-            for block in blocks:
-                seg = Segment(texts, block.value.terms)
-                for numbers, rows in block.value.groups:
-                    for k in np.flatnonzero(seg.counts[rows].min(axis=1) > 0):
-                        at = seg.near(rows[k], slop)
-                        for d, p in zip(seg.document(at).tolist(), at.tolist()):
-                            for item in block.value.items[numbers[k]]:
-                                places.setdefault((d, str(item)), set()).add(p)
-            keys = sorted(places)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array([d for d, _ in keys], pa.int64())), pa.array([i for _, i in keys], pa.string()), pa.array([len(places[k]) for k in keys], pa.int64())], [id_col, item_col, "n_places"])
-
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, `{item_col}` string, n_places bigint")
+    docs, _, matches = _found(documents, benchmark, terms, slop, id_col, text_col, item_col)
+    found = matches.groupBy("segment", "place", "item").agg(F.count_distinct("at").alias("n_places"))
+    return docs.join(found, ["segment", "place"]).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_places")
 
 
 def items_digest(items) -> str:
@@ -214,15 +280,15 @@ def items_digest(items) -> str:
 
 def op8(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(documents, benchmark)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    id_col = options.get("id_col", "doc_id")
-    found, extra = judged(documents, benchmark, keep=tuple(documents.columns), **options)
-    clean = found.where(~F.col("contaminated"))
-    return clean.select(*[F.col("_id" if c == id_col else f"_keep{extra.index(c)}").alias(c) for c in documents.columns])
+    key = fresh("_text_key", documents)
+    dirty = judged(documents, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("id").alias(fresh("_dirty_id", documents)), F.col("tk").alias(fresh("_dirty_key", documents))).distinct()
+    docs = documents.withColumn(key, text_key(F.col(text_col)))
+    return docs.join(dirty, F.col(id_col).eqNullSafe(F.col(dirty.columns[0])) & (F.col(key) == F.col(dirty.columns[1])), "left_anti").drop(key)
 
 
 ORACLE_SQL = r"""

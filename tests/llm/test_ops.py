@@ -88,7 +88,7 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
-def test_decontamination(spark, corpus):
+def test_decontamination(spark, corpus, monkeypatch):
     r = random.Random(9)
     items = [prose(r, 30), "short item", None, "", corpus[20].split("\n")[0] + " " + corpus[30].split("\n")[0], "one Two THREE", " ".join((corpus[25] or "x").split()[:14])]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
@@ -98,8 +98,10 @@ def test_decontamination(spark, corpus):
         w = words(t)
         for k in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[k : k + 13])].add(i)
-    for block in (decontamination.BLOCK_WORDS, 3):
-        out = {x["doc_id"]: x for x in decontamination.contamination(docs_of(spark, corpus), bench, block_words=block).collect()}
+    for size, terms in ((decontamination.SEGMENT_BYTES, decontamination.BUCKET_TERMS), (700, 3)):
+        monkeypatch.setattr(decontamination, "SEGMENT_BYTES", size)
+        monkeypatch.setattr(decontamination, "BUCKET_TERMS", terms)
+        out = {x["doc_id"]: x for x in decontamination.contamination(docs_of(spark, corpus), bench).collect()}
         for d, t in enumerate(corpus):
             w, hit, found = words(t), set(), set()
             for g, ids in windows.items():
@@ -111,7 +113,7 @@ def test_decontamination(spark, corpus):
             assert (x["n_words"], x["n_hit"], x["items"]) == (len(w), len(hit), sorted(map(str, found)))
             assert x["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
     kept = decontamination.decontaminate(docs_of(spark, corpus).withColumn("items", F.lit(1)), bench)
-    assert kept.columns[-1] == "items"
+    assert kept.columns[-1] == "items" and sorted(x["doc_id"] for x in kept.collect()) == [d for d in range(len(corpus)) if not out[d]["contaminated"]]
 
 
 def test_proximity(spark):
