@@ -9,33 +9,39 @@ Record ids are name-based: equal sources get equal ids in every run, so a rerun
 
 Cases: a null url gives an empty target URI, a null page an empty payload; both still give all records. Repeated rows give
 repeated records with equal ids. An empty table gives no records. Extra columns are ignored. Unclosed comments, scripts and
-tags end with the page.
+tags end with the page; work grows with a page's length, also that of broken pages.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
+RECORD_START = "\r\n\r\nWARC/1."
 SPACE = uuid.UUID("8f4a7f5e-53c9-4b87-9d5a-2f3e1c6b7a90")
 
-_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)")
-_BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"""<[!/?a-zA-Z](?:"[^"]*"|'[^']*'|[^'">])*(?:>|\Z)""")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LANG = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""")
-_CHARSET = re.compile(r"""(?i)<meta\b[^>]*?\bcharset\s*=\s*["']?([\w-]+)""")
-_LINK = re.compile(r"""(?i)<(a|area|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# Elements whose content shows nothing, elements that begin a line, and attributes that link.
+HIDDEN = ("script", "style", "noscript", "template")
+BREAKS = frozenset("address article aside blockquote body br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
+LINKING = frozenset("a area link img script iframe".split())
+
+_OPEN = re.compile(r"<(!--|[!/?a-zA-Z])")
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_STOP = re.compile("[\"'>]")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in (*HIDDEN, "title")}
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([\w-]+)""")
+_CHARSET = re.compile(r"""(?i)\bcharset\s*=\s*["']?([\w-]+)""")
+_LINK = re.compile(r"""(?i)\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 RECORD = "record_type string, record_id string, target_uri string, date string, refers_to string, concurrent_to string, content_type string, block string, block_digest string, payload_digest string, source_payload_digest string, source_block_digest string"
 
@@ -48,17 +54,71 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(0).join(parts))}>"
 
 
-def plain_text(page: str) -> str:
-    """The text that a page shows: blocks on lines of their own, entities decoded, runs of space as one."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+@dataclass
+class Page:
+    """What one pass over a page finds."""
+
+    text: str = ""
+    title: str = ""
+    language: str = ""
+    charset: str = ""
+    links: list[tuple[str, str]] = field(default_factory=list)
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Behind the first > outside quotes; a quote that nothing closes is a character like others."""
+    while stop := _STOP.search(page, at):
+        c, at = stop[0], stop.end()
+        if c == ">":
+            return at
+        if last[c] >= at:
+            at = page.index(c, at) + 1
+    return len(page)
+
+
+def parse(page: str) -> Page:
+    """Text (blocks on lines of their own, entities decoded, runs of space as one), title, language, character set and the links
+    in order without repeats. One pass whose work grows with the page's length, however broken the page is."""
+    out, parts, found, at, titled = Page(), [], {}, 0, False
+    last = {c: page.rfind(c) for c in "\"'"}
+    while opening := _OPEN.search(page, at):
+        begin = opening.start()
+        parts.append(page[at:begin])
+        if opening[1] == "!--":
+            at = page.find("-->", begin + 4)
+            at = len(page) if at < 0 else at + 3
+            parts.append(" ")
+            continue
+        at = _tag_end(page, begin + 1, last)
+        named = _NAME.match(page, begin, at)
+        name = named[1].lower() if named else ""
+        if name in BREAKS:
+            parts.append("\n")
+        if not name or page[begin + 1] == "/":
+            continue
+        if name in LINKING and (m := _LINK.search(page, begin, at)):
+            address = html.unescape(m[2] or m[3] or m[4] or "").strip()
+            if address:
+                found[(address, f"{name}/@{m[1].lower()}")] = None
+        elif name == "html" and not out.language and (m := _LANG.search(page, begin, at)):
+            out.language = m[1]
+        elif name == "meta" and not out.charset and (m := _CHARSET.search(page, begin, at)):
+            out.charset = m[1]
+        elif name == "title" and not titled:
+            titled, m = True, _CLOSE["title"].search(page, at)
+            out.title = " ".join(html.unescape(page[at : m.start()]).split()) if m else ""
+        if name in HIDDEN:
+            m = _CLOSE[name].search(page, at)
+            at = m.end() if m else len(page)
+            parts.append(" ")
+    parts.append(page[at:])
+    lines = (" ".join(x.split()) for x in html.unescape("".join(parts)).split("\n"))
+    out.text, out.links = "\n".join(x for x in lines if x), list(found)
+    return out
 
 
-def links(page: str) -> list[tuple[str, str]]:
-    """(address, where) of a page's links, in order, without repeats."""
-    found = ((html.unescape(a or b or c).strip(), f"{tag.lower()}/@{attr.lower()}") for tag, attr, a, b, c in _LINK.findall(_DROP.sub(lambda m: m[0].split(">", 1)[0] + ">" if m[1] else " ", page)))
-    return list(dict.fromkeys(x for x in found if x[0]))
+def plain_text(page: str) -> str:
+    return parse(page).text
 
 
 def http_response(page: str) -> str:
@@ -92,12 +152,12 @@ def derive(records: DataFrame, *, id_col: str = "page_id") -> DataFrame:
                 keys, rows = [], []
                 for i, r in enumerate(part.to_pylist()):
                     headers, _, page = (r["block"] or "").partition("\r\n\r\n")
-                    text, source = plain_text(page), r["record_id"] or ""
+                    seen, source = parse(page), r["record_id"] or ""
+                    text = seen.text
                     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
-                    first = lambda p: " ".join(html.unescape(m[1]).split()) if (m := p.search(page)) else ""
-                    fields = [("title", first(_TITLE)), ("languages-html", first(_LANG)), ("charset-html", first(_CHARSET)), ("source-record-id", source), ("source-payload-digest", r["payload_digest"] or ""), ("source-block-digest", r["block_digest"] or "")]
+                    fields = [("title", seen.title), ("languages-html", seen.language), ("charset-html", seen.charset), ("source-record-id", source), ("source-payload-digest", r["payload_digest"] or ""), ("source-block-digest", r["block_digest"] or "")]
                     fields += [("source-http-" + k.strip().lower(), v.strip()) for k, _, v in (h.partition(":") for h in headers.split("\r\n")[1:]) if k]
-                    fields += [("outlink", f"{a} L {where}") for a, where in links(page)]
+                    fields += [("outlink", f"{a} L {where}") for a, where in seen.links]
                     meta = "".join(f"{k}: {v}\r\n" for k, v in fields if v)
                     for kind, own, other, content, block in (("metadata", meta_id, text_id, "application/warc-fields", meta), ("conversion", text_id, meta_id, "text/plain; charset=utf-8", text)):
                         keys.append(i)
@@ -126,24 +186,34 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers map, block) of the records in WARC files, plain or gzip, cut by their Content-Length. A file is one task's."""
+    """(headers map, block) of the records in WARC/1.x files, plain or gzip. Spark's text reader cuts the files where a record
+    begins, so a task holds a record, not a file; a block that holds such a place itself is put together by its length."""
+
+    def record(piece: bytes) -> tuple[list[tuple[str, str]], bytes, int]:
+        head, _, block = piece.partition(b"\r\n\r\n")
+        pairs = [(k, v) for k, _, v in (h.partition(": ") for h in head.decode("utf-8", "replace").split("\r\n")[1:])]
+        return pairs, block, int(next(v for k, v in pairs if k.lower() == "content-length"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_piece = b""
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                heads, blocks, at = [], [], 0
-                while (end := data.find(b"\r\n\r\n", at)) >= 0:
-                    pairs = [h.partition(": ") for h in data[at:end].decode().split("\r\n")[1:]]
-                    n = int(next(v for k, _, v in pairs if k.lower() == "content-length"))
-                    heads.append([(k, v) for k, _, v in pairs])
-                    blocks.append(data[end + 4 : end + 4 + n])
-                    at = end + 8 + n
-                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], ["headers", "block"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, block binary")
+            heads, blocks = [], []
+            for piece in batch.column(0).to_pylist():
+                piece = open_piece + piece
+                pairs, block, n = record(piece)
+                if len(block) < n:
+                    open_piece = piece + RECORD_START.encode()
+                    continue
+                open_piece = b""
+                heads.append(pairs)
+                blocks.append(block[:n])
+            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], ["headers", "block"])
+        if open_piece:
+            raise ValueError("a record ends before its Content-Length")
+
+    return spark.read.option("lineSep", RECORD_START).text(path).select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "headers map<string,string>, block binary")
 
 
 def op3(pages: DataFrame) -> DataFrame:
     found = derive(responses(pages))
-    return found.select("page_id", "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", F.length(F.col("block").cast("binary")).cast("bigint").alias("content_length"), "block_digest", "source_payload_digest", "source_block_digest", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))
+    return found.select("page_id", "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", F.length(F.col("block").cast("binary")).cast("bigint").alias("content_length"), "block_digest", "source_payload_digest", "source_block_digest", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"), "block")

@@ -261,6 +261,30 @@ def test_warc(spark, tmp_path):
     assert all(r["headers"]["WARC-Block-Digest"] == warc.digest(bytes(r["block"])) for r in back)
 
 
+def test_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<a ", "<script", "<!--", "<a href='", '<meta charset="', "<title>", "</script ", "<html lang=", "<style>x", "<b 'x\">"):
+        began = time.process_time()
+        warc.parse(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - began < 10, piece
+
+
+def test_parse():
+    page = warc.parse("<html lang=de><title>T &amp; U</title><body><p title='a > b'>one</p>x<br/>y <i>z</i><!-- c --><style>s</style><img src=i.png><a href=\"i.png\">k</a><a href=''>e</a>1 < 2 & don't <b don't>q")
+    assert page.text == "T & U\none\nx\ny z k e 1 < 2 & don't q".replace(" k e 1", " ke1") and (page.title, page.language, page.charset) == ("T & U", "de", "")
+    assert page.links == [("i.png", "img/@src"), ("i.png", "a/@href")]
+
+
+def test_warc_blocks_that_hold_records(spark, tmp_path):
+    inner = "HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\nContent-Length: 3\r\n\r\nabc"
+    pages = spark.createDataFrame([(k, f"http://x/{k}", inner + "é" * k) for k in range(4)], "page_id bigint, url string, html string")
+    sources = warc.responses(pages)
+    warc.write_warc(sources, str(tmp_path / "w"), "none")
+    back = warc.read_warc(spark, str(tmp_path / "w"))
+    assert sorted(bytes(r["block"]).decode() for r in back.collect()) == sorted(r["block"] for r in sources.collect())
+
+
 URLS = ["https://www.example.com/en/7?x", "http://A.Example.COM/en/8#y", "https://x.net/de/1", "https://m.example.net/de/85", "http://site.org/es/", "http://notexample.com.evil.info/en/", "nothing", None, "", "https://h?q=/en/", "a://b://c/d", "https://casino-win.example.net/fr/1", "https://plain.example.net/fr/1"]
 
 
