@@ -87,8 +87,8 @@ def cut(df: DataFrame) -> DataFrame:
 HOT_SHARE, SALTS = 512, 64
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, spread: list[str]) -> DataFrame:
-    """left joined with right on keys; right has unique keys, and `rows` says how many rows of left hold each.
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, inner or left; right has unique keys, and `rows` says how many rows of left hold each.
 
     Rows of hot keys are dealt to SALTS parts by a hash of the columns of spread, and the hot rows of right go to each part.
     Only the hot keys, fewer than HOT_SHARE, are broadcast.
@@ -99,7 +99,7 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, tota
     left = left.join(F.broadcast(few), keys, "left")
     left = left.withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop(mark)
     right = right.withColumn(salt, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, salt]).drop(salt)
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -1,11 +1,13 @@
 """Licence scans: sparse TF-IDF cosine to licence templates, then inheritance from the nearest ancestor directory.
 
 Every line of a text and the text as a whole are vectors of words; a word weighs its count times ln((1 + n) / (1 + df)) + 1,
-with df the number of the n lines of all texts that hold it. Words that no template holds weigh as if df were 0: they only
-lengthen a line's vector, so the table that goes to the tasks is as large as the templates, whatever the corpus. Notices wrapped
-over lines are found as blocks: 2 to BLOCK_LINES consecutive lines, lines without words left out, count where they reach
-THRESHOLD. The best cosine over lines, blocks, whole text and templates is a file's own licence if it reaches THRESHOLD (of ties
-the first template).
+with df the number of the n lines of all texts that hold it. Notices wrapped over lines are found as blocks: 2 to BLOCK_LINES
+consecutive lines, lines without words left out. The best cosine over lines, blocks, whole text and templates is a file's own
+licence if it reaches THRESHOLD (of ties the first template); below that a file has no score.
+
+Frequencies of all words are counted once. Those of template words go to the tasks, which drop the texts that could not reach
+the threshold even if all their other words weighed 1, the least there is. The few texts left, each once however many copies it
+has, are joined with the frequencies of their own words and scored exactly.
 
 A licence file lends its licence to its directory (the best score, then the least path). A file without a licence of its own
 takes that of the nearest directory above it that has one. Directories, not files, are joined with their ancestors, one row
@@ -18,18 +20,19 @@ columns of any name are kept by scan().
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_field, words_of
+from .common import cut, fresh, hot_join, text_key, words_of
 
 THRESHOLD, BLOCK_LINES = 0.6, 40
-#: In the query, texts of so many words at most that have a licence are the licence files of their directory.
-NOTICE_WORDS = 200
+_FLUSH_WORDS = 500_000
 
 # How files and works commonly state these licences.
 TEMPLATES = (
@@ -65,156 +68,199 @@ class Templates:
         self.counts = np.array([np.bincount([self.terms[w] for w in ws], minlength=len(self.terms)) for ws in lists], np.float64)
 
     def weigh(self, df: np.ndarray, lines: int) -> None:
+        self.lines = lines
         self.idf = np.log((1 + lines) / (1 + df)) + 1
-        self.rare = float(np.log(1 + lines) + 1)
         v = self.counts * self.idf
         self.vectors = v / np.linalg.norm(v, axis=1, keepdims=True)
 
-    def best(self, lists: list[list[bytes]], threshold: float = THRESHOLD) -> tuple[int, float]:
-        """(template, cosine) over the lists of words, their blocks and all of them together."""
+    def squares(self, words: Iterable[bytes], frequencies: dict[bytes, int] | None) -> float:
+        """Sum of the squared weights of the words that no template holds; without their frequencies the least it can be."""
+        own: dict[bytes, int] = {}
+        for w in words:
+            if w not in self.terms:
+                own[w] = own.get(w, 0) + 1
+        if frequencies is None:
+            return float(sum(c * c for c in own.values()))
+        return sum((c * (math.log((1 + self.lines) / (1 + frequencies.get(w, 0))) + 1)) ** 2 for w, c in own.items())
+
+    def best(self, lists: list[list[bytes]], frequencies: dict[bytes, int] | None, threshold: float = THRESHOLD) -> tuple[int, float, float]:
+        """(template, cosine, cosine of the whole text) over the lists of words, their blocks and all of them together."""
         lists = [ws for ws in lists if ws]
         get, n, size = self.terms.get, len(self.terms), len(lists)
         flat = np.fromiter((get(w, n) for ws in lists for w in ws), np.int64)
         line = np.repeat(np.arange(size), [len(ws) for ws in lists])
         known = flat < n
         if not known.any():
-            return -1, 0.0
+            return -1, 0.0, 0.0
         rows, at = np.unique(line[known], return_inverse=True)
         counts = np.bincount(at * n + flat[known], minlength=len(rows) * n).reshape(len(rows), n).astype(np.float64)
-        # Words outside the templates by their own counts: their squares lengthen the vector.
-        other: dict[int, dict[bytes, int]] = {}
-        for r in rows.tolist():
-            own = other.setdefault(r, {})
-            for w in lists[r]:
-                if w not in self.terms:
-                    own[w] = own.get(w, 0) + 1
-        extra = np.array([sum(c * c for c in other[r].values()) for r in rows.tolist()], np.float64)
-        whole: dict[bytes, int] = {}
-        for ws in lists:
-            for w in ws:
-                if w not in self.terms:
-                    whole[w] = whole.get(w, 0) + 1
-        blocks = self.blocks(lists, rows, counts, line[~known], threshold)
-        counts, extra = np.vstack([counts, counts.sum(axis=0)]), np.append(extra, sum(c * c for c in whole.values()))
+        blocks = self.blocks(lists, rows, counts, line[~known], frequencies, threshold)
+        counts = np.vstack([counts, counts.sum(axis=0)])
         v = counts * self.idf
-        cosine = (v @ self.vectors.T) / np.sqrt((v * v).sum(axis=1) + extra * self.rare**2)[:, None]
+        top, square = v @ self.vectors.T, (v * v).sum(axis=1)
+        # Only lines that could reach the threshold are worth the weights of their other words.
+        able = top.max(axis=1) >= threshold * np.sqrt(square) * (1 - 1e-9)
+        extra = np.array([self.squares((w for ws in lists for w in ws) if i == len(rows) else lists[rows[i]], frequencies) if able[i] else 0.0 for i in range(len(v))])
+        cosine = np.where(able[:, None], top / np.sqrt(square + extra)[:, None], 0.0)
+        whole = float(cosine[-1].max())
         cosine = np.vstack([cosine, blocks])
         k = int(cosine.max(axis=0).argmax())
-        return k, float(cosine[:, k].max())
+        return k, float(cosine[:, k].max()), whole
 
-    def blocks(self, lists: list[list[bytes]], rows: np.ndarray, counts: np.ndarray, unknown: np.ndarray, threshold: float) -> np.ndarray:
+    def blocks(self, lists: list[list[bytes]], rows: np.ndarray, counts: np.ndarray, unknown: np.ndarray, frequencies: dict[bytes, int] | None, threshold: float) -> np.ndarray:
         """[block, template]: the cosines of the blocks that reach the threshold.
 
-        A block that begins or ends with a line without template words is no better than the shorter one. With the sum of its
-        lines' norms and with its other words as if all were different, a block's cosine is bounded before it is computed.
+        A block that begins or ends with a line without template words is no better than the shorter one. Dot products
+        add up over lines; with the other words as if all were different and weighed 1, a block's cosine is bounded first.
         """
         n, size = len(self.terms), len(lists)
-        norms, others = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-        norms[rows + 1] = np.linalg.norm(counts * self.idf, axis=1)
-        others[1:] = np.bincount(unknown, minlength=size)
-        norms, others = norms.cumsum(), others.cumsum()
-        far = rows[None, :] - rows[:, None] if len(rows) <= BLOCK_LINES else None
-        if far is not None:
-            a, b = np.nonzero((far > 0) & (far < BLOCK_LINES))
-        else:
-            a, step = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(1, BLOCK_LINES), indexing="ij"))
-            b = a + step
-            a, b = a[b < len(rows)], b[b < len(rows)]
-            near = rows[b] - rows[a] < BLOCK_LINES
-            a, b = a[near], b[near]
+        others = np.concatenate(([0], np.bincount(unknown, minlength=size).cumsum()))
+        a, step = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(1, BLOCK_LINES), indexing="ij"))
+        b = a + step
+        a, b = a[b < len(rows)], b[b < len(rows)]
+        near = rows[b] - rows[a] < BLOCK_LINES
+        a, b = a[near], b[near]
         first, end = rows[a], rows[b] + 1
-        most, least = (norms[end] - norms[first]) ** 2, (others[end] - others[first]) * self.rare**2
-        able = most * (1 - threshold**2) >= threshold**2 * least * (1 - 1e-9)
+        dots = (counts * self.idf) @ self.vectors.T
+        upto = np.vstack([np.zeros((1, dots.shape[1])), dots.cumsum(axis=0)])
         out, sums = [np.zeros((0, len(self.names)))], np.vstack([np.zeros((1, n)), counts.cumsum(axis=0)])
-        a, b, first, end, least = a[able], b[able], first[able], end[able], least[able]
         for at in range(0, len(a), 1024):
             part = slice(at, at + 1024)
-            v = (sums[b[part] + 1] - sums[a[part]]) * self.idf
-            top, square = v @ self.vectors.T, (v * v).sum(axis=1)
-            for i in np.flatnonzero((top.max(axis=1) >= (threshold - 1e-9) * np.sqrt(square + least[part]))).tolist():
-                own: dict[bytes, int] = {}
-                for ws in lists[first[at + i] : end[at + i]]:
-                    for w in ws:
-                        if w not in self.terms:
-                            own[w] = own.get(w, 0) + 1
-                cosine = top[i] / np.sqrt(square[i] + sum(c * c for c in own.values()) * self.rare**2)
+            x, y = a[part], b[part]
+            top, least = upto[y + 1] - upto[x], (others[end[part]] - others[first[part]]).astype(np.float64)
+            able = np.flatnonzero(top.max(axis=1) >= threshold * np.sqrt(least) * (1 - 1e-9))
+            if not len(able):
+                continue
+            v = (sums[y[able] + 1] - sums[x[able]]) * self.idf
+            square = (v * v).sum(axis=1)
+            for j in np.flatnonzero(top[able].max(axis=1) >= (threshold - 1e-9) * np.sqrt(square + least[able])).tolist():
+                i = int(able[j])
+                extra = self.squares((w for ws in lists[first[at + i] : end[at + i]] for w in ws), frequencies)
+                cosine = top[i] / np.sqrt(square[j] + extra)
                 if cosine.max() >= threshold:
                     out.append(cosine[None, :])
         return np.vstack(out)
 
 
-def line_frequencies(files: DataFrame, text_col: str, templates: Templates) -> tuple[np.ndarray, int]:
-    """In how many lines each template word occurs, and the number of lines, over all texts."""
+def word_key(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) - 2**63
+
+
+def line_frequencies(files: DataFrame, text_col: str) -> DataFrame:
+    """(word, df): in how many lines of all texts each word, by its 64-bit hash, occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = templates.terms
+        seen: dict[bytes, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(map(word_key, seen)), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "df"])
+
         for batch in batches:
-            df, lines = np.zeros(len(terms) + 1, np.int64), 0
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
-                    lines += 1
-                    for w in terms.keys() & set(words_of(line)):
-                        df[terms[w]] += 1
-            df[-1] = lines
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df), dtype=np.int32)), pa.array(df)], ["term", "n"])
+                    for w in set(words_of(line)):
+                        seen[w] = seen.get(w, 0) + 1
+                if len(seen) >= _FLUSH_WORDS:
+                    yield flush()
+                    seen.clear()
+        yield flush()
+
+    return cut(files.select(text_col).mapInArrow(run, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")))
 
-    out = np.zeros(len(templates.terms) + 1, np.int64)
-    for term, n in files.select(text_col).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n")).collect():
-        out[term] = n
-    return out[:-1], int(out[-1])
 
+OWN = "struct<licence:string,score:double,whole:double>"
 
-def own_licences(files: DataFrame, *, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files with _own: struct of the licence that the text itself states (null below the threshold), score and words."""
+
+def own_licences(files: DataFrame, *, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, keep: tuple[str, ...] | None = None, own_col: str = "_own") -> DataFrame:
+    """The columns of keep (all by default) and own_col: licence that the text itself states, score, and cosine of the whole
+    text to its best template; all null below the threshold."""
     known = Templates(templates)
-    known.weigh(*line_frequencies(files, text_col, known))
+    frequencies = line_frequencies(files, text_col)
+    lines = files.agg(F.sum(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")))).first()[0] or 0
+    numbers = {word_key(w): i for w, i in known.terms.items()}
+    df = np.zeros(len(numbers), np.int64)
+    for word, n in frequencies.where(F.col("word").isin(list(numbers))).collect():
+        df[numbers[word]] = n
+    known.weigh(df, lines)
     sent = files.sparkSession.sparkContext.broadcast(known)
-    place = files.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(text: str) -> list[list[bytes]]:
+        return [words_of(x) for x in text.split("\n")]
+
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = sent.value
+        for batch in batches:
+            texts, chosen, words = batch.column(1).to_pylist(), [], []
+            for i, text in enumerate(texts):
+                lists = split(text or "")
+                if used.best(lists, None, threshold)[1] >= threshold * (1 - 1e-9):
+                    chosen.append(i)
+                    words.append([word_key(w) for w in {w for ws in lists for w in ws} - used.terms.keys()])
+            at = pa.array(chosen, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.list_(pa.int64()))], ["tk", "text", "words"])
+
+    texts = files.select(text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
+    found = cut(texts.mapInArrow(able, "tk bigint, text string, words array<bigint>"))
+    copies = cut(found.groupBy("tk").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("words").alias("words")))
+    met = copies.select("tk", F.explode("words").alias("word")).join(frequencies, "word").groupBy("tk").agg(F.collect_list(F.struct("word", "df")).alias("met"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = sent.value
         for batch in batches:
-            found = []
-            for text in batch.column(place).to_pylist():
-                lists = [words_of(x) for x in (text or "").split("\n")]
-                k, score = used.best(lists, threshold)
-                found.append({"licence": used.names[k] if score >= threshold else None, "score": score, "words": sum(map(len, lists))})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.struct([("licence", pa.string()), ("score", pa.float64()), ("words", pa.int64())]))], [*batch.schema.names, "_own"])
+            own = []
+            for text, met in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                lists, counted = split(text or ""), {m["word"]: m["df"] for m in met or ()}
+                k, best, whole = used.best(lists, {w: counted[word_key(w)] for ws in lists for w in ws if w not in used.terms}, threshold)
+                own.append({"licence": used.names[k], "score": best, "whole": whole} if best >= threshold else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.struct([("licence", pa.string()), ("score", pa.float64()), ("whole", pa.float64())]))], ["tk", "n", "own"])
 
-    return files.mapInArrow(run, with_field(files, "_own", "struct<licence:string,score:double,words:bigint>"))
+    scored = cut(copies.join(met, "tk", "left").select("tk", "n", "text", "met").mapInArrow(score, f"tk bigint, n bigint, own {OWN}").where("own is not null"))
+    key = fresh("_text_key", files)
+    scored = scored.toDF(key, fresh("_copies", files), own_col)
+    names = files.columns if keep is None else keep
+    keyed = files.select(*[F.col(f"`{c}`") for c in names], text_key(F.col(text_col)).alias(key))
+    out = hot_join(keyed, scored, [key], scored.columns[1], files.count(), list(names), how="left")
+    return out.select(*[F.col(f"`{c}`") for c in names], own_col)
 
 
 def parent(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), r"/+$", "")
 
 
-def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", is_licence_file: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files with _own, _licence (own or inherited), _via ('own', 'inherited' or null) and _from (the lending directory).
+def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", is_licence_file: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns of keep (all by default), _own, _licence (own or inherited), _via ('own', 'inherited' or null) and _from (the
+    lending directory); of these four, names that the files have are lengthened by underscores.
 
     is_licence_file tells which files with a licence lend it to their directory; by default those named LICENSE, LICENCE,
     COPYING or NOTICE, with any ending.
     """
+    names = list(files.columns if keep is None else keep)
+    own_name, licence, via, source = (fresh(c, files) for c in ("_own", "_licence", "_via", "_from"))
     if is_licence_file is None:
         is_licence_file = F.col(path_col).rlike(r"(?i)(^|/)(licen[sc]e|copying|notice)([.\-_][^/]*)?$")
-    judged = own_licences(files, text_col=text_col, templates=templates, threshold=threshold)
-    judged = judged.withColumn("_dir", parent(F.col(path_col)))
-    known = cut(judged.select("_dir", F.col(path_col).alias("path"), F.col("_own.licence").alias("licence"), F.col("_own.score").alias("score"), F.coalesce(is_licence_file, F.lit(False)).alias("lends")))
-    lenders = known.where("lends and licence is not null and _dir is not null").groupBy(F.col("_dir").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "licence")).alias("best")).select("above", F.col("best.licence").alias("lent"))
-    parts = F.split("_dir", "/")
+    judged = own_licences(files, text_col=text_col, templates=templates, threshold=threshold, keep=tuple(names), own_col=own_name)
+    here = fresh("_dir", judged)
+    judged = cut(judged.withColumn(here, parent(F.col(path_col))))
+    own = F.col(own_name)
+    lenders = judged.where(F.coalesce(is_licence_file, F.lit(False)) & own["licence"].isNotNull() & F.col(here).isNotNull())
+    lenders = lenders.groupBy(F.col(here).alias("above")).agg(F.min(F.struct((-own["score"]).alias("s"), F.col(path_col).alias("path"), own["licence"].alias("licence"))).alias("best")).select("above", F.col("best.licence").alias("lent"))
+    dirs = judged.where(F.col(here).isNotNull()).groupBy(F.col(here).alias("dir")).agg(F.count("*").alias("files"))
+    parts = F.split("dir", "/")
     # Every directory with itself and all above it, '' last; level 0 is the nearest.
-    up = F.when(F.col("_dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
-    dirs = known.where("_dir is not null").select("_dir").distinct().select("_dir", F.posexplode(up).alias("level", "above"))
-    nearest = dirs.join(lenders, "above").groupBy("_dir").agg(F.min(F.struct("level", "above", "lent")).alias("near")).select(F.col("_dir").alias("_in"), "near")
-    out = judged.join(nearest, judged["_dir"] == nearest["_in"], "left")
-    own = F.col("_own.licence")
-    via = F.when(own.isNotNull(), "own").when(F.col("near").isNotNull(), "inherited")
-    return out.select(*[judged[c] for c in files.columns], "_own", F.coalesce(own, F.col("near.lent")).alias("_licence"), via.alias("_via"), F.when(own.isNull(), F.col("near.above")).alias("_from"))
+    up = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
+    each = dirs.select("dir", "files", F.posexplode(up).alias("level", "above"))
+    nearest = each.join(lenders, "above").groupBy("dir", "files").agg(F.min(F.struct("level", "above", "lent")).alias("near"))
+    near, count = fresh("_near", judged), fresh("_files", judged)
+    nearest = nearest.select(F.col("dir").alias(here), F.col("files").alias(count), F.col("near").alias(near))
+    out = hot_join(judged, nearest, [here], count, judged.count(), [path_col], how="left")
+    how = F.when(own["licence"].isNotNull(), "own").when(F.col(near).isNotNull(), "inherited")
+    return out.select(*[F.col(f"`{c}`") for c in names], own_name, F.coalesce(own["licence"], F.col(near)["lent"]).alias(licence), how.alias(via), F.when(own["licence"].isNull(), F.col(near)["above"]).alias(source))
 
 
 def op6(documents: DataFrame) -> DataFrame:
-    """Documents as files source/lang/doc_id.txt; short notices lend their licence to their directory, and those of English
-    also to the whole source by lying in it."""
+    """Documents as files source/lang/doc_id.txt; texts that are notices as a whole lend their licence to their directory, and
+    those of English also to the whole source by lying in it."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.when(F.col("lang") != "en", F.col("lang")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = documents.select("doc_id", path.alias("path"), "text")
-    out = scan(files, is_licence_file=F.col("_own.words") <= NOTICE_WORDS)
+    out = scan(files, is_licence_file=F.col("_own.whole") >= THRESHOLD, keep=("doc_id", "path"))
     return out.select("doc_id", "path", F.col("_own.licence").alias("own_licence"), F.round("_own.score", 6).alias("score"), F.col("_licence").alias("licence"), F.col("_via").alias("via"), F.col("_from").alias("inherited_from"))

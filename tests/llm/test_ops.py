@@ -381,17 +381,30 @@ def test_wrapped_headers_and_versions(spark):
     code = lambda: "\n".join(prose(r, 9) for _ in range(60))
     texts = [code() + "\n" + head % (";", g, ";", v) + code() for g, v in (("General Public License", "2"), ("General Public License", "3"), ("Lesser General Public License", "2.1"), ("Affero General Public License", "3"))]
     rows = license_scan.own_licences(docs_of(spark, [*texts, code()]).select("doc_id", "text")).collect()
-    assert [x["_own"]["licence"] for x in sorted(rows, key=lambda x: x["doc_id"])] == ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", None]
+    assert [x["_own"] and x["_own"]["licence"] for x in sorted(rows, key=lambda x: x["doc_id"])] == ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", None]
+
+
+def test_only_notices_lend(spark):
+    r = random.Random(3)
+    texts = ["Released under the MIT License.", prose(r, 300) + "\nLicensed under CC BY 4.0.\n" + prose(r, 50), prose(r, 40), prose(r, 40), None]
+    docs = docs_of(spark, texts).withColumn("source", F.when(F.col("doc_id").isin(0, 2), "a").otherwise("b"))
+    out = {x["doc_id"]: (x["own_licence"], x["licence"], x["via"], x["inherited_from"]) for x in license_scan.op6(docs).collect()}
+    assert out == {0: ("MIT", "MIT", "own", None), 1: ("CC-BY-4.0", "CC-BY-4.0", "own", None), 2: (None, "MIT", "inherited", "a"), 3: (None, None, None, None), 4: (None, None, None, None)}
 
 
 def test_license_cosine_against_dicts(spark):
+    r = random.Random(5)
     texts = ["Released under the MIT License.", "the end of the line\nunder water", "", None, "Licensed under the Apache License"]
+    for k in range(40):
+        lines = [" ".join(r.choice("the of under license mit apache licensed version released work".split() + prose(r, 6).split()) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 5))]
+        words = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][1].split()
+        cut_at = r.randrange(len(words))
+        texts.append("\n".join([*lines, " ".join(words[:cut_at]), " ".join(words[cut_at:]) + " " + prose(r, r.randint(0, 3))]))
     rows = license_scan.own_licences(docs_of(spark, texts).select("doc_id", "text")).collect()
     lines = [[w.decode() for w in common.words_of(x)] for t in texts for x in (t or "").split("\n")]
     templates = [[w.decode() for w in common.words_of(t)] for _, t in license_scan.TEMPLATES]
-    vocabulary = {w for t in templates for w in t}
     df = collections.Counter(w for x in lines for w in set(x))
-    idf = lambda w: np.log((1 + len(lines)) / (1 + (df[w] if w in vocabulary else 0))) + 1
+    idf = lambda w: np.log((1 + len(lines)) / (1 + df[w])) + 1
     vec = lambda ws: {w: n * idf(w) for w, n in collections.Counter(ws).items()}
 
     def cosine(a, b):
@@ -401,8 +414,12 @@ def test_license_cosine_against_dicts(spark):
 
     for r in rows:
         parts = [[w.decode() for w in common.words_of(x)] for x in (r["text"] or "").split("\n")]
-        units = [*parts, [w for p in parts for w in p]]
-        assert r["_own"]["score"] == pytest.approx(max(cosine(u, t) for u in units for t in templates), abs=1e-9)
+        units = [*parts, [w for p in parts for w in p]] + [[w for p in parts[i:j] for w in p] for i in range(len(parts)) for j in range(i + 2, len(parts) + 1)]
+        best = max(cosine(u, t) for u in units for t in templates)
+        assert (r["_own"] is None) == (best < license_scan.THRESHOLD)
+        if r["_own"]:
+            assert r["_own"]["score"] == pytest.approx(best, abs=1e-9) and r["_own"]["whole"] == pytest.approx(max(cosine(units[len(parts)], t) for t in templates), abs=1e-9)
+    assert sum(r["_own"] is not None for r in rows) > 5
 
 
 def test_toxicity_counts_and_held_out(spark):
