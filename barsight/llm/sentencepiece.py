@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding by shortest paths through a weighted transducer.
 
-The transducer is compiled from a model file: the normaliser (dummy prefix, space to the word mark), an arc for every piece,
-and a byte-fallback arc for each byte of a character that is no piece. A text is an acceptor; its composition with the
-transducer is the lattice of all its segmentations, and the encoding is the tropical-semiring shortest path (sums of arc
-weights, least total).
+Three weighted transducers are compiled from a model file. N normalises: arcs that rewrite a space to the word mark, one from the
+start that puts the dummy prefix before the text, and where the model says so states that swallow repeated spaces. P reads the
+normalised text in pieces: an arc for every piece, and byte fallback, for a character that is no piece an arc that outputs its
+bytes. W weighs what P outputs: its states are "" and the pieces, and an arc leads from every piece to every other.
 
-* unigram models: an arc weighs minus the piece's score, a state is a place in the text.
-* BPE models: a state is a place and the piece that ends there, and the arc to the next piece weighs 0 if merging keeps a
-  border between the two pieces and infinity if not. A segmentation whose neighbours all agree is the one that merging gives,
-  so exactly one path is finite, and its ids are those of the BPE encoder.
+* unigram models: an arc weighs minus the score of the piece it leads to, and one state is enough.
+* BPE models: an arc from one piece to the next weighs 0 if merging keeps a border between the two, and infinity if not. A
+  segmentation whose neighbours all agree is the one that merging gives, so just one path is finite. Scores of pieces alone do
+  not add up to the encoder's choice, so there is no such weighting.
+
+A text is composed with N, P and W state by state: the composition's states are a place in the text and a state of W, and states
+are built when they are reached. The encoding is the labels of the tropical-semiring shortest path (weights add up along a path,
+the least total wins).
 
 No piece holds a word mark after another character (checked when compiling; else whole texts are the unit), so the lattice of
 a text splits at such places, and equal parts have equal paths: each task keeps the paths of frequent parts, up to
@@ -96,8 +100,20 @@ class Transducer:
         if norm.get(2):
             raise ValueError("models with a character map are not compiled; normalise the text first")
         self.dummy_prefix, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
+        self.rewritten = {" ": MARK}
         # Arcs of more than one character, by their first two; in BPE models only pieces that merging can make.
-        self.reached = {p for p in self.ids if len(p) > 1 and (self.kind == "unigram" or self.merged(p) == [p])}
+        self.rank: dict[str, int] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
+        if self.kind == "unigram":
+            self.reached = {p for p in self.ids if len(p) > 1}
+        else:
+            self.rank = {p: n for n, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.scores[self.ids[p]]))}
+            self.reached = {p for p in self.rank if self.merged(p) == [p]}
+        # Pieces some part of which merges only after a worse-ranked one; none in models trained by merging.
+        self.odd: set[str] = set()
+        for p in sorted(self.halves, key=len):
+            if any(h in self.odd or self.rank.get(h, -1) >= self.rank[p] for h in self.halves[p]):
+                self.odd.add(p)
         self.lengths: dict[str, list[int]] = {}
         for p in self.reached:
             self.lengths.setdefault(p[:2], []).append(len(p))
@@ -110,11 +126,12 @@ class Transducer:
         self._memo: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
+        """The output of N, whose arcs all weigh 0: without squeezing one state and a table of what each character becomes."""
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
-        if text and self.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK)
+        for read, written in self.rewritten.items():
+            text = text.replace(read, written)
+        return MARK + text if text and self.dummy_prefix else text
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives a short string: the best-scored pair first, the leftmost of ties."""
@@ -124,9 +141,30 @@ class Transducer:
             if best is None:
                 break
             i = -best[1]
+            if len(parts) == 2:
+                self.halves[text] = (parts[0], parts[1])
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def apart(self, a: str, b: str) -> bool:
+        """Whether merging a + b never merges across the border of a and b.
+
+        The two sides merge on their own, better ranks first. From the end backwards the pieces that meet at the border are
+        split as they were merged, the later merge first; a merge across the border is chosen if its rank is better than that
+        of the merge that ends the meeting, or as good and that one lies right of the border.
+        """
+        rank, halves, limit = self.rank, self.halves, len(self.rank) + 1
+        while True:
+            if rank.get(a + b, limit) < limit:
+                return False
+            r, s = rank.get(a, -1) if a in halves else -1, rank.get(b, -1) if b in halves else -1
+            if r < 0 and s < 0:
+                return True
+            if r > s:
+                limit, a = r, halves[a][1]
+            else:
+                limit, b = s + 1, halves[b][0]
+
     def agree(self, a: str, b: str) -> bool:
         """Whether merging a + b ends in just these two pieces."""
         key = (a, b)
@@ -134,17 +172,24 @@ class Transducer:
         if found is None:
             if len(self._agree) >= MEMO_PAIRS:
                 self._agree.clear()
-            found = self._agree[key] = self.merged(a + b) == [a, b]
+            found = self._agree[key] = self.merged(a + b) == [a, b] if a in self.odd or b in self.odd else self.apart(a, b)
         return found
 
     def arcs(self, text: str, i: int) -> list[str]:
-        """The pieces that begin at i, the longest last; a character that is no piece is an arc of its own."""
+        """P's arcs from place i: the pieces that begin there, the longest last; a character that is no piece is one too."""
         out = [text[i]]
         for n in self.lengths.get(text[i : i + 2], ()):
             if (piece := text[i : i + n]) in self.reached and len(piece) == n:
                 out.append(piece)
         return out
 
+    def weight(self, before: str, piece: str) -> float:
+        """W's arc from one piece to the next."""
+        if self.kind == "bpe":
+            return 0.0 if not before or self.agree(before, piece) else INF
+        k = self.ids.get(piece)
+        return -self.scores[k] if k is not None else self.unknown_weight
+
     def labels(self, piece: str) -> list[int]:
         """Output of an arc."""
         k = self.ids.get(piece)
@@ -153,41 +198,52 @@ class Transducer:
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
     def shortest(self, text: str) -> list[str]:
-        """Pieces on the shortest path through the lattice of one part."""
-        if self.kind == "bpe":
-            # Weights are 0 or infinite: the first finite path is shortest. Longest arcs first; a state that leads nowhere is
-            # not entered again.
-            path, stack, at, last, dead = [], [self.arcs(text, 0)], 0, "", set()
-            agree, end = self._agree, len(text)
-            while at < end:
-                arcs = stack[-1]
-                while arcs:
-                    piece = arcs.pop()
-                    if last and not (found if (found := agree.get((last, piece))) is not None else self.agree(last, piece)):
-                        continue
-                    if (at + len(piece), piece) not in dead:
-                        path.append(piece)
-                        at, last = at + len(piece), piece
-                        if at < end:
-                            stack.append(self.arcs(text, at))
-                        break
-                else:
-                    dead.add((at, last))
-                    stack.pop()
-                    at -= len(path.pop())
-                    last = path[-1] if path else ""
-            return path
-        cost, back = [0.0] + [INF] * len(text), [""] * (len(text) + 1)
-        for i in range(len(text)):
-            for piece in reversed(self.arcs(text, i)):
-                k = self.ids.get(piece)
-                c = cost[i] + (-self.scores[k] if k is not None else self.unknown_weight)
-                if c < cost[i + len(piece)]:
-                    cost[i + len(piece)], back[i + len(piece)] = c, piece
-        out, i = [], len(text)
-        while i:
-            out.append(back[i])
-            i -= len(back[i])
+        """Pieces on the tropical shortest path through the composition of one part with P and W."""
+        return self.best_first(text) if self.kind == "bpe" else self.forward(text)
+
+    def best_first(self, text: str) -> list[str]:
+        """The path for weights of 0 and infinity. Best-first search takes the state of least total next; as all totals are 0,
+        the queue is a stack, and the first path that ends is shortest. States are composed when they are taken, longest arcs
+        first, and a state that leads nowhere is not entered again. forward() finds the same path at about twice the cost."""
+        path, stack, at, last, dead = [], [self.arcs(text, 0)], 0, "", set()
+        known, end = self._agree, len(text)
+        while at < end:
+            arcs = stack[-1]
+            while arcs:
+                piece = arcs.pop()
+                if last and not (found if (found := known.get((last, piece))) is not None else self.agree(last, piece)):
+                    continue
+                if (at + len(piece), piece) not in dead:
+                    path.append(piece)
+                    at, last = at + len(piece), piece
+                    if at < end:
+                        stack.append(self.arcs(text, at))
+                    break
+            else:
+                dead.add((at, last))
+                stack.pop()
+                at -= len(path.pop())
+                last = path[-1] if path else ""
+        return path
+
+    def forward(self, text: str) -> list[str]:
+        """The path for any weights, in one pass over the places, as all arcs go forward."""
+        end, bpe = len(text), self.kind == "bpe"
+        # reached[place]: state of W -> (least total, piece read last, state before).
+        reached: list[dict[str, tuple[float, str, str]]] = [{} for _ in range(end + 1)]
+        reached[0][""] = (0.0, "", "")
+        for i in range(end):
+            for piece in reversed(self.arcs(text, i)) if reached[i] else ():
+                there, state = reached[i + len(piece)], piece if bpe else ""
+                for before, (total, _, _) in reached[i].items():
+                    cost, best = total + self.weight(before, piece), there.get(state)
+                    if cost < INF and (best is None or cost < best[0]):
+                        there[state] = (cost, piece, before)
+        out, at, state = [], end, min(reached[end], key=lambda s: reached[end][s][0]) if end else ""
+        while at:
+            _, piece, state = reached[at][state]
+            out.append(piece)
+            at -= len(piece)
         return out[::-1]
 
     def path(self, part: str) -> bytes:

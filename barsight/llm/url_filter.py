@@ -3,16 +3,22 @@
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, give every character of a URL a
 probability from its up to ORDER predecessors: Witten-Bell interpolation from order 0 up, down to a uniform 1/256. The
 verdict is the difference of the two log-likelihoods divided by the URL's length in bytes, against a calibrated threshold: the
-highest whose balanced accuracy on the learning URLs is within TOLERANCE of the best, so that doubt accepts.
+highest whose balanced accuracy on URLs that a rule decides is within TOLERANCE of the best, so that doubt accepts.
 
-Learning URLs are those that a rule decides, and the seed lists. A character with its ORDER predecessors is one number (a gram,
+The rejected model learns from URLs that a rule blocks, the accepted one from all others: those that a rule allows, and those
+that none decides, as most URLs are wanted and else a host with block rules alone would count as evidence by its name. So a
+URL is blocked where it is like blocked URLs and unlike the rest. Learning and judging are apart: URLs are in two halves by a
+hash of their text, and each half is scored by the other's models, for the calibration as for the verdict. Lists of known good
+and bad URLs can be given and teach both models.
+
+A character with its ORDER predecessors is one number (a gram,
 exact), and its probability depends on nothing else. So Spark counts grams, whatever their number, and works out the log-ratio of
 every distinct gram of the URLs to judge by joins, an order at a time; no table of the model goes through the driver. The HOT
 most common grams are sent to the tasks that add up the URLs; the others are joined.
 
 Cases: a null URL or one without :// has an empty host and path, fits no rule and is judged by its text ('' if null); an
-empty text has ratio 0; repeated rows get equal verdicts; without learning URLs of both classes every ratio is 0 and the
-verdict 'allow'; extra columns of any name are ignored.
+empty text has ratio 0; repeated rows get equal verdicts; a model without learning URLs gives every character 1/256; where no
+rule blocks or none allows a URL, the verdict is 'allow'; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +34,6 @@ from .common import ascii_lower, cut
 
 # Fixed values of the contract: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Seeds beside the rule-decided URLs, so that hosts made of such words are rejected whatever their language path.
-REJECTED_SEEDS = tuple(f"https://{host}.example.{top}/" for host in ("casino-win", "free-bets", "cheap-pills", "ads-track") for top in ("com", "net", "org"))
-ACCEPTED_SEEDS: tuple[str, ...] = ()
 #: A byte is 1 to 256, the place before a URL 0. Log-ratios are summed as whole multiples of 1 / SCALE, so order does not matter.
 ORDER, BASE, SCALE, HOT = 5, 257, 1 << 32, 100_000
 #: Bins of the ratio for the calibration.
@@ -171,24 +174,22 @@ def threshold(scored: DataFrame) -> float:
     return best / (BINS - 1) * 2 * SPAN - SPAN
 
 
-def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, accepted: Sequence[str] = ACCEPTED_SEEDS, rejected: Sequence[str] = REJECTED_SEEDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, host, path, rule, verdict and ratio of every URL."""
+def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, accepted: Sequence[str] = (), rejected: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """id, host, path, rule, verdict and ratio of every URL. accepted and rejected: known URLs beside those of the table."""
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("decided"))
-    base = base.withColumn("rejected", (F.col("decided") == "block").cast("int")).withColumn("seed", F.lit(False))
-    seeds = [(u, 0) for u in accepted] + [(u, 1) for u in rejected]
-    if seeds:
-        base = base.unionByName(spark.createDataFrame(seeds, "url string, rejected int").withColumn("seed", F.lit(True)), allowMissingColumns=True)
-    base = cut(base)
-    # A URL may be both a seed and one that no rule decides.
-    counts = _counts(_distinct(base, "url", F.col("rejected")))
-    scored = cut(ratios(base, Model(counts), counts=counts))
-    at = threshold(scored.where("rejected is not null"))
-    out = scored.where("not seed")
+    base = cut(base.withColumn("half", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(2)).cast("int")))
+    learning = base.select("url", "half", F.coalesce((F.col("decided") == "block").cast("int"), F.lit(0)).alias("rejected"))
+    known = [(u, h, y) for y, urls in ((0, accepted), (1, rejected)) for u in urls for h in (0, 1)]
+    if known:
+        learning = learning.union(spark.createDataFrame(known, "url string, half int, rejected int"))
+    parts = [ratios(base.where(F.col("half") == h), train(learning.where(F.col("half") != h))) for h in (0, 1)]
+    scored = cut(parts[0].union(parts[1]))
+    at = threshold(scored.where("decided is not null").withColumn("rejected", (F.col("decided") == "block").cast("int")))
     verdict = F.coalesce("decided", F.when(F.col("_ratio") >= at, "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.col("_ratio").alias("ratio"))
+    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.col("_ratio").alias("ratio"))
 
 
 def op4(pages: DataFrame) -> DataFrame:

@@ -224,6 +224,17 @@ def test_sentencepiece_matches_the_public_library(spark, corpus):
     assert all(x["decoded"] == out[x["doc_id"]]["decoded"] for x in again)
 
 
+def test_borders_and_forward_pass_against_merging():
+    t = sentencepiece.transducer(sentencepiece.MODEL)
+    r = random.Random(1)
+    pieces = sorted(t.reached) + sorted(p for p in t.ids if len(p) == 1)
+    for _ in range(5000):
+        a, b = r.choice(pieces), r.choice(pieces)
+        assert t.agree(a, b) == (t.merged(a + b) == [a, b])
+        text = "▁" + "".join(r.choice(pieces) for _ in range(r.randint(1, 5))).replace("▁", "")
+        assert t.best_first(text) == t.forward(text) == t.merged(text)
+
+
 def test_unigram_shortest_path():
     with open(sentencepiece.MODEL, "rb") as f:
         t = sentencepiece.Transducer(f.read(), "unigram")
@@ -305,7 +316,58 @@ def test_url_rules(spark):
         rule = max(fits, default=(0, None, None))
         assert (out[k]["host"], out[k]["path"], out[k]["rule"]) == (host, path, rule[1])
         assert out[k]["verdict"] in ("allow", "block") and (rule[2] is None or out[k]["verdict"] == rule[2])
-    assert out[11]["verdict"] == "block" and out[11]["ratio"] > out[12]["ratio"]
+    known = {r["page_id"]: r for r in url_filter.judge(pages, rejected=[f"https://casino-win.example.{top}/" for top in ("com", "net", "org")]).collect()}
+    assert known[11]["ratio"] > known[12]["ratio"] and known[11]["ratio"] > out[11]["ratio"]
+
+
+def test_url_verdicts_against_brute_force(spark):
+    r = random.Random(4)
+    urls = [f"https://{r.choice(['a', 'b', 'news', 'shop'])}.example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de', 'es', 'fr'])}/{r.randrange(99)}" for _ in range(300)] + [None, "", "x"]
+    pages = spark.createDataFrame(list(enumerate([*urls, urls[0]])), "page_id bigint, url string")
+    got = {x["page_id"]: x for x in url_filter.op4(pages).collect()}
+    base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(2)).alias("half")).collect()
+    blocked = {x["page_id"]: x["rule"] and x["verdict"] for x in got.values()}
+
+    def fitted(rows):
+        seen, total, types = collections.Counter(), collections.Counter(), collections.Counter()
+        for u in rows:
+            x = "\0" * url_filter.ORDER + u
+            for i in range(url_filter.ORDER, len(x)):
+                for k in range(url_filter.ORDER + 1):
+                    seen[x[i - k : i + 1]] += 1
+        for g, n in seen.items():
+            total[g[:-1]] += n
+            types[g[:-1]] += 1
+        return seen, total, types
+
+    def log_likelihood(model, u):
+        seen, total, types = model
+        x, out = "\0" * url_filter.ORDER + u, 0.0
+        for i in range(url_filter.ORDER, len(x)):
+            p = 1 / 256
+            for k in range(url_filter.ORDER + 1):
+                c = x[i - k : i]
+                p = (seen[x[i - k : i + 1]] + types[c] * p) / (total[c] + types[c]) if total[c] else p
+            out += np.log(max(p, 1e-12))
+        return out
+
+    ratio = {}
+    for half in (0, 1):
+        models = [fitted([x["url"] for x in base if x["half"] != half and (blocked[x["page_id"]] == "block") == y]) for y in (False, True)]
+        for x in base:
+            if x["half"] == half:
+                ratio[x["page_id"]] = (log_likelihood(models[1], x["url"]) - log_likelihood(models[0], x["url"])) / max(1, len(x["url"]))
+    assert {k: x["ratio"] for k, x in got.items()} == pytest.approx(ratio, abs=1e-6)
+    # The threshold on a grid of the same bins, by brute force.
+    width = 2 * url_filter.SPAN / (url_filter.BINS - 1)
+    bins = {k: int((min(max(v, -url_filter.SPAN), url_filter.SPAN) + url_filter.SPAN) / width) for k, v in ratio.items()}
+    share = lambda v, b, above: np.mean([(bins[k] >= b) == above for k in bins if blocked[k] == v])
+    good = [share("block", b, True) + share("allow", b, False) for b in range(url_filter.BINS)]
+    best = max(b for b, g in enumerate(good) if g >= max(good) - url_filter.TOLERANCE)
+    for k, x in got.items():
+        if not blocked[k] and abs(ratio[k] - (best * width - url_filter.SPAN)) > 1e-5:
+            assert x["verdict"] == ("block" if ratio[k] >= best * width - url_filter.SPAN else "allow")
+    assert got[0]["verdict"] == got[303]["verdict"]
 
 
 def test_url_model_against_dicts(spark):
@@ -330,7 +392,7 @@ def test_url_model_against_dicts(spark):
                 c = (pad + u)[url_filter.ORDER + i - k : url_filter.ORDER + i]
                 if total[c]:
                     p = (seen[c, u[i]] + len(types[c]) * p) / (total[c] + len(types[c]))
-            out += np.log(p)
+            out += np.log(max(p, 1e-12))
         return out
 
     for u in ("http://aq.de/z", "http://zz.com/x"):
