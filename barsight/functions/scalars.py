@@ -68,13 +68,15 @@ def size_shares(close: Column, vol20: Column, equity: Column, p) -> Column:
 
 
 def auc_verdict(auc: Column) -> Column:
-    """Fixed thresholds: 0.6, 0.55, 0.52, 0.48."""
-    return F.when(auc >= 0.6, "strong").when(auc >= 0.55, "useful").when(auc > 0.52, "weak").when(auc >= 0.48, "none").otherwise("inverted")
+    """Fixed thresholds: 0.6, 0.55, 0.52, 0.48; no verdict without a number."""
+    return F.when(~finite(auc), F.lit(None)).when(auc >= 0.6, "strong").when(auc >= 0.55, "useful").when(auc > 0.52, "weak").when(auc >= 0.48, "none").otherwise("inverted")
 
 
 def model_verdict(test_auc: Column, val_auc: Column, low: Column) -> Column:
-    """Three levels from the test and the validation AUC and the bootstrap's low bound of the gain."""
-    return F.when((test_auc > 0.52) & (val_auc > 0.5) & (low > 0), "better than the rules").when((test_auc > 0.5) & (val_auc > 0.5), "uncertain").otherwise("no edge")
+    """Three levels from the test and the validation AUC and the bootstrap's low bound of the gain; what is no number passes no
+    threshold. Fixed thresholds: 0.52, 0.52 and above 0; then 0.51 and 0.5."""
+    test_auc, val_auc, low = (guard(x) for x in (test_auc, val_auc, low))
+    return F.when((test_auc >= 0.52) & (val_auc >= 0.52) & (low > 0), "better than the rules").when((test_auc >= 0.51) & (val_auc >= 0.5), "uncertain").otherwise("no edge")
 
 
 def rank_words(rank: Column) -> Column:

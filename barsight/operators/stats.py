@@ -81,13 +81,14 @@ def spearman(samples: DataFrame, key: list[str], x: str = "score", y: str = "fwd
 
 
 def curve_metrics(curve: DataFrame, key: list[str]) -> DataFrame:
-    """Total, yearly growth, volatility, Sharpe ratio and worst drawdown of (key, t, date, equity); curves of one point are left
-    out."""
+    """Total, yearly growth, volatility, Sharpe ratio and worst drawdown of (key, t, date, equity), and with the column invested
+    the exposure, its mean; curves of one point are left out."""
     w = W.partitionBy(*key).orderBy("t")
-    steps = curve.select(*key, "t", "date", "equity", (F.col("equity") / F.lag("equity").over(w) - 1).alias("r"), F.max("equity").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("peak"))
-    g = steps.groupBy(*key).agg(F.count("*").alias("n"), (F.max_by("equity", "t") / F.min_by("equity", "t")).alias("growth"), (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min(F.col("equity") / F.col("peak") - 1).alias("max_dd")).where("n >= 2")
+    exposure = ["exposure"] if "invested" in curve.columns else []
+    steps = curve.select(*key, "t", "date", "equity", *[F.col("invested").alias(c) for c in exposure], (F.col("equity") / F.lag("equity").over(w) - 1).alias("r"), F.max("equity").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("peak"))
+    g = steps.groupBy(*key).agg(F.count("*").alias("n"), (F.max_by("equity", "t") / F.min_by("equity", "t")).alias("growth"), (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min(F.col("equity") / F.col("peak") - 1).alias("max_dd"), *[F.avg(c).alias(c) for c in exposure]).where("n >= 2")
     sd = F.col("sd")
-    return g.select(*key, "n", (F.col("growth") - 1).alias("total"), F.when(F.col("years") > 0, F.pow("growth", 1 / F.col("years")) - 1).otherwise(0.0).alias("cagr"), (sd * F.sqrt(F.lit(252.0))).alias("vol"), F.when(sd > 0, F.col("mean") / sd * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("sharpe"), "max_dd")
+    return g.select(*key, "n", (F.col("growth") - 1).alias("total"), F.when(F.col("years") > 0, F.pow("growth", 1 / F.col("years")) - 1).otherwise(0.0).alias("cagr"), (sd * F.sqrt(F.lit(252.0))).alias("vol"), F.when(sd > 0, F.col("mean") / sd * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("sharpe"), "max_dd", *exposure)
 
 
 def trade_metrics(trades: DataFrame, key: list[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions.scalars import sigmoid
 from ..operators import cross_section as X
 from ..operators import indicators as I
 from ..operators import stats
+from ..sources import panel as P
 from . import rules as R
 
 STOCK = ("ret5", "ret21", "ret63", "ret126", "ret252", "mom", "vol20", "vol63", "rsi5", "rsi14", "gap20", "gap50", "gap200", "trend", "dhigh20", "dhigh252", "dlow252", "macd")
@@ -27,6 +28,8 @@ MARKET = ("iret21", "iret63", "igap200", "ivol20")
 FEATURES = (*STOCK, *MARKET, "rules")
 NF = len(FEATURES)
 #: Walk-forward ranking: horizon, sampling step, days between fits, least history, window of days, penalty.
+#: Of the stored walk-forward models; trees after which rows renew their log-odds.
+VERSION, RENEWED = 1, 10
 HORIZON, STEP, EVERY, HISTORY, WINDOW, PENALTY = 21, 5, 63, 252, 756, 100.0
 #: Boosted trees.
 DEPTH, RATE, MOST_TREES, SHARE, RIDGE, LEAST_HESSIAN, BINS, PATIENCE, LEAST_TREES = 3, 0.1, 200, 0.5, 1.0, 50.0, 32, 40, 10
@@ -216,19 +219,30 @@ def fit_trees(rows: DataFrame, fit: str, val: str | None, edges: list[np.ndarray
             z = model.bins(np.array(b.column(0).to_pylist(), float).reshape(b.num_rows, NF)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in z], pa.binary()), b.column(1), b.column(2)], ["z", "label", "key"])
 
-    # Binned once and cached; a few jobs run for each tree, so small inputs get few tasks.
+    # Binned once and written; a few jobs run for each tree, so small inputs get few tasks. Each row keeps its log-odds, renewed
+    # every RENEWED trees, so a level scores only the trees since then.
     train = rows.where(fit).select("x", "label", F.xxhash64("t", "sym_ix").alias("key")).mapInArrow(binned, "z binary, label int, key bigint")
-    train = train.coalesce(max(1, n // 50_000)).cache()
+    train = P.cut(train.coalesce(max(1, n // 50_000)).withColumn("margin", F.lit(model.prior)))
+
+    def renewed(train: DataFrame, trees: list[list[tuple]]) -> DataFrame:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                z = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, NF).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(b.column(3).to_numpy() + Trees(0.0, [], trees).score(z))], b.schema.names)
+
+        return P.cut(train.mapInArrow(add, "z binary, label int, key bigint, margin double"))
+
+    since = 0
     for m in range(rounds or MOST_TREES):
         tree: list[tuple] = [()]
         level = [0]
         for _ in range(DEPTH):
             if not level:
                 break
-            sent = rows.sparkSession.sparkContext.broadcast((model, tree, level, m))
+            sent = rows.sparkSession.sparkContext.broadcast((model.trees[since:], tree, level, m))
 
             def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                model, tree, level, m = sent.value
+                trees, tree, level, m = sent.value
                 total = np.zeros((2, len(level), NF, BINS))
                 for b in batches:
                     key = b.column(2).to_numpy().astype(np.uint64)
@@ -237,7 +251,7 @@ def fit_trees(rows: DataFrame, fit: str, val: str | None, edges: list[np.ndarray
                     if not chosen.any():
                         continue
                     z = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, NF)[chosen].astype(np.int64)
-                    p = 1 / (1 + np.exp(-model.score(z)))
+                    p = 1 / (1 + np.exp(-(b.column(3).to_numpy()[chosen] + Trees(0.0, [], trees).score(z))))
                     g, h = p - b.column(1).to_numpy()[chosen], p * (1 - p)
                     at = Trees.leaf_of([n if len(n) == 4 else (0.0,) for n in tree], z)
                     for a, node in enumerate(level):
@@ -265,13 +279,14 @@ def fit_trees(rows: DataFrame, fit: str, val: str | None, edges: list[np.ndarray
                 tree += [(-RATE * gl[f, b] / (hl[f, b] + RIDGE),), (-RATE * (gs - gl[f, b]) / (hs - hl[f, b] + RIDGE),)]
             level = following
         model.trees.append(tree)
+        if len(model.trees) - since == RENEWED:
+            train, since = renewed(train, model.trees[since:]), len(model.trees)
         if val and (m + 1) % 10 == 0:
             now = auc_of(scored_by_trees(rows.where(val), model), F.col("z"))
             if now > best:
                 best, best_n = now, m + 1
             elif m + 1 - best_n >= PATIENCE:
                 break
-    train.unpersist()
     if val:
         model.trees = model.trees[: max(best_n, LEAST_TREES)]
     return model

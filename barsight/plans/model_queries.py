@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,17 +63,23 @@ def algo_backtest(spark, d):
 
 
 def grid_search(spark: SparkSession, m: B.Market, base: Params, grid: dict = GRID, share: float = 0.7, top: int = 8) -> DataFrame:
-    """Every combination in sample; the best `top` by Sharpe ratio again out of sample."""
+    """Every combination in sample and the best `top` by Sharpe ratio again out of sample; the unchanged parameters ('baseline')
+    in and out of sample; the index ('index') out of sample."""
     found = combinations(grid)
-    sets = [base.with_(**c) for c in found]
-    last = len(m.dates) - 1
+    sets = [base.with_(**c) for c in found] + [base]
+    last, baseline = len(m.dates) - 1, len(found)
     split = int(B.FIRST + (last - B.FIRST) * share + 0.5)
     inside = stats.curve_metrics(B.equity_curves(spark, m, sets, first=B.FIRST, last=split), ["combo"])
-    best = [r["combo"] for r in inside.orderBy(F.desc("sharpe"), "combo").limit(top).collect()]
-    outside = B.equity_curves(spark, m, [sets[k] for k in best], first=split + 1)
-    outside = stats.curve_metrics(outside, ["combo"]).select(F.element_at(F.array(*[F.lit(k) for k in best]), F.col("combo") + 1).alias("combo"), F.col("sharpe").alias("oos_sharpe"), F.col("cagr").alias("oos_cagr"), F.col("max_dd").alias("oos_max_dd"))
-    values = spark.createDataFrame([(k, *map(float, c.values())) for k, c in enumerate(found)], "combo int, " + ", ".join(f"{k} double" for k in grid))
-    return values.join(inside, "combo").join(outside, "combo", "left")
+    inside = P.cut(inside)
+    best = [r["combo"] for r in inside.where(F.col("combo") < baseline).orderBy(F.desc("sharpe"), "combo").limit(top).collect()] + [baseline]
+    curves = B.equity_curves(spark, m, [sets[k] for k in best], first=split + 1)
+    curves = curves.withColumn("combo", F.element_at(F.array(*[F.lit(k) for k in best]), F.col("combo") + 1))
+    index = curves.where(F.col("combo") == baseline).select(F.lit(baseline + 1).alias("combo"), "t", "date", F.col("bench").alias("equity"), F.lit(1.0).alias("invested"))
+    outside = stats.curve_metrics(curves.drop("bench").unionByName(index), ["combo"]).select("combo", F.col("sharpe").alias("oos_sharpe"), F.col("cagr").alias("oos_cagr"), F.col("max_dd").alias("oos_max_dd"), F.col("exposure").alias("oos_exposure"))
+    values = [(k, "combination", *map(float, c.values())) for k, c in enumerate(found)]
+    values += [(baseline, "baseline", *(float(getattr(base, k)) for k in grid)), (baseline + 1, "index", *[None] * len(grid))]
+    values = spark.createDataFrame(values, "combo int, kind string, " + ", ".join(f"{k} double" for k in grid))
+    return values.join(inside, "combo", "left").join(outside, "combo", "left")
 
 
 @query("grid_search")
@@ -81,7 +89,7 @@ def q_grid_search(spark, d):
 
 @query("grid_top")
 def grid_top(spark, d):
-    return q_grid_search(spark, d).where("oos_sharpe is not null").orderBy(F.desc("sharpe"), "combo").limit(8)
+    return q_grid_search(spark, d).where("kind = 'combination' and oos_sharpe is not null").orderBy(F.desc("sharpe"), "combo").limit(8)
 
 
 @query("live_signals")
@@ -158,12 +166,12 @@ def purged_split(spark, d):
 
 
 # --- models ---
-_fits: dict[tuple[str, str], dict] = {}
+_fits: dict[tuple, dict] = {}
 
 
 def trained(spark: SparkSession, d: str) -> dict:
     """Both models, their validation AUCs and which is better (ties: the logistic), fitted once per application and input."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, P.stamp(spark, d))
     if key not in _fits:
         rows = _training(spark, d)
         counts = {r["role"]: r["count"] for r in rows.groupBy("role").count().collect()}
@@ -205,18 +213,36 @@ def _scored(spark: SparkSession, d: str, where: str = "role = 'test'") -> DataFr
     return rows.withColumnRenamed("z", "trees").withColumn("logistic", fit["logistic"].column())
 
 
+def _by_model(rows: DataFrame) -> DataFrame:
+    """A row for each model: its score beside the row's outcome."""
+    return rows.select("t", "sym_ix", "fwd", "label", F.explode(F.map_from_arrays(F.array(F.lit("rules"), F.lit("logistic"), F.lit("trees")), F.array("score", "logistic", "trees"))).alias("model", "score"))
+
+
 @query("ml_report")
 def ml_report(spark, d):
     """Test AUC, interval, rank correlation and top-share confusion of the rules' score and of both models."""
     rows = _scored(spark, d)
-    long = rows.select("t", "sym_ix", "fwd", "label", F.explode(F.map_from_arrays(F.array(F.lit("rules"), F.lit("logistic"), F.lit("trees")), F.array("score", "logistic", "trees"))).alias("model", "score"))
+    long = _by_model(rows)
     w = W.partitionBy("model", "t")
     top = F.row_number().over(w.orderBy(F.desc("score"), "sym_ix")) <= X.take(F.count("*").over(w), 20.0)
     long = long.withColumn("decision", top)
     out = stats.auc(long, ["model"]).join(stats.spearman(long, ["model"]), "model").join(stats.confusion(long, ["model"]), "model")
     val = trained(spark, d)["val"]
+    pool = _by_model(_scored(spark, d, "role in ('fit', 'gap', 'val')"))
+    train = stats.auc(pool, ["model"]).select("model", F.col("auc").alias("train_auc"))
     known = spark.createDataFrame([("logistic", float(val[0])), ("trees", float(val[1]))], "model string, val_auc double")
-    return out.join(F.broadcast(known), "model", "left")
+    return out.join(F.broadcast(known), "model", "left").join(train, "model", "left")
+
+
+@query("ml_roc")
+def ml_roc(spark, d):
+    """ROC points of the rules' score and of both models on the test rows."""
+    return stats.roc_points(_by_model(_scored(spark, d)), ["model"])
+
+
+@query("ml_deciles")
+def ml_deciles(spark, d):
+    return stats.deciles(_by_model(_scored(spark, d)), ["model"], ["t", "sym_ix"])
 
 
 @query("auc_bootstrap")
@@ -233,7 +259,8 @@ def ml_verdict(spark, d):
 
 @query("ml_backtest")
 def ml_backtest(spark, d):
-    """The test period bought by the better model's top share, against the same algorithm's rules."""
+    """The test period bought by the better model's top share, by that share where the rules hold too ('filter'), and by the
+    same algorithm's rules."""
     algo = PRESETS["pullback"]
     index = P.index_bars(spark, d)
     split = _training(spark, d).where("role = 'test'").agg(F.min("t")).first()[0]
@@ -243,9 +270,13 @@ def ml_backtest(spark, d):
     scored = scored.withColumn("chosen", X.at_threshold(F.col("z"), 20.0).cast("int")).select("t", "sym_ix", "z", "chosen")
     base = R.with_operands(G.prepared(spark, d), index, algo)
     exits = {f"exit{k}": R.holds(r).cast("int") for k, r in enumerate(algo["exit"]["rules"])}
-    base = base.withColumns(exits).join(scored, ["t", "sym_ix"], "left").withColumns({"entry": F.coalesce("chosen", F.lit(0)), "rank": F.col("z")})
-    m = B.market(base, index, ["vol20", "entry", "rank", *exits])
-    learned = B.equity_curves(spark, m, [LARGE], algo, first=split).withColumn("source", F.lit("model"))
+    base = base.withColumns({"_met": R.met(algo["entry"]["rules"]), **exits})
+    base = base.withColumn("held", R.enters(algo, F.col("_met")).cast("int")).join(scored, ["t", "sym_ix"], "left").withColumn("rank", F.col("z"))
+    learned = None
+    for source, entry in (("model", F.col("chosen")), ("filter", F.col("chosen") * F.col("held"))):
+        m = B.market(base.withColumn("entry", F.coalesce(entry, F.lit(0))), index, ["vol20", "entry", "rank", *exits])
+        one = B.equity_curves(spark, m, [LARGE], algo, first=split).withColumn("source", F.lit(source))
+        learned = one if learned is None else learned.union(one)
     rules = B.equity_curves(spark, B.algo_market(spark, d, algo), [LARGE], algo, first=split).withColumn("source", F.lit("rules"))
     return learned.union(rules)
 
@@ -296,6 +327,23 @@ def walk_forward_models(spark: SparkSession, d: str) -> DataFrame:
     return P.kept(spark, d, "wf_models", make)
 
 
+def restored(stored: DataFrame, days: list[int], version: int) -> DataFrame | None:
+    """Stored models if their version and retrain days are those wanted, else null: they are then fitted anew."""
+    found = stored.agg(F.min("version"), F.max("version"), F.sort_array(F.collect_list("retrain_t"))).first()
+    return stored.drop("version") if (found[0], found[1], found[2]) == (version, version, sorted(days)) else None
+
+
+@query("wf_restored")
+def wf_restored(spark, d):
+    """Scores by models that were stored as files and read again."""
+    models = walk_forward_models(spark, d)
+    path = f"{P.shared_dir(spark)}/market/models-{uuid.uuid4().hex}"
+    models.withColumn("version", F.lit(L.VERSION)).write.parquet(path)
+    days = [r[0] for r in models.select("retrain_t").collect()]
+    found = restored(spark.read.parquet(path), days, L.VERSION)
+    return L.walk_forward_scores(_ranking(spark, d), models if found is None else found).select("t", "symbol", "retrain_t", "score")
+
+
 @query("wf_models")
 def wf_models(spark, d):
     """The models table, keyed by retrain day, from which stored models are taken again."""

@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 from itertools import product
 
 
+# Defaults of the strategy.
 @dataclass(frozen=True)
 class Params:
     gate: str = "sma200"
@@ -32,7 +33,7 @@ class Params:
         return replace(self, **changes)
 
 
-#: The values that the default grid combines.
+# What the default grid combines.
 GRID = {"slots": (10, 20, 30), "trail_pct": (10, 15, 20, 25), "rsi_min": (45, 50, 55), "high_within_pct": (10, 20, 30)}
 
 

@@ -82,15 +82,15 @@ class Rules:
             return None
         if self.algo is None:
             if price <= pos["peak"] * (1 - p.trail_pct / 100):
-                return f"trailing stop {p.trail_pct:g}%"
+                return "trail"
             sma = self.m.columns["sma50"][t, i] / UNIT
-            return "close below SMA50" if p.exit_below_sma50 and price < sma else None
+            return "under_sma50" if p.exit_below_sma50 and price < sma else None
         x = self.algo.get("exit", {})
         gain = price / pos["entry"] - 1
-        limits = ((x.get("stop_loss", 0), price <= pos["entry"] * (1 - x.get("stop_loss", 0) / 100), "stop loss {}%"), (x.get("take_profit", 0), price >= pos["entry"] * (1 + x.get("take_profit", 0) / 100), "take profit {}%"), (x.get("max_hold", 0), t - pos["t0"] >= x.get("max_hold", 0), "held {} days"))
+        limits = ((x.get("stop_loss", 0), price <= pos["entry"] * (1 - x.get("stop_loss", 0) / 100), "loss_limit"), (x.get("take_profit", 0), price >= pos["entry"] * (1 + x.get("take_profit", 0) / 100), "gain_limit"), (x.get("max_hold", 0), t - pos["t0"] >= x.get("max_hold", 0), "time_limit"))
         for limit, reached, words in limits:
             if limit > 0 and reached:
-                return words.format(limit)
+                return words
         assert gain > -1
         return next((R.describe(r) for k, r in enumerate(x.get("rules", [])) if self.m.columns[f"exit{k}"][t, i] == 1), None)
 
@@ -150,7 +150,7 @@ class Account:
         for i, pos in self.positions.items():
             if not np.isnan(m.close[t, i]):
                 pos["peak"] = max(pos["peak"], m.close[t, i])
-            why = "macro gate off" if p.gate_exit_all and not on else self.rules.exit_reason(i, t, pos)
+            why = "gate_closed" if p.gate_exit_all and not on else self.rules.exit_reason(i, t, pos)
             if why:
                 sells.append((i, why))
         buys, passed = [], {}
@@ -164,10 +164,10 @@ class Account:
                 if i in self.positions:
                     continue
                 s = m.sectors[i]
-                full = "macro gate off" if not on else "no free slot" if used >= max(p.slots, 1) else f"sector cap ({p.sector_cap}) reached" if per_sector.get(s, 0) >= p.sector_cap else None
+                full = "gate_closed" if not on else "slots_taken" if used >= (max(p.slots, 1) if p.sizing == "risk" else p.slots) else "sector_full" if per_sector.get(s, 0) >= p.sector_cap else None
                 shares = 0 if full else self.size(i, t)
                 if full or shares <= 0:
-                    passed[i] = full or "position smaller than one lot"
+                    passed[i] = full or "under_one_lot"
                     continue
                 buys.append((i, shares))
                 used, per_sector[s] = used + 1, per_sector.get(s, 0) + 1

@@ -130,12 +130,13 @@ def panel_writer(spark, d):
     return out
 
 
-@query("stale_outputs", "SELECT replace(replace(symbol, '.', '_'), '^', '') || '.json' AS file FROM (SELECT symbol, count(*) AS n FROM pr GROUP BY symbol) WHERE n < 1200")
+@query("stale_outputs", "SELECT replace(replace(symbol, '.', '_'), '^', '') || '.json' AS file FROM (SELECT symbol, count(*) AS n FROM pr GROUP BY symbol) WHERE n < (SELECT count(*) / count(DISTINCT symbol) FROM pr)")
 def stale_outputs(spark, d):
-    """Files of all symbols but those with 1200 bars or more."""
+    """Files of all symbols but those with as many bars as the mean or more."""
     counts = P.prices(spark, d).groupBy("symbol").count()
+    counts = counts.join(F.broadcast(counts.agg(F.avg("count").alias("mean"))))
     files = counts.select(S.file_name(F.col("symbol")).alias("file"))
-    current = counts.where("count >= 1200").select(S.file_name(F.col("symbol")).alias("file"))
+    current = counts.where("count >= mean").select(S.file_name(F.col("symbol")).alias("file"))
     return files.join(current, "file", "left_anti")
 
 
@@ -353,9 +354,10 @@ def model_asof(spark, d):
     return both.select("t", latest.alias("m"), "r").where("r is null").select("t", F.col("m").alias("r"))
 
 
-@query("missing_symbols", "SELECT symbol FROM stk WHERE symbol NOT IN (SELECT symbol FROM pr GROUP BY symbol HAVING count(*) >= 1200)")
+@query("missing_symbols", "SELECT symbol FROM stk WHERE symbol NOT IN (SELECT symbol FROM pr GROUP BY symbol HAVING count(*) >= (SELECT count(*) / count(DISTINCT symbol) FROM pr))")
 def missing_symbols(spark, d):
-    kept = P.prices(spark, d).groupBy("symbol").count().where("count >= 1200")
+    counts = P.prices(spark, d).groupBy("symbol").count()
+    kept = counts.join(F.broadcast(counts.agg(F.avg("count").alias("mean")))).where("count >= mean")
     return P.stocks(spark, d).select("symbol").join(kept, "symbol", "left_anti")
 
 
@@ -491,6 +493,38 @@ def auc_verdict(spark, d):
     return stats.auc(split_parts(_samples(spark, d)), ["sample"]).select("sample", S.auc_verdict(F.col("auc")).alias("verdict"))
 
 
+# Cases at and beside every threshold, and without a number.
+_CASES = [None, float("nan"), float("inf"), 0.0, 0.47, 0.48, 0.4999, 0.5, 0.5099, 0.51, 0.5199, 0.52, 0.5201, 0.5499, 0.55, 0.5999, 0.6, 1.0]
+
+
+def _literal(x: float | None) -> str:
+    return "NULL::DOUBLE" if x is None else f"'{x}'::DOUBLE"
+
+
+_CASES_SQL = "(VALUES " + ", ".join(f"({k}, {_literal(x)})" for k, x in enumerate(_CASES)) + ")"
+_FINITE = lambda c: f"{c} IS NOT NULL AND isfinite({c})"
+
+
+def _cases(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_CASES)), f"{name} int, {name}_x double")
+
+
+@query("auc_verdict_cases", f"SELECT k, CASE WHEN NOT ({_FINITE('x')}) THEN NULL WHEN x >= 0.6 THEN 'strong' WHEN x >= 0.55 THEN 'useful' WHEN x > 0.52 THEN 'weak' WHEN x >= 0.48 THEN 'none' ELSE 'inverted' END AS verdict FROM {_CASES_SQL} c(k, x)", None)
+def auc_verdict_cases(spark, d):
+    return _cases(spark, "k").select("k", S.auc_verdict(F.col("k_x")).alias("verdict"))
+
+
+@query(
+    "model_verdict_cases",
+    f"SELECT a.k AS a, b.k AS b, l.k AS l, CASE WHEN {_FINITE('a.x')} AND {_FINITE('b.x')} AND {_FINITE('l.x')} AND a.x >= 0.52 AND b.x >= 0.52 AND l.x > 0 THEN 'better than the rules' WHEN {_FINITE('a.x')} AND {_FINITE('b.x')} AND a.x >= 0.51 AND b.x >= 0.5 THEN 'uncertain' ELSE 'no edge' END AS verdict FROM {_CASES_SQL} a(k, x), {_CASES_SQL} b(k, x), {_CASES_SQL} l(k, x) WHERE l.k <= 4",
+    None,
+)
+def model_verdict_cases(spark, d):
+    """Every combination of the cases; the table is fixed and small."""
+    rows = _cases(spark, "a").crossJoin(_cases(spark, "b")).crossJoin(_cases(spark, "l").where("l <= 4"))
+    return rows.select("a", "b", "l", S.model_verdict(F.col("a_x"), F.col("b_x"), F.col("l_x")).alias("verdict"))
+
+
 @query("deciles", "SELECT sample, CAST(bucket AS INTEGER) AS bucket, count(*) AS n, min(score) AS score_lo, max(score) AS score_hi, round(avg(label), 10) AS hit, round(avg(fwd), 10) AS avg_fwd FROM (SELECT *, (row_number() OVER (PARTITION BY sample ORDER BY score, t, sym_ix) * 10 + count(*) OVER (PARTITION BY sample) - 1) // count(*) OVER (PARTITION BY sample) AS bucket FROM sp) GROUP BY sample, bucket", IND + SAMPLES)
 def deciles(spark, d):
     m = stats.deciles(split_parts(_samples(spark, d)), ["sample"], ["t", "sym_ix"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import cross_section as X
 from ..operators import indicators as I
 
-WORDS = {">": "above", "<": "below", ">=": "at or above", "<=": "at or below", "xup": "crosses above", "xdown": "crosses below"}
+WORDS = {">": "over", "<": "under", ">=": "no less than", "<=": "no more than", "xup": "passes upward through", "xdown": "passes downward through"}
 FOLDED = ("ema", "rsi", "macd")
 WINDOWED = {
     "sma": lambda n: I.sma(F.col("close"), n),

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SMOOTH, BASE = 60, 1000.0
-_memo: dict[tuple[str, str, str], DataFrame] = {}
+INPUTS = ("lineitem", "orders", "customer", "nation", "region")
+_memo: dict[tuple, DataFrame] = {}
 _own_dir: dict[str, str] = {}
 
 
@@ -24,25 +28,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for cut lineage; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares for cut lineage; one of its own only in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own_dir.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="barsight-")
         _own_dir[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the input files, so that a changed input is read again."""
+    files, conf = [], spark.sparkContext._jsc.hadoopConfiguration()
+    for name in INPUTS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files += [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(conf).listStatus(path)]
+    return tuple(files)
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table of one application and input, made once and written: later queries plan a scan instead of its whole lineage,
-    and it outlives any executor."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table of one application and state of the input, made once and written: later queries plan a scan instead of its whole
+    lineage, and it outlives any executor. The files go when the driver ends."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), name)
     if key not in _memo:
         df, path = make(), f"{shared_dir(spark)}/market/{uuid.uuid4().hex}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
         df.write.parquet(path)
         _memo[key] = spark.read.schema(df.schema).parquet(path)
     return _memo[key]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that what follows does not compute it anew."""
+    path = f"{shared_dir(df.sparkSession)}/market/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, sym_ix, name, sector, market): nations as symbols, regions as sectors; the first two regions are market A."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -98,16 +122,17 @@ def index_returns(panel: DataFrame, close: str = "close") -> DataFrame:
 
 
 def chained(returns: DataFrame, base: float = BASE) -> DataFrame:
-    """(t, date, idx): the running product in the order of days, a fold over the calendar's one array."""
-    days = returns.agg(F.array_sort(F.collect_list(F.struct("t", "date", "r"))).alias("d"))
-    start = F.struct(F.lit(base).alias("v"), F.array().cast("array<double>").alias("all"))
+    """(t, date, idx): the running product in the order of days. One series with a row a day, so one task may carry it."""
 
-    def step(acc: Column, x: Column) -> Column:
-        v = acc["v"] * (1 + x["r"] / 1e10)
-        return F.struct(v.alias("v"), F.concat(acc["all"], F.array(v)).alias("all"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = base
+        for b in batches:
+            if b.num_rows:
+                x = np.cumprod(np.concatenate(([v], 1 + b.column(2).to_numpy() / 1e10)))[1:]
+                v = x[-1]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x)], ["t", "date", "idx"])
 
-    folded = days.select(F.arrays_zip("d", F.aggregate("d", start, step)["all"].alias("all")).alias("z")).select(F.explode("z").alias("z"))
-    return folded.select("z.d.t", "z.d.date", F.col("z.all").alias("idx"))
+    return returns.select("t", "date", "r").repartition(1).sortWithinPartitions("t").mapInArrow(run, "t int, date date, idx double")
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

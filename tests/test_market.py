@@ -123,6 +123,114 @@ def test_limits_and_books(market):
     assert p.capital + closed + open_ == pytest.approx(curve.equity.iloc[-1])
 
 
+def plain_simulation(m, p):
+    """The same plan once more, bar by bar with plain Python: (equity by day, trades)."""
+    n, close = len(m.symbols), m.close.tolist()
+    col = {k: v.tolist() for k, v in m.columns.items()}
+    known, cash, held, trades, equity, orders = [math.nan] * n, p.capital, {}, [], [], ([], [])
+    fee, last = p.fee_bps / 1e4, len(close) - 1
+    for t in range(252, last + 1):
+        for i in range(n):
+            if not math.isnan(close[t][i]):
+                known[i] = close[t][i]
+        for i in orders[0]:
+            h = held.pop(i)
+            got = h["shares"] * known[i] * (1 - fee)
+            cash += got
+            trades.append((m.symbols[i], h["day"], t, h["shares"], got - h["paid"]))
+        for i, shares in orders[1]:
+            if math.isnan(known[i]):
+                continue
+            each = known[i] * (1 + fee)
+            while shares > 0 and shares * each > cash:
+                shares -= p.lot
+            if shares > 0:
+                cash -= shares * each
+                held[i] = {"shares": shares, "paid": shares * each, "day": t, "top": known[i]}
+        total = cash + sum(h["shares"] * known[i] for i, h in held.items())
+        equity.append(total)
+        sells = []
+        for i, h in held.items():
+            x = close[t][i]
+            if math.isnan(x):
+                continue
+            h["top"] = max(h["top"], x)
+            if x <= h["top"] * (1 - p.trail_pct / 100) or (p.exit_below_sma50 and x < col["sma50"][t][i] / B.UNIT):
+                sells.append(i)
+        buys = []
+        if (t - 252) % p.rebalance_every == 0 and m.gates[p.gate][t]:
+            stay = [i for i in held if i not in sells]
+            sectors = [m.sectors[i] for i in stay]
+            ranked = []
+            for i in range(n):
+                x, back = close[t][i], close[t - p.mom_lookback][i]
+                c = {k: v[t][i] for k, v in col.items()}
+                y = x * B.UNIT
+                if c["sma50"] > c["sma200"] and y > c["sma200"] and (y > c["sma50"] or not p.exit_below_sma50) and c["ema12"] > c["ema26"] and p.rsi_min <= c["rsi14"] <= p.rsi_max and y >= c["hi252"] * (1 - p.high_within_pct / 100) and not math.isnan(x / back):
+                    ranked.append((-(x / back - 1), i))
+            for _, i in sorted(ranked):
+                if i in held or len(sectors) >= p.slots or sectors.count(m.sectors[i]) >= p.sector_cap:
+                    continue
+                shares = int(total / p.slots / close[t][i] // p.lot) * p.lot
+                if shares > 0:
+                    buys.append((i, shares))
+                    sectors.append(m.sectors[i])
+        orders = (sells, buys) if t < last else ([], [])
+    return equity, trades
+
+
+@pytest.mark.parametrize("changes", [{"gate": "off", "slots": 5}, {"slots": 8, "sector_cap": 2, "trail_pct": 8, "rebalance_every": 3}, {"gate": "sma50_200", "slots": 3, "lot": 100, "capital": 1_000_000, "exit_below_sma50": False, "rsi_min": 30, "high_within_pct": 40}])
+def test_simulation_against_a_plain_one(market, changes):
+    p = Params(**changes)
+    account, curve = B.simulate(B.Rules(market, p))
+    equity, trades = plain_simulation(market, p)
+    assert curve.equity.tolist() == pytest.approx(equity, rel=1e-9)
+    days = {d: k for k, d in enumerate(market.dates)}
+    assert [(x["symbol"], days[x["entry_date"]], days[x["exit_date"]], x["shares"]) for x in account.trades] == [x[:4] for x in trades]
+    assert [x["pnl"] for x in account.trades] == pytest.approx([x[4] for x in trades], abs=1e-6) and len(trades) > 5
+
+
+def test_grid_and_spread_runs_are_the_same_simulation(spark, market):
+    from barsight.plans.model_queries import grid_search
+
+    base = Params(gate="off", slots=5)
+    out = {r["combo"]: r for r in grid_search(spark, market, base, {"slots": (3, 5), "trail_pct": (10, 20)}, top=2).collect()}
+    assert {k: r["kind"] for k, r in out.items()} == {0: "combination", 1: "combination", 2: "combination", 3: "combination", 4: "baseline", 5: "index"}
+    assert sum(r["oos_sharpe"] is not None for r in out.values()) == 4 and out[3]["sharpe"] == out[4]["sharpe"]
+    last = len(market.dates) - 1
+    split = int(252 + (last - 252) * 0.7 + 0.5)
+    for k, (slots, trail) in enumerate([(3, 10), (3, 20), (5, 10), (5, 20)]):
+        _, curve = B.simulate(B.Rules(market, base.with_(slots=slots, trail_pct=trail)), 252, split)
+        r = curve.equity.pct_change().dropna()
+        assert out[k]["total"] == pytest.approx(curve.equity.iloc[-1] / curve.equity.iloc[0] - 1) and out[k]["exposure"] == pytest.approx(curve.invested.mean())
+        assert out[k]["sharpe"] == pytest.approx(r.mean() / r.std() * 252**0.5)
+    assert out[5]["oos_cagr"] is not None and out[5]["sharpe"] is None
+
+
+def test_boosting_keeps_its_log_odds(spark, monkeypatch):
+    monkeypatch.setattr(L, "LEAST_HESSIAN", 5.0)
+    r = np.random.default_rng(2)
+    x = r.normal(size=(1500, L.NF))
+    y = (r.random(1500) < 1 / (1 + np.exp(-2 * x[:, 0] * x[:, 1]))).astype(int)
+    rows = spark.createDataFrame([(k, 0, [float(v) for v in a], int(b)) for k, (a, b) in enumerate(zip(x, y))], "t int, sym_ix int, x array<double>, label int")
+    edges = L.bin_edges(rows)
+    monkeypatch.setattr(L, "RENEWED", 1000)
+    plain = L.fit_trees(rows, "true", None, edges, rounds=7)
+    monkeypatch.setattr(L, "RENEWED", 2)
+    kept = L.fit_trees(rows, "true", None, edges, rounds=7)
+    z = plain.bins(x)
+    assert kept.score(z) == pytest.approx(plain.score(z), abs=1e-9) and len(kept.trees) == 7
+    assert np.mean((kept.score(z) > 0) == y) > 0.6
+
+
+def test_stored_models_are_taken_by_version_and_days(spark):
+    from barsight.plans.model_queries import restored
+
+    stored = spark.createDataFrame([(252, 1, 5), (315, 1, 5)], "retrain_t int, version int, n int")
+    assert restored(stored, [315, 252], 1).columns == ["retrain_t", "n"]
+    assert restored(stored, [252, 315], 2) is None and restored(stored, [252], 1) is None
+
+
 def test_risk_size(market):
     p = Params(sizing="risk", capital=1_000_000, max_pos_pct=100)
     account = B.Account(B.Rules(market, p), 252)
