@@ -275,8 +275,8 @@ def join(documents: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "d
 
 
 def keep_one(documents: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first document of each class (least id, then text key), with its own columns. Of repeated rows one stays; rows
-    without shingles all stay."""
+    """The first document of each class (least id, then text key), with its own columns. Of repeated rows one stays;
+    other rows without shingles all stay."""
     found = join(documents, threshold=threshold, id_col=id_col, text_col=text_col)
     key = fresh("_text_key", documents)
     gone = found.where(~F.struct("_id", "_tk").eqNullSafe(F.col("_first"))).select(F.col("_id").alias(fresh("_gone_id", documents)), F.col("_tk").alias(fresh("_gone_key", documents))).distinct()

@@ -19,7 +19,7 @@ a text splits at such places, and equal parts have equal paths: each task keeps
 MEMO_PARTS.
 
 Cases: null text encodes to null ids and decodes to null; '' to no ids; repeated rows get equal ids; lone surrogates cannot
-occur in Spark strings; extra columns of any name are kept by encode().
+occur in Spark strings; extra columns of any name are kept; a new column whose name is taken gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MEMO_PARTS, MEMO_PAIRS = 500_000, 250_000
@@ -292,7 +294,7 @@ def _texts(ids: pa.ListArray, t: Transducer) -> pa.Array:
 
 def _mapped(df: DataFrame, added: list[tuple[str, str]], make) -> DataFrame:
     """df with columns more, by make(columns of some rows); ids of long texts go on in small batches."""
-    schema = df.schema
+    schema, added = df.schema, [(fresh(name, df), kind) for name, kind in added]
     for name, kind in added:
         schema = T.StructType([*schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 

@@ -15,10 +15,11 @@ any document. Strings are judged on the input and never cross documents.
    receivers hold one sorted order. A receiver merges its runs with a loser tree that keeps each loser's common prefix with the
    winner that beat it and compares bytes only behind it; the merged order comes with its array of common prefixes.
 4. Neighbours in that order that share r >= HEAD bytes and agree on l bytes before share all strings that start a bytes before
-   the anchor, LENGTH - r <= a <= l. Where a splitter cuts such neighbours apart, the distinct strings on both sides are compared
-   by digests of all their bytes. The spans go back to all members of the classes and are united per document.
+   the anchor, LENGTH - r <= a <= l. The spans go back to all members of the classes and are united per document.
 
-Digests are 128 bits of BLAKE2b; two keys of one class that differ are an error, never a silent match.
+A splitter is cut to HEAD bytes, so that neighbours stay together. Only where a head has more keys than a receiver takes do
+further splitters divide it; then the distinct strings that may stand on both sides are compared by 128-bit BLAKE2b digests of
+all their bytes. Two keys of one class that differ are an error, never a silent match.
 
 Cases: null and empty texts have no bytes, spans or removals; repeated rows are copies of each other; texts shorter than LENGTH
 lose nothing; removal may cut a multi-byte character, so kept bytes need not be UTF-8 (kept_bytes is binary); an empty table
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ from .common import cut, hot_join, text_key
 LENGTH, WINDOW, GRAM = 400, 320, 16
 #: Distinct keys that a receiver gets on average, sampled keys for each splitter, and the most receivers: a bound for what
 #: the driver samples. Beyond it receivers grow.
-RECEIVED, SAMPLED, MOST_RECEIVERS = 20_000, 8, 4096
+RECEIVED, SAMPLED, MOST_RECEIVERS = 20_000, 32, 4096
 #: Bytes of suffixes that a task sorts at once into one run for each receiver.
 RUN_BYTES = 48_000_000
 
@@ -115,7 +117,7 @@ def _anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
                         continue
                     hasher = Hasher(data)
                     p = anchors(data, hasher, length, window)
-                    digests = np.frombuffer(b"".join(hashlib.blake2b(data[max(0, x - window + 1) : x + length] + min(x, window - 1).to_bytes(4), digest_size=16).digest() for x in p.tolist()), np.int64).reshape(-1, 2)
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[max(0, x - window + 1) : x + length], min(x, window - 1)) for x in p.tolist()), np.int64).reshape(-1, 2)
                     for c, x in zip(cols, (p.astype(np.int32), _signed(hasher.of(p, p + length - window + 1)), digests[:, 0], digests[:, 1])):
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cols[0], pa.list_(pa.int32())), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])], ["id", "tk", "p", "h", "c1", "c2"])
@@ -298,13 +300,14 @@ def _splitters(needed: DataFrame, length: int, window: int, classes: int, receiv
     sampled = chosen.mapInArrow(run, "key binary").distinct()
     # Twice as many as wanted would be a sample that its hash did not thin out as expected.
     keys = sorted(sampled.limit(2 * wanted).toArrow()["key"].to_pylist())
-    return [keys[len(keys) * k // receivers] for k in range(1, receivers)] if keys else []
+    picked = sorted({keys[len(keys) * k // receivers] for k in range(1, receivers)}) if keys else []
+    head = length - window + 1
+    return [k if before[:head] == k[:head] else k[:head] for before, k in zip([b"", *picked], picked)]
 
 
 def _sorted_spans(needed: DataFrame, length: int, window: int, splitters: list[bytes]) -> DataFrame:
     """(h, c1, c2, lo, hi) of classes with repeated strings, from (text, wanted): lo and hi are relative to the anchor."""
     head = length - window + 1
-    splitters = sorted(set(splitters))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, tuple] = {}
@@ -348,8 +351,8 @@ def _sorted_spans(needed: DataFrame, length: int, window: int, splitters: list[b
                 for low, high in ranges:
                     put(label, -high, length - low, None, None)
             key_of = lambda g: g[1] + g[2]
-            below = common_prefix(splitters[at - 1], key_of(group[0])) if at and not started else 0
-            above = common_prefix(splitters[at], key_of(group[-1])) if last and at < len(splitters) else 0
+            below = common_prefix(splitters[at - 1], key_of(group[0])) if at and not started and len(splitters[at - 1]) > head else 0
+            above = common_prefix(splitters[at], key_of(group[-1])) if last and at < len(splitters) and len(splitters[at]) > head else 0
             if max(below, above) >= head:
                 for digest, a, label in open_strings(group, length, below, above):
                     put(label, None, None, digest, a)
@@ -386,7 +389,7 @@ def repeated_spans(documents: DataFrame, *, length: int = LENGTH, window: int =
     anchored = cut(hot_join(rows, classes, ["h", "c1", "c2"], "n", total[1], ["id", "tk", "p"]).select("id", "tk", "p", "h", "c1", "c2"))
     places = anchored.groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("p", "h", "c1", "c2")).alias("wanted"))
     needed = cut(docs.join(places, (docs["tk"] == places["_tk"]) & docs["id"].eqNullSafe(places["_id"])).dropDuplicates(["_id", "_tk"]).select("text", "wanted"))
-    receivers = min(MOST_RECEIVERS, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total[0] // received))
+    receivers = min(MOST_RECEIVERS, 1 + total[0] // received)
     spans = _sorted_spans(needed, length, window, _splitters(needed, length, window, total[0], receivers))
     spans = spans.union(classes.where("n > 1").select("h", "c1", "c2", F.lit(-(window - 1)).cast("bigint").alias("lo"), F.lit(length).cast("bigint").alias("hi")))
     # All spans of an anchor hold its head, so their union is one span.

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_key, words_of
+from .common import cut, fresh, text_key, words_of
 
 DISCOUNTS, STRETCHES = (3.0, 20.0), (1, 10, 50, 0)
 CALIBRATION_ROWS, BROADCAST_LABELS, MODEL_ROWS, THRESHOLD = 40_000, 250_000, 4_000_000, 0.7
@@ -339,8 +339,8 @@ def train(rows: DataFrame) -> tuple[tuple[pa.Table, DataFrame | None], int, floa
     return model, k, *fit_logistic(x[:, k], y)
 
 
-def score(documents: DataFrame, labels: DataFrame, learn: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns of keep, and score for every document; only documents where `learn` holds lend their labels."""
+def score(documents: DataFrame, labels: DataFrame, learn: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """id, the columns of keep, and score_col for every document; only documents where `learn` holds lend their labels."""
     rows = learning_rows(documents.where(learn) if learn is not None else documents, labels, id_col, text_col, label_col)
     model, k, slope, intercept = train(rows)
     names = [id_col, *(c for c in keep if c != id_col)]
@@ -349,7 +349,7 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
     base = documents.select(*[F.col(c).alias(at[c]) for c in names], *([] if text_col in names else [F.col(text_col).alias("text")]))
     scored = _statistic_rows(base, [model], False, [at[c] for c in names])
     z = F.lit(slope) * F.col("x")[k] + F.lit(intercept)
-    return scored.select(*[F.col(at[c]).alias(c) for c in names], (1 / (1 + F.exp(-z))).alias("score"))
+    return scored.select(*[F.col(at[c]).alias(c) for c in names], (1 / (1 + F.exp(-z))).alias(score_col))
 
 
 def third(id_col: str = "doc_id") -> Column:
@@ -365,4 +365,5 @@ def op7(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(documents: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their own columns. Learns from the same rows as op7."""
     learn = F.coalesce(third() != 1, F.lit(False))
-    return score(documents, labels, learn, keep=tuple(documents.columns)).where(F.col("score") < threshold).select(*documents.columns)
+    name = fresh("score", documents)
+    return score(documents, labels, learn, keep=tuple(documents.columns), score_col=name).where(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in documents.columns])

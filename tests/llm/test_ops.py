@@ -654,5 +654,72 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in C.run(spark, SF).select("doc_id").collect()) == sorted(r["doc_id"] for r in out)
 
 
+CLASHING = ["_text_key", "_drop", "_drop_id", "_n_removed", "_own", "_dir", "near", "_near", "_licence", "ids", "decoded", "_barsight_key", "_tk", "_salt", "_hot", "tk", "c", "n", "fp", "x", "_c0", "label", "half", "score", "segment", "place", "id", "node", "rule", "host"]
+
+
+def test_clashing_names(spark):
+    texts = ["a b\nc d\ne f", "a b\nc d\ne f", "Released under the MIT License.", None, "", prose(random.Random(1), 60)]
+    docs = docs_of(spark, texts).select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHING])
+    plain = docs_of(spark, texts)
+    labels = spark.createDataFrame([(0, 1, 0), (5, 1, 1)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
+
+    def same(got, expected, renamed=()):
+        """The extra columns are as they were, the others as without them."""
+        rows, other = ({r["doc_id"]: r.asDict() for r in df.collect()} for df in (got, expected))
+        assert rows.keys() == other.keys()
+        for k, r in rows.items():
+            assert all(r[c] == f"{c}{k}" for c in CLASHING)
+            assert all(r[dict(renamed).get(c, c)] == v for c, v in other[k].items())
+
+    same(line_dedup.line_dedup(docs), line_dedup.line_dedup(plain), [("_n_removed", "_n_removed_")])
+    same(jaccard_join.keep_one(docs), jaccard_join.keep_one(plain))
+    same(decontamination.decontaminate(docs, bench), decontamination.decontaminate(plain, bench))
+    same(toxicity.drop_toxic(docs, labels), toxicity.drop_toxic(plain, labels))
+    same(sentencepiece.encode_decode(docs), sentencepiece.encode_decode(plain), [("ids", "ids_"), ("decoded", "decoded_")])
+    path = F.concat(F.lit("a/"), F.col("doc_id"))
+    same(license_scan.scan(docs.withColumn("path", path)), license_scan.scan(plain.withColumn("path", path)), [("_own", "_own_"), ("_licence", "_licence_")])
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", "<p>x")], "page_id bigint, url string, html string")
+    more = pages.select("*", *[F.lit(1).alias(c) for c in CLASHING])
+    assert url_filter.op4(more).collect() == url_filter.op4(pages).collect() and warc.op3(more).collect() == warc.op3(pages).collect()
+    for op, *rest in ((line_dedup.op1,), (sentencepiece.op2,), (substring_dedup.op5,), (license_scan.op6,), (toxicity.op7, labels), (decontamination.op8, bench), (jaccard_join.op9,)):
+        assert sorted(map(str, op(docs, *rest).collect())) == sorted(map(str, op(plain, *rest).collect()))
+
+
+def test_repeated_rows_agree(spark):
+    text = "\n".join(prose(random.Random(k), 20) for k in range(12))
+    docs = docs_of(spark, [text, text, "Licensed under CC BY 4.0.", "Licensed under CC BY 4.0."], [4, 4, 7, 7])
+    labels = spark.createDataFrame([(4, 1, 1), (4, 1, 1), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, text), (1, text), (None, text)], "item_id bigint, text string")
+    for out in (license_scan.op6(docs), toxicity.op7(docs, labels), sentencepiece.op2(docs), substring_dedup.op5(docs), decontamination.op8(docs, bench)):
+        rows = [str(r) for r in out.collect()]
+        assert len(rows) == 4 and len(set(rows)) == 2
+    assert {r["doc_id"]: (r["n_items"], r["items"]) for r in decontamination.contamination(docs, bench).collect()} == {4: (2, ["1"]), 7: (0, [])}
+    assert {r["n_removed"] for r in substring_dedup.op5(docs).where("doc_id = 4").collect()} == {len(text)}
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", "<p>x")] * 2, "page_id bigint, url string, html string")
+    assert len({str(r) for r in url_filter.op4(pages).collect()}) == 1 and len({str(r) for r in warc.op3(pages).collect()}) == 2
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as C
+
+    copy = "\n".join(prose(random.Random(k), 20) for k in range(12))
+    texts = [None, "", copy, copy, copy + "\nend", prose(random.Random(50), 30_000), "one line"]
+    docs = docs_of(spark, [*texts, texts[0], "one line"], [*range(len(texts)), 0, 6]).withColumn("_text_key", F.lit("kept"))
+    labels = spark.createDataFrame([(2, 1, None)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (2, "")], "item_id bigint, text string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    before = docs
+    for k, (_, stage) in enumerate(C.STAGES):
+        after = common.cut(stage(spark, before, str(tmp_path)))
+        assert k == 4 or after.columns == docs.columns
+        before = after
+    got = collections.Counter(r["doc_id"] for r in before.collect())
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
 def test_sha_of_no_items():
     assert decontamination.items_digest([]) == hashlib.sha256(b"").hexdigest()
