@@ -11,8 +11,7 @@ near copies the join alone finds most, after line dedup few (README). Later exac
 their lines and stay as empty texts.
 
 Cases, for every stage: a null text is kept as null (no evidence, no lines, no shingles, no words, null ids), an empty text as
-empty; rows that repeat as a whole are judged alike, and of those that have shingles the join keeps one; ties go to the least
-doc_id, then a hash of the text; empty tables give no rows; all but the last stage keep extra columns, whatever their names.
+empty; rows that repeat are judged alike, and the join keeps one of them; ties go to the least doc_id, then a hash of the text; empty tables give no rows; all but the last stage keep extra columns, whatever their names.
 n_chars follows the text where line dedup changes it.
 """
 
