@@ -121,13 +121,13 @@ def decode_panel(spark, d):
 
 @query("panel_writer")
 def panel_writer(spark, d):
-    """What a panel file holds, one JSON text per market."""
+    """The panel files, one JSON text per market, as written and read again."""
     out = None
     for m in ("A", "B"):
         one = P.encode_panel(P.bars(spark, d).where(F.col("market") == m), P.index_bars(spark, d), f"market {m}")
         one = one.select(F.lit(m).alias("market"), F.to_json(F.struct("*")).alias("json"))
         out = one if out is None else out.union(one)
-    return out
+    return P.filed(out, "market", "json")
 
 
 @query("stale_outputs", "SELECT replace(replace(symbol, '.', '_'), '^', '') || '.json' AS file FROM (SELECT symbol, count(*) AS n FROM pr GROUP BY symbol) WHERE n < (SELECT count(*) / count(DISTINCT symbol) FROM pr)")
@@ -146,6 +146,13 @@ def meta_summary(spark, d):
     return joined.groupBy("market").agg(F.countDistinct("symbol").alias("stocks"), F.array_join(F.array_sort(F.collect_set("sector")), ",").alias("sectors"), F.max("date").alias("newest"))
 
 
+@query("meta_missing", "SELECT market, string_agg(symbol, ',' ORDER BY symbol) AS missing FROM stk WHERE symbol NOT IN (SELECT symbol FROM pr GROUP BY symbol HAVING count(*) >= (SELECT count(*) / count(DISTINCT symbol) FROM pr)) GROUP BY market")
+def meta_missing(spark, d):
+    """The missing list of each market's meta record."""
+    found = missing_symbols(spark, d).join(F.broadcast(P.stocks(spark, d)), "symbol")
+    return found.groupBy("market").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("missing"))
+
+
 @query("fn_filename", "SELECT c_name, replace(replace('^' || c_name || '.BK', '.', '_'), '^', '') || '.json' AS file FROM customer", None)
 def fn_filename(spark, d):
     return P.table(spark, d, "customer").select("c_name", S.file_name(F.concat(F.lit("^"), "c_name", F.lit(".BK"))).alias("file"))
@@ -153,12 +160,13 @@ def fn_filename(spark, d):
 
 @query("stored_settings")
 def stored_settings(spark, d):
-    """Settings and algorithms kept as JSON and read again; what cannot be read takes the default."""
+    """Settings and algorithms stored as JSON files and read again; what cannot be read takes the default."""
     import json
 
     texts = [(k, json.dumps(v)) for k, v in PRESETS.items()] + [("broken", "{")]
     schema = "entry struct<join: string, rules: array<struct<op: string>>>, eval struct<horizon: int, label: string, step: int>"
-    read = spark.createDataFrame(texts, "name string, json string").select("name", F.from_json("json", schema).alias("a"))
+    stored = P.filed(spark.createDataFrame(texts, "name string, json string"), "name", "json")
+    read = stored.select("name", F.from_json("json", schema).alias("a"))
     return read.select("name", F.coalesce("a.eval.horizon", F.lit(21)).alias("horizon"), F.coalesce("a.eval.label", F.lit("beat")).alias("label"), F.coalesce(F.size("a.entry.rules"), F.lit(0)).alias("rules"))
 
 

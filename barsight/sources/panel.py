@@ -67,6 +67,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, key) stored as text files, a folder for each key, and read again."""
+    path = f"{shared_dir(df.sparkSession)}/market/files-{uuid.uuid4().hex}"
+    df.select(key, text).write.partitionBy(key).text(path)
+    return df.sparkSession.read.schema(f"value string, `{key}` string").text(path).select(F.col("value").alias(text), key)
+
+
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, sym_ix, name, sector, market): nations as symbols, regions as sectors; the first two regions are market A."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
