@@ -18,8 +18,9 @@ any document. Strings are judged on the input and never cross documents.
    the anchor, LENGTH - r <= a <= l. The spans go back to all members of the classes and are united per document.
 
 A splitter is cut to HEAD bytes, so that neighbours stay together. Only where a head has more keys than a receiver takes do
-further splitters divide it; then the distinct strings that may stand on both sides are compared by 128-bit BLAKE2b digests of
-all their bytes. Two keys of one class that differ are an error, never a silent match.
+further splitters divide it. The anchors that share bytes with a splitter on either side then go through a second pass, sorted
+by what stands before them. Strings that both orders cut apart are made of the bytes that two splitters share, so few are left,
+and these are compared by 128-bit BLAKE2b digests. Two keys of one class that differ are an error, never a silent match.
 
 Cases: null and empty texts have no bytes, spans or removals; repeated rows are copies of each other; texts shorter than LENGTH
 lose nothing; removal may cut a multi-byte character, so kept bytes need not be UTF-8 (kept_bytes is binary); an empty table
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,20 +136,24 @@ def common_prefix(a: bytes, b: bytes, begin: int = 0) -> int:
 
 
 class Run:
-    """A sorted run, front-coded: prefixes[i] bytes are those of the key before. A label is (length of the suffix, h, c1, c2)."""
+    """A sorted run, front-coded: prefixes[i] bytes are those of the key before. A label is (length of the first part, h, c1, c2).
+    Keys and labels stay in Arrow's buffers until their turn."""
 
     def __init__(self, table: pa.RecordBatch):
-        self.prefixes, self.rests = table.column(0).to_pylist(), table.column(1).to_pylist()
-        self.labels = list(zip(*(table.column(k).to_pylist() for k in (2, 3, 4, 5))))
-        self.at, self.current = 0, self.rests[0]
+        self.prefixes, self.rests, self.size = table.column(0).to_numpy(), table.column(1), table.num_rows
+        self.columns = [table.column(k).to_numpy() for k in (2, 3, 4, 5)]
+        self.at, self.current = 0, self.rests[0].as_py()
+
+    def label(self) -> tuple[int, ...]:
+        return tuple(int(c[self.at]) for c in self.columns)
 
     def advance(self) -> int | None:
         """Decodes the next key and returns its common prefix with the one before; None at the end."""
         self.at += 1
-        if self.at == len(self.rests):
+        if self.at == self.size:
             return None
-        n = self.prefixes[self.at]
-        self.current = self.current[:n] + self.rests[self.at]
+        n = int(self.prefixes[self.at])
+        self.current = self.current[:n] + self.rests[self.at].as_py()
         return n
 
 
@@ -209,7 +214,7 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, tuple]]:
     winner = level[0]
     while winner >= 0 and not ended[winner]:
         run = runs[winner]
-        yield shared[winner], run.current, run.labels[run.at]
+        yield shared[winner], run.current, run.label()
         n = run.advance()
         if n is None:
             ended[winner] = True
@@ -223,10 +228,10 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, tuple]]:
 
 def offsets(group: list[tuple[int, bytes, bytes, tuple]], length: int) -> list[list[tuple[int, int]]]:
     """Per suffix of a group (common prefix of the keys with the one before, suffix, reversed left, label) the ranges of a, ends
-    included, whose strings another suffix of the group has too."""
+    included, whose strings another suffix of the group has too. In the second pass the two parts have changed places."""
     m = len(group)
     out: list[list[tuple[int, int]]] = [[] for _ in group]
-    if m <= 12:
+    if m <= 24:
         for i in range(m):
             r = length
             for j in range(i + 1, m):
@@ -239,43 +244,41 @@ def offsets(group: list[tuple[int, bytes, bytes, tuple]], length: int) -> list[l
                     out[i].append((low, l))
                     out[j].append((low, l))
         return out
-    shared = np.array([g[0] for g in group[1:]] + [0])
+    # For each a the suffixes that share length - a bytes are a block of this order, and those that agree on a bytes before are
+    # a block of the order by what stands before; a string is repeated where two suffixes are in the same two blocks.
+    shared = np.array([g[0] for g in group[1:]])
     room, reach = np.array([len(g[2]) for g in group]), np.array([len(g[1]) for g in group])
-    best = np.minimum(np.maximum(shared, np.concatenate(([0], shared[:-1]))), reach)
-    for a in range(max(0, length - int(best.max())), int(room.max()) + 1):
-        block = np.concatenate(([0], np.cumsum(shared[:-1] < length - a))).tolist()
-        seen: dict[tuple[int, bytes], int] = {}
-        for i in np.flatnonzero((best >= length - a) & (room >= a)).tolist():
-            first = seen.setdefault((block[i], group[i][2][:a]), i)
-            if first != i:
-                for x in (first, i):
-                    if out[x] and out[x][-1][1] >= a - 1:
-                        out[x][-1] = (out[x][-1][0], a)
-                    else:
-                        out[x].append((a, a))
+    lefts = [g[2] for g in group]
+    order = np.array(sorted(range(m), key=lefts.__getitem__))
+    agreed = np.array([common_prefix(lefts[x], lefts[y]) for x, y in zip(order, order[1:])])
+    low = max(0, length - int(min(reach.max(), shared.max())))
+    found = np.zeros((m, max(0, int(min(room.max(), agreed.max())) + 1 - low) + 2), bool)
+    block, before = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    for a in range(low, low + found.shape[1] - 2):
+        np.cumsum(shared < length - a, out=block[1:])
+        before[order[1:]] = np.cumsum(agreed < a)
+        able = np.flatnonzero((reach >= length - a) & (room >= a))
+        _, at, n = np.unique(block[able] * m + before[able], return_inverse=True, return_counts=True)
+        found[able[n[at] > 1], a - low + 1] = True
+    for i in np.flatnonzero(found.any(axis=1)).tolist():
+        edges = np.flatnonzero(found[i, 1:] != found[i, :-1]).tolist()
+        out[i] = [(low + x, low + y - 1) for x, y in zip(edges[::2], edges[1::2])]
     return out
 
 
-def open_strings(group: list[tuple[int, bytes, bytes, tuple]], length: int, below: int, above: int) -> Iterator[tuple[bytes, int, tuple]]:
-    """(digest, a, label) of the distinct strings of a group that a receiver before or behind may hold too: `below` is the
-    common prefix of the group's first key with the splitter before it, `above` of the last key with the one behind it, 0 if
-    the group does not stand at that end."""
-    first = last = length
-    from_first, to_last = [], []
-    for g in group:
-        from_first.append(first := min(first, g[0]) if from_first else length)
-    for k in range(len(group) - 1, -1, -1):
-        to_last.append(last)
+def open_lengths(group: list[tuple[int, bytes, bytes, tuple]], below: int, above: int, length: int) -> list[int]:
+    """How many bytes each suffix of a group may share with suffixes of the receiver before or behind: `below` is the common
+    prefix of the group's first key with the splitter before it, `above` of the last key with the one behind it, 0 if the group
+    does not stand at that end."""
+    m, first, last = len(group), length, length
+    out = [0] * m
+    for k in range(m):
+        first = min(first, group[k][0]) if k else length
+        out[k] = min(first, below, len(group[k][1]))
+    for k in range(m - 1, -1, -1):
+        out[k] = max(out[k], min(last, above, len(group[k][1])))
         last = min(last, group[k][0])
-    seen = set()
-    for (_, suffix, left, label), x, y in zip(group, from_first, reversed(to_last)):
-        n = min(max(min(x, below), min(y, above)), len(suffix))
-        for a in range(length - n, len(left) + 1):
-            string = left[:a][::-1] + suffix[: length - a]
-            digest = hashlib.blake2b(string, digest_size=16).digest()
-            if (a, digest) not in seen:
-                seen.add((a, digest))
-                yield digest, a, label
+    return out
 
 
 def _keys(data: bytes, wanted: list[dict], length: int, window: int) -> Iterator[tuple]:
@@ -286,76 +289,77 @@ def _keys(data: bytes, wanted: list[dict], length: int, window: int) -> Iterator
         yield suffix + data[max(0, p - window + 1) : p][::-1], len(suffix), w["h"], w["c1"], w["c2"]
 
 
-def _splitters(needed: DataFrame, length: int, window: int, classes: int, receivers: int) -> list[bytes]:
-    """At most receivers - 1 keys in order, from a sample of SAMPLED classes for each receiver."""
-    wanted = SAMPLED * receivers
-    share = max(1, round(classes / wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = {k[0] for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in _keys(text.encode() if wanted else b"", wanted, length, window)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.binary())], ["key"])
-
-    chosen = needed.select("text", F.filter("wanted", lambda w: F.pmod(w["c1"], F.lit(share)) == 0).alias("wanted"))
-    sampled = chosen.mapInArrow(run, "key binary").distinct()
+def _splitters(sampled: DataFrame, receivers: int, head: int) -> list[bytes]:
+    """At most receivers - 1 keys in order from a sample; the first of those that share `head` bytes is cut to these."""
     # Twice as many as wanted would be a sample that its hash did not thin out as expected.
-    keys = sorted(sampled.limit(2 * wanted).toArrow()["key"].to_pylist())
+    keys = sorted(sampled.distinct().limit(2 * SAMPLED * receivers).toArrow()["key"].to_pylist())
     picked = sorted({keys[len(keys) * k // receivers] for k in range(1, receivers)}) if keys else []
-    head = length - window + 1
-    return [k if before[:head] == k[:head] else k[:head] for before, k in zip([b"", *picked], picked)]
+    return [k if not head or before[:head] == k[:head] else k[:head] for before, k in zip([b"", *picked], picked)]
 
 
-def _sorted_spans(needed: DataFrame, length: int, window: int, splitters: list[bytes]) -> DataFrame:
-    """(h, c1, c2, lo, hi) of classes with repeated strings, from (text, wanted): lo and hi are relative to the anchor."""
-    head = length - window + 1
+def _exchange(keys: Iterable[tuple], splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """(receiver, run) of (key, length of its first part, h, c1, c2); of equal keys one."""
+    kept: dict[tuple, tuple] = {}
+    size = 0
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, tuple] = {}
-        size = 0
+    def flush() -> pa.RecordBatch:
+        by: dict[int, list[tuple]] = {}
+        for r in sorted(kept.values()):
+            by.setdefault(bisect_right(splitters, r[0]), []).append(r)
+        return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([front_code(v) for v in by.values()], pa.binary())], ["receiver", "run"])
 
-        def flush() -> pa.RecordBatch:
-            by: dict[int, list[tuple]] = {}
-            for r in sorted(kept.values()):
-                by.setdefault(bisect_right(splitters, r[0]), []).append(r)
-            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([front_code(v) for v in by.values()], pa.binary())], ["receiver", "run"])
+    for r in keys:
+        before = kept.setdefault(r[2:], r)
+        if before is r:
+            size += len(r[0])
+            if size >= RUN_BYTES:
+                yield flush()
+                kept, size = {}, 0
+        elif before != r:
+            raise ValueError("two different keys have one digest")
+    if kept:
+        yield flush()
+
+
+SPANS = "h bigint, c1 bigint, c2 bigint, lo bigint, hi bigint, key binary, n int, digest binary, a int"
 
-        for batch in batches:
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for r in _keys(text.encode(), wanted, length, window):
-                    before = kept.setdefault(r[2:], r)
-                    if before is r:
-                        size += len(r[0])
-                    elif before != r:
-                        raise ValueError("two different keys have one digest")
-                if size >= RUN_BYTES:
-                    yield flush()
-                    kept, size = {}, 0
-        if kept:
-            yield flush()
+
+def _merged(runs: DataFrame, splitters: list[bytes], length: int, head: int, swapped: bool) -> DataFrame:
+    """Per class the union (lo, hi) of what a receiver finds repeated, and what its neighbours may hold too: not swapped, the
+    anchors with as much of their suffix as may be shared, for the second pass; swapped, digests of whole strings."""
 
     def receive(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         at = key[0].as_py()
         runs = [Run(pa.ipc.open_stream(x).read_next_batch()) for x in table["run"].to_pylist()]
-        cols: list[list] = [[], [], [], [], [], [], []]
+        cols: list[list] = [[] for _ in range(9)]
         group: list[tuple] = []
         started = False
 
-        def put(label: tuple, lo: int | None, hi: int | None, digest: bytes | None, a: int | None) -> None:
-            for c, x in zip(cols, (*label[1:], lo, hi, digest, a)):
+        def put(label: tuple, *values) -> None:
+            for c, x in zip(cols, (*label[1:], *values)):
                 c.append(x)
 
         def done(last: bool) -> None:
             if len({g[3][1:] for g in group}) < len(group):
                 raise ValueError("two different keys have one digest")
             for (_, _, _, label), ranges in zip(group, offsets(group, length) if len(group) > 1 else [[]]):
-                for low, high in ranges:
-                    put(label, -high, length - low, None, None)
+                if ranges:
+                    low, high = min(r[0] for r in ranges), max(r[1] for r in ranges)
+                    put(label, *((low - length, high) if swapped else (-high, length - low)), None, None, None, None)
             key_of = lambda g: g[1] + g[2]
             below = common_prefix(splitters[at - 1], key_of(group[0])) if at and not started and len(splitters[at - 1]) > head else 0
             above = common_prefix(splitters[at], key_of(group[-1])) if last and at < len(splitters) and len(splitters[at]) > head else 0
-            if max(below, above) >= head:
-                for digest, a, label in open_strings(group, length, below, above):
-                    put(label, None, None, digest, a)
+            if not splitters or max(below, above) < head:
+                return
+            seen = set()
+            for (_, first, second, label), n in zip(group, open_lengths(group, below, above, length)):
+                if not swapped and n >= head:
+                    put(label, None, None, second + first[:n], len(second), None, None)
+                for k in range(length - n, len(second) + 1) if swapped else ():
+                    digest = hashlib.blake2b(first[: length - k][::-1] + second[:k], digest_size=16).digest()
+                    if (k, digest) not in seen:
+                        seen.add((k, digest))
+                        put(label, None, None, None, None, digest, length - k)
 
         before = None
         for shared, k, label in merge_runs(runs):
@@ -367,14 +371,52 @@ def _sorted_spans(needed: DataFrame, length: int, window: int, splitters: list[b
                 started, group = True, []
             group.append((shared, k[: label[0]], k[label[0] :], label))
         done(True)
-        return pa.table([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.int64())], ["h", "c1", "c2", "lo", "hi", "digest", "a"])
+        kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in SPANS.split(", ")])
+
+    return cut(runs.groupBy("receiver").applyInArrow(receive, SPANS))
+
+
+def _sorted_spans(needed: DataFrame, length: int, window: int, classes: int, received: int) -> DataFrame:
+    """(h, c1, c2, lo, hi) of classes with repeated strings, from (text, wanted): lo and hi are relative to the anchor."""
+    head = length - window + 1
+    names = ["key", "n", "h", "c1", "c2"]
+
+    def sized(n: int) -> tuple[int, int]:
+        """Receivers, and one in how many classes is sampled."""
+        receivers = min(MOST_RECEIVERS, 1 + n // received)
+        return receivers, max(1, round(n / SAMPLED / receivers))
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if wanted:
+                    yield from _keys(text.encode(), wanted, length, window)
+
+    def sampled_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array({k[0] for k in keys_of(batches)}, pa.binary())], ["key"])
+
+    receivers, share = sized(classes)
+    chosen = needed.select("text", F.filter("wanted", lambda w: F.pmod(w["c1"], F.lit(share)) == 0).alias("wanted"))
+    splitters = _splitters(chosen.mapInArrow(sampled_keys, "key binary"), receivers, head)
+    found = _merged(needed.mapInArrow(lambda batches: _exchange(keys_of(batches), splitters), "receiver int, run binary"), splitters, length, head, False)
+    spans = found.where("lo is not null").select("h", "c1", "c2", "lo", "hi")
+    opened = found.where("key is not null").select(names)
+    n = opened.count()
+    if not n:
+        return spans
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
 
-    runs = needed.mapInArrow(send, "receiver int, run binary")
-    found = cut(runs.groupBy("receiver").applyInArrow(receive, "h bigint, c1 bigint, c2 bigint, lo bigint, hi bigint, digest binary, a bigint"))
-    ends = found.where("digest is not null")
-    both = ends.groupBy("digest", "a").agg(F.count("*").alias("n")).where("n > 1").select("digest", "a")
-    met = ends.join(both, ["digest", "a"]).select("h", "c1", "c2", (-F.col("a")).alias("lo"), (length - F.col("a")).alias("hi"))
-    return found.where("digest is null").select("h", "c1", "c2", "lo", "hi").union(met)
+    receivers, share = sized(n)
+    others = _splitters(opened.where(F.pmod("c1", F.lit(share)) == 0).select("key"), receivers, 0)
+    again = _merged(opened.mapInArrow(lambda batches: _exchange(rows_of(batches), others), "receiver int, run binary"), others, length, 0, True)
+    ends = again.where("digest is not null")
+    both = ends.groupBy("digest", "a").agg(F.count("*").alias("both")).where("both > 1")
+    met = ends.join(both, ["digest", "a"]).select("h", "c1", "c2", (-F.col("a")).cast("bigint").alias("lo"), (length - F.col("a")).cast("bigint").alias("hi"))
+    return spans.union(again.where("lo is not null").select("h", "c1", "c2", "lo", "hi")).union(met)
 
 
 def repeated_spans(documents: DataFrame, *, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", received: int = RECEIVED) -> DataFrame:
@@ -389,8 +431,7 @@ def repeated_spans(documents: DataFrame, *, length: int = LENGTH, window: int =
     anchored = cut(hot_join(rows, classes, ["h", "c1", "c2"], "n", total[1], ["id", "tk", "p"]).select("id", "tk", "p", "h", "c1", "c2"))
     places = anchored.groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("p", "h", "c1", "c2")).alias("wanted"))
     needed = cut(docs.join(places, (docs["tk"] == places["_tk"]) & docs["id"].eqNullSafe(places["_id"])).dropDuplicates(["_id", "_tk"]).select("text", "wanted"))
-    receivers = min(MOST_RECEIVERS, 1 + total[0] // received)
-    spans = _sorted_spans(needed, length, window, _splitters(needed, length, window, total[0], receivers))
+    spans = _sorted_spans(needed, length, window, total[0], received)
     spans = spans.union(classes.where("n > 1").select("h", "c1", "c2", F.lit(-(window - 1)).cast("bigint").alias("lo"), F.lit(length).cast("bigint").alias("hi")))
     # All spans of an anchor hold its head, so their union is one span.
     by_class = spans.groupBy("h", "c1", "c2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(classes, ["h", "c1", "c2"])

@@ -195,6 +195,20 @@ def test_substring_dedup(spark, corpus, length, window, received):
         assert bytes(out[d]["kept_bytes"]) == bytes(x for i, x in enumerate(data) if i not in gone)
 
 
+def test_offsets_of_large_groups():
+    r = random.Random(7)
+    for n in (30, 60):
+        rows = sorted((b"".join(r.choice((b"a", b"b")) for _ in range(r.randint(8, 20))), b"".join(r.choice((b"a", b"b")) for _ in range(r.randint(0, 12))), k) for k in range(n))
+        keys = [x + y for x, y, _ in rows]
+        order = sorted(range(n), key=keys.__getitem__)
+        group = [(substring_dedup.common_prefix(keys[a], keys[b]) if i else 0, rows[b][0], rows[b][1], (b,)) for i, (a, b) in enumerate(zip([order[0], *order], order))]
+        got = substring_dedup.offsets(group, 20)
+        for i, g in enumerate(group):
+            mine = {a for lo, hi in got[i] for a in range(lo, hi + 1)}
+            string = lambda h, a: h[2][:a][::-1] + h[1][: 20 - a] if len(h[2]) >= a and len(h[1]) >= 20 - a else None
+            assert mine == {a for a in range(len(g[2]) + 1) if string(g, a) and any(string(h, a) == string(g, a) for j, h in enumerate(group) if j != i)}
+
+
 def test_loser_tree():
     r = random.Random(3)
     rows = [(bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))), 0, k, 0, 0) for k in range(200)]
