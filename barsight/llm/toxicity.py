@@ -2,17 +2,18 @@
 
 Counts. Of every label all distinct (word before the last, last word, word) triples of its texts are gathered, so copies of a
 text count once. N_c(v, w) is in how many distinct places before v the pair v w stands, N_c(w) behind how many distinct words w
-stands: Kneser-Ney's continuation counts. Two halves of the texts count for themselves and are added.
+stands: Kneser-Ney's continuation counts. Two halves of the texts count for themselves and are added; the discounts are those of a half, so two halves have them twice.
 
 Model. P_c(w | v) = max(N_c(v, w) / N_c(v) - d2(v), 0) + b(v) * P_c(w), P_c(w) = max(N_c(w) / N_c - d1, 0) + b * P(w). The absolute
-discounts are DISCOUNTS counts of the class that has fewer, as rates equal in both classes, and what they free goes to backoff
+discounts are DISCOUNT counts for words and one of PAIR_DISCOUNTS for pairs, of the class that has fewer, as rates equal in both classes, and what they free goes to backoff
 weights that both classes share; P(w) comes from the pooled counts of both and half a count more for every word. So rare words
 and pairs get nearly the same probability from both classes and weigh nothing, and only words and pairs that pass a discount
 need a log-ratio of their own.
 
 Score. The difference of the two log-likelihoods over a stretch of words, divided by its number of words, of the most toxic
-stretch. Of the lengths in STRETCHES (0: the whole text) the one that ranks labelled rows best is taken, and a logistic curve in
-that one number, never falling, makes it a probability. Both are fitted on labelled rows that the counts do not come from:
+stretch. Of the lengths in STRETCHES (0: the whole text) and of PAIR_DISCOUNTS (the last: words alone) the two that rank labelled
+rows best are taken, as larger corpora hold more pairs that near copies repeat, and a logistic curve in that one number, never
+falling, makes it a probability. All are fitted on labelled rows that the counts do not come from:
 counts are kept in two halves by text, each half's rows are scored with the other's, and the final scores use both.
 
 Bounds. All labelled learning rows are counted, whatever their number; about CALIBRATION_ROWS of them, chosen by a hash of the
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, text_key, words_of
 
-DISCOUNTS, STRETCHES = (3.0, 20.0), (1, 10, 50, 0)
+DISCOUNT, PAIR_DISCOUNTS, STRETCHES = 3.0, (20.0, 100.0, 500.0, float("inf")), (1, 10, 50, 0)
 CALIBRATION_ROWS, BROADCAST_LABELS, MODEL_ROWS, THRESHOLD = 40_000, 250_000, 4_000_000, 0.7
 _FLUSH_WORDS = 1_500_000
 _BEGIN = np.uint64(7)
@@ -158,7 +159,7 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
             return found, np.stack([np.bincount(at, values[:, k], len(found)).astype(np.int64) for k in range(4)], axis=1)
 
         by_word, by_before = summed(w, counts > 0), summed(v, counts)
-        strong = (counts[:, :2] + counts[:, 2:]).max(axis=1) > DISCOUNTS[1]
+        strong = (counts[:, :2] + counts[:, 2:]).max(axis=1) > min(PAIR_DISCOUNTS)
         pairs = w[strong], counts[strong]
         kinds = [np.full(len(x[0]), k, np.int32) for k, x in enumerate((by_word, by_before, pairs))]
         nothing = [np.zeros(len(x[0]), np.int64) for x in (by_word, by_before)]
@@ -171,7 +172,7 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
     return cut(found.groupBy("kind", "key", "v", "code").agg(*(F.sum(c).alias(c) for c in _COUNTS)))
 
 
-def log_ratios(counts: DataFrame, halves: tuple[int, ...]) -> DataFrame | None:
+def log_ratios(counts: DataFrame, halves: tuple[int, ...], pair_discount: float) -> DataFrame | None:
     """(kind, code, uses, ratio) of the words and pairs whose log P_1 - log P_0 is their own, from the counts of these halves;
     null if a label has no counts."""
     n = [reduce(lambda a, b: a + b, (F.col(f"c{h}{y}") for h in halves)).alias(f"n{y}") for y in (0, 1)]
@@ -181,17 +182,20 @@ def log_ratios(counts: DataFrame, halves: tuple[int, ...]) -> DataFrame | None:
     if not all(total):
         return None
     n0, n1 = F.col("n0"), F.col("n1")
-    kept = [F.greatest(n / t - DISCOUNTS[0] / min(total), F.lit(0.0)) for n, t in zip((n0, n1), total)]
+    kept = [F.greatest(n / t - DISCOUNT * len(halves) / min(total), F.lit(0.0)) for n, t in zip((n0, n1), total)]
     freed = 1 - (words.agg(F.sum(kept[0] + kept[1])).first()[0] or 0.0) / 2
     shared = (n0 + n1 + 0.5) / (sum(total) + 0.5 * types)
     words = words.select("kind", "key", "code", (n0 + n1).alias("uses"), *[(k + freed * shared).alias(f"p{y}") for y, k in enumerate(kept)], (kept[0] + kept[1] > 0).alias("own"))
+    own_words = words.where("own").select("kind", "code", "uses", (F.log("p1") - F.log("p0")).alias("ratio"))
+    if pair_discount == float("inf"):
+        return cut(own_words)
     before = known.where("kind = 1").select(F.col("key").alias("v"), n0.alias("t0"), n1.alias("t1")).where("least(t0, t1) > 0")
-    rate = [F.greatest(F.col(f"n{y}") / F.col(f"t{y}") - DISCOUNTS[1] / F.least("t0", "t1"), F.lit(0.0)).alias(f"k{y}") for y in (0, 1)]
+    rate = [F.greatest(F.col(f"n{y}") / F.col(f"t{y}") - pair_discount * len(halves) / F.least("t0", "t1"), F.lit(0.0)).alias(f"k{y}") for y in (0, 1)]
     pairs = cut(known.where("kind = 2").join(before, "v").select("key", "v", "code", (n0 + n1).alias("uses"), *rate).where("k0 + k1 > 0"))
     freed_by = pairs.groupBy("v").agg(F.greatest(1 - F.sum(F.col("k0") + F.col("k1")) / 2, F.lit(1e-6)).alias("b"))
     p = [F.col(f"k{y}") + F.col("b") * F.col(f"p{y}") for y in (0, 1)]
     pairs = pairs.join(freed_by, "v").join(words.select("key", "p0", "p1"), "key").select(F.lit(2).alias("kind"), "code", "uses", (F.log(p[1]) - F.log(p[0])).alias("ratio"))
-    return cut(words.where("own").select("kind", "code", "uses", (F.log("p1") - F.log("p0")).alias("ratio")).union(pairs))
+    return cut(own_words.union(pairs))
 
 
 class Ratios:
@@ -324,19 +328,24 @@ RARE = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("ratio", pa.float
 def train(rows: DataFrame) -> tuple[tuple[pa.Table, DataFrame | None], int, float, float]:
     """The model of both halves, the place in STRETCHES, slope and intercept, from (text, half, label)."""
     counts = continuation_counts(rows)
-    model, *cross = (_split(log_ratios(counts, halves)) for halves in ((0, 1), (0,), (1,)))
     share = CALIBRATION_ROWS / max(1, rows.count())
     chosen = rows.withColumn("o", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)))
     if share < 1:
         chosen = chosen.where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = chosen.dropDuplicates(["o", "label"])
-    got = _statistic_rows(sample, cross, True, ["label"]).toArrow()
-    y = got["label"].to_numpy().astype(np.float64)
-    x = np.array(got["x"].to_pylist(), np.float64).reshape(len(y), len(STRETCHES))
-    if not 0 < y.sum() < len(y):
-        return model, 0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    k = int(np.argmax([ranking(x[:, j], y) for j in range(len(STRETCHES))]))
-    return model, k, *fit_logistic(x[:, k], y)
+    sample = cut(chosen.dropDuplicates(["o", "label"]).select("text", "half", "label"))
+    best: tuple = (-1.0,)
+    for discount in PAIR_DISCOUNTS:
+        cross = [_split(log_ratios(counts, (half,), discount)) for half in (0, 1)]
+        got = _statistic_rows(sample, cross, True, ["label"]).toArrow()
+        y = got["label"].to_numpy().astype(np.float64)
+        x = np.array(got["x"].to_pylist(), np.float64).reshape(len(y), len(STRETCHES))
+        if not 0 < y.sum() < len(y):
+            return _split(None), 0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        for k in range(len(STRETCHES)):
+            if (found := ranking(x[:, k], y)) > best[0]:
+                best = found, discount, k, x[:, k], y
+    _, discount, k, x, y = best
+    return _split(log_ratios(counts, (0, 1), discount)), k, *fit_logistic(x, y)
 
 
 def score(documents: DataFrame, labels: DataFrame, learn: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:

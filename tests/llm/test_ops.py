@@ -524,7 +524,8 @@ def test_toxicity_counts_and_held_out(spark):
 
 
 def test_kneser_ney_against_dicts(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "DISCOUNTS", (0.5, 1.5))
+    monkeypatch.setattr(toxicity, "DISCOUNT", 0.25)
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNTS", (0.75,))
     r = random.Random(11)
     texts = [(" ".join(r.choice("a b c d e f the vile".split()[: 8 if y else 7]) for _ in range(60)), k % 2, y) for y in (0, 1) for k in range(12)]
     counts = toxicity.continuation_counts(spark.createDataFrame(texts + texts[:2], "text string, half int, label int"))
@@ -551,7 +552,7 @@ def test_kneser_ney_against_dicts(spark, monkeypatch):
         b = 1 - sum(kept(y, x) for y in (0, 1) for x in vocabulary) / 2
         return np.log(kept(1, w) + b * p(1, w)) - np.log(kept(0, w) + b * p(0, w))
 
-    known = toxicity.Ratios(toxicity._split(toxicity.log_ratios(counts, (0, 1)))[0])
+    known = toxicity.Ratios(toxicity._split(toxicity.log_ratios(counts, (0, 1), 0.75))[0])
     for t, _, _ in texts[::5]:
         w = t.split()
         expected = [ratio(v, x) for v, x in zip(["", *w], w)]
