@@ -7,11 +7,15 @@ from .decontamination import ORACLE_SQL as SQL8
 from .decontamination import op8
 from .embedding_dedup import ORACLE_SQL as SQL10
 from .embedding_dedup import op10
+from .filter_audit import ORACLE_SQL as SQL12
+from .filter_audit import op12
 from .jaccard_join import op9
 from .license_scan import op6
 from .line_dedup import ORACLE_SQL as SQL1
 from .line_dedup import op1
 from .sentencepiece import op2
+from .streaming_dedup import ORACLE_SQL as SQL11
+from .streaming_dedup import op11
 from .substring_dedup import op5
 from .toxicity import op7
 from .url_filter import op4
@@ -28,5 +32,7 @@ QUERIES = {
     "op8_benchmark_decontamination": lambda spark, d: op8(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_embedding_dedup": lambda spark, d: op10(table(spark, d, "embeddings")),
     "op9_jaccard_join": lambda spark, d: op9(table(spark, d, "documents")),
+    "op11_streaming_dedup": lambda spark, d: op11(spark, f"{d}/documents.parquet"),
+    "op12_filter_audit": lambda spark, d: op12(table(spark, d, "documents"), table(spark, d, "labels")),
 }
-ORACLE = {"op10_embedding_dedup": SQL10, "op1_line_dedup": SQL1, "op8_benchmark_decontamination": SQL8}
+ORACLE = {"op11_streaming_dedup": SQL11, "op12_filter_audit": SQL12, "op10_embedding_dedup": SQL10, "op1_line_dedup": SQL1, "op8_benchmark_decontamination": SQL8}
