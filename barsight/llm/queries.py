@@ -13,6 +13,8 @@ from .jaccard_join import op9
 from .license_scan import op6
 from .line_dedup import ORACLE_SQL as SQL1
 from .line_dedup import op1
+from .prefix_trie import ORACLE_SQL as SQL13
+from .prefix_trie import op13
 from .sentencepiece import op2
 from .streaming_dedup import ORACLE_SQL as SQL11
 from .streaming_dedup import op11
@@ -34,5 +36,6 @@ QUERIES = {
     "op9_jaccard_join": lambda spark, d: op9(table(spark, d, "documents")),
     "op11_streaming_dedup": lambda spark, d: op11(spark, f"{d}/documents.parquet"),
     "op12_filter_audit": lambda spark, d: op12(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op13_prefix_trie": lambda spark, d: op13(table(spark, d, "conversations")),
 }
-ORACLE = {"op11_streaming_dedup": SQL11, "op12_filter_audit": SQL12, "op10_embedding_dedup": SQL10, "op1_line_dedup": SQL1, "op8_benchmark_decontamination": SQL8}
+ORACLE = {"op11_streaming_dedup": SQL11, "op12_filter_audit": SQL12, "op13_prefix_trie": SQL13, "op10_embedding_dedup": SQL10, "op1_line_dedup": SQL1, "op8_benchmark_decontamination": SQL8}

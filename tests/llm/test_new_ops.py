@@ -1,7 +1,9 @@
 """Operators 11 to 13 against plain versions."""
 
 import hashlib
+import random
 import uuid
+import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barsight.llm import filter_audit as A
+from barsight.llm import prefix_trie as P
 from barsight.llm import streaming_dedup as S
 from barsight.llm.common import scratch_dir
 
@@ -125,3 +128,79 @@ def test_audit_result(spark):
     assert sorted(tuple(r) for r in out.collect()) == plain_audit(AUDIT, LABELS)
     empty = A.audit(docs(spark, AUDIT).limit(0), spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert empty.count() == 0 and len(empty.columns) == 10
+
+
+def plain_trie(convs):
+    """RESULT rows from (conv_id, [(text, words), ...])."""
+    nodes = defaultdict(list)
+    for c, turns in convs:
+        for d in range(len(turns) + 1):
+            nodes[tuple(t for t, _ in turns[:d])].append((c, len(turns) == d, turns[d - 1][1] if d else 0))
+    children, leaves, saved = Counter(k[:-1] for k in nodes if k), Counter(), Counter()
+    for k, found in nodes.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += not children[k]
+            saved[k[:d]] += (len(found) - 1) * found[0][2]
+    least = {k: min(c for c, _, _ in found) for k, found in nodes.items()}
+    sha = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return sorted(((least[k], len(k), least[k[:-1]] if k else None, len(f), children[k], leaves[k], saved[k], sha([c for c, e, _ in f if e])) for k, f in nodes.items()), key=repr)
+
+
+def plain_rebuilt(rows):
+    """Conversations of (conv_id, turn, role, text) as op13 rebuilds them."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append(((turn is not None, turn or 0), (role or "").encode(), (text or "").encode()))
+    own = {c: [(r.decode(), t.decode()) for _, r, t in sorted(x)] for c, x in own.items()}
+    out = []
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        out.append((c, own.get(c - c % 20, [])[:h] + turns[h:]))
+    return [(c, [(t, len(t[1].encode().split())) for t in turns]) for c, turns in out]
+
+
+def as_turns(spark, convs):
+    rows = [(c, [(k, hashlib.sha256(t.encode()).hexdigest()[:32], w) for k, (t, w) in enumerate(turns)]) for c, turns in convs]
+    return spark.createDataFrame(rows, "conv_id bigint, turns array<struct<place: int, digest: string, tokens: bigint>>")
+
+
+@pytest.fixture
+def many_blocks(spark):
+    """As many blocks as partitions, so that nodes reach over borders."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trie_matches_brute_force(spark, many_blocks, seed):
+    draw = random.Random(seed)
+    letters, longest = [("ab", 6), ("abcdefgh", 4), ("a", 40)][seed]
+    convs = [(c * 3 - 20, [(x, ord(x) - 90) for x in draw.choices(letters, k=draw.randrange(longest))]) for c in range(150)]
+    assert sorted(map(tuple, P.trie(as_turns(spark, convs)).select(*P.RESULT).collect()), key=repr) == plain_trie(convs)
+
+
+@pytest.mark.parametrize("convs", [[(5, [])], [(5, []), (6, [])], [(7, [("a", 3)]), (2, [("a", 3)]), (3, [("a", 3), ("b", 0)])], [(1, [("a", 1), ("b", 2), ("c", 3)])]], ids=["turnless", "two turnless", "prefix", "one"])
+def test_trie_of_few(spark, convs):
+    assert sorted(map(tuple, P.trie(as_turns(spark, convs)).select(*P.RESULT).collect()), key=repr) == plain_trie(convs)
+
+
+def test_trie_of_conversations(spark, many_blocks):
+    """Rebuilt conversations with null turns, roles, texts and ids, ties, repeated rows, absent and short first conversations."""
+    draw = random.Random(5)
+    rows = [(c, t, draw.choice(["user", "x", None]), draw.choice(["a b", "a  b", "", None, "c\td\x0be", "é" * 50])) for c in [*range(43), 60, 61, 62, 63, 100, 201, 2**40, 2**40 + 1] for t in range(draw.randrange(1, 6))]
+    rows += [(3, None, "user", "late"), (3, None, None, None), (3, 1, "user", "a b"), (3, 1, "user", "a b"), (None, 0, "user", "lost"), (20, 0, "x", "z" * 200_000)]
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id bigint, turn bigint, role string, text string, block int, place int, digest int").repartition(3)
+    found = P.op13(frame)
+    assert sorted(map(tuple, found.select(*P.RESULT).collect()), key=repr) == plain_trie(plain_rebuilt(rows))
+    assert P.op13(frame.limit(0)).count() == 0
+
+
+def test_ids_of_one_conversation_travel_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK", 7)
+    convs = [(c, [("same", 2)] * 2) for c in range(50)]
+    assert sorted(map(tuple, P.trie(as_turns(spark, convs)).select(*P.RESULT).collect()), key=repr) == plain_trie(convs)
