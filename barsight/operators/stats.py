@@ -1,17 +1,15 @@
 """Statistics of decisions, scores and equity curves.
 
-Scores are first summed per distinct value, so running sums go over values, not rows.
+Scores are first summed per distinct value, so running sums go over values, not rows, and over ranges of them (ordered.py).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _running(key: list[str], order: Column):
-    return W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+from . import ordered
 
 
 def score_groups(samples: DataFrame, key: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -22,11 +20,11 @@ def roc_points(samples: DataFrame, key: list[str], most: int = 400) -> DataFrame
     """(key, k, fpr, tpr): cumulative rates by falling score, ties together, from (0, 0); more than `most` points are thinned to
     most + 1 by place."""
     g = score_groups(samples, key)
-    down = _running(key, F.desc("score"))
-    c = g.select(*key, F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"))).alias("k"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
+    c = ordered.with_before(g, key, [F.desc("score")], {"k": F.lit(1), "tp": F.col("p"), "fp": F.col("n")})
+    c = c.select(*key, (F.col("k") + 1).cast("int").alias("k"), (F.col("tp") + F.col("p")).alias("tp"), (F.col("fp") + F.col("n")).alias("fp"))
     total = g.groupBy(*key).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), (F.count("*") + 1).alias("points")).where("pos > 0 and neg > 0")
     zero = total.select(*key, F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
-    all_points = c.unionByName(zero).join(F.broadcast(total), key)
+    all_points = c.unionByName(zero).join(total, key)
     every = F.col("points") / most
     # Place k stays if some j < most has floor(j * points / most) = k, or if it is the last.
     j = F.ceil(F.col("k") / every)
@@ -34,12 +32,21 @@ def roc_points(samples: DataFrame, key: list[str], most: int = 400) -> DataFrame
     return all_points.where(chosen).select(*key, "k", (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr"))
 
 
+def wins(groups: DataFrame, key: list[str]) -> DataFrame:
+    """(key, pos, neg, u) of (key, score, p, n): u counts pairs whose positive scores higher, ties half. Each range counts within
+    itself; against the ranges before it only their sums count."""
+    rows = ordered.ranged(groups, key, [F.desc("score")])
+    above = F.coalesce(F.sum("p").over(ordered.inner(key, [F.desc("score")])), F.lit(0))
+    parts = rows.select(*key, ordered.RANGE, "p", "n", (F.col("n") * (above + F.col("p") / 2)).alias("u")).groupBy(*key, ordered.RANGE).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("u").alias("u"))
+    higher = F.coalesce(F.sum("p").over(W.partitionBy(*key).orderBy(ordered.RANGE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*key, "p", "n", (F.col("u") + F.col("n") * higher).alias("u"))
+    return parts.groupBy(*key).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum("u").alias("u"))
+
+
 def auc(samples: DataFrame, key: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """(key, pos, neg, auc, se, lo, hi): Mann-Whitney with ties half, missing without both labels, and the interval of Hanley and
     McNeil (1982)."""
-    g = score_groups(samples, key, score, label)
-    above = F.coalesce(F.sum("p").over(W.partitionBy(*key).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = g.select(*key, "p", "n", (F.col("n") * (above + F.col("p") / 2)).alias("u")).groupBy(*key).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum("u").alias("u"))
+    sums = wins(score_groups(samples, key, score, label), key)
     a = F.try_divide(F.col("u"), F.col("pos") * F.col("neg"))
     out = sums.select(*key, "pos", "neg", a.alias("auc"))
     x = F.col("auc")
@@ -64,20 +71,22 @@ def confusion(samples: DataFrame, key: list[str]) -> DataFrame:
 
 def deciles(samples: DataFrame, key: list[str], order: list[str], buckets: int = 10) -> DataFrame:
     """Buckets of equal counts with floor borders by score, ties in the given order: n, score range, hit rate, mean change."""
-    w = W.partitionBy(*key).orderBy("score", *order)
-    numbered = samples.withColumn("rn", F.row_number().over(w)).withColumn("all", F.count("*").over(W.partitionBy(*key)))
-    bucket = F.floor((F.col("rn") * buckets + F.col("all") - 1) / F.col("all"))
-    return numbered.groupBy(*key, bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"), F.min("score").alias("score_lo"), F.max("score").alias("score_hi"), F.avg("label").alias("hit"), F.avg("fwd").alias("avg_fwd"))
+    rows = ordered.numbered(samples.select(*dict.fromkeys([*key, "score", *order, "label", "fwd"])), key, [F.col(c) for c in ("score", *order)], "rn")
+    rows = rows.join(samples.groupBy(*key).agg(F.count("*").alias("all")), key)
+    bucket = F.floor(((F.col("rn") + 1) * buckets + F.col("all") - 1) / F.col("all"))
+    return rows.groupBy(*key, bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"), F.min("score").alias("score_lo"), F.max("score").alias("score_hi"), F.avg("label").alias("hit"), F.avg("fwd").alias("avg_fwd"))
 
 
-def mean_rank(x: str, key: list[str]) -> Column:
-    """1-based rank with ties at their mean."""
-    return F.rank().over(W.partitionBy(*key).orderBy(x)) + (F.count("*").over(W.partitionBy(*key, x)) - 1) / 2
+def mean_ranks(samples: DataFrame, key: list[str], x: str, name: str) -> DataFrame:
+    """(key, x, name): the 1-based rank of each distinct value, ties at their mean."""
+    values = samples.groupBy(*key, x).agg(F.count("*").alias("_ties"))
+    below = ordered.with_before(values, key, [F.col(x)], {"_below": F.col("_ties")})
+    return below.select(*key, x, (F.col("_below") + 1 + (F.col("_ties") - 1) / 2).alias(name))
 
 
 def spearman(samples: DataFrame, key: list[str], x: str = "score", y: str = "fwd") -> DataFrame:
-    ranked = samples.select(*key, mean_rank(x, key).alias("rx"), mean_rank(y, key).alias("ry"))
-    return ranked.groupBy(*key).agg(F.corr("rx", "ry").alias("ic"))
+    rows = samples.select(*key, x, y).join(mean_ranks(samples, key, x, "rx"), [*key, x]).join(mean_ranks(samples, key, y, "ry"), [*key, y])
+    return rows.groupBy(*key).agg(F.corr("rx", "ry").alias("ic"))
 
 
 def curve_metrics(curve: DataFrame, key: list[str]) -> DataFrame:

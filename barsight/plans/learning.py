@@ -1,25 +1,28 @@
 """Learned scores: features, purged splits, logistic regression and boosted trees fitted by Spark jobs, walk-forward ranking.
 
-Training rows stay in Spark. A step of either model sends each task's sums (normal equations, or gradient histograms) to the
-driver, whose size depends on the number of features only.
+Training rows stay in Spark, as numpy blocks of a few thousand rows. A step of either model adds up the tasks' sums (normal
+equations, or gradient histograms) in a tree of tasks; what reaches the driver depends on the number of features and models only.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.random32 import draws
 from ..functions.scalars import sigmoid
 from ..operators import cross_section as X
 from ..operators import indicators as I
-from ..operators import stats
+from ..operators import ordered, stats
 from ..sources import panel as P
 from . import rules as R
 
@@ -27,9 +30,11 @@ STOCK = ("ret5", "ret21", "ret63", "ret126", "ret252", "mom", "vol20", "vol63",
 MARKET = ("iret21", "iret63", "igap200", "ivol20")
 FEATURES = (*STOCK, *MARKET, "rules")
 NF = len(FEATURES)
+#: Of the stored walk-forward models; trees after which the rows' log-odds are written; rows of a training partition.
+VERSION, RENEWED, PART = 1, 20, 50_000
+#: Seeds of the trees' halves and of the bootstrap's days.
+TREE_SEED, DAY_SEED = 42, 7
 #: Walk-forward ranking: horizon, sampling step, days between fits, least history, window of days, penalty.
-#: Of the stored walk-forward models; trees after which rows renew their log-odds.
-VERSION, RENEWED = 1, 10
 HORIZON, STEP, EVERY, HISTORY, WINDOW, PENALTY = 21, 5, 63, 252, 756, 100.0
 #: Boosted trees.
 DEPTH, RATE, MOST_TREES, SHARE, RIDGE, LEAST_HESSIAN, BINS, PATIENCE, LEAST_TREES = 3, 0.1, 200, 0.5, 1.0, 50.0, 32, 40, 10
@@ -48,7 +53,7 @@ def features(panel: DataFrame, index: DataFrame, market: DataFrame, algo: dict,
     rows = I.with_recurrences(rows, [("rsi5", "rsi", 5)]).withColumn("_met", R.met(rules) / max(1, len(rules)))
     keep = [k for k in ("rsi5", "rsi14", "macd", "symbol", "sector", "sym_ix", "t", "close", "_met")]
     rows = rows.select(*keep, *[v.alias(k) for k, v in raw_features().items()]).where(F.col("close").isNotNull() & days)
-    ranked = rows.select("t", "sym_ix", "symbol", "sector", "close", "_met", *[X.average_rank(F.col(k)).alias(k) for k in STOCK])
+    ranked = X.average_ranks(rows.select("t", "sym_ix", "symbol", "sector", "close", "_met", *STOCK), list(STOCK))
     on = algo.get("eval", {}).get("label") == "up"
     ranked = ranked.join(F.broadcast(market.select(F.col("t").alias("_t"), *MARKET)), F.col("t") == F.col("_t"))
     return ranked.select("t", "sym_ix", "symbol", "sector", "close", *STOCK, *[(F.coalesce(k, F.lit(0.0)) if on else F.lit(0.0)).cast("float").alias(k) for k in MARKET], F.col("_met").cast("float").alias("rules"))
@@ -69,6 +74,40 @@ def purged(rows: DataFrame, horizon: int) -> DataFrame:
     return out.withColumn("role", role)
 
 
+# --- training rows as blocks ---
+
+
+def blocks(rows: DataFrame, *columns: str) -> RDD:
+    """The rows as tuples of numpy arrays, one tuple a batch: x as a matrix, other columns as vectors. Kept while a fit reads them over
+    and over; a lost part is made again from the rows."""
+    taken = rows.select("x", *columns)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((matrix(b.column(0)), *(c.to_numpy(zero_copy_only=False) for c in b.columns[1:])))], pa.binary())], ["b"])
+
+    return taken.mapInArrow(pack, "b binary").rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def matrix(x: pa.ListArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+
+
+def total(data: RDD, of) -> np.ndarray:
+    """The sum over all blocks of what `of` gives for each; an array of one shape."""
+
+    def task(parts: Iterator[tuple]) -> Iterator[np.ndarray]:
+        found = None
+        for block in parts:
+            found = of(*block) if found is None else found + of(*block)
+        if found is not None:
+            yield found
+
+    return data.mapPartitions(task).treeReduce(np.add)
+
+
 # --- logistic regression ---
 
 
@@ -120,31 +159,56 @@ def fit_local(x: np.ndarray, y: np.ndarray, penalty: float) -> Logistic:
     return Logistic(mean, sd, w, penalty)
 
 
-def fit_logistic(rows: DataFrame, penalty: float) -> Logistic:
-    """The same by Spark: each step sums the tasks' normal equations."""
-    k = [F.col("x")[i] for i in range(NF)]
-    m = rows.agg(*[F.avg(v) for v in k], *[F.stddev_pop(v) for v in k]).first()
-    mean, sd = np.array(m[:NF], float), np.array(m[NF:], float)
-    sd = np.where(sd > 0, sd, 1.0)
-    w = np.zeros(NF + 1)
+def moments(data: RDD) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature; 1 for a feature that does not vary."""
+    first = total(data, lambda x, *_: np.concatenate(([len(x)], x.sum(axis=0))))
+    mean = first[1:] / first[0]
+    sd = np.sqrt(total(data, lambda x, *_: ((x - mean) ** 2).sum(axis=0)) / first[0])
+    return mean, np.where(sd > 0, sd, 1.0)
+
+
+def fit_systems(data: RDD, mean: np.ndarray, sd: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """Weights of several logistic models at once: block rows (x, y, lo, hi) belong to the models from lo up to hi, not included. One
+    pass over the rows a Newton step sums the normal equations of all models that still move."""
+    w = np.zeros((len(mean), mean.shape[1] + 1))
+    active = np.arange(len(w))
     for _ in range(25):
-        now = w
-
-        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((NF + 1) * (NF + 2))
-            for b in batches:
-                if b.num_rows:
-                    x = np.array(b.column(0).to_pylist(), float)
-                    h, g = newton(standardised(x, mean, sd), b.column(1).to_numpy().astype(float), now)
-                    total += np.concatenate([h.ravel(), g])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
-
-        got = [np.array(r[0]) for r in rows.select("x", "label").mapInArrow(sums, "s array<double>").collect()]
-        parts = [(s[: (NF + 1) ** 2].reshape(NF + 1, NF + 1), s[(NF + 1) ** 2 :]) for s in got]
-        w, moved = solve(parts, penalty, w)
-        if moved < 1e-6:
+        at, now = active, w[active]
+
+        def sums(x: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray, at=at, now=now) -> np.ndarray:
+            out = np.zeros((len(at), now.shape[1], now.shape[1] + 1))
+            for k, r in enumerate(at):
+                here = (lo <= r) & (r < hi)
+                if here.any():
+                    h, g = newton(standardised(x[here], mean[r], sd[r]), y[here].astype(float), now[k])
+                    out[k, :, :-1], out[k, :, -1] = h, g
+            return out
+
+        got = total(data, sums)
+        moving = []
+        for k, r in enumerate(at):
+            w[r], moved = solve([(got[k, :, :-1], got[k, :, -1])], penalty[r], w[r])
+            if moved >= 1e-6:
+                moving.append(r)
+        active = np.array(moving, int)
+        if not len(active):
             break
-    return Logistic(mean, sd, w, penalty)
+    return w
+
+
+def in_all(data: RDD, models: int) -> RDD:
+    """Blocks (x, y) whose rows belong to every model."""
+    return data.map(lambda b: (b[0], b[1], np.zeros(len(b[1]), int), np.full(len(b[1]), models)))
+
+
+def fit_logistic(rows: DataFrame, *penalties: float) -> list[Logistic]:
+    """A model for each penalty, in one run over the rows."""
+    data = blocks(rows, "label")
+    mean, sd = moments(data)
+    n = len(penalties)
+    w = fit_systems(in_all(data, n), np.tile(mean, (n, 1)), np.tile(sd, (n, 1)), np.array(penalties))
+    data.unpersist()
+    return [Logistic(mean, sd, w[k], p) for k, p in enumerate(penalties)]
 
 
 def auc_of(rows: DataFrame, score: Column) -> float:
@@ -154,9 +218,12 @@ def auc_of(rows: DataFrame, score: Column) -> float:
 
 def choose_penalty(rows: DataFrame, penalties=(1.0, 100.0, 3000.0)) -> tuple[Logistic, float]:
     """The penalty whose fit has the best validation AUC (the first of ties), refitted on the whole pool."""
-    fit, val = rows.where("role = 'fit'"), rows.where("role = 'val'")
-    best = max(((auc_of(val, fit_logistic(fit, p).column()), -k, p) for k, p in enumerate(penalties)))
-    return fit_logistic(rows.where("role in ('fit', 'gap', 'val')"), best[2]), best[0]
+    models = fit_logistic(rows.where("role = 'fit'"), *penalties)
+    scores = F.array(*[F.struct(F.lit(k).alias("k"), m.column().alias("score")) for k, m in enumerate(models)])
+    val = rows.where("role = 'val'").select("label", F.explode(scores).alias("m")).select("label", "m.*")
+    found = {r["k"]: r["auc"] for r in stats.auc(val, ["k"]).collect()}
+    best = max(range(len(penalties)), key=lambda k: (found.get(k) or -1.0, -k))
+    return fit_logistic(rows.where("role in ('fit', 'gap', 'val')"), penalties[best])[0], found.get(best) or float("nan")
 
 
 # --- boosted trees ---
@@ -197,101 +264,150 @@ def bin_edges(rows: DataFrame, bins: int = BINS, names: tuple[str, ...] = FEATUR
     """Distinct values at the places floor(b * n / bins) of each sorted feature. Values are counted first; at most bins - 1
     edges a feature come back."""
     values = rows.select(F.posexplode("x").alias("f", "v")).groupBy("f", "v").agg(F.count("*").alias("n"))
-    by = W.partitionBy("f")
-    upto = F.sum("n").over(by.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    places = values.select("f", "v", (upto - F.col("n")).alias("lo"), upto.alias("hi"), F.sum("n").over(by).alias("all"))
+    places = ordered.with_before(values, ["f"], [F.col("v")], {"lo": F.col("n")})
+    places = places.join(values.groupBy("f").agg(F.sum("n").alias("all")), "f")
     wanted = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda b: F.floor(b * F.col("all") / bins))
-    got = places.where(F.exists(wanted, lambda p: (p >= F.col("lo")) & (p < F.col("hi")))).select("f", "v").collect()
+    got = places.where(F.exists(wanted, lambda p: (p >= F.col("lo")) & (p < F.col("lo") + F.col("n")))).select("f", "v").collect()
     return [np.array(sorted(v for k, v in got if k == f)) for f in range(len(names))]
 
 
+def histogram(z: np.ndarray, g: np.ndarray, h: np.ndarray, slot: np.ndarray, slots: int) -> np.ndarray:
+    """[2, slots, features, bins]: sums of gradients and hessians; rows of slot -1 count nowhere."""
+    here = slot >= 0
+    z, g, h, slot = z[here], g[here], h[here], slot[here]
+    nf = z.shape[1]
+    cell = ((slot[:, None] * nf + np.arange(nf)) * BINS + z).ravel()
+    return np.stack([np.bincount(cell, np.repeat(v, nf), slots * nf * BINS).reshape(slots, nf, BINS) for v in (g, h)])
+
+
+def best_split(grad: np.ndarray, hess: np.ndarray) -> tuple | None:
+    """(gain, feature, bin, left sums, right sums) of the first best split of a node's [features, bins], or null."""
+    gl, hl = grad.cumsum(axis=1)[:, :-1], hess.cumsum(axis=1)[:, :-1]
+    gs, hs = grad[0].sum(), hess[0].sum()
+    gain = np.where((hl >= LEAST_HESSIAN) & (hs - hl >= LEAST_HESSIAN), gl**2 / (hl + RIDGE) + (gs - gl) ** 2 / (hs - hl + RIDGE) - gs**2 / (hs + RIDGE), 0.0)
+    f, b = np.unravel_index(int(gain.argmax()), gain.shape)
+    if gain[f, b] <= 0:
+        return None
+    return float(gain[f, b]), int(f), int(b), (gl[f, b], hl[f, b]), (gs - gl[f, b], hs - hl[f, b])
+
+
+def leaf(g: float, h: float) -> tuple:
+    return (float(-RATE * g / (h + RIDGE)),)
+
+
+def grow(data: RDD) -> tuple[list[tuple], list[tuple[int, float]]]:
+    """A tree from blocks (z, gradient, hessian), and the gain of each split by feature. One job a level: of two siblings only the one
+    with less hessian is summed, the other is what remains of their parent."""
+    whole = total(data, lambda z, g, h: histogram(z, g, h, np.zeros(len(z), int), 1))
+    sums = {0: whole[:, 0]}
+    tree: list[tuple] = [leaf(sums[0][0, 0].sum(), sums[0][1, 0].sum())]
+    gains, level = [], [0]
+    for depth in range(DEPTH):
+        pairs = []
+        for node in level:
+            found = best_split(*sums[node])
+            if found:
+                gain, f, b, left, right = found
+                gains.append((f, gain))
+                tree[node] = (f, b, len(tree), len(tree) + 1)
+                pairs.append((node, len(tree), len(tree) + 1, left[1] <= right[1]))
+                tree += [leaf(*left), leaf(*right)]
+        if not pairs or depth == DEPTH - 1:
+            break
+        smaller = [a if first else b for _, a, b, first in pairs]
+
+        def some(z: np.ndarray, g: np.ndarray, h: np.ndarray, tree=list(tree), smaller=smaller) -> np.ndarray:
+            slot = np.full(len(tree), -1)
+            slot[smaller] = np.arange(len(smaller))
+            return histogram(z, g, h, slot[Trees.leaf_of(tree, z)], len(smaller))
+
+        got = total(data, some)
+        for k, (node, a, b, first) in enumerate(pairs):
+            less, more = (a, b) if first else (b, a)
+            sums[less], sums[more] = got[:, k], sums[node] - got[:, k]
+        level = [c for _, a, b, _ in pairs for c in (a, b)]
+    return tree, gains
+
+
 def fit_trees(rows: DataFrame, fit: str, val: str | None, edges: list[np.ndarray], rounds: int | None = None) -> Trees:
     """Boosts log-loss trees on rows where `fit` holds; with `val`, stops when its AUC no longer improves.
 
-    Each level of a tree is one job: tasks sum gradients and hessians by (node, feature, bin). A row is in a tree's half by a
-    hash of its key, so a lost task repeats the same choice.
+    Rows are binned and numbered in the order of (t, sym_ix) once. Blocks keep their rows' log-odds, moved by each new tree where they
+    lie, and the tree's half, chosen once: row r is in tree m's half if draw m * n + r of the seeded generator is below SHARE, which
+    any task finds by itself. Every RENEWED trees the blocks are written, so what is lost is never made again from further back.
     """
+    spark = rows.sparkSession
     base, n = rows.where(fit).agg(F.avg("label"), F.count("*")).first()
     model, best, best_n = Trees(float(np.log(base / (1 - base))), edges), -1.0, 0
+    prior, folder = model.prior, f"{P.own_folder(spark)}/trees-{uuid.uuid4().hex}"
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = model.bins(np.array(b.column(0).to_pylist(), float).reshape(b.num_rows, NF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in z], pa.binary()), b.column(1), b.column(2)], ["z", "label", "key"])
+    def binned(df: DataFrame, *columns: str) -> RDD:
+        return blocks(df.coalesce(max(1, n // PART)), *columns).map(lambda b: (Trees(0.0, edges).bins(b[0]).astype(np.uint8), *b[1:], np.full(len(b[0]), prior)))
 
-    # Binned once and written; a few jobs run for each tree, so small inputs get few tasks. Each row keeps its log-odds, renewed
-    # every RENEWED trees, so a level scores only the trees since then.
-    train = rows.where(fit).select("x", "label", F.xxhash64("t", "sym_ix").alias("key")).mapInArrow(binned, "z binary, label int, key bigint")
-    train = P.cut(train.coalesce(max(1, n // 50_000)).withColumn("margin", F.lit(model.prior)))
+    numbered = ordered.numbered(rows.where(fit).select("t", "sym_ix", "x", "label"), [], [F.col("t"), F.col("sym_ix")], "place")
 
-    def renewed(train: DataFrame, trees: list[list[tuple]]) -> DataFrame:
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                z = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, NF).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(b.column(3).to_numpy() + Trees(0.0, [], trees).score(z))], b.schema.names)
+    def start(z: np.ndarray, y: np.ndarray, place: np.ndarray, margin: np.ndarray, m: int) -> tuple:
+        """A block with its rows of the half of tree m: (z, gradient, hessian)."""
+        half = draws(TREE_SEED, m * n + place) < SHARE
+        p = 1 / (1 + np.exp(-margin[half]))
+        return z, y, place, margin, (z[half], p - y[half], p * (1 - p))
 
-        return P.cut(train.mapInArrow(add, "z binary, label int, key bigint, margin double"))
+    def written(data: RDD, name: str) -> RDD:
+        data.saveAsPickleFile(f"{folder}/{name}")
+        return spark.sparkContext.pickleFile(f"{folder}/{name}", 1)
 
-    since = 0
+    kept = written(binned(numbered, "label", "place"), "fit").map(lambda b: start(*b, 0)).persist(StorageLevel.MEMORY_AND_DISK)
+    judged = written(binned(rows.where(val), "label"), "val") if val else None
+    older: list[RDD] = []
     for m in range(rounds or MOST_TREES):
-        tree: list[tuple] = [()]
-        level = [0]
-        for _ in range(DEPTH):
-            if not level:
-                break
-            sent = rows.sparkSession.sparkContext.broadcast((model.trees[since:], tree, level, m))
-
-            def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                trees, tree, level, m = sent.value
-                total = np.zeros((2, len(level), NF, BINS))
-                for b in batches:
-                    key = b.column(2).to_numpy().astype(np.uint64)
-                    salt = np.uint64(m * 0x9E3779B97F4A7C1 % 2**64)
-                    chosen = ((key ^ salt) * np.uint64(0x5851F42D4C957F2D) >> np.uint64(40)) % np.uint64(2) == 1
-                    if not chosen.any():
-                        continue
-                    z = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, NF)[chosen].astype(np.int64)
-                    p = 1 / (1 + np.exp(-(b.column(3).to_numpy()[chosen] + Trees(0.0, [], trees).score(z))))
-                    g, h = p - b.column(1).to_numpy()[chosen], p * (1 - p)
-                    at = Trees.leaf_of([n if len(n) == 4 else (0.0,) for n in tree], z)
-                    for a, node in enumerate(level):
-                        here = at == node
-                        for f in range(NF):
-                            total[0, a, f] += np.bincount(z[here, f], g[here], BINS)
-                            total[1, a, f] += np.bincount(z[here, f], h[here], BINS)
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
-
-            got = [np.frombuffer(r[0], float) for r in train.mapInArrow(sums, "s binary").collect()]
-            grad, hess = np.sum(got, axis=0).reshape(2, len(level), NF, BINS)
-            following = []
-            for a, node in enumerate(level):
-                gl, hl = grad[a].cumsum(axis=1)[:, :-1], hess[a].cumsum(axis=1)[:, :-1]
-                gs, hs = grad[a, 0].sum(), hess[a, 0].sum()
-                gain = np.where((hl >= LEAST_HESSIAN) & (hs - hl >= LEAST_HESSIAN), gl**2 / (hl + RIDGE) + (gs - gl) ** 2 / (hs - hl + RIDGE) - gs**2 / (hs + RIDGE), 0.0)
-                f, b = np.unravel_index(int(gain.argmax()), gain.shape)
-                if gain[f, b] <= 0:
-                    if not tree[node]:
-                        tree[node] = (-RATE * gs / (hs + RIDGE),)
-                    continue
-                model.gains[f] += gain[f, b]
-                tree[node] = (int(f), int(b), len(tree), len(tree) + 1)
-                following += [len(tree), len(tree) + 1]
-                tree += [(-RATE * gl[f, b] / (hl[f, b] + RIDGE),), (-RATE * (gs - gl[f, b]) / (hs - hl[f, b] + RIDGE),)]
-            level = following
+        tree, gains = grow(kept.map(lambda b: b[4]))
         model.trees.append(tree)
-        if len(model.trees) - since == RENEWED:
-            train, since = renewed(train, model.trees[since:]), len(model.trees)
+        for f, gain in gains:
+            model.gains[f] += gain
+        moved = kept.map(lambda b, tree=tree: (*b[:3], b[3] + Trees(0.0, [], [tree]).score(b[0])))
+        if (m + 1) % RENEWED == 0:
+            moved = written(moved, f"fit-{m}")
+        before, kept = kept, moved.map(lambda b, m=m: start(*b, m + 1)).persist(StorageLevel.MEMORY_AND_DISK)
+        older.append(before)
+        while len(older) > 2:  # the newest is made from the one before it when the next tree first reads it
+            older.pop(0).unpersist()
         if val and (m + 1) % 10 == 0:
-            now = auc_of(scored_by_trees(rows.where(val), model), F.col("z"))
+            now = auc_of_blocks(judged, model.trees)
             if now > best:
                 best, best_n = now, m + 1
             elif m + 1 - best_n >= PATIENCE:
                 break
+    for data in (*older, kept):
+        data.unpersist()
     if val:
         model.trees = model.trees[: max(best_n, LEAST_TREES)]
     return model
 
 
+def auc_of_blocks(judged: RDD, trees: list[list[tuple]]) -> float:
+    """AUC of the trees over blocks (z, y, prior log-odds). A block sends its distinct scores with their counts; sorted parts count wins
+    within, and three sums a part tell the rest."""
+
+    def groups(block: tuple) -> list[tuple]:
+        score, at = np.unique(block[2] + Trees(0.0, [], trees).score(block[0]), return_inverse=True)
+        p = np.bincount(at, block[1] == 1)
+        return list(zip(score.tolist(), np.column_stack([p, np.bincount(at) - p])))
+
+    def within(rows: Iterator[tuple]) -> Iterator[tuple]:
+        pos = neg = u = 0.0
+        for _, (p, n) in rows:
+            u += p * (neg + n / 2)
+            pos, neg = pos + p, neg + n
+        yield pos, neg, u
+
+    parts = judged.getNumPartitions()
+    pos = neg = u = 0.0
+    for p, n, own in judged.flatMap(groups).reduceByKey(np.add, parts).sortByKey(True, parts).mapPartitions(within).collect():
+        u += own + p * neg
+        pos, neg = pos + p, neg + n
+    return float(u / (pos * neg)) if pos and neg else float("nan")
+
+
 def scored_by_trees(rows: DataFrame, model: Trees) -> DataFrame:
     """rows with z, the trees' log-odds."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
@@ -299,7 +415,7 @@ def scored_by_trees(rows: DataFrame, model: Trees) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = sent.value.score(sent.value.bins(np.array(b.column(place).to_pylist(), float).reshape(b.num_rows, NF)))
+            z = sent.value.score(sent.value.bins(matrix(b.column(place)))) if b.num_rows else np.array([], float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(z)], [*b.schema.names, "z"])
 
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", z double")
@@ -308,31 +424,51 @@ def scored_by_trees(rows: DataFrame, model: Trees) -> DataFrame:
 # --- bootstrap, walk-forward ranking, reasons ---
 
 
-def bootstrap(rows: DataFrame, a: str, b: str, resamples: int = 200, seed: int = 7, most_bytes: int = 64 << 20) -> DataFrame:
-    """(resample, gain): AUC(a) - AUC(b) when whole days are drawn again. The test rows' size is checked before they travel."""
-    n = rows.count()
-    if n * 32 > most_bytes:
-        raise ValueError("too many test rows for one task; take fewer days")
-    data = rows.select("t", F.col(a).alias("a"), F.col(b).alias("b"), "label").toPandas()
-    day = data.t.rank(method="dense").astype(int).to_numpy() - 1
-    sent = rows.sparkSession.sparkContext.broadcast((day, data.a.to_numpy(), data.b.to_numpy(), data.label.to_numpy()))
+def day_counts(resamples: int, days: int, seed: int = DAY_SEED) -> np.ndarray:
+    """[resamples, days]: how often a resample holds a day. Its draw d has the number resample * days + d, so any task finds all."""
+    drawn = np.floor(draws(seed, np.arange(resamples * days)) * days).astype(int) + np.repeat(np.arange(resamples), days) * days
+    return np.bincount(drawn, minlength=resamples * days).reshape(resamples, days).astype(float)
 
-    def weighted(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-        _, group = np.unique(score, return_inverse=True)
-        p, q = np.bincount(group, w * y), np.bincount(group, w * (1 - y))
-        return float((p * (q.cumsum() - q / 2)).sum() / (p.sum() * q.sum()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        day, a, b, y = sent.value
-        for batch in batches:
-            gains = []
-            for k in batch.id:
-                drawn = np.random.default_rng((seed, int(k))).integers(0, day.max() + 1, day.max() + 1)
-                w = np.bincount(drawn, minlength=day.max() + 1)[day]
-                gains.append(weighted(a, y, w) - weighted(b, y, w))
-            yield pd.DataFrame({"resample": batch.id, "gain": gains})
+def bootstrap(rows: DataFrame, a: str, b: str, resamples: int = 200, seed: int = DAY_SEED, batch: int = 4096) -> DataFrame:
+    """(resample, gain): AUC(a) - AUC(b) when whole days are drawn again.
 
-    return rows.sparkSession.range(resamples).mapInPandas(run, "resample bigint, gain double")
+    Rows are counted by model, score, day and label and range-partitioned by score. A range finds every resample's weights by itself and sums
+    them within; what lies in ranges below adds to it by their sums, a row for each range and resample.
+    """
+    # A row for each day.
+    days = rows.select("t").distinct().select("t", (F.row_number().over(W.orderBy("t")) - 1).alias("day"))
+    n_days = days.count()
+    long = rows.join(F.broadcast(days), "t").select("day", "label", F.explode(F.array(F.struct(F.lit(0).alias("m"), F.col(a).alias("score")), F.struct(F.lit(1).alias("m"), F.col(b).alias("score")))).alias("s"))
+    groups = long.groupBy("s.m", "s.score", "day").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
+    dealt = ordered.ranged(groups, ["m"], [F.col("score")]).sortWithinPartitions("m", "score").select("m", ordered.RANGE, "score", "day", "p", "n")
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if table is None:
+            return
+        model, part, score, day, p, n = (c.to_numpy() for c in table.columns)
+        weight = day_counts(resamples, n_days, seed)
+        for m in np.unique(model):
+            here = np.flatnonzero(model == m)
+            starts = here[np.concatenate(([True], score[here][1:] != score[here][:-1]))]
+            pos, neg, u = (np.zeros(resamples) for _ in range(3))
+            k, end = 0, here[-1] + 1
+            while k < len(starts):  # whole scores, about `batch` rows at a time
+                j = max(k + 1, int(np.searchsorted(starts, starts[k] + batch)))
+                lo, hi = starts[k], starts[j] if j < len(starts) else end
+                w = weight[:, day[lo:hi]]
+                wp, wn = (np.add.reduceat(w * v[lo:hi], starts[k:j] - lo, axis=1) for v in (p, n))
+                below = np.cumsum(wn, axis=1) - wn + neg[:, None]
+                u += (wp * (below + wn / 2)).sum(axis=1)
+                pos, neg, k = pos + wp.sum(axis=1), neg + wn.sum(axis=1), j
+            out = [pa.array(np.full(resamples, x)) for x in (m, part[here[0]])]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.arange(resamples)), pa.array(pos), pa.array(neg), pa.array(u)], ["m", ordered.RANGE, "resample", "p", "n", "u"])
+
+    parts = dealt.mapInArrow(local, f"m int, {ordered.RANGE} int, resample bigint, p double, n double, u double")
+    below = F.coalesce(F.sum("n").over(W.partitionBy("m", "resample").orderBy(ordered.RANGE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    sums = parts.select("m", "resample", "p", "n", (F.col("u") + F.col("p") * below).alias("u")).groupBy("resample", "m").agg((F.sum("u") / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return sums.groupBy("resample").agg((F.max(F.when(F.col("m") == 0, F.col("auc"))) - F.max(F.when(F.col("m") == 1, F.col("auc")))).alias("gain"))
 
 
 def bootstrap_summary(gains: DataFrame) -> DataFrame:
@@ -341,20 +477,44 @@ def bootstrap_summary(gains: DataFrame) -> DataFrame:
     return placed.agg(F.max(F.when(F.col("k") == F.floor(F.col("n") * 0.025), F.col("gain"))).alias("lo"), F.max(F.when(F.col("k") == F.floor(F.col("n") * 0.975), F.col("gain"))).alias("hi"), F.avg((F.col("gain") <= 0).cast("int")).alias("p_worse"), F.count("*").alias("resamples"))
 
 
+def window_moments(data: RDD, retrain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, mean, deviation) of each retrain day's window, from blocks (x, y, t): each day's count and sums come once, and running sums
+    over the days give every window by a difference."""
+
+    def by_day(block: tuple) -> list[tuple]:
+        x, _, t = block
+        days, at = np.unique(t, return_inverse=True)
+        both = np.column_stack([np.ones(len(x)), x, x * x])
+        out = np.zeros((len(days), both.shape[1]))
+        np.add.at(out, at, both)
+        return list(zip(days.tolist(), out))
+
+    found = sorted(data.flatMap(by_day).reduceByKey(np.add).collect(), key=lambda r: r[0])  # a row for each day
+    days = np.array([d for d, _ in found])
+    upto = np.vstack([np.zeros(2 * NF + 1), np.cumsum([s for _, s in found], axis=0)])
+    window = upto[np.searchsorted(days, retrain - HORIZON, "right")] - upto[np.searchsorted(days, retrain - WINDOW, "left")]
+    n = window[:, :1]
+    mean = window[:, 1 : NF + 1] / np.maximum(n, 1)
+    var = window[:, NF + 1 :] / np.maximum(n, 1) - mean**2
+    return n[:, 0].astype(int), mean, np.where(var > 1e-12, np.sqrt(np.maximum(var, 0)), 1.0)
+
+
 def walk_forward(rows: DataFrame, fwd: DataFrame, days: DataFrame) -> DataFrame:
     """(retrain_t, n, mean, sd, w): on each retrain day a fit on the sampled days of its window whose outcome was known then.
 
-    A row goes to each retrain day whose window holds it, at most WINDOW / EVERY + 1 of them, and each day is one group.
+    A row is sent once: the windows that hold its day follow each other, so it carries the first and the last of them, and each Newton
+    step sums the systems of all windows in one pass. The driver solves them, one small system a retrain day.
     """
+    spark = rows.sparkSession
     sampled = rows.where((F.col("t") - 252) % STEP == 0).select("t", "sym_ix", vector()).join(fwd, ["t", "sym_ix"])
-    known = days.agg(F.collect_list("r").alias("rs"))
-    each = sampled.join(F.broadcast(known)).withColumn("retrain_t", F.explode(F.filter("rs", lambda r: (F.col("t") + HORIZON <= r) & (F.col("t") >= r - WINDOW))))
-
-    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        m = fit_local(np.array(table["x"].to_pylist(), float), table["label"].to_numpy().astype(float), PENALTY)
-        return pa.table({"retrain_t": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([table.num_rows], pa.int64()), "mean": [m.mean.tolist()], "sd": [m.sd.tolist()], "w": [m.w.tolist()]})
-
-    return each.select("retrain_t", "x", "label").groupBy("retrain_t").applyInArrow(fit, "retrain_t int, n bigint, mean array<double>, sd array<double>, w array<double>")
+    retrain = np.array(sorted({r[0] for r in days.collect()}), int)
+    data = blocks(sampled, "label", "t")
+    n, mean, sd = window_moments(data, retrain)
+    held = data.map(lambda b: (b[0], b[1], np.searchsorted(retrain, b[2] + HORIZON, "left"), np.searchsorted(retrain, b[2] + WINDOW, "right")))
+    w = fit_systems(held, mean, sd, np.full(len(retrain), PENALTY))
+    data.unpersist()
+    models = [(int(r), int(n[k]), mean[k].tolist(), sd[k].tolist(), w[k].tolist()) for k, r in enumerate(retrain) if n[k]]
+    return spark.createDataFrame(models, "retrain_t int, n bigint, mean array<double>, sd array<double>, w array<double>")
 
 
 def walk_forward_scores(rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -372,7 +532,6 @@ def picks(rows: DataFrame, z: Column, model: Logistic, off: tuple[str, ...] = ()
     named = F.zip_with(model.contributions(), F.array(*[F.lit(k) for k in FEATURES]), lambda v, k: F.struct((-F.abs(v)).alias("o"), k.alias("feature"), v.alias("v")))
     used = F.filter(named, lambda r: (F.abs(r["v"]) > 1e-9) & ~r["feature"].isin(*off)) if off else F.filter(named, lambda r: F.abs(r["v"]) > 1e-9)
     reasons = F.transform(F.slice(F.array_sort(used), 1, 4), lambda r: F.struct(r["feature"].alias("feature"), r["v"].alias("contribution")))
-    place = F.row_number().over(W.orderBy(F.desc("z"), "sym_ix"))
-    n = F.count("*").over(W.partitionBy())
-    out = rows.withColumn("z", z).withColumn("place", place).withColumn("n", n)
+    out = ordered.numbered(rows.withColumn("z", z), [], [F.desc("z"), F.col("sym_ix")], "above").withColumn("place", (F.col("above") + 1).cast("int"))
+    out = out.join(F.broadcast(out.agg(F.count("*").alias("n"))))
     return out.select("symbol", "sector", "z", sigmoid(F.col("z")).alias("prob"), "place", (1 - (F.col("place") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("pctl"), reasons.alias("reasons"))

@@ -285,7 +285,7 @@ def ml_backtest(spark, d):
 def today_picks(spark, d):
     """The newest day ranked by the better model refitted on all labelled rows; reasons by the logistic model."""
     fit, rows = trained(spark, d), _training(spark, d)
-    logistic = L.fit_logistic(rows, fit["logistic"].penalty)
+    logistic = L.fit_logistic(rows, fit["logistic"].penalty)[0]
     index = P.index_bars(spark, d)
     newest = index.agg(F.max("t")).first()[0]
     day = L.features(G.prepared(spark, d), index, market_features(index), PRESETS["pullback"], F.col("t") == newest).select("sym_ix", "symbol", "sector", L.vector())
@@ -337,7 +337,7 @@ def restored(stored: DataFrame, days: list[int], version: int) -> DataFrame | No
 def wf_restored(spark, d):
     """Scores by models that were stored as files and read again."""
     models = walk_forward_models(spark, d)
-    path = f"{P.shared_dir(spark)}/market/models-{uuid.uuid4().hex}"
+    path = f"{P.own_folder(spark)}/models-{uuid.uuid4().hex}"
     models.withColumn("version", F.lit(L.VERSION)).write.parquet(path)
     days = [r[0] for r in models.select("retrain_t").collect()]
     found = restored(spark.read.parquet(path), days, L.VERSION)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import random32
 from ..functions import scalars as S
 from ..operators import cross_section as X
 from ..operators import indicators as I
-from ..operators import stats
+from ..operators import ordered, stats
 from ..sources import panel as P
 from . import rules as R
 from . import signals as G
@@ -441,6 +442,19 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     return P.kept(spark, d, "samples", lambda: R.samples(G.prepared(spark, d), P.index_bars(spark, d), PRESETS["pullback"]))
 
 
+@query(
+    "seeded_draws",
+    """SELECT t, sym_ix, xor(z, z >> 14) / 4294967296.0::DOUBLE AS draw, xor(z, z >> 14) / 4294967296.0::DOUBLE < 0.5 AS in_half FROM (SELECT *, xor(CAST((y + xor(y, y >> 7)::HUGEINT * (y | 61)) % 4294967296 AS BIGINT), y) AS z FROM (
+  SELECT *, CAST((xor(s, s >> 15)::HUGEINT * (s | 1)) % 4294967296 AS BIGINT) AS y FROM (SELECT t, sym_ix, CAST((row_number() OVER (ORDER BY t, sym_ix)::HUGEINT * 1831565813 + 42) % 4294967296 AS BIGINT) AS s FROM sm)))""",
+    IND + SAMPLES,
+)
+def seeded_draws(spark, d):
+    """The first tree's draws over all samples in order: every row computes its own from its place."""
+    rows = ordered.numbered(_samples(spark, d).select("t", "sym_ix"), [], [F.col("t"), F.col("sym_ix")], "place")
+    draw = random32.draw(42, F.col("place"))
+    return rows.select("t", "sym_ix", draw.alias("draw"), (draw < 0.5).alias("in_half"))
+
+
 def split_parts(samples: DataFrame) -> DataFrame:
     """Every row for 'all' and for its own part."""
     return samples.withColumn("sample", F.explode(F.array(F.lit("all"), F.col("part"))))
@@ -501,38 +515,6 @@ def auc_verdict(spark, d):
     return stats.auc(split_parts(_samples(spark, d)), ["sample"]).select("sample", S.auc_verdict(F.col("auc")).alias("verdict"))
 
 
-# Cases at and beside every threshold, and without a number.
-_CASES = [None, float("nan"), float("inf"), 0.0, 0.47, 0.48, 0.4999, 0.5, 0.5099, 0.51, 0.5199, 0.52, 0.5201, 0.5499, 0.55, 0.5999, 0.6, 1.0]
-
-
-def _literal(x: float | None) -> str:
-    return "NULL::DOUBLE" if x is None else f"'{x}'::DOUBLE"
-
-
-_CASES_SQL = "(VALUES " + ", ".join(f"({k}, {_literal(x)})" for k, x in enumerate(_CASES)) + ")"
-_FINITE = lambda c: f"{c} IS NOT NULL AND isfinite({c})"
-
-
-def _cases(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_CASES)), f"{name} int, {name}_x double")
-
-
-@query("auc_verdict_cases", f"SELECT k, CASE WHEN NOT ({_FINITE('x')}) THEN NULL WHEN x >= 0.6 THEN 'strong' WHEN x >= 0.55 THEN 'useful' WHEN x > 0.52 THEN 'weak' WHEN x >= 0.48 THEN 'none' ELSE 'inverted' END AS verdict FROM {_CASES_SQL} c(k, x)", None)
-def auc_verdict_cases(spark, d):
-    return _cases(spark, "k").select("k", S.auc_verdict(F.col("k_x")).alias("verdict"))
-
-
-@query(
-    "model_verdict_cases",
-    f"SELECT a.k AS a, b.k AS b, l.k AS l, CASE WHEN {_FINITE('a.x')} AND {_FINITE('b.x')} AND {_FINITE('l.x')} AND a.x >= 0.52 AND b.x >= 0.52 AND l.x > 0 THEN 'better than the rules' WHEN {_FINITE('a.x')} AND {_FINITE('b.x')} AND a.x >= 0.51 AND b.x >= 0.5 THEN 'uncertain' ELSE 'no edge' END AS verdict FROM {_CASES_SQL} a(k, x), {_CASES_SQL} b(k, x), {_CASES_SQL} l(k, x) WHERE l.k <= 4",
-    None,
-)
-def model_verdict_cases(spark, d):
-    """Every combination of the cases; the table is fixed and small."""
-    rows = _cases(spark, "a").crossJoin(_cases(spark, "b")).crossJoin(_cases(spark, "l").where("l <= 4"))
-    return rows.select("a", "b", "l", S.model_verdict(F.col("a_x"), F.col("b_x"), F.col("l_x")).alias("verdict"))
-
-
 @query("deciles", "SELECT sample, CAST(bucket AS INTEGER) AS bucket, count(*) AS n, min(score) AS score_lo, max(score) AS score_hi, round(avg(label), 10) AS hit, round(avg(fwd), 10) AS avg_fwd FROM (SELECT *, (row_number() OVER (PARTITION BY sample ORDER BY score, t, sym_ix) * 10 + count(*) OVER (PARTITION BY sample) - 1) // count(*) OVER (PARTITION BY sample) AS bucket FROM sp) GROUP BY sample, bucket", IND + SAMPLES)
 def deciles(spark, d):
     m = stats.deciles(split_parts(_samples(spark, d)), ["sample"], ["t", "sym_ix"])
@@ -670,7 +652,8 @@ def _xs(x: str) -> str:
 
 @query("xs_rank", f"SELECT symbol, t, {_xs('mom126')} AS r126, {_xs('rsi14')} AS r_rsi FROM i WHERE close IS NOT NULL", IND)
 def xs_rank(spark, d):
-    return G.prepared(spark, d).where("close is not null").select("symbol", "t", X.average_rank(F.col("mom126")).alias("r126"), X.average_rank(F.col("rsi14")).alias("r_rsi"))
+    rows = G.prepared(spark, d).where("close is not null").select("symbol", "t", F.col("mom126").alias("r126"), F.col("rsi14").alias("r_rsi"))
+    return X.average_ranks(rows, ["r126", "r_rsi"])
 
 
 @query("score_percentile", "SELECT symbol, t, CASE WHEN mom126 IS NOT NULL THEN (rank() OVER (PARTITION BY t ORDER BY mom126 NULLS LAST) - 1)::DOUBLE / greatest(count(mom126) OVER (PARTITION BY t) - 1, 1) END AS pctl FROM i", IND)

@@ -21,6 +21,7 @@ SMOOTH, BASE = 60, 1000.0
 INPUTS = ("lineitem", "orders", "customer", "nation", "region")
 _memo: dict[tuple, DataFrame] = {}
 _own_dir: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; its file system deletes it when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/market/{app}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(place)
+        store.deleteOnExit(place)
+    return _folders[app]
+
+
 def stamp(spark: SparkSession, sf_dir: str) -> tuple:
     """Sizes and times of the input files, so that a changed input is read again."""
     files, conf = [], spark.sparkContext._jsc.hadoopConfiguration()
@@ -52,9 +65,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     lineage, and it outlives any executor. The files go when the driver ends."""
     key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), name)
     if key not in _memo:
-        df, path = make(), f"{shared_dir(spark)}/market/{uuid.uuid4().hex}"
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+        df, path = make(), f"{own_folder(spark)}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         _memo[key] = spark.read.schema(df.schema).parquet(path)
     return _memo[key]
@@ -62,14 +73,14 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that what follows does not compute it anew."""
-    path = f"{shared_dir(df.sparkSession)}/market/{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def filed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(text, key) stored as text files, a folder for each key, and read again."""
-    path = f"{shared_dir(df.sparkSession)}/market/files-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/files-{uuid.uuid4().hex}"
     df.select(key, text).write.partitionBy(key).text(path)
     return df.sparkSession.read.schema(f"value string, `{key}` string").text(path).select(F.col("value").alias(text), key)
 
