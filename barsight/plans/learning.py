@@ -40,9 +40,12 @@ HORIZON, STEP, EVERY, HISTORY, WINDOW, PENALTY = 21, 5, 63, 252, 756, 100.0
 DEPTH, RATE, MOST_TREES, SHARE, RIDGE, LEAST_HESSIAN, BINS, PATIENCE, LEAST_TREES = 3, 0.1, 200, 0.5, 1.0, 50.0, 32, 40, 10
 
 
+EXTREMES = {"_hi20": ("max", "close", 20), "_hi252": ("max", "close", 252), "_lo252": ("min", "close", 252)}
+
+
 def raw_features() -> dict[str, Column]:
     c, r = F.col("close"), F.col("r")
-    return {f"ret{n}": I.change(c, n) * 100 for n in (5, 21, 63, 126, 252)} | {"mom": I.momentum_12_1(c), "vol20": I.volatility(r, 20), "vol63": I.volatility(r, 63)} | {f"gap{n}": I.gap_to_sma(c, n) for n in (20, 50, 200)} | {"trend": I.trend(c), "dhigh20": I.below_high(c, 20), "dhigh252": I.below_high(c, 252), "dlow252": I.above_low(c, 252)}
+    return {f"ret{n}": I.change(c, n) * 100 for n in (5, 21, 63, 126, 252)} | {"mom": I.momentum_12_1(c), "vol20": I.volatility(r, 20), "vol63": I.volatility(r, 63)} | {f"gap{n}": I.gap_to_sma(c, n) for n in (20, 50, 200)} | {"trend": I.trend(c), "dhigh20": I.off(c, F.col("_hi20")), "dhigh252": I.off(c, F.col("_hi252")), "dlow252": I.off(c, F.col("_lo252"))}
 
 
 def features(panel: DataFrame, index: DataFrame, market: DataFrame, algo: dict, days: Column) -> DataFrame:
@@ -51,8 +54,9 @@ def features(panel: DataFrame, index: DataFrame, market: DataFrame, algo: dict,
     rules = algo["entry"]["rules"]
     rows = R.with_operands(panel, index, algo) if rules else panel
     rows = I.with_recurrences(rows, [("rsi5", "rsi", 5)]).withColumn("_met", R.met(rules) / max(1, len(rules)))
-    keep = [k for k in ("rsi5", "rsi14", "macd", "symbol", "sector", "sym_ix", "t", "close", "_met")]
-    rows = rows.select(*keep, *[v.alias(k) for k, v in raw_features().items()]).where(F.col("close").isNotNull() & days)
+    rows = rows.select("rsi5", "rsi14", "macd", "symbol", "sector", "sym_ix", "t", "close", "_met", "r")
+    raw = raw_features()
+    rows = I.windows(rows.drop(*raw), 253, I.extremes(**EXTREMES), raw).where(F.col("close").isNotNull() & days)
     ranked = X.average_ranks(rows.select("t", "sym_ix", "symbol", "sector", "close", "_met", *STOCK), list(STOCK))
     on = algo.get("eval", {}).get("label") == "up"
     ranked = ranked.join(F.broadcast(market.select(F.col("t").alias("_t"), *MARKET)), F.col("t") == F.col("_t"))

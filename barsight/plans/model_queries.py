@@ -105,7 +105,7 @@ def live_signals(spark, d):
         pos = account.positions.get(i)
         rows.append((symbol, pos is not None, i in why, i in sizes, why.get(i) or passed.get(i), pos["shares"] if pos else None, float(pos["entry"]) if pos else None, m.dates[pos["t0"]] if pos else None, float(pos["peak"] * B.UNIT) if pos else None))
     state = spark.createDataFrame(rows, "symbol string, held boolean, selling boolean, buying boolean, reason string, position_shares bigint, position_entry double, entry_date date, peak double")
-    signals = G.with_checks(G.prepared(spark, d), LARGE).withColumn("fired", I.streak_start(F.col("passes") == 5))
+    signals = I.with_streak_start(G.with_checks(G.prepared(spark, d), LARGE), F.col("passes") == 5, "fired")
     signals = G.price_plan(G.last_day(signals), LARGE).join(F.broadcast(state), "symbol")
     status = G.status(F.col("held"), F.col("selling"), F.col("buying"), F.col("passes"))
     return signals.select("symbol", "name", "sector", "date", "passes", status.alias("status"), "fired", "reason", "entry", "stop", "shares", "position_shares", "entry_date", (F.col("close") / B.UNIT / F.col("position_entry") - 1).alias("pnl_pct"), G.stop_level(F.col("peak"), LARGE).alias("position_stop"))

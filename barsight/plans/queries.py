@@ -331,7 +331,33 @@ def dim_lookup(spark, d):
 
 @query("asof_price", "SELECT symbol, t, last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS known FROM b WHERE t >= 252")
 def asof_price(spark, d):
-    return P.bars(spark, d).where("t >= 252").select("symbol", "t", I.last_known(F.col("price")).alias("known"))
+    return I.with_last_known(P.bars(spark, d).where("t >= 252").select("symbol", "t", "price"), "price", "known").drop("price")
+
+
+@query(
+    "asof_sparse",
+    """SELECT o_orderkey, k.symbol, k.date, price, volume FROM (SELECT o_orderkey, symbol, CAST(o_orderdate AS DATE) AS date FROM orders JOIN customer ON o_custkey = c_custkey JOIN stk ON c_nationkey = sym_ix) k
+  ASOF LEFT JOIN (SELECT symbol, date AS since, price, volume FROM pr) p ON p.symbol = k.symbol AND p.since <= k.date""",
+)
+def asof_sparse(spark, d):
+    """Every order with its nation's latest price up to its day, on bars as they come, without a grid."""
+    return _asof(spark, d, None)
+
+
+@query(
+    "asof_near",
+    """SELECT o_orderkey, k.symbol, k.date, CASE WHEN k.date - since <= 1 THEN price END AS price, CASE WHEN k.date - since <= 1 THEN volume END AS volume FROM (SELECT o_orderkey, symbol, CAST(o_orderdate AS DATE) AS date FROM orders JOIN customer ON o_custkey = c_custkey JOIN stk ON c_nationkey = sym_ix) k
+  ASOF LEFT JOIN (SELECT symbol, date AS since, price, volume FROM pr) p ON p.symbol = k.symbol AND p.since <= k.date""",
+)
+def asof_near(spark, d):
+    """The same with prices of the day or the day before only."""
+    return _asof(spark, d, 1)
+
+
+def _asof(spark: SparkSession, d: str, tolerance: int | None) -> DataFrame:
+    order, customer = P.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), P.table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    asked = order.join(customer, order["o_custkey"] == customer["c_custkey"]).join(P.stocks(spark, d).select("symbol", "sym_ix"), F.col("c_nationkey") == F.col("sym_ix"))
+    return I.asof_join(asked.select("o_orderkey", "symbol", F.to_date("o_orderdate").alias("date")), P.prices(spark, d), ["symbol"], "date", ["price", "volume"], tolerance=tolerance)
 
 
 @query("forward_return", "SELECT symbol, t, CAST(lead(close, 21) OVER (PARTITION BY symbol ORDER BY t) AS DOUBLE) / close - 1 AS fwd FROM b")
@@ -420,7 +446,7 @@ def bench_curve(spark, d):
 
 @query("drawdown", "SELECT symbol, t, CAST(max(close) OVER w AS BIGINT) AS peak, close / CAST(max(close) OVER w AS DOUBLE) - 1 AS dd FROM b WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING)")
 def drawdown(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.running_peak(F.col("close")).alias("peak"), I.drawdown(F.col("close")).alias("dd"))
+    return I.with_peak(P.bars(spark, d).select("symbol", "t", "close"), "close").select("symbol", "t", "peak", (F.col("close") / F.col("peak") - 1).alias("dd"))
 
 
 @query("distinct_dates", "SELECT DISTINCT date, sector FROM b WHERE close IS NOT NULL")
@@ -549,46 +575,50 @@ def macd_hist(spark, d):
     return G.prepared(spark, d).select("symbol", "t", "macd")
 
 
+def _windows(spark: SparkSession, d: str, back: int, *steps: I.Step) -> DataFrame:
+    return I.windows(P.bars(spark, d).select("symbol", "t", "close"), back, *steps)
+
+
 @query("rolling_max", "SELECT symbol, t, hi20, hi252 FROM i", IND)
 def rolling_max(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.rolling_max(F.col("close"), 20).cast("double").alias("hi20"), I.rolling_max(F.col("close"), 252).cast("double").alias("hi252"))
+    return _windows(spark, d, 252, I.extremes(hi20=("max", "close", 20), hi252=("max", "close", 252))).select("symbol", "t", F.col("hi20").cast("double").alias("hi20"), F.col("hi252").cast("double").alias("hi252"))
 
 
 @query("rolling_min", "SELECT symbol, t, lo252 FROM i", IND)
 def rolling_min(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.rolling_min(F.col("close"), 252).cast("double").alias("lo252"))
+    return _windows(spark, d, 252, I.extremes(lo252=("min", "close", 252))).select("symbol", "t", F.col("lo252").cast("double").alias("lo252"))
 
 
 @query("volatility", "SELECT symbol, t, round(vol20, 8) AS vol20, round(vol63, 8) AS vol63 FROM i", IND)
 def volatility(spark, d):
-    rows = P.bars(spark, d).withColumn("r", I.change(F.col("close")))
-    return rows.select("symbol", "t", F.round(I.volatility(F.col("r"), 20), 8).alias("vol20"), F.round(I.volatility(F.col("r"), 63), 8).alias("vol63"))
+    rows = _windows(spark, d, 64, {"r": I.change(F.col("close"))}, {"vol20": I.volatility(F.col("r"), 20), "vol63": I.volatility(F.col("r"), 63)})
+    return rows.select("symbol", "t", F.round("vol20", 8).alias("vol20"), F.round("vol63", 8).alias("vol63"))
 
 
 @query("vol_annual", "SELECT symbol, t, round(vol20 * sqrt(252.0::DOUBLE) * 100, 6) AS vol FROM i", IND)
 def vol_annual(spark, d):
-    rows = P.bars(spark, d).withColumn("_r", I.change(F.col("close")))
-    return rows.select("symbol", "t", F.round(R.WINDOWED["vol"](20), 6).alias("vol"))
+    rows = R.windowed(P.bars(spark, d).select("symbol", "t", "close"), {"vol": {"ind": "vol", "n": 20}})
+    return rows.select("symbol", "t", F.round("vol", 6).alias("vol"))
 
 
 @query("momentum", "SELECT symbol, t, mom126 FROM i", IND)
 def momentum(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.change(F.col("close"), 126).alias("mom126"))
+    return _windows(spark, d, 126, {"mom126": I.change(F.col("close"), 126)}).drop("close")
 
 
 @query("ret_n", f"SELECT symbol, t, ({_lag(5)}) * 100 AS ret5, ({_lag(252)}) * 100 AS ret252 FROM b")
 def ret_n(spark, d):
-    return P.bars(spark, d).select("symbol", "t", (I.change(F.col("close"), 5) * 100).alias("ret5"), (I.change(F.col("close"), 252) * 100).alias("ret252"))
+    return _windows(spark, d, 252, {"ret5": I.change(F.col("close"), 5) * 100, "ret252": I.change(F.col("close"), 252) * 100}).drop("close")
 
 
 @query("dhigh", "SELECT symbol, t, (close / hi252 - 1) * 100 AS dhigh FROM i", IND)
 def dhigh(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.below_high(F.col("close"), 252).alias("dhigh"))
+    return _windows(spark, d, 252, I.extremes(x=("max", "close", 252))).select("symbol", "t", I.off(F.col("close"), F.col("x")).alias("dhigh"))
 
 
 @query("dlow", "SELECT symbol, t, (close / lo252 - 1) * 100 AS dlow FROM i", IND)
 def dlow(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.above_low(F.col("close"), 252).alias("dlow"))
+    return _windows(spark, d, 252, I.extremes(x=("min", "close", 252))).select("symbol", "t", I.off(F.col("close"), F.col("x")).alias("dlow"))
 
 
 @query("index_features", "SELECT symbol, t, round(idx / idx_sma200 - 1, 8) AS gap FROM b JOIN ixf USING (t)", IND)
@@ -599,17 +629,17 @@ def index_features(spark, d):
 
 @query("gap_sma", "SELECT symbol, t, (close / sma20 - 1) * 100 AS gap20, (close / sma200 - 1) * 100 AS gap200 FROM i", IND)
 def gap_sma(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.gap_to_sma(F.col("close"), 20).alias("gap20"), I.gap_to_sma(F.col("close"), 200).alias("gap200"))
+    return _windows(spark, d, 200, {"gap20": I.gap_to_sma(F.col("close"), 20), "gap200": I.gap_to_sma(F.col("close"), 200)}).drop("close")
 
 
 @query("trend", "SELECT symbol, t, sma50 / sma200 - 1 AS trend FROM i", IND)
 def trend(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.trend(F.col("close")).alias("trend"))
+    return _windows(spark, d, 200, {"trend": I.trend(F.col("close"))}).drop("close")
 
 
 @query("mom_12_1", "SELECT symbol, t, CAST(lag(close, 21) OVER w AS DOUBLE) / lag(close, 252) OVER w - 1 AS mom FROM b WINDOW w AS (PARTITION BY symbol ORDER BY t)")
 def mom_12_1(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.momentum_12_1(F.col("close")).alias("mom"))
+    return _windows(spark, d, 252, {"mom": I.momentum_12_1(F.col("close"))}).drop("close")
 
 
 MARKET = f""",
@@ -620,8 +650,9 @@ mf AS MATERIALIZED (SELECT t, idx / lag(idx, 21) OVER (ORDER BY t) - 1 AS iret21
 def market_features(index: DataFrame) -> DataFrame:
     """(t, iret21, iret63, igap200, ivol20) as fractions."""
     one = G.index_features(index).withColumn("symbol", F.lit("index"))
-    one = one.withColumn("r", I.change(F.col("idx")))
-    return one.select("t", I.change(F.col("idx"), 21).alias("iret21"), I.change(F.col("idx"), 63).alias("iret63"), (F.col("idx") / F.col("idx_sma200") - 1).alias("igap200"), I.volatility(F.col("r"), 20).alias("ivol20"))
+    step = {"iret21": I.change(F.col("idx"), 21), "iret63": I.change(F.col("idx"), 63), "ivol20": I.volatility(F.col("r"), 20)}
+    one = I.windows(one, 64, {"r": I.change(F.col("idx"))}, step)
+    return one.select("t", "iret21", "iret63", (F.col("idx") / F.col("idx_sma200") - 1).alias("igap200"), "ivol20")
 
 
 @query("market_features", "SELECT t, round(iret21, 8) AS iret21, round(iret63, 8) AS iret63, round(igap200, 8) AS igap200, round(ivol20, 8) AS ivol20 FROM mf", IND + MARKET)
@@ -633,12 +664,12 @@ def q_market_features(spark, d):
 @query("streak_start", "SELECT symbol, t, CASE WHEN passes = 5 THEN coalesce(max(CASE WHEN passes < 5 THEN t END) OVER (PARTITION BY symbol ORDER BY t) + 1, 0) END AS fired FROM ck", IND + CHECK_ALL)
 def streak_start(spark, d):
     rows = G.with_checks(G.prepared(spark, d), Params())
-    return rows.select("symbol", "t", I.streak_start(F.col("passes") == 5).alias("fired"))
+    return I.with_streak_start(rows, F.col("passes") == 5, "fired").select("symbol", "t", "fired")
 
 
 @query("returns", "SELECT symbol, t, r FROM i", IND)
 def returns(spark, d):
-    return P.bars(spark, d).select("symbol", "t", I.change(F.col("close")).alias("r"))
+    return _windows(spark, d, 1, {"r": I.change(F.col("close"))}).drop("close")
 
 
 @query("xs_percentile", "SELECT symbol, t, CASE WHEN mom126 IS NULL THEN 0.5 ELSE (rank() OVER (PARTITION BY t ORDER BY mom126 NULLS LAST) - 1)::DOUBLE / count(mom126) OVER (PARTITION BY t) END AS pctl FROM i WHERE close IS NOT NULL", IND)
@@ -697,7 +728,7 @@ LARGE = Params(capital=10_000_000)
 @query("stop_level", "SELECT symbol, t, greatest(p * (1 - 20::DOUBLE / 100), coalesce(sma50, 0)) AS stop FROM (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS p FROM i WHERE close IS NOT NULL)", IND)
 def stop_level(spark, d):
     """The stop of a position that has been held from the first day."""
-    rows = G.prepared(spark, d).where("close is not null").withColumn("p", I.running_peak(F.col("close")))
+    rows = I.with_peak(G.prepared(spark, d).where("close is not null"), "close", "p")
     return rows.select("symbol", "t", G.stop_level(F.col("p"), Params()).cast("double").alias("stop"))
 
 
@@ -724,6 +755,6 @@ def price_plan(spark, d):
 def chart_series(spark, d):
     """SMA50 over the published last 400 bars, of which the last 260 are shown."""
     rows = P.decode_ohlc(_encoded_ohlc(spark, d), "symbol").withColumn("close", F.round(F.col("close") * 10000).cast("bigint"))
-    rows = rows.withColumn("sma50", I.sma(F.col("close"), 50))
+    rows = I.windows(rows, 50, {"sma50": I.sma(F.col("close"), 50)})
     most = rows.agg((F.max("t") + 1 - 260).alias("_from"))
     return rows.join(F.broadcast(most)).where("t >= _from").select("symbol", "t", "date", "close", "sma50")

@@ -17,15 +17,28 @@ from ..operators import indicators as I
 
 WORDS = {">": "over", "<": "under", ">=": "no less than", "<=": "no more than", "xup": "passes upward through", "xdown": "passes downward through"}
 FOLDED = ("ema", "rsi", "macd")
+EXTREME = {"dhigh": "max", "dlow": "min"}
+#: Columns over the last places, from the close, its one-place change _r, and the extreme _x.
 WINDOWED = {
     "sma": lambda n: I.sma(F.col("close"), n),
     "ret": lambda n: I.change(F.col("close"), n) * 100,
     "vol": lambda n: I.volatility(F.col("_r"), n) * F.sqrt(F.lit(252.0)) * 100,
-    "dhigh": lambda n: I.below_high(F.col("close"), n),
-    "dlow": lambda n: I.above_low(F.col("close"), n),
+    "dhigh": lambda n: I.off(F.col("close"), F.col(f"_max{n}")),
+    "dlow": lambda n: I.off(F.col("close"), F.col(f"_min{n}")),
 }
 
 
+def windowed(panel: DataFrame, need: dict[str, dict]) -> DataFrame:
+    """panel with a column for each windowed operand {name: {ind, n}}."""
+    if not need:
+        return panel
+    ends = {f"_{EXTREME[o['ind']]}{o['n']}": (EXTREME[o["ind"]], "close", o["n"]) for o in need.values() if o["ind"] in EXTREME}
+    steps = [I.extremes(**ends)] if ends else []
+    steps += [{"_r": I.change(F.col("close"))}] if any(o["ind"] == "vol" for o in need.values()) else []
+    out = I.windows(panel, 1 + max(o["n"] for o in need.values()), *steps, {k: WINDOWED[o["ind"]](o["n"]) for k, o in need.items()})
+    return out.drop("_r", *ends)
+
+
 def operand_name(o: dict) -> str:
     return o["ind"] + str(o.get("n") or "")
 
@@ -51,9 +64,7 @@ def with_operands(panel: DataFrame, index: DataFrame, algo: dict) -> DataFrame:
     folds = [(k, o["ind"], o.get("n")) for k, o in need.items() if o["ind"] in FOLDED and k not in out.columns]
     if folds:
         out = I.with_recurrences(out, folds)
-    if any(o["ind"] == "vol" for o in need.values()):
-        out = out.withColumn("_r", I.change(F.col("close")))
-    out = out.withColumns({k: WINDOWED[o["ind"]](o["n"]) for k, o in need.items() if o["ind"] in WINDOWED and k not in out.columns})
+    out = windowed(out, {k: o for k, o in need.items() if o["ind"] in WINDOWED and k not in out.columns})
     series = {k: o for k, o in need.items() if o["ind"] in ("idx", "idxsma")}
     if series:
         w = W.orderBy("t")

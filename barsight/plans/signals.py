@@ -20,8 +20,8 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make() -> DataFrame:
         c = F.col("close")
         rows = I.with_recurrences(P.bars(spark, sf_dir), [("ema12", "ema", 12), ("ema26", "ema", 26), ("rsi14", "rsi", 14), ("macd", "macd", None)])
-        rows = rows.withColumn("r", I.change(c))
-        return rows.withColumns({"sma50": I.sma(c, 50), "sma200": I.sma(c, 200), "hi252": I.rolling_max(c, 252), "mom126": I.change(c, 126), "vol20": I.volatility(F.col("r"), 20)})
+        step = {"sma50": I.sma(c, 50), "sma200": I.sma(c, 200), "mom126": I.change(c, 126), "vol20": I.volatility(F.col("r"), 20)}
+        return I.windows(rows, 252, {"r": I.change(c)}, step, I.extremes(hi252=("max", "close", 252)))
 
     return P.kept(spark, sf_dir, "prepared", make)
 

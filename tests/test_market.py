@@ -27,7 +27,8 @@ def column(df, name):
 
 
 def test_windows(spark):
-    df = bars_of(spark, {"a": [1.0, 2.0, None, 4.0, 5.0, 6.0]}).withColumn("sma", I.sma(F.col("close"), 2)).withColumn("max", I.rolling_max(F.col("close"), 3))
+    df = bars_of(spark, {"a": [1.0, 2.0, None, 4.0, 5.0, 6.0]})
+    df = I.windows(df, 3, {"sma": I.sma(F.col("close"), 2)}, I.extremes(max=("max", "close", 3)))
     assert column(df, "sma") == [None, 1.5, None, None, 4.5, 5.5]
     assert column(df, "max") == [1.0, 2.0, None, 4.0, 5.0, 6.0]
 
