@@ -25,12 +25,12 @@ from .queries import IND, LARGE, SAMPLES, _samples, _xs, market_features, query,
 
 @query("backtest_equity")
 def backtest_equity(spark, d):
-    return B.equity_curves(spark, B.built_in_market(spark, d), [LARGE])
+    return B.equity_curves(B.built_in_market(spark, d), [LARGE])
 
 
 @query("backtest_trades")
 def backtest_trades(spark, d):
-    return B.trades(spark, B.built_in_market(spark, d), [LARGE])
+    return B.trades(B.built_in_market(spark, d), [LARGE])
 
 
 @query("recent_trades")
@@ -48,8 +48,8 @@ def exit_reasons(spark, d):
 def backtest_metrics(spark, d):
     m = B.built_in_market(spark, d)
     sets = [LARGE, LARGE.with_(sizing="risk"), LARGE.with_(gate="off")]
-    curves = stats.curve_metrics(B.equity_curves(spark, m, sets), ["combo"])
-    return curves.join(stats.trade_metrics(B.trades(spark, m, sets), ["combo"]), "combo", "left")
+    curves = stats.curve_metrics(B.equity_curves(m, sets), ["combo"])
+    return curves.join(stats.trade_metrics(B.trades(m, sets), ["combo"]), "combo", "left")
 
 
 @query("algo_backtest")
@@ -57,7 +57,7 @@ def algo_backtest(spark, d):
     """Equity of each preset algorithm."""
     out = None
     for name, algo in PRESETS.items():
-        one = B.equity_curves(spark, B.algo_market(spark, d, algo), [LARGE], algo).withColumn("algorithm", F.lit(name))
+        one = B.equity_curves(B.algo_market(spark, d, algo), [LARGE]).withColumn("algorithm", F.lit(name))
         out = one if out is None else out.union(one)
     return out
 
@@ -67,12 +67,12 @@ def grid_search(spark: SparkSession, m: B.Market, base: Params, grid: dict = GRI
     in and out of sample; the index ('index') out of sample."""
     found = combinations(grid)
     sets = [base.with_(**c) for c in found] + [base]
-    last, baseline = len(m.dates) - 1, len(found)
+    last, baseline = m.days.agg(F.max("t")).first()[0], len(found)
     split = int(B.FIRST + (last - B.FIRST) * share + 0.5)
-    inside = stats.curve_metrics(B.equity_curves(spark, m, sets, first=B.FIRST, last=split), ["combo"])
+    inside = stats.curve_metrics(B.equity_curves(m, sets, first=B.FIRST, last=split), ["combo"])
     inside = P.cut(inside)
     best = [r["combo"] for r in inside.where(F.col("combo") < baseline).orderBy(F.desc("sharpe"), "combo").limit(top).collect()] + [baseline]
-    curves = B.equity_curves(spark, m, [sets[k] for k in best], first=split + 1)
+    curves = B.equity_curves(m, [sets[k] for k in best], first=split + 1)
     curves = curves.withColumn("combo", F.element_at(F.array(*[F.lit(k) for k in best]), F.col("combo") + 1))
     index = curves.where(F.col("combo") == baseline).select(F.lit(baseline + 1).alias("combo"), "t", "date", F.col("bench").alias("equity"), F.lit(1.0).alias("invested"))
     outside = stats.curve_metrics(curves.drop("bench").unionByName(index), ["combo"]).select("combo", F.col("sharpe").alias("oos_sharpe"), F.col("cagr").alias("oos_cagr"), F.col("max_dd").alias("oos_max_dd"), F.col("exposure").alias("oos_exposure"))
@@ -96,17 +96,10 @@ def grid_top(spark, d):
 def live_signals(spark, d):
     """Three years of simulation to the newest bar, a forced decision there, and every symbol's status, position and plan."""
     m = B.built_in_market(spark, d)
-    last = len(m.dates) - 1
-    account, _ = B.simulate(B.Rules(m, LARGE), max(B.FIRST, last - 3 * 252), last)
-    sells, buys, passed = account.decide(last, force=True)
-    why, sizes = dict(sells), dict(buys)
-    rows = []
-    for i, symbol in enumerate(m.symbols):
-        pos = account.positions.get(i)
-        rows.append((symbol, pos is not None, i in why, i in sizes, why.get(i) or passed.get(i), pos["shares"] if pos else None, float(pos["entry"]) if pos else None, m.dates[pos["t0"]] if pos else None, float(pos["peak"] * B.UNIT) if pos else None))
-    state = spark.createDataFrame(rows, "symbol string, held boolean, selling boolean, buying boolean, reason string, position_shares bigint, position_entry double, entry_date date, peak double")
+    last = m.days.agg(F.max("t")).first()[0]
+    state = B.final_state(m, [LARGE], max(B.FIRST, last - 3 * 252), last).drop("combo")
     signals = I.with_streak_start(G.with_checks(G.prepared(spark, d), LARGE), F.col("passes") == 5, "fired")
-    signals = G.price_plan(G.last_day(signals), LARGE).join(F.broadcast(state), "symbol")
+    signals = G.price_plan(G.last_day(signals), LARGE).join(state, "symbol")
     status = G.status(F.col("held"), F.col("selling"), F.col("buying"), F.col("passes"))
     return signals.select("symbol", "name", "sector", "date", "passes", status.alias("status"), "fired", "reason", "entry", "stop", "shares", "position_shares", "entry_date", (F.col("close") / B.UNIT / F.col("position_entry") - 1).alias("pnl_pct"), G.stop_level(F.col("peak"), LARGE).alias("position_stop"))
 
@@ -274,10 +267,10 @@ def ml_backtest(spark, d):
     base = base.withColumn("held", R.enters(algo, F.col("_met")).cast("int")).join(scored, ["t", "sym_ix"], "left").withColumn("rank", F.col("z"))
     learned = None
     for source, entry in (("model", F.col("chosen")), ("filter", F.col("chosen") * F.col("held"))):
-        m = B.market(base.withColumn("entry", F.coalesce(entry, F.lit(0))), index, ["vol20", "entry", "rank", *exits])
-        one = B.equity_curves(spark, m, [LARGE], algo, first=split).withColumn("source", F.lit(source))
+        m = B.ruled(base.withColumn("entry", F.coalesce(entry, F.lit(0))), index, algo)
+        one = B.equity_curves(m, [LARGE], first=split).withColumn("source", F.lit(source))
         learned = one if learned is None else learned.union(one)
-    rules = B.equity_curves(spark, B.algo_market(spark, d, algo), [LARGE], algo, first=split).withColumn("source", F.lit("rules"))
+    rules = B.equity_curves(B.algo_market(spark, d, algo), [LARGE], first=split).withColumn("source", F.lit("rules"))
     return learned.union(rules)
 
 
@@ -360,6 +353,6 @@ def ranking_comparison(spark, d):
     """The same plan ranked by momentum and by the walk-forward model."""
     scores = L.walk_forward_scores(_ranking(spark, d), walk_forward_models(spark, d)).select("t", "sym_ix", F.col("score").alias("ml_rank"))
     rows = G.prepared(spark, d).join(scores, ["t", "sym_ix"], "left")
-    m = B.market(rows, P.index_bars(spark, d), [*B.BUILT_IN, "ml_rank"])
-    curves = B.equity_curves(spark, m, [LARGE, LARGE.with_(rank_by="ml")])
+    m = B.built_in(rows, P.index_bars(spark, d))
+    curves = B.equity_curves(m, [LARGE, LARGE.with_(rank_by="ml")])
     return stats.curve_metrics(curves, ["combo"]).withColumn("ranked_by", F.when(F.col("combo") == 0, "momentum").otherwise("ml"))

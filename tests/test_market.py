@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
@@ -69,6 +70,42 @@ def test_confusion_and_deciles_add_up(spark):
     assert [x["n"] for x in d] == [math.floor((b + 1) * n / 10) - math.floor(b * n / 10) for b in range(10)]
 
 
+@dataclass
+class Matrices:
+    """A market as [day, symbol] matrices; NaN is missing."""
+
+    symbols: list
+    sectors: list
+    dates: list
+    index: np.ndarray
+    gates: dict
+    close: np.ndarray
+    columns: dict
+
+    def days(self, p):
+        """The days as the fold gets them, with the strategy's own signals."""
+        c, close = self.columns, self.close * B.UNIT
+        with np.errstate(invalid="ignore"):
+            entry = (close > c["sma200"]) & ((close > c["sma50"]) | (not p.exit_below_sma50)) & (c["sma50"] > c["sma200"]) & (c["ema12"] > c["ema26"]) & (c["rsi14"] >= p.rsi_min) & (c["rsi14"] <= p.rsi_max) & (close >= c["hi252"] * (1 - p.high_within_pct / 100))
+        rank = np.full_like(close, np.nan)
+        rank[p.mom_lookback :] = close[p.mom_lookback :] / close[: -p.mom_lookback] - 1
+        ids = np.arange(len(self.symbols))
+        return [B.Day(t, d, bool(self.gates[p.gate][t]), self.index[t], ids, self.symbols, self.sectors, self.close[t], entry[t], rank[t], c["vol20"][t], c["sma50"][t] / B.UNIT, []) for t, d in enumerate(self.dates)]
+
+    def market(self, spark):
+        """The same as Spark rows."""
+        value = lambda x: None if np.isnan(x) else float(x)
+        rows = [(s, i, self.sectors[i], t, value(self.close[t, i] * B.UNIT), *(value(x[t, i]) for x in self.columns.values())) for i, s in enumerate(self.symbols) for t in range(len(self.dates))]
+        frame = spark.createDataFrame(rows, "symbol string, sym_ix int, sector string, t int, close double, " + ", ".join(f"{k} double" for k in self.columns))
+        return B.built_in(frame, spark.createDataFrame([(t, d, float(self.index[t])) for t, d in enumerate(self.dates)], "t int, date date, idx double"))
+
+
+def simulate(m, p, first=252, last=None):
+    """(account, equity by day, invested share by day)."""
+    account, steps = B.simulate(m.days(p), p, None, first, last)
+    return account, [s[2] for s in steps], [s[3] for s in steps]
+
+
 def random_market(n=40, days=600, seed=3):
     r = np.random.default_rng(seed)
     close = 100 * np.exp(np.cumsum(r.normal(0.0005, 0.02, (days, n)), axis=0))
@@ -93,7 +130,7 @@ def random_market(n=40, days=600, seed=3):
     import datetime
 
     dates = [datetime.date(2020, 1, 1) + datetime.timedelta(days=k) for k in range(days)]
-    return B.Market([f"s{i}" for i in range(n)], [f"sec{i % 4}" for i in range(n)], dates, index, {"off": np.ones(days, bool), "sma200": on, "sma50_200": on}, close, columns)
+    return Matrices([f"s{i}" for i in range(n)], [f"sec{i % 4}" for i in range(n)], dates, index, {"off": np.ones(days, bool), "sma200": on, "sma50_200": on}, close, columns)
 
 
 @pytest.fixture(scope="module")
@@ -103,25 +140,25 @@ def market():
 
 def test_no_look_ahead(market):
     p, cut = Params(gate="off", slots=5), 450
-    _, before = B.simulate(B.Rules(market, p))
+    _, before, _ = simulate(market, p)
     later = random_market()
     for x in (later.close, *later.columns.values()):
         x[cut:] *= 1.7
-    _, after = B.simulate(B.Rules(later, p))
-    assert before.equity[before.t < cut].tolist() == after.equity[after.t < cut].tolist()
+    _, after, _ = simulate(later, p)
+    assert before[: cut - 252] == after[: cut - 252] and before != after
 
 
 def test_limits_and_books(market):
     p = Params(gate="off", slots=5, sector_cap=2, lot=100, capital=1_000_000)
-    account, curve = B.simulate(B.Rules(market, p))
-    held = [market.sectors[i] for i in account.positions]
+    account, equity, _ = simulate(market, p)
+    held = [x["sector"] for x in account.positions.values()]
     assert len(held) <= 5 and all(held.count(s) <= 2 for s in held)
-    assert all(t["shares"] % 100 == 0 for t in account.trades) and account.trades
-    value = sum(x["shares"] * account.known[i] for i, x in account.positions.items())
-    assert account.cash + value == pytest.approx(curve.equity.iloc[-1])
-    closed = sum(t["pnl"] for t in account.trades)
-    open_ = sum(x["shares"] * account.known[i] - x["cost"] for i, x in account.positions.items())
-    assert p.capital + closed + open_ == pytest.approx(curve.equity.iloc[-1])
+    assert all(t[6] % 100 == 0 for t in account.trades) and account.trades
+    value = sum(x["shares"] * x["known"] for x in account.positions.values())
+    assert account.cash + value == pytest.approx(equity[-1])
+    closed = sum(t[7] for t in account.trades)
+    open_ = sum(x["shares"] * x["known"] - x["cost"] for x in account.positions.values())
+    assert p.capital + closed + open_ == pytest.approx(equity[-1])
 
 
 def plain_simulation(m, p):
@@ -183,28 +220,45 @@ def plain_simulation(m, p):
 @pytest.mark.parametrize("changes", [{"gate": "off", "slots": 5}, {"slots": 8, "sector_cap": 2, "trail_pct": 8, "rebalance_every": 3}, {"gate": "sma50_200", "slots": 3, "lot": 100, "capital": 1_000_000, "exit_below_sma50": False, "rsi_min": 30, "high_within_pct": 40}])
 def test_simulation_against_a_plain_one(market, changes):
     p = Params(**changes)
-    account, curve = B.simulate(B.Rules(market, p))
-    equity, trades = plain_simulation(market, p)
-    assert curve.equity.tolist() == pytest.approx(equity, rel=1e-9)
+    account, equity, _ = simulate(market, p)
+    want, trades = plain_simulation(market, p)
+    assert equity == pytest.approx(want, rel=1e-9)
     days = {d: k for k, d in enumerate(market.dates)}
-    assert [(x["symbol"], days[x["entry_date"]], days[x["exit_date"]], x["shares"]) for x in account.trades] == [x[:4] for x in trades]
-    assert [x["pnl"] for x in account.trades] == pytest.approx([x[4] for x in trades], abs=1e-6) and len(trades) > 5
+    assert [(x[0], days[x[2]], days[x[4]], x[6]) for x in account.trades] == [x[:4] for x in trades]
+    assert [x[7] for x in account.trades] == pytest.approx([x[4] for x in trades], abs=1e-6) and len(trades) > 5
+
+
+def test_spark_folds_are_the_same_simulation(spark, market, monkeypatch):
+    """Sets of several groups, with two accounts a group, and days that cross batches."""
+    monkeypatch.setattr(B, "ACCOUNTS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    sets = [Params(gate="off", slots=5), Params(gate="off", slots=8, trail_pct=8), Params(gate="off", slots=3, sector_cap=1), Params(gate="off", slots=5, rsi_min=30), Params(slots=5, high_within_pct=40, exit_below_sma50=False)]
+    m = market.market(spark)
+    curves, trades = B.equity_curves(m, sets).collect(), B.trades(m, sets).collect()
+    state = B.final_state(m, sets, 252, len(market.dates) - 1).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, p in enumerate(sets):
+        account, equity, _ = simulate(market, p)
+        assert [r["equity"] for r in sorted(curves, key=lambda r: r["t"]) if r["combo"] == k] == pytest.approx(equity, rel=1e-9)
+        assert sorted((r["symbol"], r["entry_date"], r["exit_date"], r["shares"]) for r in trades if r["combo"] == k) == sorted((x[0], x[2], x[4], x[6]) for x in account.trades)
+        assert {r["symbol"]: r["position_shares"] for r in state if r["combo"] == k and r["held"]} == {x["symbol"]: x["shares"] for x in account.positions.values()}
+        assert sum(r["combo"] == k for r in state) == len(market.symbols)
 
 
 def test_grid_and_spread_runs_are_the_same_simulation(spark, market):
     from barsight.plans.model_queries import grid_search
 
     base = Params(gate="off", slots=5)
-    out = {r["combo"]: r for r in grid_search(spark, market, base, {"slots": (3, 5), "trail_pct": (10, 20)}, top=2).collect()}
+    out = {r["combo"]: r for r in grid_search(spark, market.market(spark), base, {"slots": (3, 5), "trail_pct": (10, 20)}, top=2).collect()}
     assert {k: r["kind"] for k, r in out.items()} == {0: "combination", 1: "combination", 2: "combination", 3: "combination", 4: "baseline", 5: "index"}
     assert sum(r["oos_sharpe"] is not None for r in out.values()) == 4 and out[3]["sharpe"] == out[4]["sharpe"]
     last = len(market.dates) - 1
     split = int(252 + (last - 252) * 0.7 + 0.5)
     for k, (slots, trail) in enumerate([(3, 10), (3, 20), (5, 10), (5, 20)]):
-        _, curve = B.simulate(B.Rules(market, base.with_(slots=slots, trail_pct=trail)), 252, split)
-        r = curve.equity.pct_change().dropna()
-        assert out[k]["total"] == pytest.approx(curve.equity.iloc[-1] / curve.equity.iloc[0] - 1) and out[k]["exposure"] == pytest.approx(curve.invested.mean())
-        assert out[k]["sharpe"] == pytest.approx(r.mean() / r.std() * 252**0.5)
+        _, equity, invested = simulate(market, base.with_(slots=slots, trail_pct=trail), 252, split)
+        r = np.diff(equity) / np.array(equity[:-1])
+        assert out[k]["total"] == pytest.approx(equity[-1] / equity[0] - 1) and out[k]["exposure"] == pytest.approx(np.mean(invested))
+        assert out[k]["sharpe"] == pytest.approx(r.mean() / r.std(ddof=1) * 252**0.5)
     assert out[5]["oos_cagr"] is not None and out[5]["sharpe"] is None
 
 
@@ -233,10 +287,9 @@ def test_stored_models_are_taken_by_version_and_days(spark):
 
 
 def test_risk_size(market):
-    p = Params(sizing="risk", capital=1_000_000, max_pos_pct=100)
-    account = B.Account(B.Rules(market, p), 252)
+    account = B.Account(Params(sizing="risk", capital=1_000_000, max_pos_pct=100), 252)
     price = market.close[300, 0]
-    assert account.size(0, 300) * max(3 * 0.02 * price, 0.02 * price) == pytest.approx(10_000, rel=0.01)
+    assert account.size(price, 0.02) * max(3 * 0.02 * price, 0.02 * price) == pytest.approx(10_000, rel=0.01)
 
 
 def test_grid():
