@@ -123,21 +123,20 @@ def features(spark, d):
     return _features(spark, d).select("t", "sym_ix", *L.STOCK)
 
 
-BINS_SQL = """, q AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY f) AS n FROM (SELECT 'r126' AS f, r126 AS v FROM x UNION ALL SELECT 'r_rsi', r_rsi FROM x)),
-ed AS (SELECT DISTINCT f, v FROM q WHERE k IN (SELECT floor(j * n / 32) FROM range(1, 32) z(j)))"""
-X_SQL = f", x AS (SELECT t, sym_ix, {_xs('mom126')} AS r126, {_xs('rsi14')} AS r_rsi FROM i WHERE close IS NOT NULL AND t >= 252 AND (t - 252) % 5 = 0)"
+BINS_SQL = ", x AS MATERIALIZED (SELECT t, sym_ix, " + ", ".join(f"{_xs('f_' + k)} AS {k}" for k in FEATURE_SQL) + """ FROM fb), lx AS (UNPIVOT x ON COLUMNS(* EXCLUDE (t, sym_ix)) INTO NAME feature VALUE v),
+q AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY feature) AS n FROM lx),
+ed AS MATERIALIZED (SELECT DISTINCT feature, v FROM q WHERE k IN (SELECT floor(j * n / 32) FROM range(1, 32) z(j))),
+le AS (SELECT feature, list(v) AS edges FROM ed GROUP BY feature)"""
 
 
-@query("bins", "SELECT t, sym_ix, CAST((SELECT count(*) FROM ed WHERE f = 'r126' AND v < r126) AS INTEGER) AS b126, CAST((SELECT count(*) FROM ed WHERE f = 'r_rsi' AND v < r_rsi) AS INTEGER) AS b_rsi FROM x", IND + X_SQL + BINS_SQL)
+@query("bins", "SELECT t, sym_ix, feature, CAST(len(list_filter(edges, lambda e: e < v)) AS INTEGER) AS bin FROM lx JOIN le USING (feature)", IND + FEATS + BINS_SQL)
 def bins(spark, d):
-    """Bin of two features: how many of at most 31 edges lie strictly below."""
+    """Bin of every ranked feature: how many of its at most 31 edges lie strictly below."""
     rows = _features(spark, d)
-    at = {"b126": "ret126", "b_rsi": "rsi14"}
-    edges = {}
-    for name, feature in at.items():
-        edges[name] = L.bin_edges(rows.select(F.array(F.col(feature).cast("double")).alias("x")), names=(feature,))[0]
+    edges = L.bin_edges(rows.select(F.array(*[F.col(k).cast("double") for k in L.STOCK]).alias("x")), names=L.STOCK)
     below = lambda c, e: F.size(F.filter(F.array(*[F.lit(float(v)) for v in e]), lambda v: v < c)).cast("int")
-    return rows.select("t", "sym_ix", *[below(F.col(f).cast("double"), edges[n]).alias(n) for n, f in at.items()])
+    each = F.array(*[F.struct(F.lit(k).alias("feature"), below(F.col(k).cast("double"), edges[n]).alias("bin")) for n, k in enumerate(L.STOCK)])
+    return rows.select("t", "sym_ix", F.explode(each).alias("b")).select("t", "sym_ix", "b.*")
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from ..functions import scalars as S
 from ..operators import cross_section as X
 from ..operators import indicators as I
 from ..operators import ordered, stats
+from ..sources import frames as FR
 from ..sources import panel as P
+from ..sources import publish as PB
 from . import rules as R
 from . import signals as G
 from .params import PRESETS, Params
@@ -92,9 +95,26 @@ def src_prices(spark, d):
     return P.prices(spark, d)
 
 
+@query("src_frames", "SELECT symbol, date, price / 10000.0::DOUBLE AS open, price / 10000.0::DOUBLE AS high, price / 10000.0::DOUBLE AS low, price / 10000.0::DOUBLE AS close, CAST(volume AS BIGINT) AS volume FROM pr WHERE date >= DATE '1994-01-01'")
+def src_frames(spark, d):
+    """Bars from downloaded frames of ten tickers each, from 1994 on; the date's bound is pushed into the read."""
+
+    def make() -> DataFrame:
+        rows, path = _plain_bars(spark, d), f"{P.own_folder(spark)}/frames-{uuid.uuid4().hex}"
+        FR.write_frames(rows, path, [r[0] for r in P.stocks(spark, d).select("symbol").orderBy("symbol").collect()])
+        return spark.createDataFrame([(path,)], "path string")
+
+    path = P.kept(spark, d, "frames", make).first()[0]
+    return FR.read_frames(spark, path).where("date >= date'1994-01-01'")
+
+
+def _plain_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Prices as bars that open, peak, bottom and close alike."""
+    return P.prices(spark, d).select("symbol", "date", *[(F.col("price") / 10000).alias(x) for x in ("open", "high", "low", "close")], F.col("volume").cast("bigint").alias("volume"))
+
+
 def _encoded_ohlc(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.prices(spark, d).select("symbol", "date", *[(F.col("price") / 10000).alias(x) for x in ("open", "high", "low", "close")], F.col("volume").cast("bigint").alias("volume"))
-    return P.encode_ohlc(rows)
+    return P.encode_ohlc(_plain_bars(spark, d))
 
 
 TAIL = "tl AS (SELECT symbol, date, price / 10000.0::DOUBLE AS close, CAST(volume AS BIGINT) AS volume, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM pr)"
@@ -141,16 +161,51 @@ def stale_outputs(spark, d):
     return files.join(current, "file", "left_anti")
 
 
+@query("published_files", "SELECT replace(replace(symbol, '.', '_'), '^', '') || '.json' AS file, CAST(least(count(*), 400) AS BIGINT) AS bars, max(date) AS newest FROM pr GROUP BY symbol HAVING count(*) >= (SELECT count(*) / count(DISTINCT symbol) FROM pr)")
+def published_files(spark, d):
+    """A file per symbol is published, then those of symbols with as many bars as the mean or more; what readers find after that."""
+
+    def make() -> DataFrame:
+        folder = f"{P.own_folder(spark)}/site-{uuid.uuid4().hex}"
+        ohlc = P.cut(_encoded_ohlc(spark, d))
+        counts = P.prices(spark, d).groupBy("symbol").count()
+        for bound in ("true", "count >= mean"):
+            some = counts.join(F.broadcast(counts.agg(F.avg("count").alias("mean")))).where(bound)
+            files = ohlc.join(some.select("symbol"), "symbol", "left_semi").select(S.file_name(F.col("symbol")).alias("file"), F.to_json(F.struct(*[c for c in ohlc.columns if c != "symbol"])).alias("text"))
+            PB.publish(files, folder)
+        return PB.published(spark, folder)
+
+    rows = P.kept(spark, d, "published", make).select("file", F.from_json("text", P.OHLC_SCHEMA).alias("x")).select("file", "x.*")
+    return P.decode_ohlc(rows, "file").groupBy("file").agg(F.count("*").alias("bars"), F.max("date").alias("newest"))
+
+
+@query("meta_file", """SELECT m.market, 'Market ' || m.market AS name, CASE WHEN m.market = 'A' THEN 1 ELSE 100 END AS lot, n AS stocks, coalesce(missing, 0) AS missing, true AS built_now FROM (SELECT market, count(*) AS n FROM stk JOIN (SELECT symbol FROM pr GROUP BY symbol HAVING count(*) >= 60) USING (symbol) GROUP BY market) m
+  LEFT JOIN (SELECT market, count(*) AS missing FROM stk WHERE symbol NOT IN (SELECT symbol FROM pr GROUP BY symbol HAVING count(*) >= 60) GROUP BY market) x ON x.market = m.market""")
+def meta_file(spark, d):
+    """The meta record as published and read again, with its build time."""
+
+    def make() -> DataFrame:
+        folder = f"{P.own_folder(spark)}/meta-{uuid.uuid4().hex}"
+        have = P.prices(spark, d).groupBy("symbol").count().where("count >= 60")
+        PB.publish(P.meta_record(P.stocks(spark, d), have, {"A": ("Market A", "USD", 1, "equal weight"), "B": ("Market B", "THB", 100, "equal weight")}).select(F.lit("meta.json").alias("file"), F.to_json(F.struct("*")).alias("text")), folder)
+        return PB.published(spark, folder)
+
+    meta = P.kept(spark, d, "meta", make).select(F.from_json("text", P.META_SCHEMA).alias("m")).select("m.*")
+    rows = meta.select("generated", "stocks", "missing", F.explode("markets").alias("market", "about"))
+    of = lambda c: F.size(F.filter(c, lambda x: x["m"] == F.col("market"))).cast("bigint")
+    return rows.select("market", "about.name", "about.lot", of("stocks").alias("stocks"), of("missing").alias("missing"), F.col("generated").between(F.current_timestamp() - F.expr("interval 1 day"), F.current_timestamp()).alias("built_now"))
+
+
 @query("meta_summary", "SELECT stk.market, count(DISTINCT stk.symbol) AS stocks, string_agg(DISTINCT stk.sector, ',' ORDER BY stk.sector) AS sectors, max(date) AS newest FROM stk JOIN pr USING (symbol) GROUP BY stk.market")
 def meta_summary(spark, d):
-    joined = P.prices(spark, d).join(F.broadcast(P.stocks(spark, d)), "symbol")
+    joined = P.prices(spark, d).join(P.stocks(spark, d), "symbol")
     return joined.groupBy("market").agg(F.countDistinct("symbol").alias("stocks"), F.array_join(F.array_sort(F.collect_set("sector")), ",").alias("sectors"), F.max("date").alias("newest"))
 
 
 @query("meta_missing", "SELECT market, string_agg(symbol, ',' ORDER BY symbol) AS missing FROM stk WHERE symbol NOT IN (SELECT symbol FROM pr GROUP BY symbol HAVING count(*) >= (SELECT count(*) / count(DISTINCT symbol) FROM pr)) GROUP BY market")
 def meta_missing(spark, d):
     """The missing list of each market's meta record."""
-    found = missing_symbols(spark, d).join(F.broadcast(P.stocks(spark, d)), "symbol")
+    found = missing_symbols(spark, d).join(P.stocks(spark, d), "symbol")
     return found.groupBy("market").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("missing"))
 
 
@@ -159,16 +214,14 @@ def fn_filename(spark, d):
     return P.table(spark, d, "customer").select("c_name", S.file_name(F.concat(F.lit("^"), "c_name", F.lit(".BK"))).alias("file"))
 
 
-@query("stored_settings")
+@query("stored_settings", "SELECT symbol, CASE WHEN sym_ix % 5 = 0 THEN 60 ELSE n END AS bars, CASE WHEN sym_ix % 5 = 0 THEN 'none' ELSE sector END AS sector FROM stk JOIN (SELECT symbol, count(*) AS n FROM pr GROUP BY symbol) USING (symbol)")
 def stored_settings(spark, d):
-    """Settings and algorithms stored as JSON files and read again; what cannot be read takes the default."""
-    import json
-
-    texts = [(k, json.dumps(v)) for k, v in PRESETS.items()] + [("broken", "{")]
-    schema = "entry struct<join: string, rules: array<struct<op: string>>>, eval struct<horizon: int, label: string, step: int>"
-    stored = P.filed(spark.createDataFrame(texts, "name string, json string"), "name", "json")
-    read = stored.select("name", F.from_json("json", schema).alias("a"))
-    return read.select("name", F.coalesce("a.eval.horizon", F.lit(21)).alias("horizon"), F.coalesce("a.eval.label", F.lit("beat")).alias("label"), F.coalesce(F.size("a.entry.rules"), F.lit(0)).alias("rules"))
+    """Each symbol's settings stored as JSON files by key and read again; every fifth text is broken and takes the defaults."""
+    have = P.prices(spark, d).groupBy("symbol").agg(F.count("*").alias("bars")).join(P.stocks(spark, d), "symbol")
+    text = F.when(F.col("sym_ix") % 5 == 0, "{").otherwise(F.to_json(F.struct("bars", "sector")))
+    stored = P.filed(have.select("symbol", text.alias("json")), "symbol", "json")
+    read = stored.select("symbol", F.from_json("json", "bars bigint, sector string").alias("s"))
+    return read.select("symbol", F.coalesce("s.bars", F.lit(60).cast("bigint")).alias("bars"), F.coalesce("s.sector", F.lit("none")).alias("sector"))
 
 
 # --- 2.2 projections, filters, predicates ---
@@ -272,12 +325,11 @@ def list_filter(spark, d):
     return G.last_day(_status_rows(spark, d)).where(S.contains_folded("Asia", "symbol", "name", "sector")).select("symbol", "name", "sector", "status")
 
 
-@query("list_sort", "SELECT symbol, mom126, row_number() OVER (ORDER BY mom126 DESC NULLS LAST, sym_ix) AS place FROM st WHERE t = 100 OR t = (SELECT max(t) FROM st)", IND + CHECK_ALL + STATUS)
+@query("list_sort", "SELECT symbol, t, mom126, row_number() OVER (PARTITION BY t ORDER BY mom126 DESC NULLS LAST, sym_ix) AS place FROM st", IND + CHECK_ALL + STATUS)
 def list_sort(spark, d):
-    rows = _status_rows(spark, d)
-    newest = rows.agg(F.max("t").alias("_n"))
-    rows = rows.join(F.broadcast(newest)).where("t = 100 or t = _n")
-    return rows.select("symbol", "mom126", F.row_number().over(W.orderBy(F.col("mom126").desc_nulls_last(), "sym_ix")).cast("bigint").alias("place"))
+    """Every day's list, missing values last."""
+    order = W.partitionBy("t").orderBy(F.col("mom126").desc_nulls_last(), "sym_ix")
+    return _status_rows(spark, d).select("symbol", "t", "mom126", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 @query("reason_text", "SELECT symbol, t, CASE WHEN p >= 0.67 THEN 'high' WHEN p <= 0.33 THEN 'low' ELSE 'middle' END AS words FROM (SELECT symbol, t, (rank() OVER (PARTITION BY t ORDER BY close) - 1)::DOUBLE / count(*) OVER (PARTITION BY t) AS p FROM b WHERE close IS NOT NULL)")
@@ -288,8 +340,15 @@ def reason_text(spark, d):
 
 @query("rule_descriptions")
 def rule_descriptions(spark, d):
-    rows = [(k, part, n, R.describe(r)) for k, a in PRESETS.items() for part in ("entry", "exit") for n, r in enumerate(a[part]["rules"])]
-    return spark.createDataFrame(rows, "algorithm string, part string, n int, text string")
+    """Every rule in words, and on how many bars it holds."""
+    out = None
+    for name, algo in PRESETS.items():
+        rules = [(part, n, r) for part in ("entry", "exit") for n, r in enumerate(algo[part]["rules"])]
+        said = F.array(*[F.struct(F.lit(name).alias("algorithm"), F.lit(part).alias("part"), F.lit(n).alias("n"), F.lit(R.describe(r)).alias("text"), R.holds(r).cast("bigint").alias("held")) for part, n, r in rules])
+        rows = _algo_rows(spark, d, name).select(said.alias("said")).select(F.explode("said").alias("x")).select("x.*")
+        one = rows.groupBy("algorithm", "part", "n", "text").agg(F.sum("held").alias("held"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 # --- 2.3 joins and alignment ---
@@ -300,33 +359,32 @@ def align_grid(spark, d):
     return P.bars(spark, d).select("symbol", "t", "date", "price")
 
 
-ODD = "odd AS (SELECT date, close AS v FROM b WHERE symbol = 'NATION_7' AND t % 3 <> 0 AND t > 40), cu AS (SELECT DISTINCT date FROM (SELECT date FROM b WHERE symbol = 'NATION_3' AND price IS NOT NULL UNION ALL SELECT date FROM odd WHERE v IS NOT NULL))"
+ODD = "odd AS (SELECT date, idx AS v FROM ix WHERE t % 3 <> 0 AND t > 40), cu AS (SELECT DISTINCT symbol, date FROM (SELECT symbol, date FROM b WHERE price IS NOT NULL UNION ALL SELECT symbol, odd.date FROM odd, stk))"
 
 
 def _odd(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """An index known on some days only, and the union of its days with one symbol's."""
-    rows = P.bars(spark, d)
-    odd = rows.where("symbol = 'NATION_7' and t % 3 <> 0 and t > 40 and close is not null").select("date", F.col("close").alias("v"))
-    return odd, rows.where("symbol = 'NATION_3' and price is not null").select("date").union(odd.select("date")).distinct()
+    """An index known on some days only, and for each symbol the union of those days with its own."""
+    odd = P.index_bars(spark, d).where("t % 3 <> 0 and t > 40").select("date", F.col("idx").alias("v"))
+    days = P.densify(odd, P.stocks(spark, d).select("symbol"), odd.select("date", F.lit(0).alias("t")), ["date"]).select("symbol", "date")
+    return odd, P.bars(spark, d).where("price is not null").select("symbol", "date").union(days).distinct()
 
 
-@query("calendar_union", "SELECT date, v FROM cu LEFT JOIN odd USING (date)", "," + ODD)
+@query("calendar_union", "SELECT symbol, date, v FROM cu LEFT JOIN odd USING (date)", "," + ODD)
 def calendar_union(spark, d):
     odd, days = _odd(spark, d)
-    return days.join(odd, "date", "left")
+    return days.join(F.broadcast(odd), "date", "left").select("symbol", "date", "v")
 
 
-@query("index_ffill", "SELECT date, v FROM (SELECT date, last_value(v IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS v FROM cu LEFT JOIN odd USING (date)) WHERE v IS NOT NULL", "," + ODD)
+@query("index_ffill", "SELECT symbol, date, v FROM (SELECT symbol, date, last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS v FROM cu LEFT JOIN odd USING (date)) WHERE v IS NOT NULL", "," + ODD)
 def index_ffill(spark, d):
-    odd, days = _odd(spark, d)
-    filled = F.last("v", ignorenulls=True).over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0))
-    return days.join(odd, "date", "left").select("date", filled.alias("v")).where("v is not null")
+    filled = I.running(calendar_union(spark, d).withColumnRenamed("v", "known"), {"v": ("last", F.col("known"))}, ["symbol"], ["date"], F.floor(F.unix_date("date") / I.LENGTH))
+    return filled.select("symbol", "date", "v").where("v is not null")
 
 
 @query("dim_lookup", "SELECT b.symbol, t, coalesce(s.name, b.symbol) AS name, coalesce(s.sector, 'Other') AS sector FROM b LEFT JOIN (SELECT * FROM stk WHERE sym_ix % 3 = 0) s ON s.symbol = b.symbol")
 def dim_lookup(spark, d):
     dims = P.stocks(spark, d).where("sym_ix % 3 = 0").select("symbol", "name", "sector")
-    return P.with_dims(P.bars(spark, d).select("symbol", "t"), F.broadcast(dims))
+    return P.with_dims(P.bars(spark, d).select("symbol", "t"), dims)
 
 
 @query("asof_price", "SELECT symbol, t, last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS known FROM b WHERE t >= 252")
@@ -751,10 +809,19 @@ def price_plan(spark, d):
     return G.price_plan(rows, LARGE).select("symbol", "t", "entry", "stop", "zone_low", "risk_pct", "target1", "target2", "shares", "value", "max_loss")
 
 
-@query("chart_series", f"SELECT symbol, t, date, close, {_sma(50)} AS sma50 FROM (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS t, date, CAST(round(close * 10000) AS BIGINT) AS close FROM tl WHERE rn <= 400) QUALIFY t >= (SELECT max(n) - 260 FROM (SELECT least(count(*), 400) AS n FROM tl GROUP BY symbol))", "," + TAIL)
+CHART = f""",{TAIL}, ch AS MATERIALIZED (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS t, date, CAST(round(close * 10000) AS BIGINT) AS close FROM tl WHERE rn <= 400)""" + REC.replace("FROM b WHERE", "FROM ch WHERE") + f""",
+cs AS (SELECT ch.*, ema12, ema26, rsi14, {_sma(50)} AS sma50, {_sma(200)} AS sma200, max(t) OVER (PARTITION BY symbol) AS last FROM ch LEFT JOIN re USING (symbol, t)),
+pl AS (SELECT symbol, stop, CAST(close AS DOUBLE) + 2 * (close - stop) AS target1, CAST(close AS DOUBLE) + 3 * (close - stop) AS target2 FROM (SELECT *, greatest(CAST(close AS DOUBLE) * (1 - 20::DOUBLE / 100), coalesce(sma50, 0)) AS stop FROM cs WHERE t = last))"""
+
+
+@query("chart_series", "SELECT symbol, t, date, close, ema12, ema26, sma50, sma200, rsi14, stop, target1, target2 FROM cs JOIN pl USING (symbol) WHERE t > last - 260", CHART)
 def chart_series(spark, d):
-    """SMA50 over the published last 400 bars, of which the last 260 are shown."""
+    """All lines of a symbol's chart, computed over its published last 400 bars, of which the last 260 are shown, with the levels of
+    the newest bar's plan."""
     rows = P.decode_ohlc(_encoded_ohlc(spark, d), "symbol").withColumn("close", F.round(F.col("close") * 10000).cast("bigint"))
-    rows = I.windows(rows, 50, {"sma50": I.sma(F.col("close"), 50)})
-    most = rows.agg((F.max("t") + 1 - 260).alias("_from"))
-    return rows.join(F.broadcast(most)).where("t >= _from").select("symbol", "t", "date", "close", "sma50")
+    rows = I.with_recurrences(rows, [("ema12", "ema", 12), ("ema26", "ema", 26), ("rsi14", "rsi", 14)])
+    rows = I.windows(rows, 200, {"sma50": I.sma(F.col("close"), 50), "sma200": I.sma(F.col("close"), 200)})
+    lines = ["symbol", "t", "date", "close", "ema12", "ema26", "sma50", "sma200", "rsi14"]
+    last = rows.groupBy("symbol").agg(F.max_by(F.struct("t", "close", "sma50"), "t").alias("x")).select("symbol", F.col("x.t").alias("last"), F.col("x.close").cast("double").alias("c"), F.col("x.sma50").alias("sma50"))
+    plan = last.withColumn("stop", G.stop_level(F.col("c"), Params())).select("symbol", "last", "stop", *[(F.col("c") + k * (F.col("c") - F.col("stop"))).alias(f"target{k - 1}") for k in (2, 3)])
+    return rows.join(plan, "symbol").where("t > last - 260").select(*lines, "stop", "target1", "target2")

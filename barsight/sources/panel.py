@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,7 @@ def filed(df: DataFrame, key: str, text: str) -> DataFrame:
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, sym_ix, name, sector, market): nations as symbols, regions as sectors; the first two regions are market A."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"])
+    joined = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
     return joined.select(F.col("n_name").alias("symbol"), F.col("n_nationkey").cast("int").alias("sym_ix"), F.concat(F.lit("Nation "), F.col("n_name")).alias("name"), F.col("r_name").alias("sector"), F.when(F.col("r_regionkey") < 2, "A").otherwise("B").alias("market"))
 
 
@@ -103,7 +103,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = day.groupBy("c_nationkey", "date").agg(F.sum("value").alias("value"), F.sum("quantity").alias("quantity")).where("date is not null and quantity <> 0")
     value, quantity = F.col("value").cast("decimal(18,2)").cast("double"), F.col("quantity").cast("decimal(18,2)").cast("double")
     names = stocks(spark, sf_dir).select("symbol", "sym_ix")
-    return day.join(F.broadcast(names), day["c_nationkey"] == names["sym_ix"]).select("symbol", "date", F.round(value / quantity * 10000).cast("bigint").alias("price"), quantity.alias("volume"))
+    return day.join(names, day["c_nationkey"] == names["sym_ix"]).select("symbol", "date", F.round(value / quantity * 10000).cast("bigint").alias("price"), quantity.alias("volume"))
 
 
 def calendar(dates: DataFrame) -> DataFrame:
@@ -111,11 +111,11 @@ def calendar(dates: DataFrame) -> DataFrame:
     return dates.select("date").distinct().select("date", (F.row_number().over(W.orderBy("date")) - 1).cast("int").alias("t"))
 
 
-def densify(bars: DataFrame, symbols: DataFrame, days: DataFrame) -> DataFrame:
+def densify(bars: DataFrame, symbols: DataFrame, days: DataFrame, on: Sequence[str] = ("symbol", "date")) -> DataFrame:
     """Every symbol on every day, with nulls where it has no bar. The days of the calendar go to each symbol as an array."""
     days = days.agg(F.array_sort(F.collect_list(F.struct("t", "date"))).alias("days"))
     grid = symbols.join(F.broadcast(days)).select(*symbols.columns, F.explode("days").alias("day")).select(*symbols.columns, "day.t", "day.date")
-    return grid.join(bars, ["symbol", "date"], "left")
+    return grid.join(bars, list(on), "left")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,3 +231,17 @@ def encode_panel(long: DataFrame, index: DataFrame, name: str) -> DataFrame:
     columns = series.agg(F.array_sort(F.collect_list(F.struct("sym_ix", "symbol", "c"))).alias("s"))
     days = index.agg(F.array_sort(F.collect_list(F.struct("t", "date", "idx"))).alias("d"))
     return columns.join(F.broadcast(days)).select(F.col("d")[0]["date"].alias("d0"), gaps(F.col("d.date")).alias("dt"), F.struct(F.lit(name).alias("name"), F.col("d.idx").alias("c")).alias("index"), F.col("s.symbol").alias("s"), F.col("s.c").alias("c"))
+
+
+META_SCHEMA = f"generated timestamp, markets map<string, struct<name: string, currency: string, lot: int, index: string>>, stocks array<struct<{STOCK_SCHEMA.replace(' string', ': string')}>>, missing array<struct<s: string, m: string>>"
+
+
+def meta_record(stocks: DataFrame, have: DataFrame, markets: dict[str, tuple[str, str, int, str]]) -> DataFrame:
+    """One row in META_SCHEMA: build time, markets, the stocks that have enough bars, and those that do not. The stock list is a row a
+    symbol; the layout wants it in one record."""
+    listed = stocks.join(have.select("symbol", F.lit(True).alias("_have")), "symbol", "left").withColumn("_have", F.coalesce("_have", F.lit(False)))
+    entry = F.struct(F.col("symbol").alias("s"), F.col("name").alias("n"), F.col("sector").alias("sec"), F.col("market").alias("m"))
+    gone = F.struct(F.col("symbol").alias("s"), F.col("market").alias("m"))
+    both = listed.agg(F.array_sort(F.collect_list(F.when(F.col("_have"), entry))).alias("stocks"), F.array_sort(F.collect_list(F.when(~F.col("_have"), gone))).alias("missing"))
+    about = [x for k, (name, currency, lot, index) in markets.items() for x in (F.lit(k), F.struct(F.lit(name).alias("name"), F.lit(currency).alias("currency"), F.lit(lot).alias("lot"), F.lit(index).alias("index")))]
+    return both.select(F.current_timestamp().alias("generated"), F.create_map(*about).alias("markets"), "stocks", "missing")
