@@ -11,13 +11,13 @@ and pairs get nearly the same probability from both classes and weigh nothing, a
 need a log-ratio of their own.
 
 Score. The difference of the two log-likelihoods over a stretch of words, divided by its number of words, of the most toxic
-stretch. Of the lengths in STRETCHES (0: the whole text) and of PAIR_DISCOUNTS (the last: words alone) the two that rank labelled
-rows best are taken, as larger corpora hold more pairs that near copies repeat, and a logistic curve in that one number, never
+stretch. Of the lengths in STRETCHES (0: the whole text) and of PAIR_DISCOUNTS (the last: words alone) the two with the best F1 at
+THRESHOLD on labelled rows are taken (equal ones by their ranking), as larger corpora hold more pairs that near copies repeat, and a logistic curve in that one number, never
 falling, makes it a probability. All are fitted on labelled rows that the counts do not come from:
 counts are kept in two halves by text, each half's rows are scored with the other's, and the final scores use both.
 
 Bounds. All labelled learning rows are counted, whatever their number; about CALIBRATION_ROWS of them, chosen by a hash of the
-text and each text once, fit the curve. Words are 64-bit hashes, the word before counts by 32 bits and the one before that by 16.
+text and each text once, fit the curve. Words are 64-bit hashes, the words before them count by 32 bits each.
 The MODEL_ROWS most used log-ratios are broadcast, the others are joined to the texts that hold their words. Labels are
 broadcast up to BROADCAST_LABELS rows and joined by shuffle beyond that.
 
@@ -116,7 +116,7 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
             out = []
             for (half, label), parts in kept.items():
                 w, vu = _distinct(*(np.concatenate(x) for x in zip(*parts)))
-                chunk = pair_codes(vu >> np.uint64(16), w) % np.uint64(chunks)
+                chunk = pair_codes(vu >> np.uint64(32), w) % np.uint64(chunks)
                 order = np.argsort(chunk, kind="stable")
                 bounds = np.searchsorted(chunk[order], np.arange(chunks + 1))
                 out += [(c, half, label, _packed(np.diff(w[order[a:b]], prepend=np.uint64(0))), _packed(vu[order[a:b]])) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
@@ -127,7 +127,7 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
             for text, half, label in zip(*(c.to_pylist() for c in part.columns)):
                 h = _hashed(text, memo)
                 if len(h):
-                    kept.setdefault((half, label), []).append((h, (_before(h, 1) >> np.uint64(32) << np.uint64(16)) | (_before(h, 2) >> np.uint64(48))))
+                    kept.setdefault((half, label), []).append((h, (_before(h, 1) >> np.uint64(32) << np.uint64(32)) | (_before(h, 2) >> np.uint64(32))))
                     size += len(h)
                     if size >= _FLUSH_WORDS:
                         yield flush()
@@ -143,7 +143,7 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
             if part.num_rows:
                 w, vu = _distinct(np.concatenate([np.cumsum(_unpacked(x)) for x in part["w"].to_pylist()]), np.concatenate([_unpacked(x) for x in part["vu"].to_pylist()]))
                 words.append(w)
-                befores.append(vu >> np.uint64(16))
+                befores.append(vu >> np.uint64(32))
                 columns.append(np.full(len(w), k))
         w, v, column = np.concatenate(words), np.concatenate(befores), np.concatenate(columns)
         order = np.lexsort((v, w))
@@ -261,6 +261,13 @@ def ranking(x: np.ndarray, y: np.ndarray) -> float:
     return float((pos * (neg.cumsum() - neg / 2)).sum() / (pos.sum() * neg.sum()))
 
 
+def found_at(z: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """F1 of the rows whose log-odds reach the threshold, to three digits."""
+    said = z >= np.log(threshold / (1 - threshold))
+    hits = (said & (y == 1)).sum()
+    return round(2 * hits / max(1, said.sum() + y.sum()), 3)
+
+
 def _split(model: DataFrame | None) -> tuple[pa.Table, DataFrame | None]:
     """The MODEL_ROWS most used ratios, and the others if there are any."""
     if model is None:
@@ -333,7 +340,7 @@ def train(rows: DataFrame) -> tuple[tuple[pa.Table, DataFrame | None], int, floa
     if share < 1:
         chosen = chosen.where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000))
     sample = cut(chosen.dropDuplicates(["o", "label"]).select("text", "half", "label"))
-    best: tuple = (-1.0,)
+    best: tuple = ((-1.0, -1.0),)
     for discount in PAIR_DISCOUNTS:
         cross = [_split(log_ratios(counts, (half,), discount)) for half in (0, 1)]
         got = _statistic_rows(sample, cross, True, ["label"]).toArrow()
@@ -342,10 +349,12 @@ def train(rows: DataFrame) -> tuple[tuple[pa.Table, DataFrame | None], int, floa
         if not 0 < y.sum() < len(y):
             return _split(None), 0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         for k in range(len(STRETCHES)):
-            if (found := ranking(x[:, k], y)) > best[0]:
-                best = found, discount, k, x[:, k], y
-    _, discount, k, x, y = best
-    return _split(log_ratios(counts, (0, 1), discount)), k, *fit_logistic(x, y)
+            slope, intercept = fit_logistic(x[:, k], y)
+            found = (found_at(slope * x[:, k] + intercept, y), ranking(x[:, k], y))
+            if found > best[0]:
+                best = found, discount, k, slope, intercept
+    _, discount, k, slope, intercept = best
+    return _split(log_ratios(counts, (0, 1), discount)), k, slope, intercept
 
 
 def score(documents: DataFrame, labels: DataFrame, learn: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
