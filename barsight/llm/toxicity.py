@@ -182,7 +182,7 @@ def log_ratios(counts: DataFrame, halves: tuple[int, ...], pair_discount: float)
     if not all(total):
         return None
     n0, n1 = F.col("n0"), F.col("n1")
-    kept = [F.greatest(n / t - DISCOUNT * len(halves) / min(total), F.lit(0.0)) for n, t in zip((n0, n1), total)]
+    kept = [F.greatest(n / t - DISCOUNT * len(halves) ** 0.5 / min(total), F.lit(0.0)) for n, t in zip((n0, n1), total)]
     freed = 1 - (words.agg(F.sum(kept[0] + kept[1])).first()[0] or 0.0) / 2
     shared = (n0 + n1 + 0.5) / (sum(total) + 0.5 * types)
     words = words.select("kind", "key", "code", (n0 + n1).alias("uses"), *[(k + freed * shared).alias(f"p{y}") for y, k in enumerate(kept)], (kept[0] + kept[1] > 0).alias("own"))
@@ -190,7 +190,7 @@ def log_ratios(counts: DataFrame, halves: tuple[int, ...], pair_discount: float)
     if pair_discount == float("inf"):
         return cut(own_words)
     before = known.where("kind = 1").select(F.col("key").alias("v"), n0.alias("t0"), n1.alias("t1")).where("least(t0, t1) > 0")
-    rate = [F.greatest(F.col(f"n{y}") / F.col(f"t{y}") - pair_discount * len(halves) / F.least("t0", "t1"), F.lit(0.0)).alias(f"k{y}") for y in (0, 1)]
+    rate = [F.greatest(F.col(f"n{y}") / F.col(f"t{y}") - pair_discount * len(halves) ** 0.5 / F.least("t0", "t1"), F.lit(0.0)).alias(f"k{y}") for y in (0, 1)]
     pairs = cut(known.where("kind = 2").join(before, "v").select("key", "v", "code", (n0 + n1).alias("uses"), *rate).where("k0 + k1 > 0"))
     freed_by = pairs.groupBy("v").agg(F.greatest(1 - F.sum(F.col("k0") + F.col("k1")) / 2, F.lit(1e-6)).alias("b"))
     p = [F.col(f"k{y}") + F.col("b") * F.col(f"p{y}") for y in (0, 1)]
