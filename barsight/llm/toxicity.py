@@ -2,7 +2,8 @@
 
 Counts. Of every label all distinct (word before the last, last word, word) triples of its texts are gathered, so copies of a
 text count once. N_c(v, w) is in how many distinct places before v the pair v w stands, N_c(w) behind how many distinct words w
-stands: Kneser-Ney's continuation counts. Two halves of the texts count for themselves and are added; the discounts are those of a half, so two halves have them twice.
+stands: Kneser-Ney's continuation counts. Two halves of the texts count for themselves and are added; the discounts are those of a half, and
+the final model of both takes them once for each half, times the root of a half, as noise grows with the root of the counts.
 
 Model. P_c(w | v) = max(N_c(v, w) / N_c(v) - d2(v), 0) + b(v) * P_c(w), P_c(w) = max(N_c(w) / N_c - d1, 0) + b * P(w). The absolute
 discounts are DISCOUNT counts for words and one of PAIR_DISCOUNTS for pairs, of the class that has fewer, as rates equal in both classes, and what they free goes to backoff
@@ -172,9 +173,9 @@ def continuation_counts(rows: DataFrame) -> DataFrame:
     return cut(found.groupBy("kind", "key", "v", "code").agg(*(F.sum(c).alias(c) for c in _COUNTS)))
 
 
-def log_ratios(counts: DataFrame, halves: tuple[int, ...], pair_discount: float) -> DataFrame | None:
+def log_ratios(counts: DataFrame, halves: tuple[int, ...], pair_discount: float, share: float = 1.0) -> DataFrame | None:
     """(kind, code, uses, ratio) of the words and pairs whose log P_1 - log P_0 is their own, from the counts of these halves;
-    null if a label has no counts."""
+    null if a label has no counts. `share` is that of the discounts which is taken."""
     n = [reduce(lambda a, b: a + b, (F.col(f"c{h}{y}") for h in halves)).alias(f"n{y}") for y in (0, 1)]
     known = counts.select("kind", "key", "v", "code", *n)
     words = known.where("kind = 0 and n0 + n1 > 0")
@@ -182,7 +183,7 @@ def log_ratios(counts: DataFrame, halves: tuple[int, ...], pair_discount: float)
     if not all(total):
         return None
     n0, n1 = F.col("n0"), F.col("n1")
-    kept = [F.greatest(n / t - DISCOUNT * len(halves) ** 0.5 / min(total), F.lit(0.0)) for n, t in zip((n0, n1), total)]
+    kept = [F.greatest(n / t - share * DISCOUNT * len(halves) / min(total), F.lit(0.0)) for n, t in zip((n0, n1), total)]
     freed = 1 - (words.agg(F.sum(kept[0] + kept[1])).first()[0] or 0.0) / 2
     shared = (n0 + n1 + 0.5) / (sum(total) + 0.5 * types)
     words = words.select("kind", "key", "code", (n0 + n1).alias("uses"), *[(k + freed * shared).alias(f"p{y}") for y, k in enumerate(kept)], (kept[0] + kept[1] > 0).alias("own"))
@@ -190,7 +191,7 @@ def log_ratios(counts: DataFrame, halves: tuple[int, ...], pair_discount: float)
     if pair_discount == float("inf"):
         return cut(own_words)
     before = known.where("kind = 1").select(F.col("key").alias("v"), n0.alias("t0"), n1.alias("t1")).where("least(t0, t1) > 0")
-    rate = [F.greatest(F.col(f"n{y}") / F.col(f"t{y}") - pair_discount * len(halves) ** 0.5 / F.least("t0", "t1"), F.lit(0.0)).alias(f"k{y}") for y in (0, 1)]
+    rate = [F.greatest(F.col(f"n{y}") / F.col(f"t{y}") - share * pair_discount * len(halves) / F.least("t0", "t1"), F.lit(0.0)).alias(f"k{y}") for y in (0, 1)]
     pairs = cut(known.where("kind = 2").join(before, "v").select("key", "v", "code", (n0 + n1).alias("uses"), *rate).where("k0 + k1 > 0"))
     freed_by = pairs.groupBy("v").agg(F.greatest(1 - F.sum(F.col("k0") + F.col("k1")) / 2, F.lit(1e-6)).alias("b"))
     p = [F.col(f"k{y}") + F.col("b") * F.col(f"p{y}") for y in (0, 1)]
@@ -354,7 +355,8 @@ def train(rows: DataFrame) -> tuple[tuple[pa.Table, DataFrame | None], int, floa
             if found > best[0]:
                 best = found, discount, k, slope, intercept
     _, discount, k, slope, intercept = best
-    return _split(log_ratios(counts, (0, 1), discount)), k, slope, intercept
+    # Two halves have twice the counts, but only the root of two times the noise that discounts are there for.
+    return _split(log_ratios(counts, (0, 1), discount, 0.5**0.5)), k, slope, intercept
 
 
 def score(documents: DataFrame, labels: DataFrame, learn: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:

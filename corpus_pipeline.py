@@ -18,11 +18,13 @@ n_chars follows the text where line dedup changes it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsight.llm.common import shared_dir, table
+from barsight.llm.common import delete, noted_cuts, scratch_dir, table
 from barsight.llm.decontamination import decontaminate
 from barsight.llm.jaccard_join import keep_one
 from barsight.llm.line_dedup import line_dedup
@@ -30,24 +32,48 @@ from barsight.llm.sentencepiece import encode_decode
 from barsight.llm.toxicity import drop_toxic
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: dict[str, list[str]] = {}
+
+
+def giving_back(stage: Stage) -> Stage:
+    """The stage, which first deletes what the stage before wrote on its way: by now its result is written and read again."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        delete(spark, _left.pop(app, []))
+        with noted_cuts() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left[app] = paths
+        return out
+
+    return run
+
+
+@giving_back
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@giving_back
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup(docs)
     _, removed, _ = out.columns[len(docs.columns) :]
     return out.select(*[F.when(F.col(removed) > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@giving_back
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+@giving_back
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@giving_back
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = encode_decode(docs.select("doc_id", "lang", "source", "text"))
     return out.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
@@ -59,9 +85,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's result goes once the next one's is written; the last one's when the driver ends."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+        path = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        delete(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
