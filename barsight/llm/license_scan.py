@@ -11,7 +11,8 @@ has, are joined with the frequencies of their own words and scored exactly.
 
 A licence file lends its licence to its directory (the best score, then the least path). A file without a licence of its own
 takes that of the nearest directory above it that has one. Directories, not files, are joined with their ancestors, one row
-for each level, so a directory with a third of all files costs one row for each of its levels.
+for each level, so a directory with a third of all files costs one row for each of its levels; ancestors of many directories
+are salted.
 
 Cases: null and empty texts have no licence of their own and may inherit; a null path inherits nothing; files without a
 directory have the directory '', the root of all; repeated rows get equal results; without files there are no rows; extra
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, hot_join, text_key, words_of
 
-THRESHOLD, BLOCK_LINES = 0.6, 40
+THRESHOLD, BLOCK_LINES, CHUNK_LINES = 0.6, 40, 1024
 _FLUSH_WORDS = 500_000
 
 # How files and works commonly state these licences.
@@ -84,38 +85,53 @@ class Templates:
         return sum((c * (math.log((1 + self.lines) / (1 + frequencies.get(w, 0))) + 1)) ** 2 for w, c in own.items())
 
     def best(self, lists: list[list[bytes]], frequencies: dict[bytes, int] | None, threshold: float = THRESHOLD) -> tuple[int, float, float]:
-        """(template, cosine, cosine of the whole text) over the lists of words, their blocks and all of them together."""
+        """(template, cosine, cosine of the whole text) over the lists of words, their blocks and all of them together.
+
+        Lines go by in chunks of CHUNK_LINES with the lines that blocks begun in them reach into, so that matrices stay
+        small however long the text is.
+        """
         lists = [ws for ws in lists if ws]
         get, n, size = self.terms.get, len(self.terms), len(lists)
-        flat = np.fromiter((get(w, n) for ws in lists for w in ws), np.int64)
-        line = np.repeat(np.arange(size), [len(ws) for ws in lists])
+        flat = np.fromiter((get(w, n) for ws in lists for w in ws), np.int32)
+        line = np.repeat(np.arange(size, dtype=np.int32), [len(ws) for ws in lists])
         known = flat < n
         if not known.any():
             return -1, 0.0, 0.0
-        rows, at = np.unique(line[known], return_inverse=True)
-        counts = np.bincount(at * n + flat[known], minlength=len(rows) * n).reshape(len(rows), n).astype(np.float64)
-        blocks = self.blocks(lists, rows, counts, line[~known], frequencies, threshold)
-        counts = np.vstack([counts, counts.sum(axis=0)])
-        v = counts * self.idf
-        top, square = v @ self.vectors.T, (v * v).sum(axis=1)
-        # Only lines that could reach the threshold are worth the weights of their other words.
-        able = top.max(axis=1) >= threshold * np.sqrt(square) * (1 - 1e-9)
-        extra = np.array([self.squares((w for ws in lists for w in ws) if i == len(rows) else lists[rows[i]], frequencies) if able[i] else 0.0 for i in range(len(v))])
-        cosine = np.where(able[:, None], top / np.sqrt(square + extra)[:, None], 0.0)
-        whole = float(cosine[-1].max())
-        cosine = np.vstack([cosine, blocks])
-        k = int(cosine.max(axis=0).argmax())
-        return k, float(cosine[:, k].max()), whole
-
-    def blocks(self, lists: list[list[bytes]], rows: np.ndarray, counts: np.ndarray, unknown: np.ndarray, frequencies: dict[bytes, int] | None, threshold: float) -> np.ndarray:
-        """[block, template]: the cosines of the blocks that reach the threshold.
+        others = np.concatenate(([0], np.bincount(line[~known], minlength=size).cumsum()))
+        line, flat = line[known], flat[known]
+        rows, begins = np.unique(line, return_index=True)
+        begins = np.append(begins, len(flat))
+
+        def able(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Dot products and squares, and what could reach the threshold: only that is worth the weights of its other words."""
+            v = counts * self.idf
+            top, square = v @ self.vectors.T, (v * v).sum(axis=1)
+            return top, square, np.flatnonzero(top.max(axis=1) >= threshold * np.sqrt(square) * (1 - 1e-9))
+
+        best = np.zeros(len(self.names))
+        for at in range(0, len(rows), CHUNK_LINES):
+            end = min(at + CHUNK_LINES, len(rows))
+            upto = min(end + BLOCK_LINES - 1, len(rows))
+            held = np.repeat(np.arange(upto - at), np.diff(begins[at : upto + 1]))
+            counts = np.bincount(held * n + flat[begins[at] : begins[upto]], minlength=(upto - at) * n).reshape(upto - at, n).astype(np.float64)
+            top, square, chosen = able(counts[: end - at])
+            for i in chosen.tolist():
+                best = np.maximum(best, top[i] / np.sqrt(square[i] + self.squares(lists[rows[at + i]], frequencies)))
+            for cosine in self.blocks(lists, rows[at:upto], end - at, counts, others, frequencies, threshold):
+                best = np.maximum(best, cosine)
+        top, square, chosen = able(np.bincount(flat, minlength=n).astype(np.float64)[None, :])
+        whole = top[0] / np.sqrt(square[0] + self.squares((w for ws in lists for w in ws), frequencies)) if len(chosen) else np.zeros(len(best))
+        best = np.maximum(best, whole)
+        k = int(best.argmax())
+        return k, float(best[k]), float(whole.max())
+
+    def blocks(self, lists: list[list[bytes]], rows: np.ndarray, starts: int, counts: np.ndarray, others: np.ndarray, frequencies: dict[bytes, int] | None, threshold: float) -> Iterator[np.ndarray]:
+        """The cosines to each template of the blocks that reach the threshold and begin in the first `starts` of the rows.
 
         A block that begins or ends with a line without template words is no better than the shorter one. Dot products
         add up over lines; with the other words as if all were different and weighed 1, a block's cosine is bounded first.
         """
-        n, size = len(self.terms), len(lists)
-        others = np.concatenate(([0], np.bincount(unknown, minlength=size).cumsum()))
-        a, step = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(1, BLOCK_LINES), indexing="ij"))
+        a, step = (x.ravel() for x in np.meshgrid(np.arange(starts), np.arange(1, BLOCK_LINES), indexing="ij"))
         b = a + step
         a, b = a[b < len(rows)], b[b < len(rows)]
         near = rows[b] - rows[a] < BLOCK_LINES
@@ -123,7 +139,7 @@ class Templates:
         first, end = rows[a], rows[b] + 1
         dots = (counts * self.idf) @ self.vectors.T
         upto = np.vstack([np.zeros((1, dots.shape[1])), dots.cumsum(axis=0)])
-        out, sums = [np.zeros((0, len(self.names)))], np.vstack([np.zeros((1, n)), counts.cumsum(axis=0)])
+        sums = np.vstack([np.zeros((1, counts.shape[1])), counts.cumsum(axis=0)])
         for at in range(0, len(a), 1024):
             part = slice(at, at + 1024)
             x, y = a[part], b[part]
@@ -138,8 +154,7 @@ class Templates:
                 extra = self.squares((w for ws in lists[first[at + i] : end[at + i]] for w in ws), frequencies)
                 cosine = top[i] / np.sqrt(square[j] + extra)
                 if cosine.max() >= threshold:
-                    out.append(cosine[None, :])
-        return np.vstack(out)
+                    yield cosine
 
 
 def word_key(word: bytes) -> int:
@@ -249,7 +264,10 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", is
     # Every directory with itself and all above it, '' last; level 0 is the nearest.
     up = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.size(parts), F.lit(0)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
     each = dirs.select("dir", "files", F.posexplode(up).alias("level", "above"))
-    nearest = each.join(lenders, "above").groupBy("dir", "files").agg(F.min(F.struct("level", "above", "lent")).alias("near"))
+    each = cut(each)
+    # High directories are above most others, the root '' above all: lenders that many directories lie below are salted.
+    below = each.groupBy("above").agg(F.count("*").alias("dirs")).join(lenders, "above")
+    nearest = hot_join(each, below, ["above"], "dirs", each.count(), ["dir"]).groupBy("dir", "files").agg(F.min(F.struct("level", "above", "lent")).alias("near"))
     near, count = fresh("_near", judged), fresh("_files", judged)
     nearest = nearest.select(F.col("dir").alias(here), F.col("files").alias(count), F.col("near").alias(near))
     out = hot_join(judged, nearest, [here], count, judged.count(), [path_col], how="left")

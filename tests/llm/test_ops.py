@@ -468,6 +468,56 @@ def test_only_notices_lend(spark):
     assert out == {0: ("MIT", "MIT", "own", None), 1: ("CC-BY-4.0", "CC-BY-4.0", "own", None), 2: (None, "MIT", "inherited", "a"), 3: (None, None, None, None), 4: (None, None, None, None)}
 
 
+def test_long_licence_texts_by_chunks(monkeypatch):
+    import tracemalloc
+
+    r = random.Random(4)
+    known = license_scan.Templates(license_scan.TEMPLATES)
+    known.weigh(np.arange(len(known.terms)) % 50, 10_000)
+    head = license_scan.TEMPLATES[5][1].split()
+    for k in range(6):
+        # A notice wrapped over lines that chunks of two lines cut everywhere.
+        lines = [prose(r, 8) for _ in range(k)] + [" ".join(head[i : i + 5]) for i in range(0, len(head), 5)] + ["the end of the license", ""]
+        lists = [common.words_of(x) for x in lines]
+        monkeypatch.setattr(license_scan, "CHUNK_LINES", 1024)
+        whole = known.best(lists, {})
+        for size in (1, 2, 7):
+            monkeypatch.setattr(license_scan, "CHUNK_LINES", size)
+            assert known.best(lists, {}) == pytest.approx(whole, abs=1e-12) and license_scan.TEMPLATES[5][0] == known.names[whole[0]]
+    monkeypatch.setattr(license_scan, "CHUNK_LINES", 1024)
+    lists = [common.words_of("the end of some work or other")] * 200_000 + [common.words_of(x) for x in lines]
+    tracemalloc.start()
+    assert known.best(lists, {})[0] == 5 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_inheritance_against_climbing(spark):
+    r = random.Random(9)
+    folders = ["", "a", "b", *("/".join(r.choice("abc") for _ in range(r.randint(2, 5))) for _ in range(60))]
+    say = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY 4.0."]
+    files = {"LICENSE": say[2]} if r.random() < 0.5 else {}
+    for _ in range(300):
+        folder, name = r.choice(folders), r.choice(["LICENSE", "COPYING.txt", "x.py", "y.py", "z.md"])
+        files[f"{folder}/{name}".lstrip("/")] = r.choice(say) if r.random() < 0.15 else "plain words only"
+    out = {x["path"]: (x["_licence"], x["_via"], x["_from"]) for x in license_scan.scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    own = {p: x[0] for p, x in out.items() if x[1] == "own"}
+    assert set(own) == {p for p, t in files.items() if t in say}
+    lent = {}
+    # Of equal scores the least path lends.
+    scores = {p: x["_own"]["score"] for x in license_scan.own_licences(spark.createDataFrame(list(files.items()), "path string, text string")).collect() for p in (x["path"],) if x["_own"]}
+    for p in sorted(own, key=lambda p: (-scores[p], p)):
+        folder, _, name = p.rpartition("/")
+        if name in ("LICENSE", "COPYING.txt"):
+            lent.setdefault(folder, own[p])
+    for p in files:
+        if p in own:
+            continue
+        at = p.rpartition("/")[0]
+        while at and at not in lent:
+            at = at.rpartition("/")[0]
+        assert out[p] == ((lent[at], "inherited", at) if at in lent else (None, None, None))
+
+
 def test_license_cosine_against_dicts(spark):
     r = random.Random(5)
     texts = ["Released under the MIT License.", "the end of the line\nunder water", "", None, "Licensed under the Apache License"]
@@ -646,6 +696,16 @@ def test_cells_left_out_hold_no_link():
     assert all(cell[j] in found[i] for i, j in zip(*np.nonzero(x @ x.T >= 0.93)))
 
 
+def test_traversal_goes_by_distance():
+    r = np.random.default_rng(6)
+    for n, m, reach in ((1, 1, 0.5), (7, 5, 0.9), (40, 60, 1.1), (30, 30, 0.0)):
+        a, b = np.sort(r.random(n).round(2)), np.sort(r.random(m).round(2))
+        found = list(embedding_dedup.traverse(a.tolist(), b.tolist(), reach))
+        sums = [a[i] + b[j] for i, j in found]
+        assert sums == sorted(sums) and len(set(found)) == len(found)
+        assert set(found) == {(i, j) for i in range(n) for j in range(m) if a[i] + b[j] <= reach}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     out = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
