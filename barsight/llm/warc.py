@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 DATE = "2024-01-01T00:00:00Z"
 RECORD_START = "\r\n\r\nWARC/1."
 SPACE = uuid.UUID("8f4a7f5e-53c9-4b87-9d5a-2f3e1c6b7a90")
@@ -185,33 +187,94 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     warc_text(records).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers map, block) of the records in WARC/1.x files, plain or gzip. Spark's text reader cuts the files where a record
-    begins, so a task holds a record, not a file; a block that holds such a place itself is put together by its length."""
+HEADERS = pa.map_(pa.string(), pa.string())
+
+
+def _head(piece: bytes) -> tuple[list[tuple[str, str]], int, int | None]:
+    """Headers, where the block begins, and where it ends by its Content-Length (None without one)."""
+    at = piece.find(b"\r\n\r\n")
+    at = len(piece) if at < 0 else at
+    pairs = [(k, v) for k, _, v in (h.partition(": ") for h in piece[:at].decode("utf-8", "replace").split("\r\n")[1:])]
+    length = next((v.strip() for k, v in pairs if k.lower() == "content-length"), "")
+    return pairs, at + 4, at + 4 + int(length) if length.isascii() and length.isdigit() else None
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads, blocks = [], []
+        for piece in batch.column(0).to_pylist():
+            pairs, begin, end = _head(piece)
+            if end is None or end > len(piece):
+                raise ValueError("a record lacks its Content-Length or ends before it")
+            heads.append(pairs)
+            blocks.append(piece[begin:end])
+        yield pa.RecordBatch.from_arrays([pa.array(heads, HEADERS), pa.array(blocks, pa.binary())], ["headers", "block"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each piece's place in its split, its length, and the length that the record asks for if one begins there."""
+    split, place = None, 0
+    for batch in batches:
+        places, lengths, asked = [], [], []
+        for piece, *own in zip(*(c.to_pylist() for c in batch.columns)):
+            split, place = own, place + 1 if own == split else 0
+            places.append(place)
+            lengths.append(len(piece))
+            asked.append(_head(piece)[2])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in (places, lengths, asked))], ["piece", "file", "split", "place", "length", "asked"])
+
+
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pieces of files in order, those that are only a part of a record, with its number in the file."""
+    file, owner, held, need = None, 0, 0, 0
+    for batch in batches:
+        out: list[tuple] = []
+        for own, split, place, length, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != file:
+                if held < need:
+                    raise ValueError("a record ends before its Content-Length")
+                file, owner, held, need = own, 0, 0, 0
+            if held < need:
+                held += len(RECORD_START) + length
+            elif asked is None:
+                raise ValueError("a record lacks its Content-Length")
+            else:
+                owner, held, need = owner + 1, length, asked
+                if held >= need:
+                    continue
+            out.append((own, split, place, owner))
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(x, pa.int64()) for x in columns[1:])], ["file", "split", "place", "owner"])
+    if held < need:
+        raise ValueError("a record ends before its Content-Length")
 
-    def record(piece: bytes) -> tuple[list[tuple[str, str]], bytes, int]:
-        head, _, block = piece.partition(b"\r\n\r\n")
-        pairs = [(k, v) for k, _, v in (h.partition(": ") for h in head.decode("utf-8", "replace").split("\r\n")[1:])]
-        return pairs, block, int(next(v for k, v in pairs if k.lower() == "content-length"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_piece = b""
-        for batch in batches:
-            heads, blocks = [], []
-            for piece in batch.column(0).to_pylist():
-                piece = open_piece + piece
-                pairs, block, n = record(piece)
-                if len(block) < n:
-                    open_piece = piece + RECORD_START.encode()
-                    continue
-                open_piece = b""
-                heads.append(pairs)
-                blocks.append(block[:n])
-            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], ["headers", "block"])
-        if open_piece:
-            raise ValueError("a record ends before its Content-Length")
-
-    return spark.read.option("lineSep", RECORD_START).text(path).select(F.col("value").cast("binary").alias("value")).mapInArrow(run, "headers map<string,string>, block binary")
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(headers map, block) of the records in WARC/1.x files, plain or gzip, of any number of splits.
+
+    Spark's text reader cuts the files where a record seems to begin, so a task holds a piece, not a file. If every piece holds
+    as much as its Content-Length asks for, no block holds such a place, and the pieces are the records. Otherwise the pieces
+    are written with their places, once, so that later steps see the same splits; of each file that has a piece with too
+    little, the lengths alone are gone through in order, in one task a file that keeps a few numbers; and only the
+    pieces that are parts of a record meet again, a group a record. A record without or with too great a Content-Length is an error.
+    """
+    text = spark.read.option("lineSep", RECORD_START).text(path)
+    pieces = text.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    numbered = pieces.mapInArrow(_numbered, "piece binary, file string, split bigint, place bigint, length bigint, asked bigint")
+    short = F.col("asked").isNull() | (F.col("length") < F.col("asked"))
+    result = "headers map<string,string>, block binary"
+    if not numbered.select(short.alias("short")).where("short").take(1):
+        return pieces.select("piece").mapInArrow(_parsed, result)
+    keys = ["file", "split", "place"]
+    numbered = cut(numbered)
+    broken = numbered.where(short).select("file").distinct()
+    index = numbered.select(*keys, "length", "asked").join(broken, "file", "left_semi")
+    parts = cut(index.repartition("file").sortWithinPartitions(*keys).mapInArrow(_owners, "file string, split bigint, place bigint, owner bigint"))
+    whole = numbered.join(parts, keys, "left_anti").select("piece")
+    one = numbered.join(parts, keys).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("split", "place", "piece"))).alias("parts"))
+    between = F.lit(RECORD_START.encode())
+    joined = one.select(F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0]["piece"], lambda all, p: F.concat(all, between, p["piece"])).alias("piece"))
+    return whole.union(joined).mapInArrow(_parsed, result)
 
 
 def op3(pages: DataFrame) -> DataFrame:

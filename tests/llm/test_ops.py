@@ -310,6 +310,30 @@ def test_warc_blocks_that_hold_records(spark, tmp_path):
     assert sorted(bytes(r["block"]).decode() for r in back.collect()) == sorted(r["block"] for r in sources.collect())
 
 
+def test_warc_files_of_many_splits(spark, tmp_path):
+    r = random.Random(2)
+    fake = "text\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\nContent-Length: %s\r\n\r\nabc"
+    htmls = [prose(r, r.randint(1, 1500)) + (fake % r.choice(["3", "70000", "x", ""]) * r.randint(0, 4) + "é" * k) * (k % 2) for k in range(40)] + [fake % 5 * 3000, "\r\n\r\nWARC/1." * 9000, ""]
+    pages = spark.createDataFrame([(k, f"http://x/{k}", h) for k, h in enumerate(htmls)], "page_id bigint, url string, html string").coalesce(1)
+    sources = warc.responses(pages)
+    warc.write_warc(sources, str(tmp_path / "dirty"), "none")
+    warc.write_warc(warc.responses(pages.where(F.col("page_id") % 2 == 0).where("page_id < 40")), str(tmp_path / "clean"), "none")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(tmp_path / "dirty")).rdd.getNumPartitions() > 8
+        expected = {x["record_id"]: x["block"] for x in sources.collect()}
+        for name, n in (("dirty", 43), ("clean", 20), ("*", 63)):
+            back = warc.read_warc(spark, str(tmp_path / name)).collect()
+            assert len(back) == n and all(bytes(x["block"]).decode() == expected[x["headers"]["WARC-Record-ID"]] for x in back)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
+    with pytest.raises(Exception, match="Content-Length"):
+        warc.read_warc(spark, str(tmp_path / "bad")).collect()
+
+
 URLS = ["https://www.example.com/en/7?x", "http://A.Example.COM/en/8#y", "https://x.net/de/1", "https://m.example.net/de/85", "http://site.org/es/", "http://notexample.com.evil.info/en/", "nothing", None, "", "https://h?q=/en/", "a://b://c/d", "https://casino-win.example.net/fr/1", "https://plain.example.net/fr/1"]
 
 
