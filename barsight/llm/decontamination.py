@@ -5,7 +5,9 @@
 2. Terms. The windows of the benchmark are a table of distinct phrases; their distinct terms, a row of a bounded number for each
    bucket, are joined to the index by bucket, which leaves the postings of benchmark terms and their counts in the corpus.
 3. Rarest first. A phrase that holds a term without postings cannot occur. The others go to the segments that hold their rarest
-   term, and there the lists, each shifted by the term's place in the phrase, are intersected from the rarest term up.
+   term, and there the lists, each shifted by the term's place in the phrase, are intersected from the rarest term up. A segment
+   with more than PART_PHRASES phrases is a group for each part of them, so a group's size does not follow the benchmark's;
+   what the parts cover of a document is merged afterwards.
 4. Hits go back to the documents, and phrases to items, by joins; a phrase in many documents is salted.
 
 Neither side passes through the driver or is gathered whole. Terms are 64-bit hashes of words. A window is `window` consecutive
@@ -34,6 +36,8 @@ from .common import cut, fresh, hot_join, text_key, words_of
 WINDOW, SHARE = 13, 20
 #: Bytes of text that a segment indexes at once, and benchmark terms that a bucket of the index holds on average.
 SEGMENT_BYTES, BUCKET_TERMS = 8_000_000, 20_000
+#: Phrases that meet a segment's lists in one group, on average.
+PART_PHRASES = 100_000
 
 
 class _WordHashes(dict):
@@ -201,17 +205,21 @@ def _found(documents: DataFrame, benchmark: DataFrame, window: int, slop: int |
     seen = cut(lists.select("segment", "terms", "counts").mapInArrow(_term_counts, "segment bigint, term bigint, n bigint"))
     counts = seen.groupBy("term").agg(F.sum("n").alias("n"))
     each = phrases.select("phrase", "terms", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term")
-    rarest = each.groupBy("phrase").agg(F.first("terms").alias("terms"), F.count("*").alias("known"), F.min(F.struct("n", "term")).alias("r")).where(F.col("known") == F.size(F.array_distinct("terms")))
-    asked = rarest.select("phrase", "terms", F.col("r.term").alias("term")).join(seen.select("segment", "term"), "term").select("segment", "phrase", "terms")
+    rarest = cut(each.groupBy("phrase").agg(F.first("terms").alias("terms"), F.count("*").alias("known"), F.min(F.struct("n", "term")).alias("r")).where(F.col("known") == F.size(F.array_distinct("terms"))).select("phrase", "terms", F.col("r.term").alias("term")))
+    per_term = rarest.groupBy("term").agg(F.count("*").alias("phrases"))
+    per_segment = cut(seen.select("segment", "term").join(per_term, "term").groupBy("segment").agg(F.ceil(F.sum("phrases") / PART_PHRASES).cast("int").alias("n_parts")))
+    asked = rarest.join(seen.select("segment", "term"), "term").join(per_segment, "segment")
+    asked = asked.select("segment", F.pmod(F.xxhash64("phrase"), "n_parts").cast("int").alias("part"), "phrase", "terms")
     parts = lists.select("segment", "terms", "counts", "positions", F.lit(None).cast("array<bigint>").alias("starts"), F.lit(None).cast("array<bigint>").alias("lengths"))
     parts = parts.union(stored.where("bucket is null").select("segment", "terms", "counts", "positions", "starts", "lengths"))
+    parts = parts.join(per_segment, "segment").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
 
     def intersect(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         if left.num_rows and right.num_rows:
             rows = left.to_pylist()
-            ends = next(r for r in rows if r["starts"] is not None)
-            starts, lengths = np.array(ends["starts"], np.int64), np.array(ends["lengths"], np.int64)
+            texts = next(r for r in rows if r["starts"] is not None)
+            starts, lengths = np.array(texts["starts"], np.int64), np.array(texts["lengths"], np.int64)
             rows = [r for r in rows if r["starts"] is None]
             lists = Lists(*(np.concatenate([_unpacked(r[c], kind) for r in rows] or [np.zeros(0, kind)]) for c, kind in (("terms", np.int64), ("counts", np.int32), ("positions", np.int32))))
             segment, names, wanted = left["segment"][0].as_py(), right["phrase"].to_pylist(), right["terms"].to_pylist()
@@ -230,23 +238,27 @@ def _found(documents: DataFrame, benchmark: DataFrame, window: int, slop: int |
                         places, where = np.unique(doc).tolist(), None
                     else:
                         places, where = doc.tolist(), found.tolist()
-                    for c, x in zip(cols, ([segment] * len(places), places, [None] * len(places), [names[which[i]]] * len(places), where or [None] * len(places))):
+                    none = [None] * len(places)
+                    for c, x in zip(cols, ([segment] * len(places), places, none, none, [names[which[i]]] * len(places), where or none)):
                         c += x
-            covered = np.concatenate(([0], np.cumsum(np.cumsum(hit) > 0)))
-            n_hit = covered[starts + lengths] - covered[starts]
-            dirty = np.flatnonzero(n_hit)
-            for c, x in zip(cols, ([segment] * len(dirty), dirty.tolist(), n_hit[dirty].tolist(), [None] * len(dirty), [None] * len(dirty))):
+            edges = np.diff((np.cumsum(hit) > 0).astype(np.int8), prepend=0)
+            begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            none = [None] * len(begins)
+            for c, x in zip(cols, ([segment] * len(begins), (np.searchsorted(starts, begins, "right") - 1).tolist(), begins.tolist(), ends.tolist(), none, none)):
                 c += x
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["segment", "place", "n_hit", "phrase", "at"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["segment", "place", "begin", "end", "phrase", "at"])
 
-    out = cut(parts.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(intersect, "segment bigint, place bigint, n_hit bigint, phrase binary, at bigint"))
+    out = cut(parts.groupBy("segment", "part").cogroup(asked.groupBy("segment", "part")).applyInArrow(intersect, "segment bigint, place bigint, begin bigint, end bigint, phrase binary, at bigint"))
     met = out.where("phrase is not null").select("segment", "place", "phrase", "at")
     often = met.groupBy("phrase").agg(F.count("*").alias("n"))
     named = windows.select("phrase", "item").join(often, "phrase")
     matches = hot_join(met, named, ["phrase"], "n", met.count(), ["segment", "place"]).select("segment", "place", "at", "item")
     zipped = F.arrays_zip(F.col("ids").alias("id"), F.col("tks").alias("tk"), F.col("lengths").alias("n_words"))
     listed = stored.where("bucket is null").select("segment", F.posexplode(zipped).alias("place", "d")).select("segment", F.col("place").cast("bigint").alias("place"), F.col("d.id").alias("id"), F.col("d.tk").alias("tk"), F.col("d.n_words").alias("n_words"))
-    return listed, out.where("n_hit is not null").select("segment", "place", "n_hit"), matches
+    spans = out.where("begin is not null").groupBy("segment", "place").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    none = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
+    covered = F.aggregate("spans", none, lambda done, x: F.struct(F.greatest(done["end"], x["end"]).alias("end"), (done["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["begin"], done["end"]))).alias("n")))
+    return listed, spans.select("segment", "place", covered["n"].alias("n_hit")), matches
 
 
 def judged(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -98,8 +98,9 @@ def test_decontamination(spark, corpus, monkeypatch):
         w = words(t)
         for k in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[k : k + 13])].add(i)
-    for size, terms in ((decontamination.SEGMENT_BYTES, decontamination.BUCKET_TERMS), (700, 3)):
+    for size, terms, part in ((decontamination.SEGMENT_BYTES, decontamination.BUCKET_TERMS, decontamination.PART_PHRASES), (700, 3, 2)):
         monkeypatch.setattr(decontamination, "SEGMENT_BYTES", size)
+        monkeypatch.setattr(decontamination, "PART_PHRASES", part)
         monkeypatch.setattr(decontamination, "BUCKET_TERMS", terms)
         out = {x["doc_id"]: x for x in decontamination.contamination(docs_of(spark, corpus), bench).collect()}
         for d, t in enumerate(corpus):
