@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by shortest paths through a weighted transducer.
 
 Three weighted transducers are compiled from a model file. N normalises: arcs that rewrite a space to the word mark, one from the
-start that puts the dummy prefix before the text, and where the model says so states that swallow repeated spaces. P reads the
+start that puts the dummy prefix before the text, where the model says so states that swallow repeated spaces, and the model's
+character map, whose trie's places are states: the longest key from a place is rewritten, other characters pass. P reads the
 normalised text in pieces: an arc for every piece, and byte fallback, for a character that is no piece an arc that outputs its
 bytes. W weighs what P outputs: its states are "" and the pieces, and an arc leads from every piece to every other.
 
@@ -69,6 +70,60 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             i += n
 
 
+class CharacterMap:
+    """Arcs of N from a model's character map: a little-endian size, a double-array trie of UTF-8 keys, and the strings to write,
+    each ended by a zero byte, at the offsets that are the trie's values. Arcs read whole characters and are built when used."""
+
+    def __init__(self, data: bytes):
+        (size,) = struct.unpack_from("<I", data)
+        self.units = np.frombuffer(data, "<u4", size // 4, 4).tolist()
+        self.strings = data[4 + size :]
+        self.root = self._base(self.units[0])
+        self._steps: dict[tuple[int, str], tuple[int, str | None] | None] = {}
+
+    @staticmethod
+    def _base(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def step(self, state: int, char: str) -> tuple[int, str | None] | None:
+        """(next state, what is written if the text's key ends here) or None."""
+        key = (state, char)
+        if key in self._steps:
+            return self._steps[key]
+        found, unit = None, 0
+        for b in char.encode():
+            state ^= b
+            unit = self.units[state] if state < len(self.units) else 0
+            if unit & 0x800000FF != b:
+                break
+            state ^= self._base(unit)
+        else:
+            written = None
+            if unit >> 8 & 1:
+                at = self.units[state] & 0x7FFFFFFF
+                written = self.strings[at : self.strings.index(b"\0", at)].decode()
+            found = (state, written)
+        if len(self._steps) >= MEMO_PAIRS:
+            self._steps.clear()
+        self._steps[key] = found
+        return found
+
+    def rewrite(self, text: str) -> str:
+        out, at, step = [], 0, self.step
+        while at < len(text):
+            state, written, end = self.root, text[at], at + 1
+            for j in range(at, len(text)):
+                arc = step(state, text[j])
+                if arc is None:
+                    break
+                state = arc[0]
+                if arc[1] is not None:
+                    written, end = arc[1], j + 1
+            out.append(written)
+            at = end
+        return "".join(out)
+
+
 class Transducer:
     """A model file compiled to arcs. Field numbers are those of the public sentencepiece_model.proto."""
 
@@ -99,8 +154,7 @@ class Transducer:
             elif number == 3:
                 norm = dict(_fields(value))
         self.kind = kind or ("bpe" if train.get(3, 1) == 2 else "unigram")
-        if norm.get(2):
-            raise ValueError("models with a character map are not compiled; normalise the text first")
+        self.map = CharacterMap(norm[2]) if norm.get(2) else None
         self.dummy_prefix, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
         self.rewritten = {" ": MARK}
         # Arcs of more than one character, by their first two; in BPE models only pieces that merging can make.
@@ -128,12 +182,16 @@ class Transducer:
         self._memo: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
-        """The output of N, whose arcs all weigh 0: without squeezing one state and a table of what each character becomes."""
+        """The output of N, whose arcs all weigh 0: without squeezing or a map one state and a table of what each character
+        becomes. Squeezing also takes word marks off the end, as the library does."""
+        prefix = MARK if text and self.dummy_prefix else ""
+        if self.map:
+            text = self.map.rewrite(text)
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
         for read, written in self.rewritten.items():
             text = text.replace(read, written)
-        return MARK + text if text and self.dummy_prefix else text
+        return (prefix + text).rstrip(MARK) if self.squeeze else prefix + text
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives a short string: the best-scored pair first, the leftmost of ties."""

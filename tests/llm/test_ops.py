@@ -239,6 +239,29 @@ def test_sentencepiece_matches_the_public_library(spark, corpus):
     assert all(x["decoded"] == out[x["doc_id"]]["decoded"] for x in again)
 
 
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_character_maps_match_the_public_library(spark, tmp_path, rule, squeeze):
+    spm = pytest.importorskip("sentencepiece")
+    spec = spm.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=squeeze).serialized_normalizer_spec()
+    size, number = b"", len(spec)
+    while number > 127:
+        size, number = size + bytes([number & 127 | 128]), number >> 7
+    with open(sentencepiece.MODEL, "rb") as f:
+        model = f.read() + b"\x1a" + size + bytes([number]) + spec
+    path = tmp_path / "mapped.model"
+    path.write_bytes(model)
+    reference = spm.SentencePieceProcessor(model_proto=model)
+    r = random.Random(7)
+    chars = "aeiouAEİßﬁ①Ａ㌔½´\u0300\u0301\u0323\u200b\u00a0\u3000\ufeff\x00\x07\n\t ▁각ㄱ\u1100\u1161\u11a8漢ｶﾞΣςﷺ\U0001f600é"
+    texts = ["", " ", "▁", "x▁", "\u200b", "  a  b  ", "\u3000", "ﷺ" * 50, *("".join(r.choice(chars) for _ in range(r.randint(1, 40))) for _ in range(600)), None]
+    t = sentencepiece.Transducer(model)
+    for text in texts[:-1]:
+        assert t.normalise(text) == reference.normalize(text), text
+    out = {x["doc_id"]: x["ids"] for x in sentencepiece.encode(docs_of(spark, texts), model=str(path)).collect()}
+    assert [out[d] for d in range(len(texts))] == [None if x is None else reference.encode(x) for x in texts]
+
+
 def test_borders_and_forward_pass_against_merging():
     t = sentencepiece.transducer(sentencepiece.MODEL)
     r = random.Random(1)
