@@ -196,15 +196,17 @@ def _found(documents: DataFrame, benchmark: DataFrame, window: int, slop: int |
     docs = documents.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
     windows = windows_of(benchmark, window, item_col, text_col)
     phrases = windows.select("phrase", "terms").dropDuplicates(["phrase"])
-    terms = cut(phrases.select(F.explode("terms").alias("term")).distinct())
-    buckets = max(16, -(-terms.count() // BUCKET_TERMS))
+    places = phrases.select("phrase", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    terms = cut(places.groupBy("term").agg(F.count("*").alias("phrases")))
+    n_terms, n_places = terms.agg(F.count("*"), F.coalesce(F.sum("phrases"), F.lit(0))).first()
+    buckets = max(16, -(-n_terms // BUCKET_TERMS))
     stored = index(docs, buckets)
     by_bucket = terms.groupBy(F.pmod("term", F.lit(buckets)).cast("int").alias("bucket")).agg(F.collect_list("term").alias("wanted"))
     lists = stored.where("bucket is not null").select("segment", "bucket", "terms", "counts", "positions").join(by_bucket, "bucket").select("segment", "terms", "counts", "positions", "wanted")
     lists = cut(lists.mapInArrow(_of_terms, "segment bigint, terms binary, counts binary, positions binary"))
     seen = cut(lists.select("segment", "terms", "counts").mapInArrow(_term_counts, "segment bigint, term bigint, n bigint"))
-    counts = seen.groupBy("term").agg(F.sum("n").alias("n"))
-    each = phrases.select("phrase", "terms", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term")
+    counts = seen.groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term")
+    each = hot_join(places, counts, ["term"], "phrases", n_places, ["phrase"])
     rarest = cut(each.groupBy("phrase").agg(F.first("terms").alias("terms"), F.count("*").alias("known"), F.min(F.struct("n", "term")).alias("r")).where(F.col("known") == F.size(F.array_distinct("terms"))).select("phrase", "terms", F.col("r.term").alias("term")))
     per_term = rarest.groupBy("term").agg(F.count("*").alias("phrases"))
     per_segment = cut(seen.select("segment", "term").join(per_term, "term").groupBy("segment").agg(F.ceil(F.sum("phrases") / PART_PHRASES).cast("int").alias("n_parts")))
