@@ -11,7 +11,9 @@ The grid only sets the cost. Of grids of 1, 4, 16... cells, up to PER_CELL vecto
 sample is taken: fine ones for clustered vectors, few large cells where the bounds exclude little and every query meets most
 vectors of its label. Equal vectors of a label are one node. A cell of more than BLOCK nodes of a label is kept in several
 blocks and its visitors in blocks of QUERY_BLOCK; each pair of blocks is a group of its own, so a hot cell spreads over tasks.
-Tasks return per query its links in the block and the least linked node, never pairs.
+Tasks return per query its links in the block, and for every node met a node of its part of the links found there, so that all
+links of a block stay joined; never pairs. A cosine within NEAR of the threshold is taken anew from the vectors
+themselves by the SQL's formula, as products of rounded unit vectors miss pairs at the threshold itself.
 
 Codebooks are fitted (Lloyd steps) on about SAMPLE vectors, chosen by a hash of their values; every vector is indexed.
 
@@ -40,6 +42,8 @@ PER_CELL, MOST_CODES, SAMPLE, QUERIES, ROUNDS, BLOCK, QUERY_BLOCK = 32, 1024, 20
 VISIT_PAIRS, PLANES = 2000, 8
 #: Taken off each bound for rounding, and the least distance of two codewords that have a plane.
 SLACK, APART = 1e-6, 1e-3
+#: Cosines of unit vectors this close to the threshold are computed anew, so many pairs at once.
+NEAR, PAIRS = 1e-9, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -160,11 +164,53 @@ def cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return nearest(x[:, :half], books[0]) * len(books[1]) + nearest(x[:, half:], books[1])
 
 
-def units(vectors: list[bytes]) -> np.ndarray:
+def values(vectors: list[bytes]) -> np.ndarray:
+    """The vectors, each by the power of two that brings its largest component to [0.5, 1): no square overflows or vanishes."""
     x = np.array([np.frombuffer(v, np.float64) for v in vectors])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def units(vectors: list[bytes]) -> np.ndarray:
+    x = values(vectors)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of x[i] and y[i]: sums in the order of components, one division by the product of both lengths."""
+    dot, xx, yy = (np.cumsum(z, axis=1)[:, -1] for z in (x * y, x * x, y * y))
+    return dot / (np.sqrt(xx) * np.sqrt(yy))
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """[i, j]: whether the cosine of x[i] and y[j] is at least the threshold."""
+    unit_x, unit_y = (v / np.sqrt((v * v).sum(axis=1))[:, None] for v in (x, y))
+    cosine = unit_x @ unit_y.T
+    hit = cosine >= threshold
+    a, b = np.nonzero(np.abs(cosine - threshold) <= NEAR)
+    for at in range(0, len(a), PAIRS):
+        i, j = a[at : at + PAIRS], b[at : at + PAIRS]
+        hit[i, j] = cosines(x[i], y[j]) >= threshold
+    return hit
+
+
+class Parts:
+    """Nodes joined link by link; `top` is the node that stands for a node's part."""
+
+    def __init__(self, n: int) -> None:
+        self.above = np.arange(n)
+
+    def top(self, i: int) -> int:
+        while self.above[i] != i:
+            self.above[i] = self.above[self.above[i]]
+            i = int(self.above[i])
+        return i
+
+    def join(self, js: np.ndarray) -> int:
+        tops = [self.top(int(i)) for i in np.unique(self.above[js])]
+        self.above[tops] = self.above[js] = min(tops)
+        return min(tops)
+
+
 def _sample(nodes: DataFrame, size: int, total: int, seed: int) -> DataFrame:
     """About `size` nodes by a hash; the nodes are distinct, so no value weighs more than once."""
     share = min(1.0, size / max(1, total))
@@ -179,7 +225,7 @@ def _nodes(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataF
             nodes, vectors = [], []
             for label, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 x = np.array([], np.float64) if label is None or not v or None in v else np.array(v, np.float64)
-                ok = len(x) and np.isfinite(x).all() and 0 < (x * x).sum() < np.inf
+                ok = np.isfinite(x).all() and x.any()
                 vectors.append((x + 0.0).tobytes() if ok else None)
                 nodes.append(xxhash.xxh3_128_digest(f"{label}|".encode() + vectors[-1]) if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(vectors, pa.binary())], ["id", "label", "node", "vector"])
@@ -189,7 +235,7 @@ def _nodes(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataF
 
 
 def _links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, root, links) of one vector length."""
+    """(node, root, links) of one vector length: node and root are linked, directly or by others; links of a node add up."""
     spark = nodes.sparkSession
     total = nodes.count()
     sample = _sample(nodes, SAMPLE, total, seed=3).select("label", "vector").toArrow()
@@ -241,20 +287,27 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
         mine, theirs = table.filter(pa.array(~ask)), table.filter(pa.array(ask))
         out: tuple[list, list, list] = ([], [], [])
         if mine.num_rows and theirs.num_rows:
-            base, names, weights = units(mine["vector"].to_pylist()), mine["node"].to_pylist(), mine["weight"].to_numpy()
-            rank = np.argsort(np.argsort(np.array(names, object)))
-            by_rank = {int(r): n for r, n in zip(rank, names)}
+            base, names, weights = values(mine["vector"].to_pylist()), mine["node"].to_pylist(), mine["weight"].to_numpy()
+            parts, met, via = Parts(len(names)), np.zeros(len(names), bool), []
             for at in range(0, theirs.num_rows, 2048):
                 part = theirs.slice(at, 2048)
-                hit = units(part["vector"].to_pylist()) @ base.T >= threshold
+                hit = linked(values(part["vector"].to_pylist()), base, threshold)
                 asking = part["node"].to_pylist()
                 for i in np.flatnonzero(hit.any(axis=1)):
                     js = np.flatnonzero(hit[i])
                     js = js[[names[j] != asking[i] for j in js]]
                     if len(js):
+                        met[js] = True
+                        via.append(parts.join(js))
                         out[0].append(asking[i])
-                        out[1].append(by_rank[int(rank[js].min())])
                         out[2].append(int(weights[js].sum()))
+            out[1].extend(names[parts.top(i)] for i in via)
+            # A least neighbour alone would lose links: on a path 1 - 3 - 4 - 2 that of 3 is 1 and that of 4 is 2.
+            for j in np.flatnonzero(met):
+                if parts.top(int(j)) != j:
+                    out[0].append(names[j])
+                    out[1].append(names[parts.top(int(j))])
+                    out[2].append(0)
         return pa.table({"node": pa.array(out[0], pa.binary()), "root": pa.array(out[1], pa.binary()), "links": pa.array(out[2], pa.int64())})
 
     return rows.groupBy("label", "cell", "block", "asker").applyInArrow(compare, "node binary, root binary, links bigint")

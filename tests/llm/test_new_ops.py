@@ -1,15 +1,18 @@
 """Operators 11 to 13 against plain versions."""
 
 import hashlib
+import math
 import random
 import uuid
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barsight.llm import embedding_dedup as E
 from barsight.llm import filter_audit as A
 from barsight.llm import prefix_trie as P
 from barsight.llm import streaming_dedup as S
@@ -204,3 +207,31 @@ def test_ids_of_one_conversation_travel_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(P, "CHUNK", 7)
     convs = [(c, [("same", 2)] * 2) for c in range(50)]
     assert sorted(map(tuple, P.trie(as_turns(spark, convs)).select(*P.RESULT).collect()), key=repr) == plain_trie(convs)
+
+
+def test_embedding_chains_stay_whole(spark, monkeypatch):
+    # Cosines 0.9397 from one to the next, 0.766 beyond; nodes are digests, so chains meet them in any order.
+    r = random.Random(5)
+    ids = list(range(480))
+    r.shuffle(ids)
+    rows = [(ids[12 * c + k], [math.cos(k * math.pi / 9 + c), math.sin(k * math.pi / 9 + c)], c) for c in range(40) for k in range(12)]
+    want = {ids[12 * c + k]: (1 if k in (0, 11) else 2, min(ids[12 * c : 12 * c + 12])) for c in range(40) for k in range(12)}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    for block in (4096, 3):
+        monkeypatch.setattr(E, "BLOCK", block)
+        assert {o["vec_id"]: (o["n_links"], o["component_id"]) for o in E.op10(df).collect()} == want
+
+
+def test_embedding_links_at_the_threshold(spark):
+    # Whole numbers with a cosine of 93 / 100 exactly, which products of rounded unit vectors miss.
+    pairs = [([-66, -88, 88, 66, -110, -110], [-27, -27, 54, 9, -27, -54]), ([-84, -112, 112, 84, -140, -140], [-2, -6, 1, 3, -5, -5]), ([-36, -48, 48, 36, -60, -60], [-15, -45, 90, 45, -45, -90])]
+    assert all(100 * np.dot(a, b) == 93 * math.isqrt(np.dot(a, a)) * math.isqrt(np.dot(b, b)) for a, b in pairs)
+    rows = [(2 * c + side, [float(v) for v in pair[side]], c) for c, pair in enumerate(pairs) for side in (0, 1)]
+    out = E.op10(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    assert len(out) == 2 * len(pairs) and all(o["n_links"] == 1 and o["component_id"] == o["vec_id"] // 2 * 2 for o in out)
+
+
+def test_embedding_odd_sizes(spark):
+    rows = [(0, [3e200, 4e200]), (1, [3e-200, 4e-200]), (2, [3.0, 4.0]), (3, [-3e-200, 4e-200]), (4, [5.0]), (5, [7.0]), (6, [-1.0]), (7, [0.0, 0.0])]
+    out = E.op10(spark.createDataFrame([(*x, 1) for x in rows], "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {o["vec_id"]: (o["n_links"], o["component_id"]) for o in out} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
