@@ -140,3 +140,33 @@ def test_publishing_replaces_all_or_nothing(spark, tmp_path):
     assert seen(spark, folder) == {"b.json": "{3}"}
     # What the manifest does not name is gone: the stale file, the failed and the staged state.
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith("state-")] == [second["state"]]
+
+
+def test_lineitem_is_read_once(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    con, n = duckdb.connect(), 3000
+    con.execute("CREATE TABLE region AS SELECT i AS r_regionkey, 'R' || i AS r_name FROM range(3) t(i)")
+    con.execute("CREATE TABLE nation AS SELECT i::INTEGER AS n_nationkey, 'N' || i AS n_name, i % 3 AS n_regionkey FROM range(6) t(i)")
+    con.execute("CREATE TABLE customer AS SELECT i AS c_custkey, CASE WHEN i % 9 < 6 THEN i % 9 END::INTEGER AS c_nationkey FROM range(50) t(i)")
+    con.execute("CREATE TABLE orders AS SELECT i % 390 AS o_orderkey, CASE WHEN i % 11 <> 0 THEN i % 60 END AS o_custkey FROM range(400) t(i)")
+    con.execute(f"CREATE TABLE lineitem AS SELECT CASE WHEN i % 17 <> 0 THEN i % 420 END AS l_orderkey, (CASE WHEN i % 13 <> 0 THEN i % 5 END)::DOUBLE AS l_quantity, (CASE WHEN i % 19 <> 0 THEN i * 1.37 END)::DOUBLE AS l_extendedprice, (CASE WHEN i % 23 <> 0 THEN DATE '2020-01-01' + (i % 40)::INTEGER END)::TIMESTAMP AS l_shipdate FROM range({n}) t(i)")
+    for name in P.INPUTS:
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    read, table = spark.sparkContext.accumulator(0), P.table
+
+    def counted(spark, sf_dir, name):
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        df = table(spark, sf_dir, name)
+        return df.mapInArrow(run, df.schema) if name == "lineitem" else df
+
+    monkeypatch.setattr(P, "table", counted)
+    bars = P.bars(spark, str(tmp_path))
+    assert bars.where("px is not null").count() > 100 and read.value == n
+    got = P.prices(spark, str(tmp_path)).select("symbol", "date", "price", "volume").collect()
+    want = con.execute(P.SQL + " SELECT symbol, date, price, volume FROM pr WHERE date IS NOT NULL").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and read.value == n
