@@ -1,8 +1,11 @@
 """Operators 11 to 13 against plain versions."""
 
+import glob
 import hashlib
 import math
+import os
 import random
+import time
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -57,6 +60,18 @@ def test_dedup_matches_brute_force(spark, digest):
     assert found == plain_dedup(ROWS)
 
 
+def test_small_states_take_little_disk(spark):
+    # Of many small stores each set aside 4 MB for its manifest.
+    before, start = {k: spark.conf.get(k, None) for k in S.STATE}, time.time()
+    path = written(spark, docs(spark, ROWS))
+    assert S.deduplicate(spark, path).count() == len(ROWS)
+    local = spark.conf.get("spark.local.dir", None) or os.environ.get("SPARK_LOCAL_DIRS", "/tmp").split(",")[0]
+    found = [os.stat(f) for f in glob.glob(f"{local}/**/StateStoreId*/**/MANIFEST-*", recursive=True)]
+    sizes = [f.st_blocks * 512 for f in found if f.st_mtime >= start - 1]
+    assert sizes and max(sizes) < 100_000
+    assert {k: spark.conf.get(k, None) for k in S.STATE} == before
+
+
 def test_dedup_goes_on_from_retained_state(spark):
     """Files that come later meet the state of those before; small batches give what one batch gives."""
     path, own = written(spark, docs(spark, ROWS[:5]), 2), f"{scratch_dir(spark)}/own-{uuid.uuid4().hex}"
