@@ -157,7 +157,7 @@ class Transducer:
         self.map = CharacterMap(norm[2]) if norm.get(2) else None
         self.dummy_prefix, self.squeeze = bool(norm.get(3, 1)), bool(norm.get(4, 1))
         self.rewritten = {" ": MARK}
-        # Arcs of more than one character, by their first two; in BPE models only pieces that merging can make.
+        # Arcs of more than one character, as a trie below; in BPE models only pieces that merging can make.
         self.rank: dict[str, int] = {}
         self.halves: dict[str, tuple[str, str]] = {}
         if self.kind == "unigram":
@@ -170,15 +170,19 @@ class Transducer:
         for p in sorted(self.halves, key=len):
             if any(h in self.odd or self.rank.get(h, -1) >= self.rank[p] for h in self.halves[p]):
                 self.odd.add(p)
-        self.lengths: dict[str, list[int]] = {}
+        # A place's children by their characters, and by "" the piece that ends there.
+        self.trie: dict = {}
         for p in self.reached:
-            self.lengths.setdefault(p[:2], []).append(len(p))
-        self.lengths = {k: sorted(set(v)) for k, v in self.lengths.items()}
+            place = self.trie
+            for c in p:
+                place = place.setdefault(c, {})
+            place[""] = p
         splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if splits else "(?s).+").findall
         self.unknown_weight = 10.0 - min((self.scores[k] for k in self.ids.values()), default=0.0)
         self.outputs = [bytes([self.byte_of[k]]) if k in self.byte_of else b"" if k in self.control else p.replace(MARK, " ").encode() for k, p in enumerate(self.pieces)]
         self._agree: dict[tuple[str, str], bool] = {}
+        self._packed: dict[str, bytes] = {}
         self._memo: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
@@ -237,10 +241,11 @@ class Transducer:
 
     def arcs(self, text: str, i: int) -> list[str]:
         """P's arcs from place i: the pieces that begin there, the longest last; a character that is no piece is one too."""
-        out = [text[i]]
-        for n in self.lengths.get(text[i : i + 2], ()):
-            if (piece := text[i : i + n]) in self.reached and len(piece) == n:
-                out.append(piece)
+        out, place, end = [text[i]], self.trie.get(text[i]), len(text)
+        while place is not None and (i := i + 1) < end:
+            place = place.get(text[i])
+            if place and "" in place:
+                out.append(place[""])
         return out
 
     def weight(self, before: str, piece: str) -> float:
@@ -273,7 +278,7 @@ class Transducer:
                 piece = arcs.pop()
                 if last and not (found if (found := known.get((last, piece))) is not None else self.agree(last, piece)):
                     continue
-                if (at + len(piece), piece) not in dead:
+                if not dead or (at + len(piece), piece) not in dead:
                     path.append(piece)
                     at, last = at + len(piece), piece
                     if at < end:
@@ -308,7 +313,13 @@ class Transducer:
 
     def path(self, part: str) -> bytes:
         """Ids of one part as 32-bit numbers."""
-        found = struct.pack(f"<{len(ids)}i", *ids) if (ids := [k for piece in self.shortest(part) for k in self.labels(piece)]) else b""
+        found, known = b"", self._packed
+        for piece in self.shortest(part):
+            if (ids := known.get(piece)) is None:
+                ids = struct.pack(f"<{len(labels)}i", *labels) if (labels := self.labels(piece)) else b""
+                if piece in self.ids:
+                    known[piece] = ids
+            found += ids
         if len(part) <= 48:
             if len(self._memo) >= MEMO_PARTS:
                 self._memo.clear()

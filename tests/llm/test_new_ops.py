@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from barsight.llm import embedding_dedup as E
 from barsight.llm import filter_audit as A
 from barsight.llm import prefix_trie as P
+from barsight.llm import sentencepiece as T
 from barsight.llm import streaming_dedup as S
 from barsight.llm.common import scratch_dir
 
@@ -250,3 +251,13 @@ def test_embedding_odd_sizes(spark):
     rows = [(0, [3e200, 4e200]), (1, [3e-200, 4e-200]), (2, [3.0, 4.0]), (3, [-3e-200, 4e-200]), (4, [5.0]), (5, [7.0]), (6, [-1.0]), (7, [0.0, 0.0])]
     out = E.op10(spark.createDataFrame([(*x, 1) for x in rows], "vec_id bigint, embedding array<double>, label int")).collect()
     assert {o["vec_id"]: (o["n_links"], o["component_id"]) for o in out} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+
+
+def test_arcs_are_the_compiled_pieces():
+    # Arcs are the compiled strings themselves, whose hashes are kept, not slices of the text that every look-up hashes anew.
+    t = T.transducer(T.MODEL)
+    text = "▁Internationalisation▁of▁the▁übermäßig▁日本語▁▁▁tests\n▁1234567"
+    for i in range(len(text)):
+        arcs = t.arcs(text, i)
+        assert arcs == [text[i], *(text[i:j] for j in range(i + 2, len(text) + 1) if text[i:j] in t.reached)]
+        assert all(t.arcs(text, i)[k] is arcs[k] for k in range(1, len(arcs)))
