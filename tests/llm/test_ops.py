@@ -210,6 +210,18 @@ def test_offsets_of_large_groups():
             assert mine == {a for a in range(len(g[2]) + 1) if string(g, a) and any(string(h, a) == string(g, a) for j, h in enumerate(group) if j != i)}
 
 
+def test_large_groups_need_rounds_only_where_blocks_change(monkeypatch):
+    # 30 suffixes of one head of 100 bytes, in pairs, behind one text of 319: few common prefixes, 319 offsets.
+    left = bytes(random.Random(5).choices(b"cdef", k=319))
+    rows = sorted((b"h" * 100 + bytes([65 + k // 2]) * 300, left, k) for k in range(30))
+    group = [(substring_dedup.common_prefix(rows[i - 1][0] + left, x + y) if i else 0, x, y, (k,)) for i, (x, y, k) in enumerate(rows)]
+    rounds = []
+    whole = substring_dedup.np.cumsum
+    monkeypatch.setattr(substring_dedup.np, "cumsum", lambda *a, **k: rounds.append(1) or whole(*a, **k))
+    got = substring_dedup.offsets(group, 400)
+    assert got == [[(0, 319)]] * 30 and len(rounds) <= 8
+
+
 def test_loser_tree():
     r = random.Random(3)
     rows = [(bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))), 0, k, 0, 0) for k in range(200)]
